@@ -1,0 +1,35 @@
+"""Connected components of an edge table, by star contraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import written
+
+
+def _mark(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst"))).first())
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """node, root: the smallest node that each node of ``edges`` (src, dst)
+    reaches. Nodes without an edge to another node don't occur.
+
+    Each round hangs every node's larger neighbours on its smallest one, then
+    every node's smaller neighbours too, until all edges lead to a root. Only
+    minima are gathered for a node, never its neighbours; the minima are
+    written before they are joined, so that Spark can split the partition of a
+    node with very many edges.
+    """
+    edges = written(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    before, after = None, _mark(edges)
+    while before != after and after[0]:
+        both = edges.union(edges.select("dst", "src"))
+        least = written(both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low")))
+        larger = written(both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("low").alias("dst")).distinct())
+        least = written(larger.groupBy("src").agg(F.min("dst").alias("low")))
+        smaller = larger.join(least, "src").where("dst > low").select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+        edges = written(smaller.union(least.select("src", F.col("low").alias("dst"))).distinct())
+        before, after = after, _mark(edges)
+    return edges.select(F.col("src").alias("node"), F.col("dst").alias("root"))
