@@ -23,6 +23,20 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality, score_quality
+
+    documents = _table(spark, sf_dir, "documents")
+    model = fit_quality(documents, _table(spark, sf_dir, "labels"))
+    return score_quality(documents, model).drop("text")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify_language
+
+    return identify_language(_table(spark, sf_dir, "documents")).drop("text")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,7 +46,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_simhash": op3_simhash, "op4_decontaminate": op4_decontaminate, "op8_packing": op8_packing}
+    return {"op3_simhash": op3_simhash, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op7_language": op7_language, "op8_packing": op8_packing}
 
 
 def oracle_sql() -> dict[str, str]:
