@@ -174,3 +174,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, **options) -> Data
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
     listed = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("bigint").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def without_places(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``documents`` that hold no window of an item, all columns."""
+    _, places, _ = decontaminate(documents, benchmark, key=key, text=text, **options)
+    hit = written(places.select(F.col("doc_id").alias("_hit"), F.col("mark").alias("_mark")).distinct())
+    return documents.join(hit, documents[key].eqNullSafe(F.col("_hit")) & F.xxhash64(documents[text]).eqNullSafe(F.col("_mark")), "left_anti")

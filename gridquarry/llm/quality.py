@@ -173,16 +173,20 @@ def fold(column: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % folds
 
 
-def score_quality(documents: DataFrame, model: RuleModel, *, key: str = "doc_id", text: str = "text", folds: int = 3, held: int = 1) -> DataFrame:
-    """One row a row: doc_id, text, held_out, score (0 to 1), predicted.
+def score_quality(documents: DataFrame, model: RuleModel, *, key: str = "doc_id", text: str = "text", folds: int = 3, held: int = 1, carry: list[str] | None = None) -> DataFrame:
+    """One row a row: doc_id, text, held_out, score (0 to 1), predicted, and
+    the columns named in ``carry``.
 
     Null and empty texts have the statistics of the empty text and are scored
     like any other; a null key is in the fold of the empty text; repeated rows
     score alike; an empty table gives no rows; extra columns are ignored.
     """
-    rows = documents.select(documents[key].alias("doc_id"), documents[text].alias("text"))
+    others = [c for c in carry or [] if c not in (key, text)]
+    more = F.struct(*(documents[c] for c in others)) if others else F.lit(None).cast("struct<none:int>")
+    rows = documents.select(documents[key].alias("doc_id"), documents[text].alias("text"), more.alias("more"))
     x = statistics(F.col("text"))
     used = sorted({c[0] for rule, _ in model.rules for c in rule.conditions})
-    measured = rows.select("doc_id", "text", *(x[k].alias(f"_{k}") for k in used))
+    measured = rows.select("doc_id", "text", "more", *(x[k].alias(f"_{k}") for k in used))
     score = model.score({k: F.col(f"_{k}") for k in used})
-    return measured.select("doc_id", "text", (fold("doc_id", folds) == held).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = measured.select("doc_id", "text", "more", (fold("doc_id", folds) == held).alias("held_out"), score.alias("score"))
+    return scored.select("doc_id", "text", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *(F.col(f"more.`{c}`") for c in others))

@@ -45,8 +45,29 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path=public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity, score_toxicity
+
+    documents = _table(spark, sf_dir, "documents")
+    model = fit_toxicity(documents, _table(spark, sf_dir, "labels"))
+    scored = score_toxicity(documents, model)
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("segments").cast("bigint").alias("n_segments"))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .main_text import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {"op3_simhash": op3_simhash, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op7_language": op7_language, "op8_packing": op8_packing}
+    return {"op3_simhash": op3_simhash, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op7_language": op7_language, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_main_text": op10_main_text, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

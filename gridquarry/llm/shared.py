@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,3 +36,9 @@ def written(df: DataFrame) -> DataFrame:
 def keyed_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """Only the two named columns, so that extra ones can't clash."""
     return df.select(df[key].alias("doc_id"), df[text].alias("text"))
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with row_id, a number of the row; ``df`` must be read from files,
+    so that reading it again gives the same numbers."""
+    return df.withColumn("row_id", F.monotonically_increasing_id())
