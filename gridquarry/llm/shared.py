@@ -42,3 +42,13 @@ def numbered(df: DataFrame) -> DataFrame:
     """``df`` with row_id, a number of the row; ``df`` must be read from files,
     so that reading it again gives the same numbers."""
     return df.withColumn("row_id", F.monotonically_increasing_id())
+
+
+#: Rows of a few numbers each (id and label) that may be broadcast: some 100 MB.
+SMALL_ROWS = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df``, a table of a few numbers a row, marked for broadcast if it has
+    ``rows`` rows at most; otherwise as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

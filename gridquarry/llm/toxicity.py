@@ -1,8 +1,9 @@
 """Toxic passages by maximum-scoring segments.
 
-A word's score is its log odds between toxic and other labelled texts, both
-smoothed by an informative Dirichlet prior, the words' counts over all of
-them. Words on a text's line of scores form maximal segments, all of which
+A token is a word or a prefix that several words share. Its score is its log
+odds between toxic and other labelled texts, both smoothed by an informative
+Dirichlet prior, the tokens' counts over all of them. A word scores as its
+best token. Words on a text's line of scores form maximal segments, all of which
 one scan in linear time finds; frequent neutral words score below zero. The
 segment scores of texts that aren't toxic follow an extreme-value law, whose
 parameters are fitted on labelled texts and turn the best segment of a text
@@ -16,16 +17,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import fold
-from .shared import keyed_rows
+from .shared import broadcast_if_small, keyed_rows
 from .textbytes import LOWER, text_slices, word_hashes, word_spans
 
-#: Words that a model holds at most, the strongest ones, and labelled texts
-#: whose segment scores calibrate it.
-MOST_WORDS, SAMPLE = 200_000, 20_000
+#: Tokens that a model holds at most, those of most toxic texts, and labelled
+#: texts whose segment scores calibrate it.
+MOST_TOKENS, SAMPLE = 200_000, 20_000
+#: Bytes of the prefixes that are tokens of longer words.
+PREFIXES = (4, 5, 6)
+#: Log of the number of words that a text without any segment counts as having.
+NO_SEGMENT = 10.0
+
+
+def token_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The words' hashes and those of their prefixes: (places, hashes)."""
+    yield np.arange(len(starts)), word_hashes(low, starts, ends)
+    for k in PREFIXES:
+        long = np.flatnonzero(ends - starts > k)
+        yield long, word_hashes(low, starts[long], starts[long] + k) ^ np.uint64(k)
 
 
 @dataclass
@@ -41,15 +54,24 @@ class ToxicWords:
     at: float = 0.0
     by: float = 1.0
 
-    def of(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.hashes) or not len(words):
-            return np.full(len(words), self.neutral)
-        place = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
-        return np.where(self.hashes[place] == words, self.scores[place], self.neutral)
-
-    def probability(self, best: np.ndarray, words: np.ndarray) -> np.ndarray:
-        z = self.at + self.by * (best - np.log(np.maximum(words, 1)) / self.rate)
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    def of(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Score of each word: that of its best known token. A word that only
+        repeats the one before it scores as a neutral one."""
+        out = np.full(len(starts), self.neutral)
+        words = None
+        if len(self.hashes):
+            for places, h in token_hashes(low, starts, ends):
+                words = h if words is None else words
+                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                known = self.hashes[at] == h
+                out[places[known]] = np.maximum(out[places[known]], self.scores[at[known]])
+            out[1:][words[1:] == words[:-1]] = self.neutral
+        return out
+
+    def probability(self, best: Column, words: Column) -> Column:
+        chance = F.when(best > 0, F.log(F.greatest(words, F.lit(1)))).otherwise(F.lit(NO_SEGMENT))
+        z = F.lit(self.at) + F.lit(self.by) * (best - chance / F.lit(self.rate))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -72,28 +94,49 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, float(r - l)) for a, b, l, r, _ in held]
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """h, toxic, n: texts with label ``y`` that hold each word, over all rows
-    (text, y)."""
+def token_counts(rows: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+    """h, n (texts that hold the token) and many (whether it is a word, or a
+    prefix of several) over all rows (text); ``only``: of these tokens."""
+    shared = None if only is None else rows.sparkSession.sparkContext.broadcast(np.sort(only))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label = np.asarray(batch.column("y"), dtype=np.int64)
-            for lo, hi, data, offsets in text_slices(batch.column("text"), 4 << 20):
+            for lo, hi, data, offsets in text_slices(batch.column("text")):
                 low = LOWER[data]
                 starts, ends, first = word_spans(low, offsets)
-                h = word_hashes(low, starts, ends)
-                row = np.repeat(np.arange(hi - lo), np.diff(first))
-                order = np.lexsort((h, row))
-                h, row = h[order], row[order]
-                new = np.ones(len(h), dtype=bool)
-                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                h, y = h[new], label[lo:hi][row[new]]
-                for k in (0, 1):
-                    words, n = np.unique(h[y == k], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n * (k == 0)), pa.array(n * (k == 1))], names=["h", "clean", "toxic"])
-
-    return rows.select("text", "y").mapInArrow(run, "h bigint, clean bigint, toxic bigint").groupBy("h").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+                row_of = np.repeat(np.arange(hi - lo), np.diff(first))
+                token, row, whole, prefix = [], [], [], []
+                words = None
+                for i, (places, h) in enumerate(token_hashes(low, starts, ends)):
+                    words = h if words is None else words
+                    if shared is not None:
+                        known = shared.value
+                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        keep = known[at] == h
+                        places, h = places[keep], h[keep]
+                    token.append(h), row.append(row_of[places]), whole.append(words[places]), prefix.append(np.full(len(h), i > 0))
+                token, row, whole, prefix = map(np.concatenate, (token, row, whole, prefix))
+                if not len(token):
+                    continue
+                order = np.lexsort((row, token))
+                token, row, whole, prefix = token[order], row[order], whole[order], prefix[order]
+                head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+                new = np.concatenate([[True], (token[1:] != token[:-1]) | (row[1:] != row[:-1])])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(token[head].view(np.int64)),
+                        pa.array(np.add.reduceat(new.astype(np.int64), head)),
+                        pa.array(np.minimum.reduceat(whole, head).view(np.int64)),
+                        pa.array(np.maximum.reduceat(whole, head).view(np.int64)),
+                        pa.array(prefix[head]),
+                    ],
+                    names=["h", "n", "one", "other", "prefix"],
+                )
+
+    # A prefix whose words all have one hash is that word's and adds nothing.
+    found = rows.select("text").mapInArrow(run, "h bigint, n bigint, one bigint, other bigint, prefix boolean")
+    several = (F.min("one") != F.max("one")) | (F.min("other") != F.max("other")) | (F.min("one") != F.max("other"))
+    return found.groupBy("h").agg(F.sum("n").alias("n"), (~F.max("prefix") | several).alias("many"))
 
 
 def best_segments(rows: DataFrame, model: ToxicWords, least: float | None = None) -> DataFrame:
@@ -109,7 +152,7 @@ def best_segments(rows: DataFrame, model: ToxicWords, least: float | None = None
             for lo, hi, data, offsets in text_slices(batch.column("text")):
                 low = LOWER[data]
                 starts, ends, first = word_spans(low, offsets)
-                scores = m.of(word_hashes(low, starts, ends))
+                scores = m.of(low, starts, ends)
                 best, kept = np.zeros(hi - lo), []
                 for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
                     found = maximal_segments(scores[a:b])
@@ -122,31 +165,37 @@ def best_segments(rows: DataFrame, model: ToxicWords, least: float | None = None
     return rows.mapInArrow(run, f"{kinds}, words bigint, best double, segments array<struct<first:bigint,end:bigint,score:double>>")
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 4, held: int = 2, prior: float = 10.0, sample: int = SAMPLE) -> ToxicWords:
+def fit_toxicity(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 4, held: int = 2, prior: float = 10.0, least_z: float = 2.5, least_odds: float = 1.8, sample: int = SAMPLE) -> ToxicWords:
     """Model of all labelled rows whose fold isn't ``held``.
 
-    Word counts cover all of them. At most ``sample`` rows, those with the
+    Token counts cover all of them: first those of the toxic texts, then the
+    counts of the same tokens in the others, since no other can score above
+    zero. At most ``sample`` rows, those with the
     smallest hash of their key, fit the calibration. Without labels of both
     kinds every text gets the share of toxic labels (a half without any).
     """
     known = labels.select(labels[key].alias("doc_id"), labels[label].cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
-    rows = keyed_rows(documents, key, text).join(known, "doc_id")
-    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    rows = keyed_rows(documents, key, text).join(broadcast_if_small(known), "doc_id")
+    sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         p = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
         return ToxicWords(np.zeros(0, np.uint64), np.zeros(0), -1.0, 1e9, float(np.log(p / (1 - p))), 1.0)
-    # Dirichlet prior: the words' share of all texts, with the weight of `prior` texts.
-    share = (F.col("clean") + F.col("toxic")) / (n_clean + n_toxic)
-    in_toxic = (F.col("toxic") + prior * share) / (n_toxic + prior)
-    in_clean = (F.col("clean") + prior * share) / (n_clean + prior)
-    odds = F.log(in_toxic / in_clean)
-    spread = F.sqrt(1 / (F.col("toxic") + prior * share) + 1 / (F.col("clean") + prior * share))
-    counts = word_counts(rows).where("clean + toxic >= 2")
-    strong = counts.select("h", odds.alias("odds"), (odds / spread).alias("z")).where("z >= 4").orderBy(F.desc("z"), "h").limit(MOST_WORDS).toPandas()
-    h = strong["h"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(h)
-    model = ToxicWords(h[order], strong["odds"].to_numpy(dtype=np.float64)[order], neutral=-0.05)
+    held_tokens = token_counts(rows.where("y = 1")).where("many and n >= 3").orderBy(F.desc("n"), "h").limit(MOST_TOKENS).select("h", F.col("n").alias("toxic")).toPandas()
+    if held_tokens.empty:
+        p = n_toxic / (n_toxic + n_clean)
+        return ToxicWords(np.zeros(0, np.uint64), np.zeros(0), -1.0, 1e9, float(np.log(p / (1 - p))), 1.0)
+    h = held_tokens["h"].to_numpy(dtype=np.int64).view(np.uint64)
+    clean_rows = token_counts(rows.where("y = 0"), h).select("h", F.col("n").alias("clean")).toPandas()
+    counts = held_tokens.merge(clean_rows, on="h", how="left").fillna({"clean": 0})
+    h, toxic, clean = counts["h"].to_numpy(dtype=np.int64).view(np.uint64), counts["toxic"].to_numpy(float), counts["clean"].to_numpy(float)
+    # Dirichlet prior: the tokens' share of all texts, with the weight of `prior` texts.
+    share = (clean + toxic) / (n_clean + n_toxic)
+    odds = np.log((toxic + prior * share) / (n_toxic + prior)) - np.log((clean + prior * share) / (n_clean + prior))
+    spread = np.sqrt(1 / (toxic + prior * share) + 1 / (clean + prior * share))
+    keep = np.flatnonzero((odds / spread >= least_z) & (odds >= least_odds))
+    order = keep[np.argsort(h[keep])]
+    model = ToxicWords(h[order], odds[order], neutral=-0.05)
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample))
     seen = best_segments(keyed_rows(documents, key, text).join(chosen, "doc_id"), model).select("y", "words", "best").orderBy(F.xxhash64("words", "best"), "y").limit(sample).toPandas()
     return calibrated(model, seen["best"].to_numpy(dtype=np.float64), seen["words"].to_numpy(dtype=np.float64), seen["y"].to_numpy(dtype=np.float64))
@@ -159,7 +208,7 @@ def calibrated(model: ToxicWords, best: np.ndarray, words: np.ndarray, y: np.nda
     clean = best[y == 0]
     spread = clean.std()
     model.rate = float(np.clip(np.pi / (max(spread, 1e-3) * np.sqrt(6)), 0.5, 50))
-    x = best - np.log(np.maximum(words, 1)) / model.rate
+    x = best - np.where(best > 0, np.log(np.maximum(words, 1)), NO_SEGMENT) / model.rate
     middle, scale = x.mean(), max(x.std(), 1e-6)
     z = np.stack([np.ones_like(x), (x - middle) / scale], axis=1)
     w = np.zeros(2)
@@ -180,15 +229,7 @@ def score_toxicity(documents: DataFrame, model: ToxicWords, *, key: str = "doc_i
     repeated rows score alike; an empty table gives no rows; extra columns are
     ignored.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model)
     least = (np.log(threshold / (1 - threshold)) - model.at) / model.by if model.by > 0 else np.inf
     found = best_segments(keyed_rows(documents, key, text), model, float(max(least, 1e-9)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = shared.value.probability(np.asarray(batch.column("best")), np.asarray(batch.column("words")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), batch.column("segments")], names=["doc_id", "score", "segments"])
-
-    kind = found.schema["doc_id"].dataType.simpleString()
-    scored = found.mapInArrow(run, f"doc_id {kind}, score double, segments {found.schema['segments'].dataType.simpleString()}")
+    scored = found.withColumn("score", model.probability(F.col("best"), F.col("words")))
     return scored.select("doc_id", (fold("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "segments")
