@@ -7,8 +7,10 @@ key and packed in its order, so that a sequence holds similar documents.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,8 @@ from .textbytes import LOWER, text_slices, word_hashes, word_spans
 
 #: Dimensions of the projection and bits of each: 30 bits of Hilbert key.
 DIMS, BITS = 3, 10
-#: Pieces of text whose ids a task keeps at hand, at most.
-CACHE = 300_000
+#: Words whose ids a worker keeps at hand, at most: some 150 MB.
+CACHE = 700_000
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -82,60 +84,116 @@ def with_curve_key(rows: DataFrame) -> DataFrame:
     return rows.select("text", low.alias("low")).mapInArrow(run, "place bigint")
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's character for each byte: printable bytes stand for
+    themselves, the others for the characters from 256 on, in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Ids:
-    """Token ids of texts. The tokenizer parts a text before every single
-    space between two characters that aren't white space, so the pieces
-    between such spaces have ids of their own, which are kept and used again;
-    other texts are tokenized as they are."""
+    """Token ids of texts, as bytes of little-endian numbers.
+
+    The tokenizer (byte-level BPE) parts a text before every single space
+    between two characters that aren't white space, before and after every
+    line feed between such characters, and between letters and signs, so the
+    pieces between have ids of their own. Those of words are kept and used
+    again; texts and pieces of another make are tokenized as they are.
+    """
 
     class _Kept(dict):
-        def __init__(self, encode):
-            self.encode = encode
+        """Ids of pieces after ``lead`` (a space or nothing)."""
+
+        def __init__(self, ids: Ids, lead: str):
+            self.ids, self.lead = ids, lead
+            self.mark = ids.letters(lead)
+            self.joined: dict[str, bytes] = {}  # words and the signs after them
 
         def __missing__(self, piece: str) -> bytes:
             if not piece or piece[0].isspace() or piece[-1].isspace():
                 raise ValueError(piece)
-            if len(self) >= CACHE:
-                self.clear()
-            ids = self.encode(" " + piece)
-            if len(piece) <= 64:
-                self[piece] = ids
-            return ids
-
-    def __init__(self, path: str, width: str):
+            found = self.joined.get(piece)
+            if found is not None:
+                return found
+            ids = self.ids
+            core = piece.rstrip("!#$%&*,.:;?|")
+            if piece.isalpha():
+                found = ids.of_letters(self.mark + ids.letters(piece))
+                if len(self) >= CACHE:
+                    self.clear()
+                if len(piece) <= 32:
+                    self[piece] = found
+            elif core and core != piece and core.isalpha():
+                found = self.joined[piece] = self[core] + ids.signs(piece[len(core) :])
+                if len(self.joined) >= CACHE // 4:
+                    self.joined.clear()
+            else:
+                left, feed, right = piece.partition("\n")
+                if feed:
+                    found = self[left] + ids.feed + ids.plain[right]
+                else:
+                    found = ids.encode(self.lead + piece)
+            return found
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.width = width
-        self.kept = self._Kept(self.encode)
+        self.model = self.tokenizer.model
+        self.code = "I" if self.tokenizer.get_vocab_size() > 1 << 16 else "H"
+        self.table = _byte_letters()
+        self.known_signs: dict[str, bytes] = {}
+        self.feed = self.encode("\n")
+        self.after_space, self.plain = self._Kept(self, " "), self._Kept(self, "")
+
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def letters(self, text: str) -> str:
+        return text.encode().decode("latin-1").translate(self.table)
+
+    def of_letters(self, word: str) -> bytes:
+        return self.pack([t.id for t in self.model.tokenize(word)])
+
+    def signs(self, text: str) -> bytes:
+        found = self.known_signs.get(text)
+        if found is None:
+            found = self.encode(text)
+            if len(self.known_signs) < 10_000:
+                self.known_signs[text] = found
+        return found
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
         first, *rest = text.split(" ")
+        kept = self.after_space
         try:
-            if rest and (not first or first[-1].isspace()):
-                return self.encode(text)
-            kept = self.kept
-            return self.encode(first) + b"".join([kept[piece] for piece in rest])
+            return self.plain[first] + b"".join([kept[piece] for piece in rest])
         except ValueError:
             return self.encode(text)
 
 
+@lru_cache(maxsize=2)
+def ids_of(path: str) -> Ids:
+    """One for each worker process, so that what it keeps serves all its tasks."""
+    return Ids(path)
+
+
 def tokenized(rows: DataFrame, tokenizer_path: str, end_id: int, bounds: list[int]) -> DataFrame:
     """doc_id, place, bin (range of places it falls in) and ids, as bytes of
     little-endian unsigned numbers, ``end_id`` last."""
     edges = np.array(bounds, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(tokenizer_path, "<u4")
-        wide = ids.tokenizer.get_vocab_size() > 1 << 16
-        ids.width = "<u4" if wide else "<u2"
-        end = np.array([end_id], dtype=ids.width).tobytes()
+        ids = ids_of(tokenizer_path)
+        wide = ids.code == "I"
+        end = ids.pack([end_id])
         for batch in batches:
             column = batch.column("text")
             low = np.asarray(batch.column("low"), dtype=np.int64)
