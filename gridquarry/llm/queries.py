@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
@@ -67,8 +73,41 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_simhash": op3_simhash, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op7_language": op7_language, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_main_text": op10_main_text, "pipeline": pipeline}
+    return {"op1_license_scan": op1_license_scan, "op3_simhash": op3_simhash, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op7_language": op7_language, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_main_text": op10_main_text, "pipeline": pipeline}
+
+
+def _license_sql() -> str:
+    from .license_scan import PHRASES, STEP, TEMPLATES, THRESHOLD, WORD, template_words
+
+    sets = ", ".join(f"('{label}', {template_words(text)!r})" for label, text in TEMPLATES.items())
+    phrases = ", ".join(f"('{label}', {phrase.split(' ')!r})" for phrase, label in PHRASES.items())
+    return rf"""
+    with texts as (
+        select row_number() over () as r, doc_id,
+               regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as w
+        from documents),
+    phrases(label, p) as (values {phrases}),
+    templates(label, t) as (values {sets}),
+    places as (
+        select r, label, unnest(list_filter(range(0, len(w) - len(p) + 1), lambda i: w[i + 1 : i + len(p)] = p)) as place
+        from texts, phrases),
+    base as (
+        select r, count(*) as n_base, min(place) as first_word, max(place) as last_word, list_sort(list_distinct(list(label))) as found
+        from places group by r),
+    blocks as (
+        select r, w[b * {STEP} + 1 : b * {STEP} + {2 * STEP}] as held
+        from (select r, w, unnest(range(0, cast(ceil(greatest(len(w) - {2 * STEP}, 0) / {STEP}) as bigint) + 1)) as b from texts)),
+    shares as (
+        select r, label, len(list_intersect(t, held)) / len(t) as share, len(list_intersect(t, held)) * 10 >= {THRESHOLD} * len(t) as enough
+        from blocks, templates),
+    more as (select r, max(share) as share, list(distinct label) as labels from shares where enough group by r)
+    select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, cast(first_word as bigint) as first_word,
+           cast(last_word as bigint) as last_word, coalesce(array_to_string(found, ','), '') as base_labels,
+           coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(found, []), coalesce(labels, [])))), ','), '') as labels,
+           case when n_base > 0 then 1.0::double else coalesce(share, 0.0)::double end as score
+    from texts left join base using (r) left join more using (r)
+    """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": _license_sql()}
