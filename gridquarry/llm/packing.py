@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,8 @@ from .textbytes import LOWER, text_slices, word_hashes, word_spans
 
 #: Dimensions of the projection and bits of each: 30 bits of Hilbert key.
 DIMS, BITS = 3, 10
-#: Words whose ids a worker keeps at hand, at most: some 150 MB.
-CACHE = 700_000
+#: Words whose ids a worker keeps at hand, at most: some 50 MB.
+CACHE = 250_000
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -108,33 +109,25 @@ class Ids:
         def __init__(self, ids: Ids, lead: str):
             self.ids, self.lead = ids, lead
             self.mark = ids.letters(lead)
-            self.joined: dict[str, bytes] = {}  # words and the signs after them
 
         def __missing__(self, piece: str) -> bytes:
-            if not piece or piece[0].isspace() or piece[-1].isspace():
-                raise ValueError(piece)
-            found = self.joined.get(piece)
-            if found is not None:
-                return found
             ids = self.ids
-            core = piece.rstrip("!#$%&*,.:;?|")
             if piece.isalpha():
-                found = ids.of_letters(self.mark + ids.letters(piece))
+                found = ids.pack([t.id for t in ids.model.tokenize(self.mark + (piece if piece.isascii() else ids.letters(piece)))])
                 if len(self) >= CACHE:
                     self.clear()
                 if len(piece) <= 32:
                     self[piece] = found
-            elif core and core != piece and core.isalpha():
-                found = self.joined[piece] = self[core] + ids.signs(piece[len(core) :])
-                if len(self.joined) >= CACHE // 4:
-                    self.joined.clear()
-            else:
-                left, feed, right = piece.partition("\n")
-                if feed:
-                    found = self[left] + ids.feed + ids.plain[right]
-                else:
-                    found = ids.encode(self.lead + piece)
-            return found
+                return found
+            if not piece or piece[0].isspace() or piece[-1].isspace():
+                raise ValueError(piece)
+            core = piece.rstrip("!#$%&*,.:;?|")
+            if core != piece and core.isalpha():
+                return self[core] + ids.signs(piece[len(core) :])
+            left, feed, right = piece.partition("\n")
+            if feed:
+                return self[left] + ids.feed + ids.plain[right]
+            return ids.encode(self.lead + piece)
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -154,9 +147,6 @@ class Ids:
     def letters(self, text: str) -> str:
         return text.encode().decode("latin-1").translate(self.table)
 
-    def of_letters(self, word: str) -> bytes:
-        return self.pack([t.id for t in self.model.tokenize(word)])
-
     def signs(self, text: str) -> bytes:
         found = self.known_signs.get(text)
         if found is None:
@@ -169,14 +159,41 @@ class Ids:
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        first, *rest = text.split(" ")
-        kept = self.after_space
+        return self.of_column(pa.array([text], pa.string()))[0]
+
+    def _of_piece(self, kept: Ids._Kept, piece: str) -> bytes | None:
         try:
-            return self.plain[first] + b"".join([kept[piece] for piece in rest])
+            return kept[piece]
         except ValueError:
-            return self.encode(text)
+            return None
+
+    def of_column(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text. Each piece that occurs in the column is looked up
+        once; texts with white space beside a space are tokenized whole."""
+        parts = pc.split_pattern(column.fill_null(""), " ")
+        pieces = parts.flatten().dictionary_encode()
+        words = pieces.dictionary.to_pylist()
+        which = pieces.indices.to_numpy().astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())]).astype(np.int64)
+        heads = [words[i] for i in which[first[:-1]].tolist()]
+        known = [self._of_piece(self.after_space, w) for w in words]
+        known += [self._of_piece(self.plain, w) if w else b"" for w in heads]
+        # The head of a text has no space before it: an entry of its own.
+        which[first[:-1]] = len(words) + np.arange(len(heads))
+        width = 4 if self.code == "I" else 2
+        sound = np.array([k is not None for k in known])
+        size = np.array([len(k) // width if k else 0 for k in known], dtype=np.int32)
+        ids = np.frombuffer(b"".join(k for k in known if k), f"<u{width}")
+        begin = np.cumsum(size, dtype=np.int32) - size
+        take = size[which]
+        end = np.cumsum(take, dtype=np.int32)
+        place = np.arange(int(end[-1]) if len(end) else 0, dtype=np.int32) + np.repeat(begin[which] - (end - take), take)
+        out = ids[place].tobytes()
+        edge = (np.concatenate([[0], end])[first] * width).tolist()
+        broken = np.add.reduceat(~sound[which], first[:-1]) if len(which) else np.zeros(0, int)
+        lone = (np.diff(first) > 1) & np.array([not h or h[-1].isspace() for h in heads], dtype=bool)
+        whole = (broken > 0) | lone
+        return [self.encode(column[i].as_py()) if w else out[edge[i] : edge[i + 1]] for i, w in enumerate(whole.tolist())]
 
 
 @lru_cache(maxsize=2)
@@ -197,9 +214,9 @@ def tokenized(rows: DataFrame, tokenizer_path: str, end_id: int, bounds: list[in
         for batch in batches:
             column = batch.column("text")
             low = np.asarray(batch.column("low"), dtype=np.int64)
-            for lo, hi, data, offsets in text_slices(column, 1 << 20):
+            for lo, hi, data, offsets in text_slices(column, 6 << 20):
                 place = (curve_keys(data, offsets) << 32) | low[lo:hi]
-                packed = [ids(t or "") + end for t in column[lo:hi].to_pylist()]
+                packed = [x + end for x in ids.of_column(column[lo:hi])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[lo:hi], pa.array(place), pa.array(np.searchsorted(edges, place, "right").astype(np.int32)), pa.array(packed, pa.binary()), pa.array([wide] * (hi - lo))],
                     names=["doc_id", "place", "bin", "ids", "wide"],
