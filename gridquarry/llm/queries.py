@@ -43,6 +43,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(documents, model).drop("text")
 
 
+def op6_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_repair import repair_chats
+
+    return repair_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify_language
 
@@ -79,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_license_scan": op1_license_scan, "op2_embedding_dedup": op2_embedding_dedup, "op3_simhash": op3_simhash, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op7_language": op7_language, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_main_text": op10_main_text, "pipeline": pipeline}
+    return {"op1_license_scan": op1_license_scan, "op2_embedding_dedup": op2_embedding_dedup, "op3_simhash": op3_simhash, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op6_chat_repair": op6_chat_repair, "op7_language": op7_language, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_main_text": op10_main_text, "pipeline": pipeline}
 
 
 def _license_sql() -> str:
