@@ -181,12 +181,12 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id"
     if not n_toxic or not n_clean:
         p = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
         return ToxicWords(np.zeros(0, np.uint64), np.zeros(0), -1.0, 1e9, float(np.log(p / (1 - p))), 1.0)
-    held_tokens = token_counts(rows.where("y = 1")).where("many and n >= 3").orderBy(F.desc("n"), "h").limit(MOST_TOKENS).select("h", F.col("n").alias("toxic")).toPandas()
+    held_tokens = token_counts(rows.where("y = 1")).where("many and n >= 3").orderBy(F.desc("n"), "h").limit(MOST_TOKENS).select("h", F.col("n").alias("toxic")).toArrow().to_pandas()
     if held_tokens.empty:
         p = n_toxic / (n_toxic + n_clean)
         return ToxicWords(np.zeros(0, np.uint64), np.zeros(0), -1.0, 1e9, float(np.log(p / (1 - p))), 1.0)
     h = held_tokens["h"].to_numpy(dtype=np.int64).view(np.uint64)
-    clean_rows = token_counts(rows.where("y = 0"), h).select("h", F.col("n").alias("clean")).toPandas()
+    clean_rows = token_counts(rows.where("y = 0"), h).select("h", F.col("n").alias("clean")).toArrow().to_pandas()
     counts = held_tokens.merge(clean_rows, on="h", how="left").fillna({"clean": 0})
     h, toxic, clean = counts["h"].to_numpy(dtype=np.int64).view(np.uint64), counts["toxic"].to_numpy(float), counts["clean"].to_numpy(float)
     # Dirichlet prior: the tokens' share of all texts, with the weight of `prior` texts.
