@@ -186,8 +186,9 @@ def score_quality(documents: DataFrame, model: RuleModel, *, key: str = "doc_id"
     rows = documents.select(documents[key].alias("doc_id"), documents[text].alias("text"), more.alias("more"))
     x = statistics(F.col("text"))
     used = sorted({c[0] for rule, _ in model.rules for c in rule.conditions})
+    measured = rows.select("doc_id", "text", "more", *(x[k].alias(k) for k in used))
     # inline() keeps the optimizer from writing the statistics into every rule.
-    measured = rows.select("doc_id", "text", "more", F.inline(F.array(F.struct(F.lit(0).alias("_"), *(x[k].alias(f"_{k}") for k in used)))))
+    measured = measured.select("doc_id", "text", "more", F.inline(F.array(F.struct(F.lit(0).alias("_"), *(F.col(k).alias(f"_{k}") for k in used)))))
     score = model.score({k: F.col(f"_{k}") for k in used})
     scored = measured.select("doc_id", "text", "more", (fold("doc_id", folds) == held).alias("held_out"), score.alias("score"))
     return scored.select("doc_id", "text", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *(F.col(f"more.`{c}`") for c in others))
