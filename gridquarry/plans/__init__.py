@@ -1,0 +1,6 @@
+"""Registered queries."""
+
+from . import population_queries
+from .catalog import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "population_queries"]
