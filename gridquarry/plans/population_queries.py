@@ -163,10 +163,10 @@ def group_intersection(spark, d):
     return sets.intersection([o.where("size > 10"), o.where("measure < 1400")])
 
 
-@query("u03_group_unclassified", sql("objects", then="select label from objects where not (coalesce(size > 20, false) or measure < 1000)"))
+@query("u03_group_unclassified", sql("objects", then="select label from objects where not (coalesce(size > 20, false) or measure < 905)"))
 def group_unclassified(spark, d):
     o = views.objects(spark, d)
-    return sets.unclassified(o, [o.where("size > 20"), o.where("measure < 1000")])
+    return sets.unclassified(o, [o.where("size > 20"), o.where("measure < 905")])
 
 
 @query("u04_subset_check", "select distinct l_partkey as label from lineitem where l_partkey not in (select p_partkey from part where p_size > 10)")
