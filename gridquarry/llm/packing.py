@@ -23,8 +23,8 @@ from .textbytes import LOWER, text_slices, word_hashes, word_spans
 
 #: Dimensions of the projection and bits of each: 30 bits of Hilbert key.
 DIMS, BITS = 3, 10
-#: Words whose ids a worker keeps at hand, at most: some 50 MB.
-CACHE = 250_000
+#: Words whose ids a worker keeps at hand, at most: some 120 MB.
+CACHE = 600_000
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -109,12 +109,16 @@ class Ids:
         def __init__(self, ids: Ids, lead: str):
             self.ids, self.lead = ids, lead
             self.mark = ids.letters(lead)
+            self.older: dict[str, bytes] = {}
 
         def __missing__(self, piece: str) -> bytes:
             ids = self.ids
             if piece.isalpha():
-                found = ids.pack([t.id for t in ids.model.tokenize(self.mark + (piece if piece.isascii() else ids.letters(piece)))])
-                if len(self) >= CACHE:
+                # When half of the room is taken, the words so far become the
+                # older half; those that come again move to the newer one.
+                found = self.older.get(piece) or ids.pack([t.id for t in ids.model.tokenize(self.mark + (piece if piece.isascii() else ids.letters(piece)))])
+                if len(self) >= CACHE // 2:
+                    self.older = dict(self)
                     self.clear()
                 if len(piece) <= 32:
                     self[piece] = found
