@@ -1,36 +1,13 @@
-"""Tables in the folder that driver and executors share."""
+"""Small helpers of the text operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridquarry.sources.workspace import broadcast_if_small, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
-        named = sc.getCheckpointDir()
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again.
-
-    Cuts the lineage, so that a lost executor costs one reread and loops don't
-    grow their plans; several consumers share one computation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["broadcast_if_small", "keyed_rows", "numbered", "shared_dir", "written"]
 
 
 def keyed_rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -42,13 +19,3 @@ def numbered(df: DataFrame) -> DataFrame:
     """``df`` with row_id, a number of the row; ``df`` must be read from files,
     so that reading it again gives the same numbers."""
     return df.withColumn("row_id", F.monotonically_increasing_id())
-
-
-#: Rows of a few numbers each (id and label) that may be broadcast: some 100 MB.
-SMALL_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """``df``, a table of a few numbers a row, marked for broadcast if it has
-    ``rows`` rows at most; otherwise as it is, to be shuffled."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
