@@ -8,7 +8,7 @@ values with study metadata, ``det`` is events as detections in hourly frames,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WIDTH, HEIGHT = 100, 25
@@ -44,10 +44,15 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("o_orderkey").alias("image_id"), "value", "quantity", "review", "condition", "replicate", "nation")
 
 
+def hour_frame(ts: str) -> Column:
+    """Hours since 2024-01-01, whatever the session's time zone."""
+    return ((F.unix_date(F.col(ts).cast("date")) - 19723) * 24 + F.hour(ts)).cast("bigint")
+
+
 def det(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("seq"),
-        F.expr("cast(floor((unix_micros(ts) / 1000000.0 - 1704067200) / 3600) as bigint)").alias("frame"),
+        hour_frame("ts").alias("frame"),
         F.col("event_id").alias("label"),
         F.col("value").alias("x"),
         F.col("user_id").cast("double").alias("y"),
