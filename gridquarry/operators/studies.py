@@ -83,7 +83,7 @@ def outliers(images: DataFrame, group: str, value: str, limit: float = 3.5, leas
     middle = images.groupBy(group).agg(F.median(value).alias("middle"), F.count(value).alias("n"))
     off = images.join(middle, group).where(F.col("n") >= least).withColumn("off", F.abs(F.col(value) - F.col("middle")))
     spread = off.groupBy(group).agg(F.median("off").alias("mad"))
-    return off.join(spread, group).where("mad > 0").withColumn("z", r(0.6745 * F.col("off") / F.col("mad"), 3)).where(F.col("z") > limit)
+    return off.join(spread, group).where("mad > 0").where(0.6745 * F.col("off") > limit * F.col("mad"))
 
 
 def quality_flags(images: DataFrame) -> DataFrame:

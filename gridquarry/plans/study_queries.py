@@ -131,11 +131,11 @@ def control_z_prime(spark, d):
 
 
 @query("a43_count_outliers", """with c as (select o_orderkey, c_nationkey as nation, sum(l_quantity) as n from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by all), m as (select nation, median(n) as middle, count(*) as k from c group by 1), f as (select c.*, abs(n - middle) as off_ from c join m using (nation) where k >= 8), s as (select nation, median(off_) as mad from f group by 1)
-select o_orderkey, round(0.6745 * off_ / mad, 3) as z from f join s using (nation) where mad > 0 and round(0.6745 * off_ / mad, 3) > 2.0""")
+select o_orderkey, off_ as deviation, mad from f join s using (nation) where mad > 0 and 0.6745::double * off_ > 2.0::double * mad""")
 def count_outliers(spark, d):
     joined = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     counts = joined.groupBy("o_orderkey", F.col("c_nationkey").alias("nation")).agg(F.sum("l_quantity").alias("n_"))
-    return studies.outliers(counts, "nation", "n_", limit=2.0).select("o_orderkey", "z")
+    return studies.outliers(counts, "nation", "n_", limit=2.0).select("o_orderkey", F.col("off").alias("deviation"), "mad")
 
 
 @query("f06_structural_quality_flags", """with i as (select l_orderkey as image, count(*) as objects, sum(l_quantity) / 4.0 as coverage, max(l_quantity) / sum(l_quantity) * 100 as largest from lineitem group by 1)
