@@ -144,7 +144,7 @@ def membership_hash(spark, d):
     return population.membership_hash(views.objects(spark, d), "part", "label", "brand")
 
 
-@query("h02_query_hash", sql("objects", then="""select sha256('filters=measure:950.0:1500.0;size:5.0:40.0|' || (select sha256('q:' || string_agg(d, ',' order by r)) from (select label // 4096 as r, sha256(string_agg(cast(label as varchar), ',' order by label)) as d from objects where """ + _WHERE + """ group by r))) as query_hash"""))
+@query("h02_query_hash", sql("objects", then="""select sha256('filters=measure:950.0:1500.0;size:5.0:40.0|' || (select sha256('q:' || coalesce(string_agg(d, ',' order by r), '')) from (select label // 4096 as r, sha256(string_agg(cast(label as varchar), ',' order by label)) as d from objects where """ + _WHERE + """ group by r))) as query_hash"""))
 def query_hash(spark, d):
     text = ";".join(f"{m}:{a}:{b}" for m, (a, b) in sorted(RANGES.items()))
     digest = population.membership_hash(population.range_filters(views.objects(spark, d), RANGES), "q")
