@@ -1,0 +1 @@
+"""Views, files and tables in the shared folder."""

@@ -1,0 +1 @@
+"""No streams: every operator of the library works on whole tables."""

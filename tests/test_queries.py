@@ -121,3 +121,28 @@ def test_suppression_is_greedy(spark):
 def test_nearest_of_a_lone_point_is_null(spark):
     df = spark.createDataFrame([(1, 0, 0.0, 0.0), (2, 0, 3.0, 4.0), (3, 1, 7.0, 7.0)], "k long, group long, x double, y double")
     assert {r.k: r.nearest for r in tracks.nearest(df, "k", 0.1).collect()} == {1: 5.0, 2: 5.0, 3: None}
+
+
+def test_volume_components_and_closing(spark):
+    from gridquarry.operators import shapes
+
+    rng = __import__("random").Random(5)
+    voxels = {(z, y, x) for z in range(4) for y in range(5) for x in range(5) if rng.random() < 0.35}
+    label = {}
+    for start in sorted(voxels):
+        stack = [start]
+        while stack:
+            v = stack.pop()
+            if v in voxels and v not in label:
+                label[v] = (start[0] * 5 + start[1]) * 5 + start[2]
+                stack += [(v[0] + a, v[1] + b, v[2] + c) for a, b, c in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))]
+    found = shapes.volume_components(spark.createDataFrame(sorted(voxels), "z long, y long, x long"), 5, 5).collect()
+    assert {(r.z, r.y, r.x): r.label for r in found} == label
+
+
+def test_edges_of_a_bow_tie_cross(spark):
+    from gridquarry.operators import shapes
+
+    points = {"tie": [(0, 0), (4, 4), (4, 0), (0, 4)], "square": [(0, 0), (4, 0), (4, 4), (0, 4)], "line": [(0, 0), (1, 1)], "twice": [(0, 0), (4, 0), (4, 0), (0, 4)]}
+    df = spark.createDataFrame([(s, i, float(x), float(y)) for s, p in points.items() for i, (x, y) in enumerate(p)], "shape string, i long, x double, y double")
+    assert {r["shape"]: r.valid for r in shapes.validity(df).collect()} == {"tie": False, "square": True, "line": False, "twice": False}
