@@ -196,11 +196,11 @@ def stencil_processing(spark, d):
     return grids.stencil(views.px(spark, d), "v", "median")
 
 
-@query("p16_pointwise_processing", sql("px", then="select image_id, y, x, round(greatest((v - 1) * mean_flat / (v2 + 1), 0), 4) as value from px join (select image_id, avg(v2 + 1) as mean_flat from px group by 1) using (image_id)"))
+@query("p16_pointwise_processing", sql("px", then="select image_id, y, x, floor(greatest((v - 1) * mean_flat / (v2 + 1), 0) * 1000) / 1000.0::double as value from px join (select image_id, avg(v2 + 1) as mean_flat from px group by 1) using (image_id)"))
 def pointwise_processing(spark, d):
     p = views.px(spark, d)
     flat = p.groupBy("image_id").agg(F.avg(F.col("v2") + 1).alias("mean_flat"))
-    return p.join(flat, "image_id").select(*grids.PIXEL, F.round(F.greatest((F.col("v") - 1) * F.col("mean_flat") / (F.col("v2") + 1), F.lit(0.0)), 4).alias("value"))
+    return p.join(flat, "image_id").select(*grids.PIXEL, (F.floor(F.greatest((F.col("v") - 1) * F.col("mean_flat") / (F.col("v2") + 1), F.lit(0.0)) * 1000) / 1000.0).alias("value"))
 
 
 @query("p25_centroid_offset_targets", sql("labels_ref", then="select image_id, y, x, round(greatest(least((cy - y) / 2, 1), -1), 6) + 0.0 as dy, round(greatest(least((cx - x) / 2, 1), -1), 6) + 0.0 as dx from labels_ref join (select image_id, label, avg(y) as cy, avg(x) as cx from labels_ref where label > 0 group by all) using (image_id, label)"))
