@@ -19,11 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import each_part, written
 from .textbytes import text_slices
 
-#: Rows (language, four bytes) that a model may hold, the most frequent ones,
-#: and nodes times languages of the table of code lengths: 32 MB.
-MOST_GRAMS, MOST_CELLS = 300_000, 1 << 15
+#: Code lengths (four bytes times languages) of one part of the model: 16 MB.
+#: A larger model has more parts.
+PART_CELLS = 1 << 22
+#: Dearest code of a byte.
+MOST_COST = -np.log2(1e-12)
 
 
 def four_grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -73,93 +76,182 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", "lang").mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted key in the sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 @dataclass
 class LanguageModel:
-    """Frozen statistics. ``second`` leads from the last two bytes to a node,
-    ``third`` from that node and the byte before them; ``bits`` holds the code
-    length of each byte at each node for each language."""
+    """Frozen statistics of the contexts whose last two bytes, as a number,
+    are from ``first`` to before ``end``. ``bits`` holds the code length of each
+    byte after each last byte, for each language. ``long`` and ``short`` hold
+    those of four and three bytes that any language knows; ``long_escape`` and
+    ``short_escape`` what it costs, after three and two bytes, to escape to a
+    byte that the context doesn't know."""
 
     langs: list[str]
-    second: np.ndarray
-    third: np.ndarray
+    first: int
+    end: int
     bits: np.ndarray
+    short: tuple[np.ndarray, np.ndarray]
+    short_escape: tuple[np.ndarray, np.ndarray]
+    long: tuple[np.ndarray, np.ndarray]
+    long_escape: tuple[np.ndarray, np.ndarray]
+
+    def lengths(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each four bytes, in each language."""
+        at, known = _find(self.long[0], grams)
+        out = self.long[1][at] if len(self.long[0]) else np.zeros((len(grams), len(self.langs)), dtype=np.float32)
+        new = np.flatnonzero(~known)
+        if len(new):
+            rest = grams[new]
+            at, known = _find(self.short[0], rest & np.uint32(0xFFFFFF))
+            cost = np.empty((len(new), len(self.langs)), dtype=np.float32)
+            cost[known] = self.short[1][at[known]]
+            cost[~known] = self.bits[rest[~known] & np.uint32(0xFFFF)]
+            at, met = _find(self.short_escape[0], (rest >> np.uint32(8)) & np.uint32(0xFFFF))
+            met &= ~known
+            cost[met] += self.short_escape[1][at[met]]
+            at, known = _find(self.long_escape[0], rest >> np.uint32(8))
+            cost[known] += self.long_escape[1][at[known]]
+            out[new] = np.minimum(cost, MOST_COST)
+        return out
 
     def costs(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Bits of each text in each language."""
+        """Bits of each text in each language, of the bytes whose contexts this part has."""
         out = np.zeros((len(offsets) - 1, len(self.langs)))
         if not len(data):
             return out
         grams = four_grams(data, offsets)
-        node = self.second[(grams >> np.uint32(8)) & np.uint32(0xFFFF)]
-        node = self.third[node.astype(np.int64) * 256 + (grams >> np.uint32(24)).astype(np.int64)]
-        each = self.bits[node.astype(np.int64) * 256 + (grams & np.uint32(255)).astype(np.int64)]
+        if self.first > 0 or self.end < 1 << 16:
+            pair = (grams >> np.uint32(8)) & np.uint32(0xFFFF)
+            own = np.flatnonzero((pair >= self.first) & (pair < self.end))
+            row, each = np.repeat(np.arange(len(out)), np.diff(offsets))[own], self.lengths(grams[own])
+            for i in range(len(self.langs)):
+                out[:, i] = np.bincount(row, weights=each[:, i], minlength=len(out))
+            return out
+        each = self.lengths(grams)
         full = np.flatnonzero(np.diff(offsets))
         out[full] = np.add.reduceat(each, offsets[full], axis=0, dtype=np.float64)
         return out
 
 
-def compile_model(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> LanguageModel:
-    """The model of counts ``n`` of ``gram`` in language number ``lang``."""
-    many = len(langs)
-    before = gram >> 8
-    pairs, pair_of = np.unique(before & 0xFFFF, return_inverse=True)
-    triples, triple_of = np.unique(before, return_inverse=True)
-    # The most frequent contexts become nodes; all others use a shorter one.
-    room = max(1, MOST_CELLS // max(many, 1) - 257)
-    weight = np.bincount(pair_of, weights=n)
-    pairs = np.sort(pairs[np.argsort(-weight, kind="stable")[:room]])
-    weight = np.bincount(triple_of, weights=n)
-    triples = triples[np.argsort(-weight, kind="stable")]
-    triples = np.sort(triples[np.isin(triples & 0xFFFF, pairs)][: max(0, room - len(pairs))])
-    nodes = 257 + len(pairs) + len(triples)
-    second = np.tile(np.arange(1, 257), 256)  # by the last two bytes: the last one's node
-    second[pairs] = 257 + np.arange(len(pairs))
-    third = np.repeat(np.arange(nodes), 256)
-    first_triple = 257 + len(pairs)
-    third[second[triples & 0xFFFF] * 256 + (triples >> 16)] = first_triple + np.arange(len(triples))
-    parent = np.concatenate([[0], np.zeros(256, int), 1 + (pairs & 255), second[triples & 0xFFFF]]).astype(np.int64)
-    bits = np.empty((nodes, 256, many), dtype=np.float32)
-    last = 1 + (before & 255)
-    pair = second[before & 0xFFFF]
-    triple = third[pair * 256 + (before >> 16)]
-    byte = gram & 255
+def _escapes(total: np.ndarray, kinds: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Divisor of a context's counts, and the factor of what it doesn't know."""
+    escape = np.where(mass > 0, kinds, 0)  # Without a symbol to escape to, there is no escape.
+    whole = total + escape
+    return whole, escape / whole / np.where(mass > 0, mass, 1)
+
+
+def first_orders(many: int, lang: np.ndarray, pair: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Probability of each byte after each byte in each language: [last byte
+    and byte, language]."""
+    out = np.empty((1 << 16, many))
     for i in range(many):
         own = lang == i
-        count = np.zeros((nodes, 256), dtype=np.float64)
-        np.add.at(count[0], byte[own], n[own])
-        np.add.at(count, (last[own], byte[own]), n[own])
-        deep = own & (pair >= 257)
-        np.add.at(count, (pair[deep], byte[deep]), n[deep])
-        deep = own & (triple >= first_triple)
-        np.add.at(count, (triple[deep], byte[deep]), n[deep])
-        p = np.empty((nodes, 256))
-        uniform = np.full((1, 256), 1 / 256)
-        for lo, hi in ((0, 1), (1, 257), (257, first_triple), (first_triple, nodes)):
-            up = uniform if lo == 0 else p[parent[lo:hi]]
-            c = count[lo:hi]
-            total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
+        count = np.bincount(pair[own], weights=n[own], minlength=1 << 16).reshape(256, 256)
+        up = np.full((1, 256), 1 / 256)
+        for c in (count.sum(0, keepdims=True), count):
             left = np.where(c > 0, 0, up)
-            mass = left.sum(1, keepdims=True)
-            # Without a symbol to escape to, there is no escape.
-            escape = np.where(mass > 0, kinds, 0)
-            seen = c / np.maximum(total + escape, 1)
-            p[lo:hi] = np.where(total > 0, seen + left / np.maximum(mass, 1e-300) * escape / np.maximum(total + escape, 1), up)
-        bits[:, :, i] = -np.log2(np.maximum(p, 1e-12))
-    return LanguageModel(langs, second.astype(np.int32), third.astype(np.int32), bits.reshape(nodes * 256, many))
-
-
-def fit_languages(rows: DataFrame) -> LanguageModel:
-    """Model of all rows (text, lang) without nulls. Counts cover every row;
-    the model keeps the ``MOST_GRAMS`` most frequent of them."""
-    found = gram_counts(rows.where("text is not null and lang is not null"))
-    table = found.orderBy(F.desc("n"), "lang", "gram").limit(MOST_GRAMS).toArrow()
-    coded = table["lang"].combine_chunks().dictionary_encode()
-    langs = sorted(coded.dictionary.to_pylist())
-    number = np.array([langs.index(x) for x in coded.dictionary.to_pylist()], dtype=np.int64)
-    return compile_model(langs, number[coded.indices.to_numpy()] if langs else number, table["gram"].to_numpy(), table["n"].to_numpy())
-
-
-def identify_language(documents: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, carry: list[str] | None = None) -> DataFrame:
+            total, kinds, mass = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True), left.sum(1, keepdims=True)
+            known = total > 0
+            whole, factor = _escapes(np.where(known, total, 1), kinds, mass)
+            up = np.where(known, c / whole + left * factor, up)
+        out[:, i] = up.ravel()
+    return out
+
+
+def compile_model(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, *, after: np.ndarray | None = None, first: int = 0, end: int = 1 << 16) -> LanguageModel:
+    """The part ``first`` to ``end`` of the model from its counts ``n`` of
+    ``gram`` in language number ``lang``; ``after`` are the ``first_orders`` of
+    all counts, by default of these."""
+    many = len(langs)
+    if after is None:
+        after = first_orders(many, lang, gram & 0xFFFF, n)
+    lang, gram, n = lang.astype(np.int64), gram.astype(np.int64), n.astype(np.float64)
+
+    def order(lang: np.ndarray, gram: np.ndarray, n: np.ndarray, below):
+        """Keys and probabilities of ``gram``, keys and factors of their
+        contexts; ``below(lang, gram)`` is a gram's probability in shorter ones."""
+        contexts, of = np.unique(gram >> 8, return_inverse=True)
+        cell = of * many + lang
+        sums = lambda w: np.bincount(cell, weights=w, minlength=len(contexts) * many)
+        total, kinds, mass = sums(n), sums(None), 1 - sums(below(lang, gram))
+        # Little is left: sum it instead of subtracting.
+        for at in np.flatnonzero((total > 0) & (mass < 1e-9)).tolist():
+            around = np.setdiff1d((contexts[at // many] << 8) + np.arange(256), gram[cell == at])
+            mass[at] = below(np.full(len(around), at % many), around).sum()
+        whole, factor = _escapes(np.where(total > 0, total, 1), kinds, mass)
+        factor = np.where(total > 0, factor, 1)
+        keys, place = np.unique(gram, return_inverse=True)
+        p = np.empty((len(keys), many))
+        context = np.searchsorted(contexts, keys >> 8)
+        for i in range(many):
+            p[:, i] = factor[context * many + i] * below(np.full(len(keys), i), keys)
+        p[place, lang] = n / whole[cell]
+        return keys, p, contexts, factor.reshape(-1, many)
+
+    def one(lang: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        return after[gram & 0xFFFF, lang]
+
+    cells, place = np.unique(lang << 24 | gram & 0xFFFFFF, return_inverse=True)
+    pairs = order(cells >> 24, cells & 0xFFFFFF, np.bincount(place, weights=n, minlength=len(cells)), one)
+
+    def two(lang: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        at, known = _find(pairs[0], gram & 0xFFFFFF)
+        context, met = _find(pairs[2], gram >> 8 & 0xFFFF)
+        out = one(lang, gram)
+        out[met] *= pairs[3][context[met], lang[met]]
+        out[known] = pairs[1][at[known], lang[known]]
+        return out
+
+    triples = order(lang, gram, n, two)
+    bits = lambda p: -np.log2(np.maximum(p, 1e-300)).astype(np.float32)
+    table = lambda keys, p: (keys.astype(np.uint32), bits(p))
+    return LanguageModel(langs, first, end, bits(np.maximum(after, 1e-12)), table(*pairs[:2]), table(*pairs[2:]), table(triples[0], np.maximum(triples[1], 1e-12)), table(*triples[2:]))
+
+
+def part_ends(pair: np.ndarray, cells: np.ndarray, most: int) -> list[int]:
+    """Where ranges of pairs end that have ``most`` cells at most, or one pair."""
+    ends, held = [], 0
+    for p, c in sorted(zip(pair.tolist(), cells.tolist())):
+        if held and held + c > most:
+            ends.append(p)
+            held = 0
+        held += c
+    return [*ends, 1 << 16]
+
+
+def fit_languages(rows: DataFrame, part_cells: int = PART_CELLS) -> Iterator[LanguageModel]:
+    """Parts of the model of all rows (text, lang) without nulls, of all their
+    languages and bytes; together they have every context once. The driver
+    holds one at a time."""
+    found = written(gram_counts(rows.where("text is not null and lang is not null")))
+    langs = sorted(r["lang"] for r in found.select("lang").distinct().collect())
+    if not langs:
+        return
+    number = {x: i for i, x in enumerate(langs)}
+
+    def fetch(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        table = df.select("lang", "gram", "n").toArrow()
+        coded = table["lang"].combine_chunks().dictionary_encode()
+        own = np.array([number[x] for x in coded.dictionary.to_pylist()], dtype=np.int64)
+        return own[coded.indices.to_numpy()] if len(own) else own, table["gram"].to_numpy(), table["n"].to_numpy()
+
+    after = first_orders(len(langs), *fetch(found.groupBy("lang", (F.col("gram") % (1 << 16)).alias("gram")).agg(F.sum("n").alias("n"))))
+    pair = F.shiftright("gram", 8) % (1 << 16)
+    sizes = found.groupBy(pair.alias("pair"), "gram").agg(F.lit(1).alias("n")).groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    first = 0
+    for end in part_ends(sizes["pair"].to_numpy(), sizes["n"].to_numpy() * len(langs), part_cells):
+        yield compile_model(langs, *fetch(found.where((pair >= first) & (pair < end))), after=after, first=first, end=end)
+        first = end
+
+
+def identify_language(documents: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, carry: list[str] | None = None, part_cells: int = PART_CELLS) -> DataFrame:
     """One row a row: doc_id, text, held_out, lang_pred, score, bits_per_byte,
     and the columns named in ``carry``.
 
@@ -168,27 +260,34 @@ def identify_language(documents: DataFrame, *, key: str = "doc_id", text: str =
     language's share of the likelihoods. Null texts and texts without a letter
     are ``und`` with score 0, as is every text when there is nothing to learn
     from. A null key counts as the empty text. Equal costs go to the language
-    that sorts first. Extra columns are ignored.
+    that sorts first. Extra columns are ignored. A model of more than
+    ``part_cells`` code lengths has several parts; a batch meets each in turn.
     """
     others = [c for c in carry or [] if c not in (key, text)]
     more = F.struct(*(documents[c] for c in others)) if others else F.lit(None).cast("struct<none:int>")
     rows = documents.select(documents[key].alias("doc_id"), documents[text].alias("text"), documents[lang].alias("lang"), more.alias("more"))
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == 0
-    model = fit_languages(rows.where(~held_out))
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    langs: list[str] = []
+    parts = []
+    for model in fit_languages(rows.where(~held_out), part_cells):
+        langs = model.langs
+        parts.append(documents.sparkSession.sparkContext.broadcast(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
             column = batch.column("text")
-            for lo, hi, data, offsets in text_slices(_lower(column), 1 << 20):
+            low, costs = _lower(column), np.zeros((batch.num_rows, len(langs)))
+            for m in each_part(parts):
+                for lo, hi, data, offsets in text_slices(low, 1 << 20):
+                    costs[lo:hi] += m.costs(data, offsets)
+            for lo, hi, _, offsets in text_slices(low, 1 << 20):
                 letters = np.asarray(batch.column("letters")[lo:hi].to_numpy(zero_copy_only=False), dtype=bool)
-                if m.langs:
-                    cost = m.costs(data, offsets)
+                if langs:
+                    cost = costs[lo:hi]
                     best = cost.argmin(1)
                     least = cost[np.arange(len(best)), best]
                     score = 1 / np.exp2(np.maximum(least[:, None] - cost, -1000)).sum(1)
-                    pred = np.array(m.langs, dtype=object)[best]
+                    pred = np.array(langs, dtype=object)[best]
                 else:
                     letters = np.zeros(hi - lo, dtype=bool)
                     pred, score, least = np.full(hi - lo, "und", dtype=object), np.zeros(hi - lo), np.zeros(hi - lo)

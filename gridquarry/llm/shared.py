@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridquarry.sources.workspace import broadcast_if_small, shared_dir, written
 
-__all__ = ["broadcast_if_small", "keyed_rows", "numbered", "shared_dir", "written"]
+__all__ = ["broadcast_if_small", "each_part", "keyed_rows", "numbered", "shared_dir", "written"]
 
 
 def keyed_rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -19,3 +22,12 @@ def numbered(df: DataFrame) -> DataFrame:
     """``df`` with row_id, a number of the row; ``df`` must be read from files,
     so that reading it again gives the same numbers."""
     return df.withColumn("row_id", F.monotonically_increasing_id())
+
+
+def each_part(parts: list[Broadcast]) -> Iterator:
+    """The values of a model's parts, in a task. Of several, each is read
+    again when its turn comes, so that a worker holds one at a time (all of
+    them only where Spark's encryption leaves no file to read)."""
+    for part in parts:
+        path = getattr(part, "_path", None)
+        yield part.value if len(parts) == 1 or path is None else part.load_from_path(path)

@@ -188,6 +188,49 @@ def test_code_lengths_are_a_distribution():
     assert np.allclose(np.exp2(-model.bits.reshape(-1, 256)).sum(1), 1, atol=1e-3)
 
 
+def _code_length(counts, context, byte):
+    """Bits of ``byte`` after three bytes by PPM, method C; counts: {four bytes: n}."""
+    p = np.full(256, 1 / 256)
+    for k in range(4):
+        c = np.zeros(256)
+        for g, n in counts.items():
+            c[g[3]] += n * (g[3 - k : 3] == context[3 - k :])
+        if c.sum():
+            left = np.where(c > 0, 0, p)
+            escape = (c > 0).sum() if left.sum() else 0
+            p = c / (c.sum() + escape) + (left / left.sum() * escape / (c.sum() + escape) if left.sum() else 0)
+    return -np.log2(p[byte])
+
+
+@pytest.mark.parametrize("part_cells", [1 << 22, 40])
+def test_language_models_hold_every_gram(spark, part_cells):
+    texts = [("abracadabra", "x"), ("barbara", "x"), ("cadabra abba", "y"), ("zz", "z")]
+    models = list(language_id.fit_languages(spark.createDataFrame(texts, "text string, lang string"), part_cells))
+    assert models[0].langs == ["x", "y", "z"] and (len(models) > 1) == (part_cells == 40)
+    counts = {x: {} for x in "xyz"}
+    for t, lang in texts:
+        b = b"\0\0\0" + t.encode()
+        for i in range(len(t)):
+            counts[lang][b[i : i + 4]] = counts[lang].get(b[i : i + 4], 0) + 1
+    new = [b"abracadabra", b"zzz", b"q", b"cabba zab"]
+    found = sum(m.costs(np.frombuffer(b"".join(new), np.uint8), np.cumsum([0, *map(len, new)])) for m in models)
+    for t, row in zip(new, found):
+        b = b"\0\0\0" + t
+        for lang, bits in zip("xyz", row):
+            assert bits == pytest.approx(sum(_code_length(counts[lang], b[i : i + 3], b[i + 3]) for i in range(len(t))), rel=1e-5)
+
+
+def test_small_language_beside_a_large_one(spark):
+    # 260,000 words of one language, each twice, and one text of another.
+    rng = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz0123456789"))
+    large = [" ".join("".join(w) for w in letters[rng.integers(0, 36, (2600, 6))]) for _ in range(100)]
+    rows = [(i, t + " " + t, "large") for i, t in enumerate(large)] + [(1001, "ñandú köpek", "small")]
+    docs = spark.createDataFrame([*rows, (5000, "ñandú köpek", None)], "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in language_id.identify_language(docs).where("doc_id >= 1000").select("doc_id", "lang_pred").collect()}
+    assert set(found.values()) == {"small"}
+
+
 def test_quality(spark):
     rng = np.random.default_rng(0)
     good = [" ".join(rng.choice("alpha beta gamma delta eps zeta eta theta iota kappa".split(), 40)) + "." for _ in range(150)]
