@@ -13,20 +13,23 @@ of any length into a probability.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridquarry.sources.workspace import SMALL_ROWS
+
 from .quality import fold
-from .shared import broadcast_if_small, keyed_rows
+from .shared import broadcast_if_small, each_part, keyed_rows, written
 from .textbytes import LOWER, text_slices, word_hashes, word_spans
 
-#: Tokens that a model holds at most, those of most toxic texts, and labelled
+#: Tokens of one part of a model (a larger one has more parts), and labelled
 #: texts whose segment scores calibrate it.
-MOST_TOKENS, SAMPLE = 200_000, 20_000
+PART_TOKENS, SAMPLE = 1_000_000, 20_000
 #: Bytes of the prefixes that are tokens of longer words.
 PREFIXES = (4, 5, 6)
 #: Log of the number of words that a text without any segment counts as having.
@@ -43,30 +46,15 @@ def token_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Itera
 
 @dataclass
 class ToxicWords:
-    """Scores of words by hash; every other word scores ``neutral``. A text
-    whose best segment scores s among n words has probability
+    """Scores of tokens, in parts of (sorted hashes, scores); a word without
+    any scores ``neutral``. A text whose best segment scores s among n words has probability
     sigmoid(at + by * (s - log(n) / rate))."""
 
-    hashes: np.ndarray
-    scores: np.ndarray
     neutral: float
     rate: float = 1.0
     at: float = 0.0
     by: float = 1.0
-
-    def of(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Score of each word: that of its best known token. A word that only
-        repeats the one before it scores as a neutral one."""
-        out = np.full(len(starts), self.neutral)
-        words = None
-        if len(self.hashes):
-            for places, h in token_hashes(low, starts, ends):
-                words = h if words is None else words
-                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                known = self.hashes[at] == h
-                out[places[known]] = np.maximum(out[places[known]], self.scores[at[known]])
-            out[1:][words[1:] == words[:-1]] = self.neutral
-        return out
+    parts: list[Broadcast] = field(default_factory=list)
 
     def probability(self, best: Column, words: Column) -> Column:
         chance = F.when(best > 0, F.log(F.greatest(words, F.lit(1)))).otherwise(F.lit(NO_SEGMENT))
@@ -74,6 +62,18 @@ class ToxicWords:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
+def word_scores(parts: list[Broadcast], neutral: float, words: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Score of each word of each (bytes, starts, ends): that of its best token."""
+    out = [np.full(len(starts), neutral) for _, starts, _ in words]
+    for hashes, scores in each_part(parts):
+        for own, spans in zip(out, words):
+            for places, h in token_hashes(*spans):
+                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                known = hashes[at] == h
+                own[places[known]] = np.maximum(own[places[known]], scores[at[known]])
+    return out
+
+
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score), in order: Ruzzo and
     Tompa's scan, over the positive scores alone."""
@@ -143,35 +143,40 @@ def best_segments(rows: DataFrame, model: ToxicWords, least: float | None = None
     """One row a row (doc_id, text, and others): words, best (score of the
     best segment, 0 without one), segments (first word, end word, score) that
     score ``least`` or more."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    parts, neutral = model.parts, model.neutral
     others = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column("text")):
-                low = LOWER[data]
-                starts, ends, first = word_spans(low, offsets)
-                scores = m.of(low, starts, ends)
-                best, kept = np.zeros(hi - lo), []
-                for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-                    found = maximal_segments(scores[a:b])
-                    best[i] = max((s for _, _, s in found), default=0.0)
-                    kept.append([{"first": x, "end": y, "score": s} for x, y, s in found if least is not None and s >= least])
-                kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c)[lo:hi] for c in others), pa.array(np.diff(first), pa.int64()), pa.array(best), pa.array(kept, kind)], names=[*others, "words", "best", "segments"])
+            slices = text_slices(batch.column("text"))
+            # One part is met slice by slice, several by the whole batch.
+            for group in [list(slices)] if len(parts) > 1 else ([x] for x in slices):
+                yield from score(batch, group)
+
+    def score(batch: pa.RecordBatch, group: list) -> Iterator[pa.RecordBatch]:
+        lows = [LOWER[data] for _, _, data, _ in group]
+        spans = [word_spans(low, offsets) for low, (_, _, _, offsets) in zip(lows, group)]
+        each = word_scores(parts, neutral, [(low, starts, ends) for low, (starts, ends, _) in zip(lows, spans)])
+        for (lo, hi, _, _), (_, _, first), scores in zip(group, spans, each):
+            best, kept = np.zeros(hi - lo), []
+            for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+                found = maximal_segments(scores[a:b])
+                best[i] = max((s for _, _, s in found), default=0.0)
+                kept.append([{"first": x, "end": y, "score": s} for x, y, s in found if least is not None and s >= least])
+            kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c)[lo:hi] for c in others), pa.array(np.diff(first), pa.int64()), pa.array(best), pa.array(kept, kind)], names=[*others, "words", "best", "segments"])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in others)
     return rows.mapInArrow(run, f"{kinds}, words bigint, best double, segments array<struct<first:bigint,end:bigint,score:double>>")
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 4, held: int = 2, prior: float = 10.0, least_z: float = 2.5, least_odds: float = 1.8, sample: int = SAMPLE) -> ToxicWords:
+def fit_toxicity(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 4, held: int = 2, prior: float = 10.0, least_z: float = 2.5, least_odds: float = 1.8, sample: int = SAMPLE, part_tokens: int = PART_TOKENS) -> ToxicWords:
     """Model of all labelled rows whose fold isn't ``held``.
 
     Token counts cover all of them: first those of the toxic texts, then the
     counts of the same tokens in the others, since no other can score above
-    zero. At most ``sample`` rows, those with the
-    smallest hash of their key, fit the calibration. Without labels of both
+    zero. All with enough odds and z are kept. At most ``sample`` rows, those
+    with the smallest hash of their key, fit the calibration. Without labels of both
     kinds every text gets the share of toxic labels (a half without any).
     """
     known = labels.select(labels[key].alias("doc_id"), labels[label].cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
@@ -180,22 +185,29 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id"
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         p = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
-        return ToxicWords(np.zeros(0, np.uint64), np.zeros(0), -1.0, 1e9, float(np.log(p / (1 - p))), 1.0)
-    held_tokens = token_counts(rows.where("y = 1")).where("many and n >= 3").orderBy(F.desc("n"), "h").limit(MOST_TOKENS).select("h", F.col("n").alias("toxic")).toArrow().to_pandas()
-    if held_tokens.empty:
+        return ToxicWords(-1.0, 1e9, float(np.log(p / (1 - p))), 1.0)
+    toxic = written(token_counts(rows.where("y = 1")).where("many and n >= 3").select("h", F.col("n").alias("toxic")))
+    # Few tokens are looked up before counting, which saves shuffling the others.
+    few = toxic.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    only = toxic.select("h").toArrow()["h"].to_numpy().view(np.uint64) if few else None
+    if only is not None and not len(only):
         p = n_toxic / (n_toxic + n_clean)
-        return ToxicWords(np.zeros(0, np.uint64), np.zeros(0), -1.0, 1e9, float(np.log(p / (1 - p))), 1.0)
-    h = held_tokens["h"].to_numpy(dtype=np.int64).view(np.uint64)
-    clean_rows = token_counts(rows.where("y = 0"), h).select("h", F.col("n").alias("clean")).toArrow().to_pandas()
-    counts = held_tokens.merge(clean_rows, on="h", how="left").fillna({"clean": 0})
-    h, toxic, clean = counts["h"].to_numpy(dtype=np.int64).view(np.uint64), counts["toxic"].to_numpy(float), counts["clean"].to_numpy(float)
+        return ToxicWords(-1.0, 1e9, float(np.log(p / (1 - p))), 1.0)
+    clean = token_counts(rows.where("y = 0"), only).select("h", F.col("n").alias("clean"))
+    counts = toxic.join(clean, "h", "left").select("h", F.col("toxic").cast("double"), F.coalesce("clean", F.lit(0)).cast("double").alias("clean"))
     # Dirichlet prior: the tokens' share of all texts, with the weight of `prior` texts.
-    share = (clean + toxic) / (n_clean + n_toxic)
-    odds = np.log((toxic + prior * share) / (n_toxic + prior)) - np.log((clean + prior * share) / (n_clean + prior))
-    spread = np.sqrt(1 / (toxic + prior * share) + 1 / (clean + prior * share))
-    keep = np.flatnonzero((odds / spread >= least_z) & (odds >= least_odds))
-    order = keep[np.argsort(h[keep])]
-    model = ToxicWords(h[order], odds[order], neutral=-0.05)
+    more = prior / (n_clean + n_toxic) * (F.col("toxic") + F.col("clean"))
+    odds = F.log((F.col("toxic") + more) / (n_toxic + prior)) - F.log((F.col("clean") + more) / (n_clean + prior))
+    spread = F.sqrt(1 / (F.col("toxic") + more) + 1 / (F.col("clean") + more))
+    kept = written(counts.select("h", odds.alias("odds"), spread.alias("spread")).where((F.col("odds") / F.col("spread") >= least_z) & (F.col("odds") >= least_odds)).select("h", "odds"))
+    model = ToxicWords(neutral=-0.05)
+    many = -(-kept.count() // part_tokens)
+    for i in range(many):
+        own = (kept.where(F.pmod("h", F.lit(many)) == i) if many > 1 else kept).toArrow()
+        h, scores = own["h"].to_numpy().view(np.uint64), own["odds"].to_numpy()
+        order = np.argsort(h)
+        if len(h):
+            model.parts.append(documents.sparkSession.sparkContext.broadcast((h[order], scores[order])))
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample))
     seen = best_segments(keyed_rows(documents, key, text).join(chosen, "doc_id"), model).select("y", "words", "best").orderBy(F.xxhash64("words", "best"), "y").limit(sample).toPandas()
     return calibrated(model, seen["best"].to_numpy(dtype=np.float64), seen["words"].to_numpy(dtype=np.float64), seen["y"].to_numpy(dtype=np.float64))

@@ -272,6 +272,21 @@ def test_toxicity(spark):
     toxicity.fit_toxicity(docs, labels.where("toxic = 0"))
 
 
+@pytest.mark.parametrize("part_tokens", [1_000_000, 2])
+def test_rare_toxic_words_beside_many_common_ones(spark, part_tokens):
+    # 200,500 neutral words in 17 toxic texts and as many others, toxic ones in 16.
+    common = spark.createDataFrame([(" ".join(f"{i:06d}" for i in range(200_500)),)], "text string")
+    large = spark.range(34).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic")).crossJoin(common).select("doc_id", "text", "toxic")
+    rows = [(100 + i, "vile rotten filth and bile", 1) for i in range(16)] + [(200 + i, "a fine day and more", int(i < 27)) for i in range(70)]
+    docs = large.union(spark.createDataFrame([*rows, (999, "a day of vile vile vile vile here", 0)], "doc_id long, text string, toxic int"))
+    model = toxicity.fit_toxicity(docs, docs.where("doc_id < 999"), folds=1, held=1, part_tokens=part_tokens)
+    assert (len(model.parts) > 1) == (part_tokens == 2)
+    found = {r.doc_id: r for r in toxicity.score_toxicity(docs.where("doc_id >= 100"), model).collect()}
+    assert [(s.first, s.end) for s in found[100].segments] == [(0, 5)] and not found[200].segments
+    # A repeated word counts each time.
+    assert [(s.first, s.end) for s in found[999].segments] == [(3, 7)]
+
+
 def test_maximal_segments():
     def brute(s, lo=0, hi=None):
         hi = len(s) if hi is None else hi
