@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridquarry.sources.workspace import written
+
 from .gates import in_polygon
 from .grids import PIXEL, neighbours
 
@@ -28,6 +30,22 @@ def boundary_distances(points: DataFrame, boundary: DataFrame, key: str, most: f
     return points.select("image_id", key).join(met, ["image_id", key], "left")
 
 
+def nearest_boundary(points: DataFrame, boundary: DataFrame, key: str, size: float) -> DataFrame:
+    """Distance of each point (image_id, y, x) to the nearest boundary pixel of
+    its image, however far; null only where the image has none (or the point no
+    place). Points without one within ``size`` look again in squares twice as large."""
+    placed = lambda df: df.where("abs(y) < double('infinity') and abs(x) < double('infinity')")
+    boundary = placed(boundary)
+    left = written(placed(points).where(F.col(key).isNotNull()).join(boundary.select("image_id").distinct(), "image_id", "left_semi").select("image_id", key, "y", "x"))
+    settled = points.sparkSession.createDataFrame([], points.select("image_id", key).schema).withColumn("distance", F.lit(None).cast("double"))
+    while not left.isEmpty():
+        met = written(boundary_distances(left, boundary, key, size).where("distance is not null"))
+        settled = settled.union(met)
+        left = written(left.join(met, ["image_id", key], "left_anti"))
+        size *= 2
+    return points.select("image_id", key).join(settled, ["image_id", key], "left")
+
+
 def polygon_measures(grid: DataFrame, polygons: dict[str, list[tuple[float, float]]], channel: str) -> DataFrame:
     """Per image and polygon: pixels whose centre lies inside, and mean, sum,
     least and greatest of a channel. Each polygon's box is a range filter that

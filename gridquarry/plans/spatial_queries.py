@@ -15,15 +15,20 @@ from .catalog import query
 _CENTRES = "centres as (select image_id, label, floor(avg(y) + 0.5) as y, floor(avg(x) + 0.5) as x from labels_ref where label > 0 group by all), dist as (select c.image_id, c.label, min(sqrt(pow(c.y - b.y, 2) + pow(c.x - b.x, 2))) as distance from centres c left join px b on b.image_id = c.image_id and b.v > 40 and sqrt(pow(c.y - b.y, 2) + pow(c.x - b.x, 2)) <= 12 group by all)"
 
 
+def _centres(g):
+    return g.where("label > 0").groupBy(*grids.OBJECT).agg(F.floor(F.avg("y") + 0.5).alias("y"), F.floor(F.avg("x") + 0.5).alias("x"))
+
+
 def _distances(spark, d):
     g = views.labels_ref(spark, d)
-    centre = g.where("label > 0").groupBy(*grids.OBJECT).agg(F.floor(F.avg("y") + 0.5).alias("y"), F.floor(F.avg("x") + 0.5).alias("x"))
+    centre = _centres(g)
     return spatial.boundary_distances(centre, g.where("v > 40"), "label", 12.0)
 
 
 @query("j10_nearest_boundary_distance", sql("labels_ref", then="").rstrip() + f", {_CENTRES} select image_id, label, round(distance, 6) as distance from dist")
 def nearest_boundary_distance(spark, d):
-    return _distances(spark, d).withColumn("distance", F.round("distance", 6))
+    g = views.labels_ref(spark, d)
+    return spatial.nearest_boundary(_centres(g), g.where("v > 40"), "label", 12.0).withColumn("distance", F.round("distance", 6))
 
 
 _BAND = "case when distance >= 0 and distance < 12 then (case when distance >= 3 then 1 else 0 end) + (case when distance >= 6 then 1 else 0 end) end"

@@ -146,3 +146,13 @@ def test_edges_of_a_bow_tie_cross(spark):
     points = {"tie": [(0, 0), (4, 4), (4, 0), (0, 4)], "square": [(0, 0), (4, 0), (4, 4), (0, 4)], "line": [(0, 0), (1, 1)], "twice": [(0, 0), (4, 0), (4, 0), (0, 4)]}
     df = spark.createDataFrame([(s, i, float(x), float(y)) for s, p in points.items() for i, (x, y) in enumerate(p)], "shape string, i long, x double, y double")
     assert {r["shape"]: r.valid for r in shapes.validity(df).collect()} == {"tie": False, "square": True, "line": False, "twice": False}
+
+
+def test_nearest_boundary_has_no_limit(spark):
+    from gridquarry.operators import spatial
+
+    points = spark.createDataFrame([(1, 1, 0, 0), (1, 2, 3, 60), (2, 1, 5, 5), (1, 3, None, 0)], "image_id long, label long, y long, x long")
+    boundary = spark.createDataFrame([(1, 3, 64), (1, 90, 70)], "image_id long, y long, x long")
+    found = {(r.image_id, r.label): r.distance for r in spatial.nearest_boundary(points, boundary, "label", 12.0).collect()}
+    assert found == {(1, 1): (3**2 + 64**2) ** 0.5, (1, 2): 4.0, (2, 1): None, (1, 3): None}
+    assert spatial.nearest_boundary(points, boundary.where("false"), "label", 12.0).where("distance is not null").count() == 0
