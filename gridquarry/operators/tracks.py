@@ -30,7 +30,10 @@ def candidates(det: DataFrame, most: float, gap: int = 0) -> DataFrame:
 
 def mutual_links(pairs: DataFrame) -> DataFrame:
     """Pairs whose ends are each other's nearest candidates (ties to the lower
-    label): the links that any assignment of least total distance holds."""
+    label). This isn't the assignment with most links and then least total
+    distance: it leaves ends unlinked that have a free partner, and may hold
+    links that the assignment doesn't (on a line, sources 0 and 1.1, targets
+    1.0 and 2.2: 1.1-1.0 instead of 0-1.0 and 1.1-2.2)."""
     best = lambda key, other: F.row_number().over(W.partitionBy("seq", key).orderBy("distance", other))
     return pairs.withColumns({"_a": best("src", "dst"), "_b": best("dst", "src")}).where("_a = 1 and _b = 1").drop("_a", "_b")
 
