@@ -7,24 +7,34 @@ key and packed in its order, so that a sequence holds similar documents.
 
 from __future__ import annotations
 
-import struct
+import json
+import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keyed_rows
+from .shared import keyed_rows, written
 from .textbytes import LOWER, text_slices, word_hashes, word_spans
 
 #: Dimensions of the projection and bits of each: 30 bits of Hilbert key.
 DIMS, BITS = 3, 10
-#: Words whose ids a worker keeps at hand, at most: some 120 MB.
-CACHE = 600_000
+#: Bytes of text whose distinct pieces are worked on together.
+SLICE = 12 << 20
+
+# The parting pattern of byte-level BPE, and white space as it knows it.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Pieces that don't stand for themselves: empty, behind white space, or with
+#: a run of white space that is too long for the faster encoder.
+UNFIT = f"^$|^{_SPACE}|{_SPACE}{{100}}"
+LONG_SPACE = re.compile(r"\s{100}")
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -56,179 +66,161 @@ def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+class Pieces:
+    """The distinct pieces between single spaces of a column of texts, and
+    which of them each text has. What is worked out for a piece serves all its
+    occurrences."""
+
+    def __init__(self, column: pa.Array):
+        parts = pc.split_pattern(column.fill_null(""), " ")
+        coded = parts.flatten().dictionary_encode()
+        self.words = coded.dictionary
+        self.which = coded.indices.to_numpy()
+        self.ends = np.cumsum(pc.list_value_length(parts).to_numpy(), dtype=np.int64)
+        self.heads = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)  # no text is without a piece
+
+    def sums(self, of_piece: np.ndarray) -> np.ndarray:
+        """Sum over the pieces of each text."""
+        return np.add.reduceat(of_piece[self.which], self.heads)
+
+
+def curve_keys(pieces: Pieces) -> np.ndarray:
     """Hilbert key of each text: signed sums of its words' hashes, by the
     square root of their number, squeezed evenly into the grid."""
-    low = LOWER[data]
-    starts, ends, first = word_spans(low, offsets)
-    h = word_hashes(low, starts, ends)
-    n = np.diff(first)
-    grid = np.empty((len(n), DIMS), dtype=np.int64)
+    n, signed = [], []
+    for _, _, data, offsets in text_slices(pieces.words):
+        low = LOWER[data]
+        starts, ends, first = word_spans(low, offsets)
+        h = word_hashes(low, starts, ends)
+        n.append(np.diff(first))
+        for_dim = []
+        for d in range(DIMS):
+            sums = np.concatenate([[0], np.cumsum(((h >> np.uint64(d)) & np.uint64(1)).astype(np.int64) * 2 - 1)])
+            for_dim.append(sums[first[1:]] - sums[first[:-1]])
+        signed.append(for_dim)
+    root = np.sqrt(np.maximum(pieces.sums(np.concatenate(n)), 1))
+    grid = np.empty((len(root), DIMS), dtype=np.int64)
     for d in range(DIMS):
-        sums = np.concatenate([[0], np.cumsum(((h >> np.uint64(d)) & np.uint64(1)).astype(np.int64) * 2 - 1)])
-        z = (sums[first[1:]] - sums[first[:-1]]) / np.sqrt(np.maximum(n, 1))
+        z = pieces.sums(np.concatenate([s[d] for s in signed])) / root
         grid[:, d] = np.clip(((np.tanh(z * 0.5) + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
     return hilbert(grid, BITS)
 
 
-def with_curve_key(rows: DataFrame) -> DataFrame:
-    """doc_id, text and place: the Hilbert key above 32 bits of a hash of the
-    row's id, which parts documents with one key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("text")
-            key = np.concatenate([curve_keys(data, offsets) for _, _, data, offsets in text_slices(column)] or [np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array((key << 32) | np.asarray(batch.column("low"), dtype=np.int64))], names=["place"])
-
-    low = F.xxhash64("doc_id").bitwiseAND(F.lit(0xFFFFFFFF))
-    return rows.select("text", low.alias("low")).mapInArrow(run, "place bigint")
-
-
-def _byte_letters() -> dict[int, str]:
-    """Byte-level BPE's character for each byte: printable bytes stand for
-    themselves, the others for the characters from 256 on, in order."""
+def _letter_bytes() -> dict[str, int]:
+    """The byte that each character of byte-level BPE stands for: printable
+    bytes stand for themselves, the others for the characters from 256 on."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = [b for b in range(256) if b not in own]
-    return {b: chr(256 + i) for i, b in enumerate(rest)}
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class Ids:
-    """Token ids of texts, as bytes of little-endian numbers.
-
-    The tokenizer (byte-level BPE) parts a text before every single space
-    between two characters that aren't white space, before and after every
-    line feed between such characters, and between letters and signs, so the
-    pieces between have ids of their own. Those of words are kept and used
-    again; texts and pieces of another make are tokenized as they are.
+    """Token ids of texts by a byte-level BPE in a file of ``tokenizers``.
+
+    Such a tokenizer parts a text before every single space between two
+    characters that aren't white space, so the pieces between have ids of their
+    own, and only their first id stands for a space. The distinct pieces of a
+    column are joined by spaces and encoded together; the ids are parted again
+    before each space. Texts with white space beside a space are encoded whole.
+    Where ids are in the order of the merges, ``tiktoken`` encodes by the same
+    vocabulary, which is faster (but fails on very long runs of white space).
     """
 
-    class _Kept(dict):
-        """Ids of pieces after ``lead`` (a space or nothing)."""
-
-        def __init__(self, ids: Ids, lead: str):
-            self.ids, self.lead = ids, lead
-            self.mark = ids.letters(lead)
-            self.older: dict[str, bytes] = {}
-
-        def __missing__(self, piece: str) -> bytes:
-            ids = self.ids
-            if piece.isalpha():
-                # When half of the room is taken, the words so far become the
-                # older half; those that come again move to the newer one.
-                found = self.older.get(piece) or ids.pack([t.id for t in ids.model.tokenize(self.mark + (piece if piece.isascii() else ids.letters(piece)))])
-                if len(self) >= CACHE // 2:
-                    self.older = dict(self)
-                    self.clear()
-                if len(piece) <= 32:
-                    self[piece] = found
-                return found
-            if not piece or piece[0].isspace() or piece[-1].isspace():
-                raise ValueError(piece)
-            core = piece.rstrip("!#$%&*,.:;?|")
-            if core != piece and core.isalpha():
-                return self[core] + ids.signs(piece[len(core) :])
-            left, feed, right = piece.partition("\n")
-            if feed:
-                return self[left] + ids.feed + ids.plain[right]
-            return ids.encode(self.lead + piece)
-
     def __init__(self, path: str):
+        import tiktoken
+
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added = {x["content"] for x in spec["added_tokens"]}
+        letters = _letter_bytes()
+        ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+        merged = ["".join(x if isinstance(x, list) else x.split(" ")) for x in spec["model"]["merges"]]
+        if [spec["model"]["vocab"][x] for x in merged] != list(range(256, 256 + len(merged))):
+            raise ValueError("the ids must be in the order of the merges")
+        self.bpe = tiktoken.Encoding("pieces", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
+        many = max(ranks.values()) + 1
+        self.code = "<u4" if many > 1 << 16 else "<u2"
+        self.leads = np.zeros(many, dtype=bool)
+        self.leads[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
+
+    @cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        self.code = "I" if self.tokenizer.get_vocab_size() > 1 << 16 else "H"
-        self.table = _byte_letters()
-        self.known_signs: dict[str, bytes] = {}
-        self.feed = self.encode("\n")
-        self.after_space, self.plain = self._Kept(self, " "), self._Kept(self, "")
-
-    def pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
-
-    def letters(self, text: str) -> str:
-        return text.encode().decode("latin-1").translate(self.table)
-
-    def signs(self, text: str) -> bytes:
-        found = self.known_signs.get(text)
-        if found is None:
-            found = self.encode(text)
-            if len(self.known_signs) < 10_000:
-                self.known_signs[text] = found
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
         return found
 
-    def encode(self, text: str) -> bytes:
-        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def __call__(self, text: str) -> bytes:
-        return self.of_column(pa.array([text], pa.string()))[0]
-
-    def _of_piece(self, kept: Ids._Kept, piece: str) -> bytes | None:
-        try:
-            return kept[piece]
-        except ValueError:
-            return None
-
-    def of_column(self, column: pa.Array) -> list[bytes]:
-        """Ids of each text. Each piece that occurs in the column is looked up
-        once; texts with white space beside a space are tokenized whole."""
-        parts = pc.split_pattern(column.fill_null(""), " ")
-        pieces = parts.flatten().dictionary_encode()
-        words = pieces.dictionary.to_pylist()
-        which = pieces.indices.to_numpy().astype(np.int64)
-        first = np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy())]).astype(np.int64)
-        heads = [words[i] for i in which[first[:-1]].tolist()]
-        known = [self._of_piece(self.after_space, w) for w in words]
-        known += [self._of_piece(self.plain, w) if w else b"" for w in heads]
+    def encode(self, text: str) -> np.ndarray:
+        if LONG_SPACE.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.code)
+        return np.array(self.bpe.encode_ordinary(text), dtype=self.code)
+
+    def of_column(self, column: pa.Array, pieces: Pieces | None = None) -> list[bytes]:
+        """Ids of each text, as bytes of little-endian numbers."""
+        pieces = pieces or Pieces(column)
+        if not len(column):
+            return []
+        unfit = pc.match_substring_regex(pieces.words, UNFIT)
+        words = pc.if_else(unfit, "x", pieces.words)
+        line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+        ids = np.array(self.bpe.encode_ordinary(" " + line), dtype=self.code)
+        begin = np.flatnonzero(self.leads[ids])
+        if len(begin) != len(words):
+            raise ValueError("the tokenizer doesn't part texts before spaces")
+        size = np.diff(begin, append=len(ids))
         # The head of a text has no space before it: an entry of its own.
-        which[first[:-1]] = len(words) + np.arange(len(heads))
-        width = 4 if self.code == "I" else 2
-        sound = np.array([k is not None for k in known])
-        size = np.array([len(k) // width if k else 0 for k in known], dtype=np.int32)
-        ids = np.frombuffer(b"".join(k for k in known if k), f"<u{width}")
-        begin = np.cumsum(size, dtype=np.int32) - size
+        heads = [x.as_py() for x in pieces.words.take(pa.array(pieces.which[pieces.heads]))]
+        own = [np.array(self.bpe.encode_ordinary(x), dtype=self.code) if not LONG_SPACE.search(x) else ids[:0] for x in heads]
+        which = pieces.which.astype(np.int64)
+        which[pieces.heads] = len(words) + np.arange(len(heads))
+        own_size = np.array([len(x) for x in own], dtype=np.int64)
+        begin = np.concatenate([begin, len(ids) + np.cumsum(own_size) - own_size])
+        size = np.concatenate([size, own_size])
+        ids = np.concatenate([ids, *own])
         take = size[which]
-        end = np.cumsum(take, dtype=np.int32)
-        place = np.arange(int(end[-1]) if len(end) else 0, dtype=np.int32) + np.repeat(begin[which] - (end - take), take)
-        out = ids[place].tobytes()
-        edge = (np.concatenate([[0], end])[first] * width).tolist()
-        broken = np.add.reduceat(~sound[which], first[:-1]) if len(which) else np.zeros(0, int)
-        lone = (np.diff(first) > 1) & np.array([not h or h[-1].isspace() for h in heads], dtype=bool)
-        whole = (broken > 0) | lone
-        return [self.encode(column[i].as_py()) if w else out[edge[i] : edge[i + 1]] for i, w in enumerate(whole.tolist())]
-
-
-@lru_cache(maxsize=2)
+        end = np.cumsum(take)
+        place = np.arange(end[-1], dtype=np.int32 if len(ids) < 1 << 31 and end[-1] < 1 << 31 else np.int64)
+        place += np.repeat(begin[which] - (end - take), take).astype(place.dtype)
+        out = memoryview(ids[place]).cast("B")
+        edge = (np.concatenate([[0], end[pieces.ends - 1]]) * ids.itemsize).tolist()
+        unfit = np.asarray(unfit)
+        broken = np.concatenate([unfit, [bool(LONG_SPACE.search(x)) for x in heads]])
+        whole = np.add.reduceat(broken[which].astype(np.int64), pieces.heads) > 0
+        return [self.encode(column[i].as_py()).tobytes() if w else bytes(out[edge[i] : edge[i + 1]]) for i, w in enumerate(whole.tolist())]
+
+
+@lru_cache(maxsize=1)
 def ids_of(path: str) -> Ids:
-    """One for each worker process, so that what it keeps serves all its tasks."""
+    """One for each worker process: the vocabulary alone."""
     return Ids(path)
 
 
-def tokenized(rows: DataFrame, tokenizer_path: str, end_id: int, bounds: list[int]) -> DataFrame:
-    """doc_id, place, bin (range of places it falls in) and ids, as bytes of
-    little-endian unsigned numbers, ``end_id`` last."""
-    edges = np.array(bounds, dtype=np.int64)
+def tokenized(rows: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+    """doc_id, place, ids (bytes of little-endian unsigned numbers, ``end_id``
+    last) and wide (whether they have four bytes). place is the Hilbert key
+    above 32 bits of a hash of the row's id and number, which parts documents
+    with one key, rows that repeat included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_of(tokenizer_path)
-        wide = ids.code == "I"
-        end = ids.pack([end_id])
+        end = np.array([end_id], dtype=ids.code).tobytes()
         for batch in batches:
             column = batch.column("text")
             low = np.asarray(batch.column("low"), dtype=np.int64)
-            for lo, hi, data, offsets in text_slices(column, 6 << 20):
-                place = (curve_keys(data, offsets) << 32) | low[lo:hi]
-                packed = [x + end for x in ids.of_column(column[lo:hi])]
+            for lo, hi, _, _ in text_slices(column, SLICE):
+                part = column[lo:hi]
+                pieces = Pieces(part)
+                packed = [x + end for x in ids.of_column(part, pieces)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[lo:hi], pa.array(place), pa.array(np.searchsorted(edges, place, "right").astype(np.int32)), pa.array(packed, pa.binary()), pa.array([wide] * (hi - lo))],
-                    names=["doc_id", "place", "bin", "ids", "wide"],
+                    [batch.column("doc_id")[lo:hi], pa.array((curve_keys(pieces) << 32) | low[lo:hi]), pa.array(packed, pa.binary()), pa.array([len(end) == 4] * (hi - lo))],
+                    names=["doc_id", "place", "ids", "wide"],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    low = F.xxhash64("doc_id").bitwiseAND(F.lit(0xFFFFFFFF))
-    return rows.select("doc_id", "text", low.alias("low")).mapInArrow(run, f"doc_id {kind}, place bigint, bin int, ids binary, wide boolean")
+    low = F.xxhash64("doc_id", F.monotonically_increasing_id()).bitwiseAND(F.lit(0xFFFFFFFF))
+    return rows.select("doc_id", "text", low.alias("low")).mapInArrow(run, f"doc_id {kind}, place bigint, ids binary, wide boolean")
 
 
 def _cut(pieces: list[tuple], total: int) -> Iterator[list[tuple]]:
@@ -253,28 +245,27 @@ def pack(documents: DataFrame, *, tokenizer_path: str, key: str = "doc_id", text
 
     One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset, and ids (array of int). Documents are cut where a sequence is full;
-    the last tokens of each of ``bins`` ranges of the curve (twice the shuffle
+    the last tokens of each of ``bins`` ranges of the curve (the shuffle
     partitions unless given) go to sequences whose lengths are powers of two,
     so nothing is padded.
 
-    A null or empty text is the end token alone; repeated rows are packed as
-    often as they occur; an empty table gives no rows; extra columns are
-    ignored. Ids go through no driver or single task: a range of the curve is
-    the unit of work, and documents with one key are parted by their id's hash.
+    A null or empty text is the end token alone; a text longer than a sequence
+    fills several; rows that repeat, and rows with equal or null ids, are packed
+    as often as they occur, in no fixed order; an empty table gives no rows;
+    extra columns are ignored. A range of the curve is the unit of work, and
+    documents with one key are parted by a hash of id and row.
     """
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
-    spark = documents.sparkSession
     rows = keyed_rows(documents, key, text)
-    bins = bins or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    quantiles = [i / bins for i in range(1, bins)]
-    found = with_curve_key(rows).agg(F.percentile_approx("place", quantiles, 100 * bins)).first()[0] if quantiles else None
-    sorted_rows = tokenized(rows, tokenizer_path, end_id, found or []).repartition(max(1, bins // 2), "bin").sortWithinPartitions("bin", "place", "doc_id", "ids")
+    bins = bins or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written, as the range partitions look at all places before they are dealt out.
+    sorted_rows = written(tokenized(rows, tokenizer_path, end_id)).repartitionByRange(bins, "place").sortWithinPartitions("place", "doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         open_pieces: list[tuple] = []
-        filled, at, serial = 0, None, 0
+        filled, at, serial = 0, TaskContext.get().partitionId(), 0
 
         def close(pieces: list[tuple]) -> None:
             nonlocal serial
@@ -295,11 +286,7 @@ def pack(documents: DataFrame, *, tokenizer_path: str, key: str = "doc_id", text
 
         for batch in batches:
             doc_type = batch.schema.field("doc_id").type
-            for doc, bin_no, raw, wide in zip(batch.column("doc_id").to_pylist(), batch.column("bin").to_pylist(), batch.column("ids"), batch.column("wide").to_pylist()):
-                if bin_no != at:
-                    for part in _cut(open_pieces, filled):
-                        close(part)
-                    open_pieces, filled, at, serial = [], 0, bin_no, 0
+            for doc, raw, wide in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("wide").to_pylist()):
                 ids = np.frombuffer(raw.as_buffer(), "<u4" if wide else "<u2")
                 start, n = 0, len(ids)
                 while start < n:
