@@ -1,13 +1,16 @@
 """Toxic passages by maximum-scoring segments.
 
-A token is a word or a prefix that several words share. Its score is its log
-odds between toxic and other labelled texts, both smoothed by an informative
-Dirichlet prior, the tokens' counts over all of them. A word scores as its
-best token. Words on a text's line of scores form maximal segments, all of which
-one scan in linear time finds; frequent neutral words score below zero. The
-segment scores of texts that aren't toxic follow an extreme-value law, whose
-parameters are fitted on labelled texts and turn the best segment of a text
-of any length into a probability.
+A word's score is its log odds between toxic and other labelled texts, both
+smoothed by an informative Dirichlet prior (the words' counts over all of
+them), shrunk by its likelihood ratio; so every word counts, for or against,
+as far as the labels tell. A price a word is taken off, high enough that texts
+that aren't toxic sink on average. The scores along a text form maximal
+segments, all of which one scan in linear time finds.
+
+The best score S of n words of text that isn't toxic follows an extreme-value
+law: such segments number K n exp(-rate S) by chance. K and the rate are fitted
+on the best scores of such texts, and a logistic curve turns the evidence into
+a probability.
 """
 
 from __future__ import annotations
@@ -21,56 +24,60 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridquarry.sources.workspace import SMALL_ROWS
-
 from .quality import fold
 from .shared import broadcast_if_small, each_part, keyed_rows, written
 from .textbytes import LOWER, text_slices, word_hashes, word_spans
 
-#: Tokens of one part of a model (a larger one has more parts), and labelled
+#: Words of one part of a model (a larger one has more parts), and labelled
 #: texts whose segment scores calibrate it.
-PART_TOKENS, SAMPLE = 1_000_000, 20_000
-#: Bytes of the prefixes that are tokens of longer words.
-PREFIXES = (4, 5, 6)
-#: Log of the number of words that a text without any segment counts as having.
-NO_SEGMENT = 10.0
-
-
-def token_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The words' hashes and those of their prefixes: (places, hashes)."""
-    yield np.arange(len(starts)), word_hashes(low, starts, ends)
-    for k in PREFIXES:
-        long = np.flatnonzero(ends - starts > k)
-        yield long, word_hashes(low, starts[long], starts[long] + k) ^ np.uint64(k)
+PART_WORDS, SAMPLE = 1_000_000, 20_000
+#: Words that a task adds up before it gives their counts away.
+TASK_WORDS = 2_000_000
+#: Texts from which on words are counted together for the threshold.
+MANY_TEXTS = 64
+#: Words that a text needs for its mean score to count for the price.
+PRICED_WORDS = 50
 
 
 @dataclass
 class ToxicWords:
-    """Scores of tokens, in parts of (sorted hashes, scores); a word without
-    any scores ``neutral``. A text whose best segment scores s among n words has probability
-    sigmoid(at + by * (s - log(n) / rate))."""
+    """Scores of words, in parts of (sorted hashes, scores); the others score
+    zero. ``price`` is taken off every word. ``at`` and ``by`` are the logistic
+    curve over the evidence."""
 
-    neutral: float
+    price: float = 0.5
+    k: float = 1.0
     rate: float = 1.0
     at: float = 0.0
     by: float = 1.0
     parts: list[Broadcast] = field(default_factory=list)
 
+    def evidence(self, best: Column, words: Column) -> Column:
+        """Minus the log of the chance that a text of so many words that isn't
+        toxic has a segment of that score; 0 without a segment."""
+        expected = F.lit(self.k) * F.greatest(words, F.lit(1)) * F.exp(F.lit(-self.rate) * best)
+        return F.when(best > 0, -F.log(-F.expm1(-F.greatest(expected, F.lit(1e-300))))).otherwise(F.lit(0.0))
+
     def probability(self, best: Column, words: Column) -> Column:
-        chance = F.when(best > 0, F.log(F.greatest(words, F.lit(1)))).otherwise(F.lit(NO_SEGMENT))
-        z = F.lit(self.at) + F.lit(self.by) * (best - chance / F.lit(self.rate))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(self.at) + F.lit(self.by) * self.evidence(best, words))))
 
+    def least(self, words: np.ndarray, threshold: float) -> np.ndarray:
+        """Score from which on a segment among so many words has the
+        probability ``threshold``."""
+        evidence = (np.log(threshold / (1 - threshold)) - self.at) / self.by if self.by > 0 else np.inf
+        if evidence <= 0:
+            return np.full(len(words), 1e-9)
+        expected = max(-np.log1p(-np.exp(-evidence)), 1e-300)
+        return np.maximum((np.log(self.k * np.maximum(words, 1)) - np.log(expected)) / self.rate, 1e-9)
 
-def word_scores(parts: list[Broadcast], neutral: float, words: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-    """Score of each word of each (bytes, starts, ends): that of its best token."""
-    out = [np.full(len(starts), neutral) for _, starts, _ in words]
+
+def word_scores(parts: list[Broadcast], words: list[np.ndarray]) -> list[np.ndarray]:
+    """Score of each word of each array of hashes."""
+    out = [np.zeros(len(h)) for h in words]
     for hashes, scores in each_part(parts):
-        for own, spans in zip(out, words):
-            for places, h in token_hashes(*spans):
-                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                known = hashes[at] == h
-                own[places[known]] = np.maximum(own[places[known]], scores[at[known]])
+        for own, h in zip(out, words):
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            own += np.where(hashes[at] == h, scores[at], 0.0)
     return out
 
 
@@ -94,133 +101,186 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, float(r - l)) for a, b, l, r, _ in held]
 
 
-def token_counts(rows: DataFrame, only: np.ndarray | None = None) -> DataFrame:
-    """h, n (texts that hold the token) and many (whether it is a word, or a
-    prefix of several) over all rows (text); ``only``: of these tokens."""
-    shared = None if only is None else rows.sparkSession.sparkContext.broadcast(np.sort(only))
+def word_counts(rows: DataFrame) -> DataFrame:
+    """h, toxic, clean (occurrences of the word in texts of y 1 and 0),
+    toxic_texts and clean_texts (texts that hold it), over all rows (text, y).
+    As words come in bursts, k occurrences in one text count 1 + log k."""
+
+    def emit(held: list) -> Iterator[pa.RecordBatch]:
+        for y in (0, 1):
+            if held[y] is not None:
+                h, n, texts = held[y]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), y, dtype=np.int32)), pa.array(n), pa.array(texts)], names=["h", "y", "n", "texts"])
+
+    def summed(h: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+        order = np.argsort(h)
+        h = h[order]
+        head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        return [h[head], *(np.add.reduceat(c[order], head) for c in counts)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = [None, None]
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column("text")):
-                low = LOWER[data]
-                starts, ends, first = word_spans(low, offsets)
-                row_of = np.repeat(np.arange(hi - lo), np.diff(first))
-                token, row, whole, prefix = [], [], [], []
-                words = None
-                for i, (places, h) in enumerate(token_hashes(low, starts, ends)):
-                    words = h if words is None else words
-                    if shared is not None:
-                        known = shared.value
-                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                        keep = known[at] == h
-                        places, h = places[keep], h[keep]
-                    token.append(h), row.append(row_of[places]), whole.append(words[places]), prefix.append(np.full(len(h), i > 0))
-                token, row, whole, prefix = map(np.concatenate, (token, row, whole, prefix))
-                if not len(token):
-                    continue
-                order = np.lexsort((row, token))
-                token, row, whole, prefix = token[order], row[order], whole[order], prefix[order]
-                head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-                new = np.concatenate([[True], (token[1:] != token[:-1]) | (row[1:] != row[:-1])])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(token[head].view(np.int64)),
-                        pa.array(np.add.reduceat(new.astype(np.int64), head)),
-                        pa.array(np.minimum.reduceat(whole, head).view(np.int64)),
-                        pa.array(np.maximum.reduceat(whole, head).view(np.int64)),
-                        pa.array(prefix[head]),
-                    ],
-                    names=["h", "n", "one", "other", "prefix"],
-                )
-
-    # A prefix whose words all have one hash is that word's and adds nothing.
-    found = rows.select("text").mapInArrow(run, "h bigint, n bigint, one bigint, other bigint, prefix boolean")
-    several = (F.min("one") != F.max("one")) | (F.min("other") != F.max("other")) | (F.min("one") != F.max("other"))
-    return found.groupBy("h").agg(F.sum("n").alias("n"), (~F.max("prefix") | several).alias("many"))
-
-
-def best_segments(rows: DataFrame, model: ToxicWords, least: float | None = None) -> DataFrame:
-    """One row a row (doc_id, text, and others): words, best (score of the
-    best segment, 0 without one), segments (first word, end word, score) that
-    score ``least`` or more."""
-    parts, neutral = model.parts, model.neutral
+            labels = np.asarray(batch.column("y"))
+            for y in (0, 1):
+                for lo, hi, data, offsets in text_slices(batch.column("text").filter(pa.array(labels == y))):
+                    low = LOWER[data]
+                    starts, ends, first = word_spans(low, offsets)
+                    if not len(starts):
+                        continue
+                    h, row = word_hashes(low, starts, ends), np.repeat(np.arange(hi - lo), np.diff(first))
+                    order = np.lexsort((row, h))
+                    h, row = h[order], row[order]
+                    head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]))
+                    n = 1 + np.log(np.diff(head, append=len(h)))
+                    found = summed(h[head], n, np.ones(len(n)))
+                    held[y] = found if held[y] is None else summed(*(np.concatenate(x) for x in zip(held[y], found)))
+            if sum(len(x[0]) for x in held if x is not None) > TASK_WORDS:
+                yield from emit(held)
+                held = [None, None]
+        yield from emit(held)
+
+    found = rows.select("text", F.col("y").cast("int")).mapInArrow(run, "h bigint, y int, n double, texts double")
+    of = lambda c, y: F.sum(F.when(F.col("y") == y, F.col(c)).otherwise(0.0))
+    return found.groupBy("h").agg(of("n", 1).alias("toxic"), of("n", 0).alias("clean"), of("texts", 1).alias("toxic_texts"), of("texts", 0).alias("clean_texts"))
+
+
+def log_odds(counts: DataFrame, n_toxic: float, n_clean: float, deviations: float) -> DataFrame:
+    """h, score of the words that the two sides hold differently by more than
+    ``deviations`` (the signed root of the likelihood ratio of the texts that
+    hold them, since occurrences in one text depend on each other). The score
+    is the log odds, times 1 - (deviations / root) ** 2.
+
+    The prior weighs as many words as the smaller side has, shared among them
+    as all words are.
+    """
+    weight = min(n_toxic, n_clean)
+    prior = weight / (n_toxic + n_clean) * (F.col("toxic") + F.col("clean"))
+    odds = F.log((F.col("toxic") + prior) / (n_toxic + weight)) - F.log((F.col("clean") + prior) / (n_clean + weight))
+    texts = F.col("toxic_texts") + F.col("clean_texts")
+
+    def term(seen: Column, share: float) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / (texts * share))).otherwise(0.0)
+
+    ratio = 2 * (term(F.col("toxic_texts"), n_toxic / (n_toxic + n_clean)) + term(F.col("clean_texts"), n_clean / (n_toxic + n_clean)))
+    score = F.col("odds") * (1 - deviations**2 / F.col("ratio"))
+    return counts.select("h", odds.alias("odds"), ratio.alias("ratio")).where(F.col("ratio") > deviations**2).select("h", score.alias("score"))
+
+
+def least_deviations(kinds: dict[int, int], n_toxic: float, n_clean: float) -> float:
+    """Deviations beyond which no word is expected by chance, among those in
+    enough texts to lie that far out; ``kinds``: words by the number of texts
+    that hold them, ``MANY_TEXTS`` and more together."""
+    furthest = 2 * np.log((n_toxic + n_clean) / min(n_toxic, n_clean))
+    tested = 0
+    for n in sorted(kinds, reverse=True):
+        if tested and 2 * np.log(tested + kinds[n]) >= n * furthest:
+            break
+        tested += kinds[n]
+    return float(np.sqrt(2 * np.log(max(tested, 2))))
+
+
+def best_segments(rows: DataFrame, model: ToxicWords, threshold: float | None = None) -> DataFrame:
+    """One row a row (doc_id, text, and others): words, mean (of the words'
+    scores before the price), best (score of the best segment, 0 without one),
+    segments (first word, end word, score) whose probability is ``threshold``
+    or more."""
     others = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slices = text_slices(batch.column("text"))
             # One part is met slice by slice, several by the whole batch.
-            for group in [list(slices)] if len(parts) > 1 else ([x] for x in slices):
+            for group in [list(slices)] if len(model.parts) > 1 else ([x] for x in slices):
                 yield from score(batch, group)
 
     def score(batch: pa.RecordBatch, group: list) -> Iterator[pa.RecordBatch]:
         lows = [LOWER[data] for _, _, data, _ in group]
         spans = [word_spans(low, offsets) for low, (_, _, _, offsets) in zip(lows, group)]
-        each = word_scores(parts, neutral, [(low, starts, ends) for low, (starts, ends, _) in zip(lows, spans)])
+        each = word_scores(model.parts, [word_hashes(low, starts, ends) for low, (starts, ends, _) in zip(lows, spans)])
         for (lo, hi, _, _), (_, _, first), scores in zip(group, spans, each):
-            best, kept = np.zeros(hi - lo), []
-            for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-                found = maximal_segments(scores[a:b])
-                best[i] = max((s for _, _, s in found), default=0.0)
-                kept.append([{"first": x, "end": y, "score": s} for x, y, s in found if least is not None and s >= least])
+            n = np.diff(first)
+            least = np.full(hi - lo, np.inf) if threshold is None else model.least(n, threshold)
+            sums = np.concatenate([[0.0], np.cumsum(scores)])
+            mean = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(n, 1)
+            priced = scores - model.price
+            rises = np.concatenate([[0], np.cumsum(priced > 0)])[first]
+            best, kept = np.zeros(hi - lo), [[] for _ in range(hi - lo)]
+            for i in np.flatnonzero(np.diff(rises)).tolist():
+                found = maximal_segments(priced[first[i] : first[i + 1]])
+                best[i] = max(s for _, _, s in found)
+                kept[i] = [{"first": x, "end": y, "score": s} for x, y, s in found if s >= least[i]]
             kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c)[lo:hi] for c in others), pa.array(np.diff(first), pa.int64()), pa.array(best), pa.array(kept, kind)], names=[*others, "words", "best", "segments"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c)[lo:hi] for c in others), pa.array(n, pa.int64()), pa.array(mean), pa.array(best), pa.array(kept, kind)], names=[*others, "words", "mean", "best", "segments"])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in others)
-    return rows.mapInArrow(run, f"{kinds}, words bigint, best double, segments array<struct<first:bigint,end:bigint,score:double>>")
+    return rows.mapInArrow(run, f"{kinds}, words bigint, mean double, best double, segments array<struct<first:bigint,end:bigint,score:double>>")
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 4, held: int = 2, prior: float = 10.0, least_z: float = 2.5, least_odds: float = 1.8, sample: int = SAMPLE, part_tokens: int = PART_TOKENS) -> ToxicWords:
+def fit_toxicity(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 4, held: int = 2, deviations: float | None = None, price: float = 0.5, sample: int = SAMPLE, part_words: int = PART_WORDS) -> ToxicWords:
     """Model of all labelled rows whose fold isn't ``held``.
 
-    Token counts cover all of them: first those of the toxic texts, then the
-    counts of the same tokens in the others, since no other can score above
-    zero. All with enough odds and z are kept. At most ``sample`` rows, those
-    with the smallest hash of their key, fit the calibration. Without labels of both
-    kinds every text gets the share of toxic labels (a half without any).
+    Word counts cover all of them, equal texts once. At most ``sample`` rows, those with the
+    smallest hash of their key, fit the calibration; ``price`` is raised until
+    99 of 100 of their texts that aren't toxic sink on average. Without labels
+    of both kinds every text gets the share of toxic labels (a half without
+    any). Rows with a null or another label, or a null key, teach nothing.
     """
     known = labels.select(labels[key].alias("doc_id"), labels[label].cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
-    rows = keyed_rows(documents, key, text).join(broadcast_if_small(known), "doc_id")
-    sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
+    texts = keyed_rows(documents, key, text).withColumn("mark", F.xxhash64("text"))
+    # Copies would make their words look common: each text teaches once.
+    first = written(texts.select("doc_id", "mark").join(broadcast_if_small(known), "doc_id").groupBy("mark", "y").agg(F.min("doc_id").alias("doc_id")))
+    counts = written(word_counts(texts.join(broadcast_if_small(first), ["doc_id", "mark"])))
+    n_toxic, n_clean = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0.0)), F.coalesce(F.sum("clean"), F.lit(0.0))).first()
     if not n_toxic or not n_clean:
-        p = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
-        return ToxicWords(-1.0, 1e9, float(np.log(p / (1 - p))), 1.0)
-    toxic = written(token_counts(rows.where("y = 1")).where("many and n >= 3").select("h", F.col("n").alias("toxic")))
-    # Few tokens are looked up before counting, which saves shuffling the others.
-    few = toxic.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    only = toxic.select("h").toArrow()["h"].to_numpy().view(np.uint64) if few else None
-    if only is not None and not len(only):
-        p = n_toxic / (n_toxic + n_clean)
-        return ToxicWords(-1.0, 1e9, float(np.log(p / (1 - p))), 1.0)
-    clean = token_counts(rows.where("y = 0"), only).select("h", F.col("n").alias("clean"))
-    counts = toxic.join(clean, "h", "left").select("h", F.col("toxic").cast("double"), F.coalesce("clean", F.lit(0)).cast("double").alias("clean"))
-    # Dirichlet prior: the tokens' share of all texts, with the weight of `prior` texts.
-    more = prior / (n_clean + n_toxic) * (F.col("toxic") + F.col("clean"))
-    odds = F.log((F.col("toxic") + more) / (n_toxic + prior)) - F.log((F.col("clean") + more) / (n_clean + prior))
-    spread = F.sqrt(1 / (F.col("toxic") + more) + 1 / (F.col("clean") + more))
-    kept = written(counts.select("h", odds.alias("odds"), spread.alias("spread")).where((F.col("odds") / F.col("spread") >= least_z) & (F.col("odds") >= least_odds)).select("h", "odds"))
-    model = ToxicWords(neutral=-0.05)
-    many = -(-kept.count() // part_tokens)
+        sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+        p = (sizes.get(1, 0) + 0.5) / (sizes.get(0, 0) + sizes.get(1, 0) + 1)
+        return ToxicWords(at=float(np.log(p / (1 - p))), by=0.0)
+    if deviations is None:
+        texts = F.least(F.col("toxic_texts") + F.col("clean_texts"), F.lit(float(MANY_TEXTS)))
+        kinds = {int(r["texts"]): r["count"] for r in counts.groupBy(texts.alias("texts")).count().collect()}
+        deviations = least_deviations(kinds, n_toxic, n_clean)
+    kept = written(log_odds(counts, n_toxic, n_clean, deviations))
+    model = ToxicWords(price=price)
+    many = -(-kept.count() // part_words)
     for i in range(many):
         own = (kept.where(F.pmod("h", F.lit(many)) == i) if many > 1 else kept).toArrow()
-        h, scores = own["h"].to_numpy().view(np.uint64), own["odds"].to_numpy()
+        h, scores = own["h"].to_numpy().view(np.uint64), own["score"].to_numpy()
         order = np.argsort(h)
         if len(h):
             model.parts.append(documents.sparkSession.sparkContext.broadcast((h[order], scores[order])))
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample))
-    seen = best_segments(keyed_rows(documents, key, text).join(chosen, "doc_id"), model).select("y", "words", "best").orderBy(F.xxhash64("words", "best"), "y").limit(sample).toPandas()
-    return calibrated(model, seen["best"].to_numpy(dtype=np.float64), seen["words"].to_numpy(dtype=np.float64), seen["y"].to_numpy(dtype=np.float64))
+    texts = written(keyed_rows(documents, key, text).join(chosen, "doc_id"))
+    drift = best_segments(texts, model).where((F.col("y") == 0) & (F.col("words") >= PRICED_WORDS)).agg(F.percentile("mean", 0.99)).first()[0]
+    model.price = max(price, 1.25 * (drift or 0.0))
+    seen = best_segments(texts, model).select("y", "words", "best").orderBy(F.xxhash64("words", "best"), "y").limit(sample).toArrow()
+    return calibrated(model, *(seen[c].to_numpy().astype(np.float64) for c in ("best", "words", "y")))
+
+
+def extreme_values(best: np.ndarray, words: np.ndarray) -> tuple[float, float]:
+    """K and rate of the extreme-value law of the best scores, those without
+    any segment censored, at the largest likelihood."""
+    full = words > 0
+    best, words = best[full], words[full]
+    some = best > 0
+    if not some.any():
+        return 0.5 / max(words.sum(), 1.0), 1.0
+
+    def fitted(rate: float) -> tuple[float, float]:
+        k = some.sum() / (words[some] @ np.exp(-rate * best[some]) + words[~some].sum())
+        return k, some.sum() * (np.log(k * rate) - 1) - rate * best[some].sum()
+
+    rates = np.geomspace(0.05, 50, 400)
+    at = max(rates.tolist(), key=lambda r: fitted(r)[1])
+    return float(fitted(at)[0]), float(at)
 
 
 def calibrated(model: ToxicWords, best: np.ndarray, words: np.ndarray, y: np.ndarray) -> ToxicWords:
-    """Fit the extreme-value rate on texts that aren't toxic (moments of the
-    Gumbel law of their best scores, less the log of the length) and a
-    logistic curve of the normalised score on all."""
-    clean = best[y == 0]
-    spread = clean.std()
-    model.rate = float(np.clip(np.pi / (max(spread, 1e-3) * np.sqrt(6)), 0.5, 50))
-    x = best - np.where(best > 0, np.log(np.maximum(words, 1)), NO_SEGMENT) / model.rate
+    """Fit the extreme-value law on texts that aren't toxic and a logistic
+    curve of the evidence on all."""
+    model.k, model.rate = extreme_values(best[y == 0], words[y == 0])
+    expected = model.k * np.maximum(words, 1) * np.exp(-model.rate * best)
+    x = np.where(best > 0, -np.log(-np.expm1(-np.maximum(expected, 1e-300))), 0.0)
     middle, scale = x.mean(), max(x.std(), 1e-6)
     z = np.stack([np.ones_like(x), (x - middle) / scale], axis=1)
     w = np.zeros(2)
@@ -235,13 +295,13 @@ def calibrated(model: ToxicWords, best: np.ndarray, words: np.ndarray, y: np.nda
 def score_toxicity(documents: DataFrame, model: ToxicWords, *, key: str = "doc_id", text: str = "text", folds: int = 4, held: int = 2, threshold: float = 0.3) -> DataFrame:
     """One row a row: doc_id, held_out, score, predicted, segments.
 
-    segments are the maximal segments that would make a text of their own
-    length score ``threshold`` or more. Null and empty texts have no segment
-    and are scored as such; a null key is in the fold of the empty text;
-    repeated rows score alike; an empty table gives no rows; extra columns are
+    segments are the maximal segments that alone would give their text a score
+    of ``threshold`` or more. Null, empty and wordless texts have no segment
+    and no evidence; a long text is scanned whole; equal scores make one
+    segment of the first; a null key is in the fold of the empty text; rows
+    that repeat score alike; an empty table gives no rows; extra columns are
     ignored.
     """
-    least = (np.log(threshold / (1 - threshold)) - model.at) / model.by if model.by > 0 else np.inf
-    found = best_segments(keyed_rows(documents, key, text), model, float(max(least, 1e-9)))
+    found = best_segments(keyed_rows(documents, key, text), model, threshold)
     scored = found.withColumn("score", model.probability(F.col("best"), F.col("words")))
     return scored.select("doc_id", (fold("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "segments")
