@@ -1,22 +1,29 @@
 """Licence scan by an exact set-similarity join.
 
-A text's words are seen in overlapping blocks, a template as the set of its
-words. A block matches where it holds at least the share ``THRESHOLD`` of a
-template's words. Template words are ordered by their frequency in all texts,
-rarest first; a match must share one of the first n - need + 1 words, its
-prefix. Texts are joined with the index of prefixes; of each block and
-template only the first shared word goes on, and the length and positional
-bounds discard what can't reach ``need`` before the sets are compared.
-
-Only Spark functions are used; there is no Python on the executors.
+A template is the set of its words. A text's words are seen in overlapping
+blocks of a size that goes with the template's length; a block matches where it
+holds at least the share ``THRESHOLD`` of the template's words, all of its key
+words and none of the words that make it another licence. Template words are
+ordered by the number of texts that hold them, rarest first; a match must share
+one of the first n - need + 1 words, its prefix. Texts are joined with the
+index of prefixes; of each block and template only the first shared word goes
+on, and the length and positional bounds discard what can't reach ``need``
+before the sets are compared.
+
+A text is parted into words once. What goes on are the places of the words
+that templates and phrases have, and these only of texts that hold enough of
+some template's words. Only Spark functions are used; there is no Python on
+the executors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import keyed_rows
+from .shared import keyed_rows, written
 
 # Phrases and labels of the base scan, and licence notices.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -35,84 +42,140 @@ TEMPLATES = {
     "unlicense": "This is free and unencumbered software released into the public domain",
 }
 
+#: Words without which a notice isn't that licence, and words that make it another.
+KEYS = {
+    "apache-2.0": (["apache", "2"], []),
+    "bsd": (["redistribution"], []),
+    "cc-by-4.0": (["attribution", "4"], ["sharealike", "noncommercial", "noderivatives", "noderivs"]),
+    "cc-by-nc-4.0": (["nc", "4"], ["sa", "nd"]),
+    "cc-by-sa-4.0": (["sharealike", "4"], ["noncommercial"]),
+    "cc0-1.0": (["waived"], []),
+    "gpl-3.0": (["gnu", "3"], ["lesser", "affero"]),
+    "isc": (["fee"], []),
+    "mit": (["mit"], []),
+    "mit-text": (["charge"], []),
+    "mpl-2.0": (["mozilla", "2"], []),
+    "unlicense": (["unencumbered"], []),
+}
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Share of a template's words, in tenths, and words from one block to the
-#: next. A block is two steps long, so any run of ``STEP`` words is in one.
-THRESHOLD, STEP = 8, 32
+#: The same words before A-Z are lower-cased.
+_ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Share of a template's words, in tenths.
+THRESHOLD = 8
 #: Words of all templates, at most; what is broadcast is bounded by it.
 MOST_TEMPLATE_WORDS = 20_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def words_of(text: Column) -> Column:
-    """Words of a text, A-Z lower-cased; of null, none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+def _in_order(text: str) -> list[str]:
+    import re
+
+    return re.findall(WORD, text.translate(str.maketrans(_UPPER, _LOWER)))
 
 
 def template_words(text: str) -> list[str]:
-    import re
+    return sorted(set(_in_order(text)))
 
-    return sorted(set(re.findall(WORD, text.translate(str.maketrans(_UPPER, _LOWER)))))
 
+def block_step(text: str) -> int:
+    """Words from one block to the next: one and a half times the template's.
+    A block is two steps long, so any run of that many words is in one."""
+    return max(1, -(-3 * len(_in_order(text)) // 2))
+
+
+@dataclass(frozen=True)
+class Template:
+    label: str
+    words: list[str]
+    step: int
+    must: list[str]
+    never: list[str]
+
+    @property
+    def need(self) -> int:
+        return -(-THRESHOLD * len(self.words) // 10)
+
+
+def templates_of(texts: dict[str, str], keys: dict[str, tuple[list[str], list[str]]]) -> list[Template]:
+    out = [Template(label, template_words(text), block_step(text), *keys.get(label, ([], []))) for label, text in texts.items()]
+    if sum(len(t.words) + len(t.must) + len(t.never) for t in out) > MOST_TEMPLATE_WORDS:
+        raise ValueError(f"the templates have over {MOST_TEMPLATE_WORDS} words")
+    return out
 
-def phrase_places(words: Column, phrase: str) -> Column:
-    """Starts of a phrase's words in an array of words."""
+
+def _strings(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
+
+
+def phrase_places(hits: Column, phrase: str) -> Column:
+    """Places where a phrase's words stand in a row, from the places (at) of
+    its words (word)."""
     parts = phrase.split(" ")
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size(words) - len(parts)),
-        lambda i: F.forall(F.array(*(F.lit(j) for j in range(len(parts)))), lambda j: F.get(words, i + j) == F.get(F.array(*map(F.lit, parts)), j)),
-    )
-    has = F.size(words) >= len(parts)
-    for part in parts:
-        has = has & F.array_contains(words, part)
-    return F.when(has, starts).otherwise(F.array().cast("array<int>"))
+
+    def here(i: Column) -> Column:
+        start = F.get(hits, i)["at"]
+        out = F.lit(True)
+        for j, part in enumerate(parts):
+            hit = F.get(hits, i + j)
+            out = out & (hit["word"] == part) & (hit["at"] == start + j)
+        return out
+
+    starts = F.filter(F.sequence(F.lit(0), F.size(hits) - len(parts)), here)
+    return F.when(F.size(hits) >= len(parts), F.transform(starts, lambda i: F.get(hits, i)["at"])).otherwise(F.array().cast("array<int>"))
 
 
-def prefix_index(rows: DataFrame, templates: dict[str, str]) -> DataFrame:
+def word_hits(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """doc_id, mark (hash of the text), n_words, hits: place (at) and word of
+    each word of the vocabulary, A-Z lower-cased."""
+    words = rows.select("doc_id", F.xxhash64("text").alias("mark"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_ANY_WORD), F.lit(0)).alias("words"))
+    # lower() is quick, but takes some other letters to a-z: what it finds is looked at again.
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.lower(F.get("words", i)).isin(vocabulary))
+    hits = F.transform(places, lambda i: F.struct(i.alias("at"), F.translate(F.get("words", i), _UPPER, _LOWER).alias("word")))
+    hits = F.filter(hits, lambda h: h["word"].isin(vocabulary))
+    none = F.array().cast("array<struct<at:int,word:string>>")
+    return words.select("doc_id", "mark", F.size("words").alias("n_words"), F.when((F.size("words") > 0) & F.lit(bool(vocabulary)), hits).otherwise(none).alias("hits"))
+
+
+def prefix_index(spark: SparkSession, templates: list[Template], seen: dict[str, int]) -> DataFrame:
     """token, at (its place among the template's words, from 1), label, n,
-    need, tokens (rarest first) and vocabulary (of all templates, rarest
-    first), for the tokens of the prefixes."""
-    spark = rows.sparkSession
-    sets = {label: template_words(text) for label, text in templates.items()}
-    vocabulary = sorted({w for s in sets.values() for w in s})
-    if len(vocabulary) > MOST_TEMPLATE_WORDS:
-        raise ValueError(f"the templates have over {MOST_TEMPLATE_WORDS} words")
-    counts = rows.select(F.explode(words_of(F.col("text"))).alias("token")).where(F.col("token").isin(vocabulary)).groupBy("token").count()
-    seen = {r["token"]: r["count"] for r in counts.collect()}  # a row a template word at most
-    order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
+    need, step, must, never, tokens (rarest first) and vocabulary (of all
+    templates, rarest first), for the tokens of the prefixes."""
+    order = sorted({w for t in templates for w in t.words}, key=lambda w: (seen.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     entries = []
-    for label, own in sets.items():
-        tokens = sorted(own, key=rank.__getitem__)
-        n = len(tokens)
-        need = -(-THRESHOLD * n // 10)
-        for i, token in enumerate(tokens[: n - need + 1]):
-            entries.append(F.struct(F.lit(token).alias("token"), F.lit(i + 1).alias("at"), F.lit(label).alias("label"), F.lit(n).alias("n"), F.lit(need).alias("need"), F.array(*map(F.lit, tokens)).alias("tokens")))
-    index = spark.range(1).select(F.inline(F.array(*entries))) if entries else spark.range(0).select(F.lit("").alias("token"), F.lit(0).alias("at"), F.lit("").alias("label"), F.lit(0).alias("n"), F.lit(0).alias("need"), F.array().cast("array<string>").alias("tokens"))
-    return index.withColumn("vocabulary", F.array(*map(F.lit, order)).cast("array<string>"))
-
-
-def matching_blocks(rows: DataFrame, templates: dict[str, str]) -> DataFrame:
-    """Every matching block: doc_id, mark, block, label, share. ``rows``:
-    doc_id, text. Block b holds the words from b * STEP to b * STEP + 2 * STEP."""
-    index = prefix_index(rows, templates)
-    words = rows.select("doc_id", F.xxhash64("text").alias("mark"), words_of(F.col("text")).alias("words"))
+    for t in templates:
+        tokens = sorted(t.words, key=rank.__getitem__)
+        for i, token in enumerate(tokens[: len(tokens) - t.need + 1]):
+            entries.append((token, i + 1, t.label, len(tokens), t.need, t.step, t.must, t.never, tokens, order))
+    return spark.createDataFrame(entries, "token string, at int, label string, n int, need int, step int, must array<string>, never array<string>, tokens array<string>, vocabulary array<string>")
+
+
+def matching_blocks(texts: DataFrame, templates: list[Template], seen: dict[str, int]) -> DataFrame:
+    """Every matching block: doc_id, mark, block, label, share. ``texts``:
+    doc_id, mark, n_words, hits. Block b holds the words from b * step to
+    b * step + 2 * step."""
     # The index is as large as the templates, whose words are counted above.
-    met = words.select("doc_id", "mark", "words", F.posexplode("words").alias("place", "token")).join(F.broadcast(index), "token")
-    last = F.ceil(F.greatest(F.size("words") - 2 * STEP, F.lit(0)) / STEP).cast("int")
-    own = F.floor(F.col("place") / STEP).cast("int")
+    index = F.broadcast(prefix_index(texts.sparkSession, templates, seen))
+    met = texts.select("*", F.explode("hits").alias("hit")).select("*", F.col("hit.at").alias("place"), F.col("hit.word").alias("token")).join(index, "token")
+    last = F.ceil(F.greatest(F.col("n_words") - 2 * F.col("step"), F.lit(0)) / F.col("step")).cast("int")
+    own = F.floor(F.col("place") / F.col("step")).cast("int")
     found = F.array_distinct(F.array(F.least(own, last), F.least(F.greatest(own - 1, F.lit(0)), last)))
-    blocks = met.withColumn("block", F.explode(found)).withColumn("held", F.slice("words", F.col("block") * STEP + 1, 2 * STEP)).drop("words")
-    first = (F.array_position("held", F.col("token")) == F.col("place") - F.col("block") * STEP + 1) & ~F.arrays_overlap("held", F.slice("tokens", F.lit(1), F.col("at") - 1))
+    blocks = met.withColumn("block", F.explode(found)).withColumn("start", F.col("block") * F.col("step"))
+    inside = F.filter("hits", lambda h: (h["at"] >= F.col("start")) & (h["at"] < F.col("start") + 2 * F.col("step")))
+    blocks = blocks.withColumn("inside", inside).withColumn("held", F.col("inside.word")).drop("hits")
+    at_first = F.get("inside", F.array_position("held", F.col("token")).cast("int") - 1)["at"] == F.col("place")
+    first = at_first & ~F.arrays_overlap("held", F.slice("tokens", F.lit(1), F.col("at") - 1))
     ordered = F.array_intersect("vocabulary", "held")
     length = F.size(F.array_distinct("held")) >= F.col("need")
     positional = F.least(F.col("n") - F.col("at"), F.size(ordered) - F.array_position(ordered, F.col("token"))) + 1 >= F.col("need")
+    keyed = (F.size(F.array_except("must", "held")) == 0) & ~F.arrays_overlap("held", "never")
     shared = F.size(F.array_intersect("tokens", "held"))
-    return blocks.where(first).where(length & positional).withColumn("shared", shared).where("shared >= need").select("doc_id", "mark", "block", "label", (F.col("shared") / F.col("n")).alias("share"))
+    return blocks.where(first).where(length & positional & keyed).withColumn("shared", shared).where("shared >= need").select("doc_id", "mark", "block", "label", (F.col("shared") / F.col("n")).alias("share"))
 
 
-def scan_licenses(documents: DataFrame, *, key: str = "doc_id", text: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None) -> DataFrame:
+def scan_licenses(documents: DataFrame, *, key: str = "doc_id", text: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, keys: dict[str, tuple[list[str], list[str]]] | None = None) -> DataFrame:
     """One row a row: doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, score.
 
@@ -120,23 +183,31 @@ def scan_licenses(documents: DataFrame, *, key: str = "doc_id", text: str = "tex
     labels adds those of templates that a block matches; score is 1 with a
     base place, else the largest share of a template that a block holds (0
     where none matches). Null and empty texts have no words, no labels, null
-    places and score 0; rows that repeat an id or a whole row get a result
-    each; an empty table gives no rows; extra columns are ignored.
+    places and score 0; a long text is looked through whole; words in equally
+    many texts are ordered by their letters; rows that repeat an id or a whole
+    row get a result each; an empty table gives no rows; extra columns are
+    ignored.
     """
-    rows = keyed_rows(documents, key, text)
     phrases = PHRASES if phrases is None else phrases
+    known = templates_of(TEMPLATES if templates is None else templates, KEYS if keys is None else keys)
+    vocabulary = sorted({w for t in known for w in [*t.words, *t.must, *t.never]} | {w for p in phrases for w in p.split(" ")})
     places = [(label, f"_places_{i}", phrase) for i, (phrase, label) in enumerate(phrases.items())]
-    words = rows.select("doc_id", F.xxhash64("text").alias("mark"), words_of(F.col("text")).alias("words"))
-    base = words.select("doc_id", "mark", F.size("words").cast("bigint").alias("n_words"), *(phrase_places(F.col("words"), phrase).alias(name) for _, name, phrase in places))
-    every = F.flatten(F.array(*(F.col(name) for _, name, _ in places)))
-    labels = F.array_compact(F.array(*(F.when(F.size(name) > 0, F.lit(label)) for label, name, _ in places)))
-    base = base.select("doc_id", "mark", "n_words", every.alias("places"), F.array_sort(F.array_distinct(labels)).alias("found"))
-    blocks = matching_blocks(rows, TEMPLATES if templates is None else templates).groupBy("doc_id", "mark").agg(F.collect_set("label").alias("more"), F.max("share").alias("share")).withColumnsRenamed({"doc_id": "_doc", "mark": "_mark"})
-    both = base.join(blocks, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("mark").eqNullSafe(F.col("_mark")), "left")
+    base = word_hits(keyed_rows(documents, key, text), vocabulary).withColumn("held", F.array_distinct("hits.word"))
+    base = base.withColumns({name: phrase_places(F.col("hits"), phrase) for _, name, phrase in places})
+    every = F.flatten(F.array(*(F.col(name) for _, name, _ in places))) if places else F.array().cast("array<int>")
+    labels = F.array_compact(F.array(*(F.when(F.size(name) > 0, F.lit(label)) for label, name, _ in places))).cast("array<string>")
+    enough = F.lit(False)
+    for t in known:
+        enough = enough | (F.size(F.array_intersect("held", _strings(t.words))) >= t.need)
+    base = written(base.select("doc_id", "mark", "n_words", every.alias("places"), F.array_sort(F.array_distinct(labels)).alias("found"), "held", F.when(enough, F.col("hits")).alias("hits")))
+    seen = {r["token"]: r["count"] for r in base.select(F.explode("held").alias("token")).groupBy("token").count().collect()}  # a row a template word at most
+    blocks = matching_blocks(base.where("hits is not null").select("doc_id", "mark", "n_words", "hits"), known, seen)
+    blocks = blocks.groupBy("doc_id", "mark").agg(F.collect_set("label").alias("more"), F.max("share").alias("share")).withColumnsRenamed({"doc_id": "_doc", "mark": "_mark"})
+    both = base.drop("held", "hits").join(blocks, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("mark").eqNullSafe(F.col("_mark")), "left")
     all_labels = F.array_sort(F.array_union("found", F.coalesce("more", F.array().cast("array<string>"))))
     return both.select(
         "doc_id",
-        "n_words",
+        F.col("n_words").cast("bigint").alias("n_words"),
         F.size("places").cast("bigint").alias("n_base"),
         F.array_min("places").cast("bigint").alias("first_word"),
         F.array_max("places").cast("bigint").alias("last_word"),

@@ -89,9 +89,9 @@ def queries() -> dict:
 
 
 def _license_sql() -> str:
-    from .license_scan import PHRASES, STEP, TEMPLATES, THRESHOLD, WORD, template_words
+    from .license_scan import KEYS, PHRASES, TEMPLATES, THRESHOLD, WORD, templates_of
 
-    sets = ", ".join(f"('{label}', {template_words(text)!r})" for label, text in TEMPLATES.items())
+    sets = ", ".join(f"('{t.label}', {t.words!r}, {t.step}, {t.must!r}, {t.never!r}::varchar[])" for t in templates_of(TEMPLATES, KEYS))
     phrases = ", ".join(f"('{label}', {phrase.split(' ')!r})" for phrase, label in PHRASES.items())
     return rf"""
     with texts as (
@@ -99,7 +99,7 @@ def _license_sql() -> str:
                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as w
         from documents),
     phrases(label, p) as (values {phrases}),
-    templates(label, t) as (values {sets}),
+    templates(label, t, step, must, never) as (values {sets}),
     places as (
         select r, label, unnest(list_filter(range(0, len(w) - len(p) + 1), lambda i: w[i + 1 : i + len(p)] = p)) as place
         from texts, phrases),
@@ -107,11 +107,13 @@ def _license_sql() -> str:
         select r, count(*) as n_base, min(place) as first_word, max(place) as last_word, list_sort(list_distinct(list(label))) as found
         from places group by r),
     blocks as (
-        select r, w[b * {STEP} + 1 : b * {STEP} + {2 * STEP}] as held
-        from (select r, w, unnest(range(0, cast(ceil(greatest(len(w) - {2 * STEP}, 0) / {STEP}) as bigint) + 1)) as b from texts)),
+        select r, label, t, must, never, w[b * step + 1 : b * step + 2 * step] as held
+        from (select r, w, label, t, step, must, never, unnest(range(0, cast(ceil(greatest(len(w) - 2 * step, 0) / step) as bigint) + 1)) as b
+              from texts, templates where list_has_all(w, must) and len(list_intersect(t, w)) * 10 >= {THRESHOLD} * len(t))),
     shares as (
-        select r, label, len(list_intersect(t, held)) / len(t) as share, len(list_intersect(t, held)) * 10 >= {THRESHOLD} * len(t) as enough
-        from blocks, templates),
+        select r, label, len(list_intersect(t, held)) / len(t) as share,
+               len(list_intersect(t, held)) * 10 >= {THRESHOLD} * len(t) and list_has_all(held, must) and not list_has_any(held, never) as enough
+        from blocks),
     more as (select r, max(share) as share, list(distinct label) as labels from shares where enough group by r)
     select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, cast(first_word as bigint) as first_word,
            cast(last_word as bigint) as last_word, coalesce(array_to_string(found, ','), '') as base_labels,
