@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridquarry.sources.workspace import with_index
+
+# The signs by which spreadsheets know a formula.
 _FORMULA = r"^[ \t\r\n]*[=+@-]"
 _ESCAPED = r"^[ \t\r\n]*['=+@-]"
 
@@ -24,22 +27,20 @@ def encode(c: Column) -> Column:
 
 def decode(c: Column) -> Column:
     """The inverse of encode()."""
-    bare = F.when(c.rlike(r"^'[ \t\r\n]*['=+@-]"), F.expr(f"substring({_name(c)}, 2)")).otherwise(c)
+    bare = F.when(c.rlike(r"^'[ \t\r\n]*['=+@-]"), F.substr(c, F.lit(2))).otherwise(c)
     return F.when(c == F.lit("\\N"), F.lit(None)).otherwise(F.replace(bare, F.lit("\\\\"), F.lit("\\")))
 
 
-def _name(c: Column) -> str:
-    return c._jc.toString()
-
-
 def number(c: Column) -> Column:
     """Text as a double; null unless it is a plain decimal number."""
     return F.when(c.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), c.cast("double"))
 
 
 def is_exact(c: Column) -> Column:
-    """Whether a decimal text has 17 significant digits at most."""
-    return F.length(F.regexp_replace(F.regexp_replace(c, r"[^0-9]", ""), "^0+", "")) <= 17
+    """Whether a decimal text has 17 significant digits at most, its exponent
+    aside."""
+    digits = F.regexp_replace(F.regexp_replace(c, r"[eE].*$", ""), r"[^0-9]", "")
+    return F.length(F.regexp_replace(digits, "^0+", "")) <= 17
 
 
 def metric_id(channel: Column, statistic: str) -> Column:
@@ -83,11 +84,17 @@ def luminance(red: str, green: str, blue: str) -> Column:
     return 0.2126 * F.col(red) + 0.7152 * F.col(green) + 0.0722 * F.col(blue)
 
 
-def byte_page(df: DataFrame, order: str, size: str, most: int) -> DataFrame:
-    """The first rows in order whose sizes add up to ``most`` at most. A row
-    takes a byte or more, so the first ``most`` + 1 rows are enough."""
+def byte_page(df: DataFrame, order: str, size: str, most: int, offset: int = 0) -> DataFrame:
+    """The rows from place ``offset`` on, in order, whose sizes add up to
+    ``most`` at most (the first one in any case), with next_offset, the place
+    where the next page begins. Sizes are summed partition by partition in a
+    range sort, so that rows of no size don't end a page."""
     from pyspark.sql import Window as W
 
-    head = df.orderBy(order).limit(most + 1)
-    total = F.sum(size).over(W.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return head.withColumn("_total", total).where(F.col("_total") <= most).drop("_total")
+    placed = with_index(df, order, name="_i").where(F.col("_i") >= offset).withColumn("_p", F.floor(F.col("_i") / 1024))
+    # Whole runs of 1024 rows are summed first; of them, only those that begin within the page are looked at.
+    runs = placed.groupBy("_p").agg(F.sum(size).alias("_s")).withColumn("_before", F.sum("_s").over(W.orderBy("_p")) - F.col("_s"))
+    near = placed.join(F.broadcast(runs.where(F.col("_before") <= most).select("_p", "_before")), "_p")
+    total = F.col("_before") + F.sum(size).over(W.partitionBy("_p").orderBy("_i"))
+    page = near.withColumn("_total", total).where((F.col("_total") <= most) | (F.col("_i") == offset))
+    return page.withColumn("next_offset", F.lit(offset) + F.count("*").over(W.partitionBy())).drop("_total", "_i", "_p", "_before")

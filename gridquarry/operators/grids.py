@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridquarry.operators.components import connected_components
+from .components import grid_components
+from .matching import best_matching
 
 PIXEL = ["image_id", "y", "x"]
 OBJECT = ["image_id", "label"]
@@ -48,24 +49,31 @@ def principal_radii(grid: DataFrame) -> DataFrame:
     return m.select(*OBJECT, r(F.sqrt(F.greatest(half + root, F.lit(0.0)))).alias("major"), r(F.sqrt(F.greatest(half - root, F.lit(0.0))), 5).alias("minor"))
 
 
-def tiled_measures(grid: DataFrame, channel: str, tile: int) -> DataFrame:
-    """Mean and population deviation of each object from sums of its tiles:
-    count, mean and squared deviations are merged pairwise by their formula."""
+def tiled_measures(grid: DataFrame, channel: str, tile: int, other: str | None = None) -> DataFrame:
+    """Mean and population deviation of each object (and the covariance of two
+    channels) from those of its tiles: to the tiles' own squared deviations
+    come those of their means from the object's."""
     at = [F.expr(f"y div {tile}").alias("ty"), F.expr(f"x div {tile}").alias("tx")]
-    parts = grid.where("label > 0").groupBy(*OBJECT, *at).agg(F.count("*").alias("n"), F.avg(channel).alias("mean"), (F.var_pop(channel) * F.count("*")).alias("m2"))
-    whole = parts.groupBy(*OBJECT).agg(F.sum("n").alias("pixels"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"), F.sum("m2").alias("within"), F.sum(F.col("n") * F.col("mean") ** 2).alias("squares"))
-    m2 = F.col("within") + F.col("squares") - F.col("pixels") * F.col("mean") ** 2
-    return whole.select(*OBJECT, "pixels", r(F.col("mean")).alias("mean"), r(F.sqrt(F.greatest(m2, F.lit(0.0)) / F.col("pixels")), 4).alias("sd"))
+    second = other or channel
+    parts = grid.where("label > 0").groupBy(*OBJECT, *at).agg(F.count("*").alias("n"), F.avg(channel).alias("a"), F.avg(second).alias("b"), (F.covar_pop(channel, channel) * F.count("*")).alias("aa"), (F.covar_pop(channel, second) * F.count("*")).alias("ab"))
+    w = W.partitionBy(*OBJECT)
+    mean = lambda c: F.sum(F.col("n") * F.col(c)).over(w) / F.sum("n").over(w)
+    off = parts.withColumns({"mean": mean("a"), "second": mean("b")})
+    more = lambda c, d: F.col("n") * (F.col("a") - F.col("mean")) * (F.col(c) - F.col(d))
+    n = F.sum("n")
+    spread = F.sqrt(F.greatest(F.sum(F.col("aa") + more("a", "mean")), F.lit(0.0)) / n)
+    covariance = [r(F.sum(F.col("ab") + more("b", "second")) / n, 8).alias("covariance")] if other else []
+    return off.groupBy(*OBJECT).agg(n.alias("pixels"), r(F.first("mean")).alias("mean"), r(spread, 5).alias("sd"), *covariance)
 
 
 def compartments(grid: DataFrame, inner: str, channel: str) -> DataFrame:
-    """Of each object: pixels, sum, mean, least and greatest of a channel over
-    all of it, inside another grid's objects (nuclear) and outside them."""
+    """Of each object: pixels, sum, mean, least, greatest and population
+    deviation of a channel over all of it, inside another grid's objects (nuclear) and outside them."""
     n, c = F.col(inner) > 0, F.col(channel)
     parts = []
     for name, inside in (("cell", F.lit(True)), ("nuclear", n), ("cytoplasm", ~n)):
         v = F.when(inside, c)
-        parts += [F.count(v).alias(f"{name}_pixels"), r(F.coalesce(F.sum(v), F.lit(0.0)), 4).alias(f"{name}_sum"), r(F.avg(v)).alias(f"{name}_mean"), F.min(v).alias(f"{name}_min"), F.max(v).alias(f"{name}_max")]
+        parts += [F.count(v).alias(f"{name}_pixels"), r(F.coalesce(F.sum(v), F.lit(0.0)), 4).alias(f"{name}_sum"), r(F.avg(v)).alias(f"{name}_mean"), F.min(v).alias(f"{name}_min"), F.max(v).alias(f"{name}_max"), r(F.stddev_pop(v), 5).alias(f"{name}_sd")]
     return grid.where("label > 0").groupBy(*OBJECT).agg(*parts)
 
 
@@ -106,18 +114,43 @@ def region_agreement(first: DataFrame, second: DataFrame) -> DataFrame:
     return c.withColumns({"iou": r(F.try_divide("common", "joint")), "dice": r(F.try_divide(2 * F.col("common"), F.col("reference") + F.col("prediction")))})
 
 
+def matches(first: DataFrame, second: DataFrame, threshold: float) -> DataFrame:
+    """image_id, ref, pred, iou of the matching with most pairs of at least
+    ``threshold`` and, among those, the greatest sum."""
+    pairs = overlaps(first, second).where(F.col("iou") >= threshold).select("image_id", "ref", "pred", "iou")
+    if threshold > 0.5:  # no object can have two partners
+        return pairs
+    return best_matching(pairs.withColumn("loss", 1 - F.col("iou")), ["image_id"], "ref", "pred", "loss").drop("loss")
+
+
 def instance_agreement(first: DataFrame, second: DataFrame, threshold: float) -> DataFrame:
     """Per image: matched pairs, missed and surplus objects, precision, recall,
-    F1 and mean IoU of the matches. At thresholds of a half and more every
-    object has one partner at most, so that the matches need no search."""
-    if threshold < 0.5:
-        raise ValueError("below 0.5 a matching isn't unique")
-    above = F.col("iou") > threshold if threshold == 0.5 else F.col("iou") >= threshold
-    pairs = overlaps(first, second).where(above).groupBy("image_id").agg(F.count("*").alias("tp"), F.avg("iou").alias("mean_iou"))
-    n = lambda g, name: g.where("label > 0").groupBy("image_id").agg(F.count_distinct("label").alias(name))
-    every = first.select("image_id").distinct()
-    t = every.join(n(first, "refs"), "image_id", "left").join(n(second, "preds"), "image_id", "left").join(pairs, "image_id", "left").fillna(0, ["tp", "refs", "preds"])
-    return t.select("image_id", "tp", (F.col("preds") - F.col("tp")).alias("fp"), (F.col("refs") - F.col("tp")).alias("fn"), r(F.try_divide("tp", "preds")).alias("precision"), r(F.try_divide("tp", "refs")).alias("recall"), r(F.try_divide(2 * F.col("tp"), F.col("refs") + F.col("preds"))).alias("f1"), r(F.col("mean_iou")).alias("mean_iou"))
+    F1 and mean IoU of the matches (null where undefined), errors of the count,
+    objects split among several or merged in one (any overlap), and the ids
+    left unmatched."""
+    met = overlaps(first, second).select("image_id", "ref", "pred")
+    pairs = matches(first, second, threshold)
+    refs = first.where("label > 0").select("image_id", F.col("label").alias("ref")).distinct()
+    preds = second.where("label > 0").select("image_id", F.col("label").alias("pred")).distinct()
+    several = lambda key, name: met.groupBy("image_id", key).count().where("count > 1").groupBy("image_id").agg(F.count("*").alias(name))
+    left = lambda every, key, name: every.join(pairs, ["image_id", key], "left_anti").groupBy("image_id").agg(F.array_join(F.sort_array(F.collect_list(key)).cast("array<string>"), ",").alias(name))
+    t = first.select("image_id").union(second.select("image_id")).distinct()
+    for part in (
+        refs.groupBy("image_id").agg(F.count("*").alias("refs")),
+        preds.groupBy("image_id").agg(F.count("*").alias("preds")),
+        pairs.groupBy("image_id").agg(F.count("*").alias("tp"), F.avg("iou").alias("mean_iou")),
+        several("ref", "splits"),
+        several("pred", "merges"),
+        left(refs, "ref", "missed"),
+        left(preds, "pred", "surplus"),
+    ):
+        t = t.join(part, "image_id", "left")
+    t = t.fillna(0, ["tp", "refs", "preds", "splits", "merges"]).fillna("", ["missed", "surplus"])
+    error = F.col("preds") - F.col("refs")
+    return t.select(
+        "image_id", "tp", (F.col("preds") - F.col("tp")).alias("fp"), (F.col("refs") - F.col("tp")).alias("fn"), r(F.try_divide("tp", "preds")).alias("precision"), r(F.try_divide("tp", "refs")).alias("recall"), r(F.try_divide(2 * F.col("tp"), F.col("refs") + F.col("preds"))).alias("f1"), r(F.col("mean_iou")).alias("mean_iou"),
+        error.alias("count_error"), r(F.try_divide(F.abs(error), F.col("refs"))).alias("count_error_share"), "splits", "merges", "missed", "surplus",
+    )
 
 
 def colocalisation(grid: DataFrame, first: str, second: str, at_first: float, at_second: float) -> DataFrame:
@@ -155,17 +188,14 @@ def neighbours(grid: DataFrame, columns: list[str], diagonal: bool = False, ahea
     return grid.join(moved.select("image_id", "at.*", *(f"n_{c}" for c in columns)), PIXEL)
 
 
-def components(mask: DataFrame, width: int, height: int, value: str | None = None, diagonal: bool = False) -> DataFrame:
+def components(mask: DataFrame, width: int, height: int, value: str | None = None, diagonal: bool = False, tile: int = 64) -> DataFrame:
     """Connected components of the pixels of a mask (only neighbours of equal
     ``value`` connect, if given): the pixels with label, numbered from 1 in
-    order of each component's first pixel by rows."""
+    order of each component's first pixel by rows. Tiles of ``tile`` pixels a
+    side are labelled by themselves and then joined along their seams."""
     number = (F.col("image_id") * height + F.col("y")) * width + F.col("x")
-    own = mask.withColumn("pixel", number)
-    near = neighbours(own.select(*PIXEL, "pixel", *([value] if value else [])), ["pixel"] + ([value] if value else []), diagonal, ahead=True)
-    if value:
-        near = near.where(F.col(value) == F.col(f"n_{value}"))
-    roots = connected_components(near.select(F.col("pixel").alias("src"), F.col("n_pixel").alias("dst")))
-    placed = own.join(roots, own.pixel == roots.node, "left").withColumn("root", F.coalesce("root", "pixel"))
+    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if diagonal else [])
+    placed = grid_components(mask.withColumn("node", number), ["y", "x"], steps, tile, ["image_id"], value)
     # The root is the least pixel number: the first pixel by rows.
     firsts = placed.select("image_id", "root").distinct().withColumn("label", F.row_number().over(W.partitionBy("image_id").orderBy("root")).cast("bigint"))
     return placed.join(firsts, ["image_id", "root"]).select(*PIXEL, "label")
@@ -185,9 +215,7 @@ def rings(grid: DataFrame, radius: int, channel: str) -> DataFrame:
     """Of each nucleus: pixels and mean of a channel over its ring, background
     within ``radius`` of it and of no other nucleus."""
     steps = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if 0 < a * a + b * b <= radius * radius]
-    own = grid.where("label > 0")
     border = neighbours(grid.select(*PIXEL, "label"), ["label"]).where("label > 0 and label <> n_label").select(*PIXEL, "label").distinct()
-    del own
     around = border.select("image_id", "label", F.explode(F.array(*(F.struct((F.col("y") + a).alias("y"), (F.col("x") + b).alias("x")) for a, b in steps))).alias("at")).select("image_id", "at.*", F.col("label").alias("nucleus"))
     claims = around.groupBy(*PIXEL).agg(F.min("nucleus").alias("nucleus"), F.max("nucleus").alias("other")).where("nucleus = other").drop("other")
     ring = grid.where("label = 0").join(claims, PIXEL)

@@ -7,9 +7,10 @@ in both directions and are counted, never taken as zero.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridquarry.sources.workspace import with_index
+from gridquarry.sources.workspace import broadcast_if_small, with_index, written
 
 
 def finite(c: Column) -> Column:
@@ -53,9 +54,30 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFra
 def summary(df: DataFrame, metric: str, *by: str) -> DataFrame:
     """n, missing, least, greatest, mean and exact median of a metric."""
     v = finite(F.col(metric))
-    return df.groupBy(*by).agg(
-        F.count(v).alias("n"), F.count_if(v.isNull()).alias("missing"), F.min(v).alias("least"), F.max(v).alias("greatest"), F.round(F.avg(v), 6).alias("mean"), F.round(F.percentile(v, 0.5), 6).alias("median")
-    )
+    one = df.groupBy(*by).agg(F.count(v).alias("n"), F.count_if(v.isNull()).alias("missing"), F.min(v).alias("least"), F.max(v).alias("greatest"), F.round(F.avg(v), 6).alias("mean"))
+    middle = quantiles(df, metric, [0.5], *by).select(*(F.col(c).alias(f"_{c}") for c in by), F.round("q0", 6).alias("median"))
+    same = F.lit(True)
+    for c in by:
+        same = same & one[c].eqNullSafe(F.col(f"_{c}"))
+    return one.join(middle, same, "left").select(*by, "n", "missing", "least", "greatest", "mean", "median")
+
+
+def quantiles(df: DataFrame, metric: str, shares: list[float], *by: str) -> DataFrame:
+    """by, q0, q1 and so on: exact quantiles of the finite values of a metric,
+    between neighbours in proportion. Values are range-sorted over the cluster
+    and picked by their places, so no group is gathered anywhere."""
+    values = df.select(*by, finite(F.col(metric)).cast("double").alias("_v")).where("_v is not null")
+    placed = with_index(values, *by, "_v", name="_i")
+    ends = placed.groupBy(*by).agg(F.min("_i").alias("_first"), (F.count("*") - 1).alias("_last"))
+    picks = []
+    for k, share in enumerate(shares):
+        at = F.lit(share) * F.col("_last")
+        low = F.floor(at)
+        for place, weight in ((low, 1 - (at - low)), (F.least(low + 1, F.col("_last")), at - low)):
+            picks.append(F.struct(F.lit(k).alias("k"), (F.col("_first") + place).alias("at"), weight.alias("w")))
+    wanted = broadcast_if_small(ends.select(*by, F.inline(F.array(*picks))))
+    found = wanted.join(placed.select("_i", "_v"), wanted["at"] == F.col("_i"))
+    return found.groupBy(*by).agg(*(F.sum(F.when(F.col("k") == k, F.col("w") * F.col("_v"))).alias(f"q{k}") for k in range(len(shares))))
 
 
 def histogram(df: DataFrame, metric: str, bins: int) -> DataFrame:
@@ -109,3 +131,32 @@ def membership_hash(df: DataFrame, binding: str, label: str = "label", *by: str)
     ranges = piece.groupBy(*by, "_r").agg(F.count("*").alias("_n"), F.sha2(F.array_join(F.sort_array(F.collect_list("_l")).cast("array<string>"), ","), 256).alias("_d"))
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "_d"))), lambda s: s["_d"]), ",")
     return ranges.groupBy(*by).agg(F.sum("_n").alias("n"), F.sha2(F.concat(F.lit(binding + ":"), whole), 256).alias("digest"))
+
+
+def population_query(df: DataFrame, ranges: dict, metric: str, order_metric: str, selected: int, *, descending: bool = False, offset: int = 0, limit: int = 50, bins: int = 8, sample: int = 13, binding: str = "population", label: str = "label") -> DataFrame:
+    """Every part of a population's answer as rows (part, place, name, label,
+    value, text), from one filtered table that is written once: accounting of
+    the filters, summary, histogram, missing values, a page in order, the place
+    of the selected label, an even sample and the digest of the members."""
+    long = lambda part, place="0", name="''", label="null", value="null", text="null": [f"'{part}' as part", f"cast({place} as bigint) as place", f"cast({name} as string) as name", f"cast({label} as bigint) as label", f"cast({value} as double) as value", f"cast({text} as string) as text"]
+    of = lambda one, part: one.unpivot([], [F.col(c).cast("double").alias(c) for c in one.columns], "name", "value").selectExpr(*long(part, name="name", value="value"))
+    kept = written(range_filters(df, ranges).select(label, *sorted({metric, order_metric, *ranges} - {label})))
+    shown = page(kept.select(F.col(label).alias("label"), order_metric), ordering(order_metric, descending), offset, limit)
+    shown = shown.withColumn("place", F.row_number().over(W.orderBy(*ordering(order_metric, descending))) - 1 + offset)  # a page's rows alone
+    hist = histogram(kept, metric, bins)
+    parts = [
+        of(filter_accounting(df, ranges), "filters"),
+        of(summary(kept, metric), "summary"),
+        hist.selectExpr(*long("histogram", "bin", "'n'", value="n")),
+        hist.selectExpr(*long("histogram", "bin", "'low'", value="low")),
+        hist.selectExpr(*long("histogram", "bin", "'high'", value="high")),
+        missing_counts(kept, *sorted({metric, order_metric})).selectExpr(*long("missing", name="metric", value="missing")),
+        shown.selectExpr(*long("page", "place", f"'{order_metric}'", "label", f"`{order_metric}`")),
+        selected_rank(kept.withColumnRenamed(label, "label"), order_metric, selected, descending).selectExpr(*long("rank", "place", label="label")),
+        even_sample(kept.select(F.col(label).alias("label"), metric), sample).selectExpr(*long("sample", "index", f"'{metric}'", "label", f"`{metric}`")),
+        membership_hash(kept, binding, label).selectExpr(*long("members", "n", text="digest")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out

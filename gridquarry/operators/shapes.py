@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import grid_components
 
 
 def edges(vertices: DataFrame) -> DataFrame:
@@ -20,21 +20,29 @@ def _side(ax: Column, ay: Column, bx: Column, by: Column, x: Column, y: Column)
     return F.signum((bx - ax) * (y - ay) - (by - ay) * (x - ax))
 
 
-def validity(vertices: DataFrame) -> DataFrame:
-    """shape, vertices, valid: three distinct vertices or more and no two edges
-    that cross; neighbouring edges meet at their common vertex alone."""
+def validity(vertices: DataFrame, most: int = 64) -> DataFrame:
+    """shape, vertices, valid: 3 to ``most`` distinct vertices, an area, no two
+    edges that meet, and neighbouring edges that share their vertex alone."""
     e = edges(vertices)
     a, b = e.alias("a"), e.alias("b")
     c = lambda s, k: F.col(f"{s}.{k}")
+    meet = c("a", "shape") == c("b", "shape")
     apart = (c("b", "i") > c("a", "i") + 1) & ~((c("a", "i") == 0) & (c("b", "i") == c("a", "n") - 1))
     s1 = _side(c("a", "ax"), c("a", "ay"), c("a", "bx"), c("a", "by"), c("b", "ax"), c("b", "ay"))
     s2 = _side(c("a", "ax"), c("a", "ay"), c("a", "bx"), c("a", "by"), c("b", "bx"), c("b", "by"))
     s3 = _side(c("b", "ax"), c("b", "ay"), c("b", "bx"), c("b", "by"), c("a", "ax"), c("a", "ay"))
     s4 = _side(c("b", "ax"), c("b", "ay"), c("b", "bx"), c("b", "by"), c("a", "bx"), c("a", "by"))
     box = (F.greatest(c("a", "ax"), c("a", "bx")) >= F.least(c("b", "ax"), c("b", "bx"))) & (F.greatest(c("b", "ax"), c("b", "bx")) >= F.least(c("a", "ax"), c("a", "bx"))) & (F.greatest(c("a", "ay"), c("a", "by")) >= F.least(c("b", "ay"), c("b", "by"))) & (F.greatest(c("b", "ay"), c("b", "by")) >= F.least(c("a", "ay"), c("a", "by")))
-    crossed = a.join(b, (c("a", "shape") == c("b", "shape")) & apart).where(box & (s1 * s2 <= 0) & (s3 * s4 <= 0)).select(c("a", "shape").alias("shape")).distinct().withColumn("crossed", F.lit(True))
+    crossed = a.join(b, meet & apart).where(box & (s1 * s2 <= 0) & (s3 * s4 <= 0)).select(c("a", "shape").alias("shape"))
+    # The edge after a goes back over it where it doesn't turn but points the other way.
+    after = c("b", "i") == F.pmod(c("a", "i") + 1, c("a", "n"))
+    ahead = (c("a", "bx") - c("a", "ax")) * (c("b", "bx") - c("b", "ax")) + (c("a", "by") - c("a", "ay")) * (c("b", "by") - c("b", "ay"))
+    folded = a.join(b, meet & after).where((s2 == 0) & (ahead < 0)).select(c("a", "shape").alias("shape"))
+    faults = crossed.union(folded).distinct().withColumn("fault", F.lit(True))
+    area = e.groupBy("shape").agg(F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")).alias("area"))
     counted = vertices.groupBy("shape").agg(F.count_distinct(F.struct("x", "y")).alias("distinct"), F.count("*").alias("vertices"))
-    return counted.join(crossed, "shape", "left").select("shape", "vertices", ((F.col("distinct") == F.col("vertices")) & (F.col("vertices") >= 3) & F.col("crossed").isNull()).alias("valid"))
+    sound = (F.col("distinct") == F.col("vertices")) & F.col("vertices").between(3, most) & (F.col("area") != 0) & F.col("fault").isNull()
+    return counted.join(area, "shape").join(faults, "shape", "left").select("shape", "vertices", F.coalesce(sound, F.lit(False)).alias("valid"))
 
 
 def inside_crop(vertices: DataFrame, crop: tuple[float, float, float, float]) -> DataFrame:
@@ -44,16 +52,12 @@ def inside_crop(vertices: DataFrame, crop: tuple[float, float, float, float]) ->
     return held.where("held").join(validity(vertices).where("valid"), "shape").select("shape", "vertices")
 
 
-def volume_components(mask: DataFrame, width: int, height: int) -> DataFrame:
+def volume_components(mask: DataFrame, width: int, height: int, block: int = 32) -> DataFrame:
     """Components of voxels (z, y, x) that share a face: label is the number
     of the component's first voxel."""
     number = (F.col("z") * height + F.col("y")) * width + F.col("x")
-    own = mask.select("z", "y", "x", number.alias("voxel"))
-    steps = F.array(*(F.struct((F.col("z") + a).alias("z"), (F.col("y") + b).alias("y"), (F.col("x") + c).alias("x")) for a, b, c in ((1, 0, 0), (0, 1, 0), (0, 0, 1))))
-    ahead = own.select(F.col("voxel").alias("src"), F.explode(steps).alias("at")).select("src", "at.*")
-    pairs = ahead.join(own, ["z", "y", "x"]).select("src", F.col("voxel").alias("dst"))
-    roots = connected_components(pairs)
-    return own.join(roots, own.voxel == roots.node, "left").select("z", "y", "x", F.coalesce("root", "voxel").alias("label"))
+    found = grid_components(mask.select("z", "y", "x", number.alias("node")), ["z", "y", "x"], [(1, 0, 0), (0, 1, 0), (0, 0, 1)], block)
+    return found.withColumnRenamed("root", "label")
 
 
 def shifts(pairs: DataFrame) -> DataFrame:

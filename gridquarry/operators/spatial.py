@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridquarry.sources.workspace import written
 
 from .gates import in_polygon
-from .grids import PIXEL, neighbours
+from .grids import PIXEL, components, neighbours
 
 
 def r(c: Column, digits: int = 6) -> Column:
@@ -59,15 +59,15 @@ def polygon_measures(grid: DataFrame, polygons: dict[str, list[tuple[float, floa
     return inside.groupBy("image_id", "region").agg(F.count("*").alias("pixels"), r(F.avg(channel)).alias("mean"), r(F.sum(channel), 4).alias("sum"), F.min(channel).alias("least"), F.max(channel).alias("greatest"))
 
 
-def plateau_maxima(grid: DataFrame, channel: str) -> DataFrame:
-    """Pixels that no neighbour (of eight) exceeds and that come first by rows
-    among equal neighbours."""
+def plateau_maxima(grid: DataFrame, channel: str, width: int, height: int) -> DataFrame:
+    """One pixel of each plateau: of connected pixels (of eight neighbours)
+    that no neighbour exceeds, the first by rows. They are equally high."""
     own = grid.select(*PIXEL, channel)
-    near = neighbours(own, [channel], diagonal=True)
-    number = F.struct("y", "x")
-    other = F.struct((F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x"))
-    beaten = near.where((F.col(f"n_{channel}") > F.col(channel)) | ((F.col(f"n_{channel}") == F.col(channel)) & (other < number)))
-    return own.join(beaten.select(*PIXEL).distinct(), PIXEL, "left_anti")
+    beaten = neighbours(own, [channel], diagonal=True).where(F.col(f"n_{channel}") > F.col(channel)).select(*PIXEL).distinct()
+    tops = written(own.join(beaten, PIXEL, "left_anti"))
+    labelled = components(tops.select(*PIXEL), width, height, diagonal=True)
+    firsts = labelled.groupBy("image_id", "label").agg(F.min(F.struct("y", "x")).alias("at")).select("image_id", "at.*")
+    return tops.join(firsts, PIXEL, "left_semi")
 
 
 def to_tiles(grid: DataFrame, channel: str, size: int) -> DataFrame:

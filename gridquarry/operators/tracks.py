@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from gridquarry.sources.workspace import written
 
+from .matching import sequential_matching
+
 
 def r(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits)
@@ -28,23 +30,22 @@ def candidates(det: DataFrame, most: float, gap: int = 0) -> DataFrame:
     return a.join(b, ["seq", "f1", "cx", "cy"]).withColumn("distance", far).where(F.col("distance") <= most).select("seq", F.col("f1").alias("frame"), "src", "dst", "step", "distance")
 
 
-def mutual_links(pairs: DataFrame) -> DataFrame:
-    """Pairs whose ends are each other's nearest candidates (ties to the lower
-    label). This isn't the assignment with most links and then least total
-    distance: it leaves ends unlinked that have a free partner, and may hold
-    links that the assignment doesn't (on a line, sources 0 and 1.1, targets
-    1.0 and 2.2: 1.1-1.0 instead of 0-1.0 and 1.1-2.2)."""
-    best = lambda key, other: F.row_number().over(W.partitionBy("seq", key).orderBy("distance", other))
-    return pairs.withColumns({"_a": best("src", "dst"), "_b": best("dst", "src")}).where("_a = 1 and _b = 1").drop("_a", "_b")
+def links(pairs: DataFrame, gap: int = 0) -> DataFrame:
+    """The candidates that link detections one to one: in each pair of frames
+    most links, then the least total distance; with ``gap``, what a frame has
+    left goes to later frames, in order of the frames."""
+    return sequential_matching(pairs, "seq", gap)
 
 
 def ambiguity(pairs: DataFrame, links: DataFrame, slack: float) -> DataFrame:
     """Of each link the number of other candidates of its source and of its
-    target that are at most ``slack`` farther."""
-    own = links.select("seq", "src", "dst", F.col("distance").alias("own"))
-    count = lambda key, other: own.join(pairs.select("seq", F.col(key), F.col(other).alias("o"), "distance"), ["seq", key]).where((F.col("o") != F.col(other)) & (F.col("distance") <= F.col("own") + slack)).groupBy("seq", key).agg(F.count("*").alias(f"by_{key}"))
-    out = own.join(count("src", "dst"), ["seq", "src"], "left").join(count("dst", "src"), ["seq", "dst"], "left")
-    return out.select("seq", "src", "dst", F.coalesce("by_src", F.lit(0)).alias("by_source"), F.coalesce("by_dst", F.lit(0)).alias("by_target"))
+    target in the same pair of frames that are at most ``slack`` farther, and
+    what that makes it: ambiguous, a possible split, a possible merge."""
+    own = links.select("seq", "frame", "step", "src", "dst", F.col("distance").alias("own"))
+    count = lambda key, other: own.join(pairs.select("seq", "frame", "step", F.col(key), F.col(other).alias("o"), "distance"), ["seq", "frame", "step", key]).where((F.col("o") != F.col(other)) & (F.col("distance") <= F.col("own") + slack)).groupBy("seq", key).agg(F.count("*").alias(f"by_{key}"))
+    out = own.join(count("src", "dst"), ["seq", "src"], "left").join(count("dst", "src"), ["seq", "dst"], "left").fillna(0, ["by_src", "by_dst"])
+    split, merge = F.col("by_src") > 0, F.col("by_dst") > 0
+    return out.select("seq", "src", "dst", F.col("by_src").alias("by_source"), F.col("by_dst").alias("by_target"), (split | merge).alias("ambiguous"), split.alias("split"), merge.alias("merge"))
 
 
 def edge_faults(det: DataFrame, edges: DataFrame) -> DataFrame:
@@ -60,15 +61,22 @@ def edge_faults(det: DataFrame, edges: DataFrame) -> DataFrame:
 def chains(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Of each node the start of its chain of one-in one-out edges and the
     edges from there: pointer doubling, a join for each power of two of the
-    longest chain."""
+    longest chain. Branches, merges and cycles are refused."""
+    edges = written(edges.select("src", "dst").distinct())
+    for end in ("src", "dst"):
+        if not edges.groupBy(end).count().where("count > 1").isEmpty():
+            raise ValueError(f"a node has several edges of one {end}")
     step = written(nodes.join(edges.select(F.col("dst").alias("node"), F.col("src").alias("up")), "node", "left").select("node", F.coalesce("up", "node").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("far")))
+    rounds = step.count().bit_length() + 1
     while True:
         other = step.select(F.col("node").alias("up"), F.col("up").alias("top"), F.col("far").alias("more"))
         nxt = written(step.join(other, "up").select("node", F.col("top").alias("up"), (F.col("far") + F.col("more")).alias("far")))
         moved = nxt.agg(F.sum("far")).first()[0] != step.agg(F.sum("far")).first()[0]
-        step = nxt
+        step, rounds = nxt, rounds - 1
         if not moved:
             return step.select("node", F.col("up").alias("track"), F.col("far").alias("depth"))
+        if rounds < 0:
+            raise ValueError("the edges make a cycle")
 
 
 def observations(det: DataFrame, track: list[str], order: list[str]) -> DataFrame:

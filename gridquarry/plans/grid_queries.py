@@ -25,15 +25,15 @@ def principal_radii(spark, d):
     return grids.principal_radii(views.labels_ref(spark, d))
 
 
-@query("a03_mergeable_partials", sql("labels_ref", then="select image_id, label, count(*) as pixels, round(avg(v), 6) as mean, round(stddev_pop(v), 4) as sd from labels_ref where label > 0 group by all"))
+@query("a03_mergeable_partials", sql("labels_ref", then="select image_id, label, count(*) as pixels, round(avg(v), 6) as mean, round(stddev_pop(v), 5) as sd, round(covar_pop(v, v2), 8) as covariance from labels_ref where label > 0 group by all"))
 def mergeable_partials(spark, d):
-    return grids.tiled_measures(views.labels_ref(spark, d), "v", 3)
+    return grids.tiled_measures(views.labels_ref(spark, d), "v", 3, "v2")
 
 
 def _compartment_sql() -> str:
     parts = []
     for name, inside in (("cell", "true"), ("nuclear", "inner_label > 0"), ("cytoplasm", "inner_label = 0")):
-        parts.append(f"count(*) filter ({inside}) as {name}_pixels, round(coalesce(sum(v) filter ({inside}), 0), 4) as {name}_sum, round(avg(v) filter ({inside}), 6) as {name}_mean, min(v) filter ({inside}) as {name}_min, max(v) filter ({inside}) as {name}_max")
+        parts.append(f"count(*) filter ({inside}) as {name}_pixels, round(coalesce(sum(v) filter ({inside}), 0), 4) as {name}_sum, round(avg(v) filter ({inside}), 6) as {name}_mean, min(v) filter ({inside}) as {name}_min, max(v) filter ({inside}) as {name}_max, round(stddev_pop(v) filter ({inside}), 5) as {name}_sd")
     return sql("labels_ref", "labels_pred", then=f"select image_id, label, {', '.join(parts)} from (select r.*, p.label as inner_label from labels_ref r join labels_pred p using (image_id, y, x)) where label > 0 group by all")
 
 
@@ -78,38 +78,51 @@ def region_agreement(spark, d):
     return grids.region_agreement(views.labels_ref(spark, d), views.labels_pred(spark, d))
 
 
-def _instances(above: str) -> str:
-    return _pairs(f"""select image_id, tp, preds - tp as fp, refs - tp as fn, round(tp / preds, 6) as "precision", round(tp / refs, 6) as recall, round(2 * tp / (refs + preds), 6) as f1, round(mean_iou, 6) as mean_iou
+#: Counts and scores of each image at IoU 0.5. On these tables no object has two partners there.
+_AGREEMENT = _pairs("""select *, preds - tp as fp, refs - tp as fn, round(tp / preds, 6) as "precision", round(tp / refs, 6) as recall, round(2 * tp / (refs + preds), 6) as f1, preds - refs as count_error, round(abs(preds - refs) / refs, 6) as count_error_share
     from (select image_id, count(distinct label) filter (label > 0) as refs from labels_ref group by 1) join (select image_id, count(distinct label) filter (label > 0) as preds from labels_pred group by 1) using (image_id)
-    join (select image_id, count(iou) filter ({above}) as tp, avg(iou) filter ({above}) as mean_iou from (select distinct image_id from px) left join ious using (image_id) group by 1) using (image_id)""")
+    join (select image_id, count(iou) filter (iou >= 0.5) as tp, round(avg(iou) filter (iou >= 0.5), 6) as mean_iou from (select distinct image_id from px) left join ious using (image_id) group by 1) using (image_id)
+    join (select i.image_id, (select count(*) from (select ref from ious where ious.image_id = i.image_id group by ref having count(*) > 1)) as splits, (select count(*) from (select pred from ious where ious.image_id = i.image_id group by pred having count(*) > 1)) as merges,
+        coalesce((select string_agg(cast(label as varchar), ',' order by label) from (select distinct label from labels_ref where image_id = i.image_id and label > 0 and label not in (select ref from ious where ious.image_id = i.image_id and iou >= 0.5))), '') as missed,
+        coalesce((select string_agg(cast(label as varchar), ',' order by label) from (select distinct label from labels_pred where image_id = i.image_id and label > 0 and label not in (select pred from ious where ious.image_id = i.image_id and iou >= 0.5))), '') as surplus
+        from (select distinct image_id from px) i) using (image_id)""")
 
 
-@query("a21_instance_agreement", _instances("iou > 0.5"))
+@query("a21_instance_agreement", f'select image_id, tp, fp, fn, "precision", recall, f1, mean_iou, count_error, count_error_share, splits, merges, missed, surplus from ({_AGREEMENT})')
 def instance_agreement(spark, d):
     return grids.instance_agreement(views.labels_ref(spark, d), views.labels_pred(spark, d), 0.5)
 
 
-@query("j07_optimal_matching", _pairs("select image_id, ref, pred, round(iou, 8) as iou from ious where iou > 0.5"))
+@query("j07_optimal_matching", _pairs("select image_id, ref, pred, round(iou, 8) as iou from ious where iou >= 0.5"))
 def optimal_matching(spark, d):
-    return grids.overlaps(views.labels_ref(spark, d), views.labels_pred(spark, d)).where("iou > 0.5").select("image_id", "ref", "pred", F.round("iou", 8).alias("iou"))
+    return grids.matches(views.labels_ref(spark, d), views.labels_pred(spark, d), 0.5).withColumn("iou", F.round("iou", 8))
 
 
-@query("j08_cardinality_matching", _pairs("select image_id, count(iou) filter (iou > 0.5) as pairs from (select distinct image_id from px) left join ious using (image_id) group by 1"))
+@query("j07_optimal_matching_low")
+def optimal_matching_low(spark, d):
+    return grids.matches(views.labels_ref(spark, d), views.labels_pred(spark, d), 0.2).withColumn("iou", F.round("iou", 8))
+
+
+@query("j08_cardinality_matching", _pairs("select image_id, count(iou) filter (iou >= 0.5) as pairs from (select distinct image_id from px) left join ious using (image_id) group by 1"))
 def cardinality_matching(spark, d):
     return grids.instance_agreement(views.labels_ref(spark, d), views.labels_pred(spark, d), 0.5).select("image_id", F.col("tp").alias("pairs"))
 
 
-@query("a22_model_agreement_macro", _pairs("""select round(avg(f1), 5) as mean_f1, round(median(f1), 5) as median_f1, round(quantile_cont(1 - f1, 0.9), 5) as p90_loss from (""" + _instances("iou > 0.5").split(_PAIRS)[1] + ")"))
+@query("a22_model_agreement_macro", "with agreement as (" + _AGREEMENT + "), pixel as (" + sql("labels_ref", "labels_pred", then="select image_id, round(count(*) filter (r.label > 0 and p.label > 0) / count(*) filter (r.label > 0 or p.label > 0), 6) as iou from labels_ref r join labels_pred p using (image_id, y, x) group by 1") + """)
+    select image_id % 2 as "group", count(*) as images, round(avg(f1), 5) as mean_f1, round(median(f1), 5) as median_f1, round(avg(iou), 5) as mean_pixel_iou, round(median(iou), 5) as median_pixel_iou, round(avg(abs(count_error)), 5) as mean_count_error, round(quantile_cont(100 * count_error_share, 0.9), 3) as p90_percent_error from agreement join pixel using (image_id) group by 1""")
 def model_agreement_macro(spark, d):
-    a = grids.instance_agreement(views.labels_ref(spark, d), views.labels_pred(spark, d), 0.5)
-    return a.agg(F.round(F.avg("f1"), 5).alias("mean_f1"), F.round(F.median("f1"), 5).alias("median_f1"), F.round(F.percentile(1 - F.col("f1"), 0.9), 5).alias("p90_loss"))
+    first, second = views.labels_ref(spark, d), views.labels_pred(spark, d)
+    a = grids.instance_agreement(first, second, 0.5).join(grids.region_agreement(first, second).select("image_id", "iou"), "image_id")
+    both = lambda c, name: [F.round(F.avg(c), 5).alias(f"mean_{name}"), F.round(F.median(c), 5).alias(f"median_{name}")]
+    return a.groupBy((F.col("image_id") % 2).alias("group")).agg(F.count("*").alias("images"), *both("f1", "f1"), *both("iou", "pixel_iou"), F.round(F.avg(F.abs("count_error")), 5).alias("mean_count_error"), F.round(F.percentile(100 * F.col("count_error_share"), 0.9), 3).alias("p90_percent_error"))
 
 
-@query("a23_validation_pooled", _pairs("""select cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) as f1, round(sum(tp) / (sum(tp) + sum(fp) + sum(fn)), 6) as ap from (""" + _instances("iou > 0.5").split(_PAIRS)[1] + ")"))
+@query("a23_validation_pooled", f"select cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) as f1, round(sum(tp) / (sum(tp) + sum(fp) + sum(fn)), 6) as ap, round(sum(preds - refs) / sum(refs), 6) as count_bias, round(median(100 * count_error_share), 3) as median_percent_error, round(quantile_cont(100 * count_error_share, 0.9), 3) as p90_percent_error from ({_AGREEMENT})")
 def validation_pooled(spark, d):
     a = grids.instance_agreement(views.labels_ref(spark, d), views.labels_pred(spark, d), 0.5)
     tp, fp, fn = (F.sum(c) for c in ("tp", "fp", "fn"))
-    return a.agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), F.round(2 * tp / (2 * tp + fp + fn), 6).alias("f1"), F.round(tp / (tp + fp + fn), 6).alias("ap"))
+    error = 100 * F.col("count_error_share")
+    return a.agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), F.round(2 * tp / (2 * tp + fp + fn), 6).alias("f1"), F.round(tp / (tp + fp + fn), 6).alias("ap"), F.round(F.try_divide(F.sum("count_error"), tp + fn), 6).alias("count_bias"), F.round(F.median(error), 3).alias("median_percent_error"), F.round(F.percentile(error, 0.9), 3).alias("p90_percent_error"))
 
 
 @query("a17_colocalisation", sql("px", then="select image_id, round(corr(v, v2), 5) as pearson, round(sum(v) filter (v > 5 and v2 > 300) / sum(v) filter (v > 5), 6) as first_share, round(sum(v2) filter (v > 5 and v2 > 300) / sum(v2) filter (v2 > 300), 6) as second_share from px group by image_id"))
@@ -302,13 +315,15 @@ def label_grid_hash(spark, d):
     return rows.groupBy("image_id").agg(F.sha2(ordered("y", "d"), 256).alias("digest"))
 
 
-@query("h08_measurement_reconcile", sql("labels_ref", then="select image_id, label, count(*) as pixels, true as agrees from labels_ref where label > 0 group by all"))
+@query("h08_measurement_reconcile", sql("labels_ref", then="select image_id, label, count(*) as pixels, round(avg(v), 6) as mean, round(stddev_pop(v), 5) as sd, true as agrees from labels_ref where label > 0 group by all"))
 def measurement_reconcile(spark, d):
     g = views.labels_ref(spark, d)
-    a = grids.object_measures(g, ["v"], WIDTH, HEIGHT).select(*grids.OBJECT, "pixels", F.col("v_mean").alias("mean"))
-    b = grids.tiled_measures(g, "v", 4).select(*grids.OBJECT, F.col("pixels").alias("n"), F.col("mean").alias("other"))
-    near = F.abs(F.col("mean") - F.col("other")) <= 1e-5 + 1e-6 * F.abs("other")
-    return a.join(b, grids.OBJECT, "full_outer").select(*grids.OBJECT, "pixels", F.coalesce((F.col("pixels") == F.col("n")) & near, F.lit(False)).alias("agrees"))
+    a = grids.object_measures(g, ["v"], WIDTH, HEIGHT).select(*grids.OBJECT, "pixels", F.col("v_mean").alias("mean"), F.col("v_sd").alias("sd"))
+    b = grids.tiled_measures(g, "v", 4).select(*grids.OBJECT, F.col("pixels").alias("n"), F.col("mean").alias("mean2"), F.col("sd").alias("sd2"))
+    near = lambda c: F.abs(F.col(c) - F.col(f"{c}2")) <= 1e-5 + 1e-6 * F.abs(f"{c}2")
+    agrees = F.coalesce((F.col("pixels") == F.col("n")) & near("mean") & near("sd"), F.lit(False))
+    # What is given comes from the tiles, and is compared with SQL over the whole.
+    return a.join(b, grids.OBJECT, "full_outer").select(*grids.OBJECT, F.col("n").alias("pixels"), F.col("mean2").alias("mean"), F.col("sd2").alias("sd"), agrees.alias("agrees"))
 
 
 @query("x03_probability_postprocess", "select image_id, label, count(*) as pixels from (" + _components_sql(f"select image_id, y, x, {_NUMBER} from px where least(v / 50, 1) >= 0.4", _NEAR) + ") group by all having count(*) >= 2")

@@ -96,9 +96,28 @@ def population_page(spark, d):
     return population.page(population.range_filters(views.objects(spark, d), RANGES).select("label", "measure", "size"), population.ordering("measure"), 20, 50)
 
 
-@query("t03_population_query", sql("objects", then=f"select count(*) as n, cast(0 as bigint) as missing, min(measure) as least, max(measure) as greatest, round(avg(measure), 6) as mean, round(median(measure), 6) as median from objects where {_WHERE}"))
+def _long(part: str, place="0", name="''", label="null", value="null", text="null", source="kept") -> str:
+    return f"select '{part}' as part, cast({place} as bigint) as place, cast({name} as varchar) as name, cast({label} as bigint) as label, cast({value} as double) as value, cast({text} as varchar) as text from {source}"
+
+
+_EDGE = "round(lo + (hi - lo) * {} / 8, 6)"
+_T03 = sql("objects", then="").rstrip() + f""", kept as (select * from objects where {_WHERE}), ends as (select min(measure) as lo, max(measure) as hi from kept), bins as (select unnest(range(0, 8)) as bin),
+    hist as (select bin, (select count(*) from kept where least(floor((measure - lo) * 8 / (hi - lo)), 7) = bin) as n, lo, hi from bins, ends where lo is not null),
+    ranked as (select *, row_number() over (order by size desc nulls last, label) - 1 as place, row_number() over (order by label) - 1 as i, count(*) over () as many from kept), """ + """
+    accounting as (select count(*) as total, count(*) filter (where """ + _WHERE + """) as selected, count(*) filter (where measure is null) as missing_measure, count(*) filter (where size is null) as missing_size from objects),
+    whole as (select count(measure) as n, count(*) filter (where measure is null) as missing, min(measure) as least, max(measure) as greatest, round(avg(measure), 6) as mean, round(median(measure), 6) as median from kept),
+    ranges as (select label // 4096 as r, count(*) as n, sha256(string_agg(cast(label as varchar), ',' order by label)) as d from kept group by all) """ + " union all ".join(
+    [_long("filters", name=f"'{c}'", value=c, source="accounting") for c in ("total", "selected", "missing_measure", "missing_size")]
+    + [_long("summary", name=f"'{c}'", value=f'"{c}"', source="whole") for c in ("n", "missing", "least", "greatest", "mean", "median")]
+    + [_long("histogram", "bin", f"'{n}'", value=v, source="hist") for n, v in (("n", "n"), ("low", _EDGE.format("bin")), ("high", _EDGE.format("(bin + 1)")))]
+    + [_long("missing", name=f"'{m}'", value=f"count(*) filter (where {m} is null)") for m in ("measure", "size")]
+    + [_long("page", "place", "'size'", "label", "size", source="ranked where place between 10 and 39"), _long("rank", "place", label="label", source="ranked where label = 77"), _long("sample", "i", "'measure'", "label", "measure", source="ranked where many <= 13 or i in (select k * (many - 1) // 12 from range(0, 13) t(k))"), _long("members", "sum(n)", text="sha256('part:' || coalesce(string_agg(d, ',' order by r), ''))", source="ranges")]
+)
+
+
+@query("t03_population_query", _T03)
 def population_query(spark, d):
-    return population.summary(population.range_filters(views.objects(spark, d), RANGES), "measure")
+    return population.population_query(views.objects(spark, d), RANGES, "measure", "size", 77, descending=True, offset=10, limit=30, binding="part")
 
 
 @query("t04_preview_head", sql("objects", then="select label, measure, size, brand from objects order by label limit 5"))
@@ -219,10 +238,10 @@ def sample_metadata_check(spark, d):
     return table(spark, d, "customer").select("c_custkey", cells.metadata_reasons(F.col("c_name"), F.expr("nullif(c_mktsegment, 'HOUSEHOLD')")).alias("reasons"))
 
 
-@query("s15_formula_safe_csv", "select doc_id, case when regexp_matches(left(text, 8), '^[ \\t\\r\\n]*[=+@-]') then '''' || left(text, 8) else left(text, 8) end as cell from (select doc_id, case when doc_id % 3 = 0 then '=' || text else text end as text from documents)")
+@query("s15_formula_safe_csv", "select doc_id, case when regexp_matches(text, '^[ \\t\\r\\n]*[=+@-]') then '''' || text else text end as cell from (select doc_id, case when doc_id % 3 = 0 then '=' || text else text end as text from documents)")
 def formula_safe_csv(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), "text")).otherwise(F.col("text")).alias("text"))
-    return docs.select("doc_id", cells.formula_safe(F.substring("text", 1, 8)).alias("cell"))
+    return docs.select("doc_id", cells.formula_safe(F.col("text")).alias("cell"))
 
 
 @query("s16_lossless_cell_encode", "select doc_id, case when text is null then '\\N' when regexp_matches(text, '^[ \\t\\r\\n]*[''=+@-]') then '''' || replace(text, '\\', '\\\\') else replace(text, '\\', '\\\\') end as cell from documents")
@@ -284,7 +303,7 @@ def revision_checked_append(spark, d):
     return sets.checked_append(turns.groupBy("conv_id").agg(F.max("turn").alias("current")), turns, "conv_id", "turn")
 
 
-@query("s29_byte_bounded_page", "select doc_id, bytes from (select doc_id, strlen(text) as bytes, sum(strlen(text)) over (order by doc_id) as total from documents where text is not null) where total <= 65536")
+@query("s29_byte_bounded_page", "select doc_id, bytes, count(*) over () as next_offset from (select doc_id, strlen(text) as bytes, sum(strlen(text)) over (order by doc_id) as total from documents where text is not null) where total <= 65536 or total = bytes")
 def byte_bounded_page(spark, d):
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.octet_length("text").cast("bigint").alias("bytes"))
     return cells.byte_page(docs, "doc_id", "bytes", 65536)

@@ -28,7 +28,8 @@ _VALIDITY = (
     f"{_VERTICES}, n as (select *, coalesce(lead(x) over w, first(x) over u) as bx, coalesce(lead(y) over w, first(y) over u) as by from v window w as (partition by shape order by i), u as (partition by shape order by i rows between unbounded preceding and unbounded following)), "
     "crossed as (select distinct a.shape from n a join n b on a.shape = b.shape and b.i = a.i + 2 where greatest(a.x, a.bx) >= least(b.x, b.bx) and greatest(b.x, b.bx) >= least(a.x, a.bx) and greatest(a.y, a.by) >= least(b.y, b.by) and greatest(b.y, b.by) >= least(a.y, a.by) "
     "and sign((a.bx - a.x) * (b.y - a.y) - (a.by - a.y) * (b.x - a.x)) * sign((a.bx - a.x) * (b.by - a.y) - (a.by - a.y) * (b.bx - a.x)) <= 0 and sign((b.bx - b.x) * (a.y - b.y) - (b.by - b.y) * (a.x - b.x)) * sign((b.bx - b.x) * (a.by - b.y) - (b.by - b.y) * (a.bx - b.x)) <= 0), "
-    "valid as (select shape, count(*) as vertices, count(distinct (x, y)) = 4 and shape not in (select shape from crossed) as valid from v group by 1)"
+    "folded as (select a.shape from n a join n b on a.shape = b.shape and b.i = (a.i + 1) % 4 where (a.bx - a.x) * (b.by - a.y) - (a.by - a.y) * (b.bx - a.x) = 0 and (a.bx - a.x) * (b.bx - b.x) + (a.by - a.y) * (b.by - b.y) < 0), "
+    "valid as (select shape, count(*) as vertices, count(distinct (x, y)) = 4 and sum(n.x * n.by - n.bx * n.y) <> 0 and shape not in (select shape from crossed) and shape not in (select shape from folded) as valid from n group by 1)"
 )
 
 

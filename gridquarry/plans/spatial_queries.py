@@ -83,14 +83,23 @@ def slide_roi_measures(spark, d):
     return inside.groupBy("image_id").agg(F.count("*").alias("pixels"), F.round(F.avg("v"), 6).alias("red"), F.round(F.avg("v2"), 6).alias("green"), F.round(F.avg(F.when(F.col("v") > 5, 1.0).otherwise(0.0)), 6).alias("tissue"))
 
 
-@query("w09_plateau_representative", sql("px", then="select image_id, y, x, v from px a where not exists (select 1 from px b where b.image_id = a.image_id and abs(b.y - a.y) <= 1 and abs(b.x - a.x) <= 1 and (b.v > a.v or (b.v = a.v and b.y * 100 + b.x < a.y * 100 + a.x)))"))
+#: One pixel a plateau of pixels that no neighbour exceeds: the first by rows.
+_TOPS = """e as (select image_id, y, x, v, y * 100 + x as p from px a where not exists (select 1 from px b where b.image_id = a.image_id and abs(b.y - a.y) <= 1 and abs(b.x - a.x) <= 1 and b.v > a.v)), walk(image_id, y, x, p, root) as (select image_id, y, x, p, p from e union select b.image_id, b.y, b.x, b.p, w.root from walk w join e b on b.image_id = w.image_id and abs(b.y - w.y) <= 1 and abs(b.x - w.x) <= 1 and w.root < b.p), tops as (select image_id, y, x, v from e join (select image_id, p, min(root) as root from walk group by all) using (image_id, p) where p = root)"""
+
+
+@query("w09_plateau_representative", sql("px", then="").replace("with ", "with recursive ", 1).rstrip() + f", {_TOPS} select * from tops")
 def plateau_representative(spark, d):
-    return spatial.plateau_maxima(views.px(spark, d), "v")
+    return spatial.plateau_maxima(views.px(spark, d), "v", views.WIDTH, views.HEIGHT)
+
+
+@query("w09_plateaus_of_whole_numbers", sql("px", then="").replace("with ", "with recursive ", 1).replace("value as v,", "floor(value / 4) as v,").rstrip() + f", {_TOPS} select * from tops")
+def plateaus_of_whole_numbers(spark, d):
+    return spatial.plateau_maxima(views.px(spark, d).withColumn("v", F.floor(F.col("v") / 4).cast("double")), "v", views.WIDTH, views.HEIGHT)
 
 
-@query("g09_puncta", sql("px", then="select image_id, count(*) as maxima, round(avg(v), 6) as mean from px a where v > 10 and not exists (select 1 from px b where b.image_id = a.image_id and abs(b.y - a.y) <= 1 and abs(b.x - a.x) <= 1 and (b.v > a.v or (b.v = a.v and b.y * 100 + b.x < a.y * 100 + a.x))) group by 1"))
+@query("g09_puncta", sql("px", then="").replace("with ", "with recursive ", 1).rstrip() + f", {_TOPS} select image_id, count(*) as maxima, round(avg(v), 6) as mean from tops where v > 10 group by 1")
 def puncta(spark, d):
-    return spatial.plateau_maxima(views.px(spark, d), "v").where("v > 10").groupBy("image_id").agg(F.count("*").alias("maxima"), F.round(F.avg("v"), 6).alias("mean"))
+    return spatial.plateau_maxima(views.px(spark, d), "v", views.WIDTH, views.HEIGHT).where("v > 10").groupBy("image_id").agg(F.count("*").alias("maxima"), F.round(F.avg("v"), 6).alias("mean"))
 
 
 @query("s05_tile_grid_scan", sql("px", then="select image_id, y, x, v from px"))
@@ -297,4 +306,4 @@ def declared_pipeline(spark, d):
 
 @query("j14_gap_tracking")
 def gap_tracking(spark, d):
-    return tracks.mutual_links(tracks.candidates(views.det(spark, d), 25.0, gap=1))
+    return tracks.links(tracks.candidates(views.det(spark, d), 25.0, gap=1), 1)

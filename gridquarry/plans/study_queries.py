@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridquarry.operators import gates, studies, tracks
 from gridquarry.sources import views
 from gridquarry.sources.views import sql, table
+from gridquarry.sources.workspace import written
 
 from .catalog import query
 
@@ -330,18 +331,15 @@ def polyline_metrics(spark, d):
     return gates.polyline_lengths(_paths(spark, d), "user_id", _BY_TIME)
 
 
-_CAND = sql("det", then="").rstrip() + ", cand as (select a.seq, a.frame, a.label as src, b.label as dst, cast(1 as int) as step, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as distance from det a join det b on a.seq = b.seq and b.frame = a.frame + 1 where sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 25), links as (select * from (select *, row_number() over (partition by seq, src order by distance, dst) as p, row_number() over (partition by seq, dst order by distance, src) as q from cand) where p = 1 and q = 1) "
-
-
-@query("j14_gated_tracking", _CAND + "select seq, frame, src, dst, step, round(distance, 6) as distance from links")
+@query("j14_gated_tracking")
 def gated_tracking(spark, d):
-    return tracks.mutual_links(tracks.candidates(views.det(spark, d), 25.0)).withColumn("distance", F.round("distance", 6))
+    return tracks.links(tracks.candidates(views.det(spark, d), 25.0)).withColumn("distance", F.round("distance", 6))
 
 
-@query("j15_tracking_ambiguity", _CAND + "select l.seq, l.src, l.dst, (select count(*) from cand c where c.seq = l.seq and c.src = l.src and c.dst <> l.dst and c.distance <= l.distance + 5) as by_source, (select count(*) from cand c where c.seq = l.seq and c.dst = l.dst and c.src <> l.src and c.distance <= l.distance + 5) as by_target from links l")
+@query("j15_tracking_ambiguity")
 def tracking_ambiguity(spark, d):
-    c = tracks.candidates(views.det(spark, d), 25.0)
-    return tracks.ambiguity(c, tracks.mutual_links(c), 5.0)
+    c = written(tracks.candidates(views.det(spark, d), 25.0))
+    return tracks.ambiguity(c, tracks.links(c), 5.0)
 
 
 @query("g04_track_graph_validation", """with e as (select event_id as src, event_id + 1 + event_id % 3 as dst from events), n as (select event_id as label, event_id // 2 as frame from events), j as (select src, dst, a.frame as f1, b.frame as f2, count(*) over (partition by src) as outs, count(*) over (partition by dst) as ins from e left join n a on a.label = src left join n b on b.label = dst)
@@ -362,10 +360,11 @@ def track_chaining(spark, d):
 
 @query("g08_revision_lineage", "select conv_id, turn, 0 as root_turn, turn as depth from conversations")
 def revision_lineage(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("node"))
-    edges = c.where("turn > 0").select((F.col("node") - 1).alias("src"), F.col("node").alias("dst"))
-    chained = tracks.chains(c.select("node"), edges)
-    return chained.join(c, "node").select("conv_id", "turn", (F.col("track") % 1000).cast("int").alias("root_turn"), "depth")
+    node = lambda turn: F.struct("conv_id", turn.alias("turn"))
+    c = table(spark, d, "conversations").select("conv_id", "turn").distinct()
+    edges = c.where("turn > 0").select(node(F.col("turn") - 1).alias("src"), node(F.col("turn")).alias("dst"))
+    chained = tracks.chains(c.select(node(F.col("turn")).alias("node")), edges)
+    return chained.select("node.conv_id", "node.turn", F.col("track.turn").cast("int").alias("root_turn"), "depth")
 
 
 @query("w03_interval_rates", "with a as (select event_type, date_trunc('day', ts) as day, sum(value) as area from events group by all) select event_type, cast(epoch(day) // 86400 as bigint) as t, round(area, 4) as area, round((round(area, 4) - lag(round(area, 4)) over w) / (epoch(day) // 86400 - lag(epoch(day) // 86400) over w), 6) as rate from a window w as (partition by event_type order by day)")

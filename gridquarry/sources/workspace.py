@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set."""
+    """The session's checkpoint folder; a temporary one only where none is set
+    and the master is local, as in tests: other machines couldn't read it."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
         named = sc.getCheckpointDir()
     elif not sc.getCheckpointDir():
@@ -57,5 +61,6 @@ def with_index(df: DataFrame, *order, name: str = "index") -> DataFrame:
     for part in range(max(sizes, default=-1) + 1):
         offsets.append(before)
         before += sizes.get(part, 0)
-    offset = F.get(F.array(*map(F.lit, offsets)).cast("array<bigint>"), F.col("_part")) if offsets else F.lit(0).cast("bigint")
-    return placed.withColumn(name, F.col("_row") + offset).drop("_part", "_row")
+    # A row a partition: joined, not written into the plan.
+    starts = F.broadcast(spark.createDataFrame(list(enumerate(offsets)), "_part int, _start bigint"))
+    return placed.join(starts, "_part").withColumn(name, F.col("_row") + F.col("_start")).drop("_part", "_row", "_start")
