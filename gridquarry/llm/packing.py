@@ -16,7 +16,6 @@ from functools import cached_property, lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +24,8 @@ from .textbytes import LOWER, text_slices, word_hashes, word_spans
 
 #: Dimensions of the projection and bits of each: 30 bits of Hilbert key.
 DIMS, BITS = 3, 10
+#: First bits of a place by which ids are counted: 65,536 cells at most.
+CELL_BITS = 16
 #: Bytes of text whose distinct pieces are worked on together.
 SLICE = 12 << 20
 
@@ -223,6 +224,37 @@ def tokenized(rows: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     return rows.select("doc_id", "text", low.alias("low")).mapInArrow(run, f"doc_id {kind}, place bigint, ids binary, wide boolean")
 
 
+def balanced(cells: np.ndarray, sizes: np.ndarray, target: float) -> tuple[list[tuple[int, int, int]], int]:
+    """(cell, first bin, bins) of each cell, and the number of bins: cells in
+    order share a bin of at most ``target``, and a larger cell has several."""
+    out, at, held = [], 0, 0
+    for cell, size in sorted(zip(cells.tolist(), sizes.tolist())):
+        if held and held + size > target:
+            at, held = at + 1, 0
+        many = max(1, int(-(-size // target)))
+        out.append((cell, at, many))
+        if many > 1:
+            at += many
+        else:
+            held += size
+    return out, at + 1
+
+
+def with_bins(table: DataFrame, bins: int) -> tuple[DataFrame, int]:
+    """``table`` with bin, a range of places, and the number of bins: about
+    ``bins`` with equally many ids each. Ids are summed by the first
+    ``CELL_BITS`` bits of the place; rows of a cell with more than a bin's
+    share are dealt to its bins by their hashes."""
+    cell = F.shiftright("place", DIMS * BITS + 32 - CELL_BITS).cast("int")
+    sums = table.groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("ids")).alias("size")).toArrow()  # a row a cell at most
+    sizes = sums["size"].to_numpy()
+    placed, many = balanced(sums["cell"].to_numpy(), sizes, max(1.0, float(sizes.sum()) / bins))
+    index = table.sparkSession.createDataFrame(placed, "cell int, first int, many int")
+    part = F.shiftright(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)) * F.col("many"), 32)
+    dealt = table.withColumn("cell", cell).join(F.broadcast(index), "cell").withColumn("bin", F.col("first") + part.cast("int"))
+    return dealt.drop("cell", "first", "many"), many
+
+
 def _cut(pieces: list[tuple], total: int) -> Iterator[list[tuple]]:
     """Cut an unfinished sequence into sequences whose lengths are powers of
     two, largest first: they need no padding."""
@@ -245,7 +277,7 @@ def pack(documents: DataFrame, *, tokenizer_path: str, key: str = "doc_id", text
 
     One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset, and ids (array of int). Documents are cut where a sequence is full;
-    the last tokens of each of ``bins`` ranges of the curve (the shuffle
+    the last tokens of each of about ``bins`` ranges of the curve (the shuffle
     partitions unless given) go to sequences whose lengths are powers of two,
     so nothing is padded.
 
@@ -259,13 +291,14 @@ def pack(documents: DataFrame, *, tokenizer_path: str, key: str = "doc_id", text
         raise ValueError("length must be a power of two")
     rows = keyed_rows(documents, key, text)
     bins = bins or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Written, as the range partitions look at all places before they are dealt out.
-    sorted_rows = written(tokenized(rows, tokenizer_path, end_id)).repartitionByRange(bins, "place").sortWithinPartitions("place", "doc_id", "ids")
+    # Written, as all places are looked at before rows are dealt out.
+    dealt, many = with_bins(written(tokenized(rows, tokenizer_path, end_id)), bins)
+    sorted_rows = dealt.repartitionById(many, "bin").sortWithinPartitions("bin", "place", "doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         open_pieces: list[tuple] = []
-        filled, at, serial = 0, TaskContext.get().partitionId(), 0
+        filled, at, serial = 0, 0, 0
 
         def close(pieces: list[tuple]) -> None:
             nonlocal serial
@@ -286,7 +319,11 @@ def pack(documents: DataFrame, *, tokenizer_path: str, key: str = "doc_id", text
 
         for batch in batches:
             doc_type = batch.schema.field("doc_id").type
-            for doc, raw, wide in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("wide").to_pylist()):
+            for doc, bin_no, raw, wide in zip(batch.column("doc_id").to_pylist(), batch.column("bin").to_pylist(), batch.column("ids"), batch.column("wide").to_pylist()):
+                if bin_no != at:
+                    for part in _cut(open_pieces, filled):
+                        close(part)
+                    open_pieces, filled, at, serial = [], 0, bin_no, 0
                 ids = np.frombuffer(raw.as_buffer(), "<u4" if wide else "<u2")
                 start, n = 0, len(ids)
                 while start < n:
