@@ -1,15 +1,19 @@
 """Main text of web pages by tree scoring.
 
 Every paragraph passes points for its length and commas to its ancestors,
-fewer the further up; a container's points are discounted by the share of its
-text that stands in links. The container with the most points is kept, with
-the siblings that belong to it, and its blocks make the text.
+fewer the further up (all of them to an article or main element around it);
+a container's points are discounted by the share of its text that stands in
+links, and by names that tell of something beside the article. The container
+with the most points is kept, with the siblings that belong to it, and its
+blocks make the text. Inside it, parts with such names are left out: those
+with no other name at all, and those whose text doesn't read like prose.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,8 +21,8 @@ from pyspark.sql import DataFrame
 
 # Names of elements and of the parts that aren't main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea select option title svg math canvas iframe object audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+RAW = frozenset("script style noscript template textarea select option title canvas iframe object audio video".split())
+INLINE = frozenset("svg g text tspan math mrow mi mo mn ms mtext msup msub msubsup mfrac msqrt mroot mover munder semantics a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 PARAGRAPHS = frozenset("p pre blockquote li dd dt td th h1 h2 h3 h4 h5 h6 figcaption caption summary".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OUTSIDE = frozenset("head nav footer aside form button fieldset menu dialog".split())
@@ -26,6 +30,12 @@ OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search al
 OUTSIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promoted banner banners nav navbar navigation menu menus menubar breadcrumb breadcrumbs masthead footer sidebar sidebars aside widget widgets notice notices cookie cookies consent gdpr alert alerts popup popups modal overlay newsletter subscribe subscription signup login register form search comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations pagination pager toolbar disclaimer skip".split()
 )
+#: Words that say nothing of their own beside one of those names, and words
+#: that turn a name into something about the layout of another part.
+NEUTRAL_NAMES = frozenset("area bar block blog body bottom box btn button card col column container content div entry field fixed float global group head header holder icon id in inline inner is item items js large left link links list main mini module my news outer page pane panel post primary reader readers right row secondary section site small sticky strip text thread tile title top unit user users wide wrap wrapper zone article".split())
+MODIFIERS = frozenset("no not non has have with without".split())
+#: What is left of an element's points by its name: no other name, some other.
+NAMED, PARTLY_NAMED = 0.1, 0.5
 CLOSES = {
     "li": frozenset(["li"]),
     "dt": frozenset(["dt", "dd"]),
@@ -44,38 +54,63 @@ _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
 class Node:
-    """An element, with the texts and elements inside it in page order."""
+    """An element, with the texts and elements inside it in page order.
 
-    __slots__ = ("chars", "inside", "kids", "linked", "outside", "points", "tag", "up")
+    ``named``: 2 if its class or id names something beside the article, 1 if
+    in part; ``factor``: what is left of points inside it."""
 
-    def __init__(self, tag: str, up: Node | None, outside: bool):
-        self.tag, self.up, self.outside = tag, up, outside
+    __slots__ = ("chars", "factor", "inside", "kids", "linked", "links", "named", "outside", "points", "tag", "total", "up")
+
+    def __init__(self, tag: str, up: Node | None, outside: bool = False, named: int = 0):
+        self.tag, self.up, self.outside, self.named = tag, up, outside, named
         self.kids: list[Node | str] = []
         self.inside = bool(up and (up.inside or up.tag in ("article", "main")))
-        self.points = self.chars = self.linked = 0.0
+        self.factor = (up.factor if up else 1.0) * (1.0, PARTLY_NAMED, NAMED)[named]
+        self.points = self.total = self.chars = self.linked = 0.0
+        self.links = 0
 
 
-def _outside(tag: str, attributes: str, up: Node) -> bool:
-    """Whether an element isn't part of the main text by name or attributes."""
-    if tag in OUTSIDE or tag == "header" and not (up.inside or up.tag in ("article", "main")):
-        return True
+def _named(names: str, header: bool) -> int:
+    """Whether a class or id is one of a part beside the article: 2 if all its
+    words are such names or neutral, 1 if some are names."""
+    most = 0
+    for name in names.split():
+        parts = {x.lower() for x in _NAME_PART.findall(name)}
+        own = parts & OUTSIDE_NAMES | ({"header"} & parts if header else set())
+        if own and not parts & MODIFIERS:
+            most = max(most, 2 if all(x in own or x in NEUTRAL_NAMES or x.isdigit() for x in parts) else 1)
+    return most
+
+
+def _judged(tag: str, attributes: str, up: Node) -> tuple[bool, int]:
+    """Whether an element isn't part of the main text by tag, role or style,
+    and what its names tell."""
+    inside = up.inside or up.tag in ("article", "main")
+    outside = tag in OUTSIDE or tag == "header" and not inside
     if not attributes.strip():
-        return False
+        return outside, 0
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-    if "hidden" in found or found.get("role", "").lower() in OUTSIDE_ROLES or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
-    if tag in ("html", "body", "main") or tag in HEADINGS:
-        return False
-    parts = {x.lower() for x in _NAME_PART.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-    if "header" in parts and not (up.inside or up.tag in ("article", "main")) and tag != "article":
-        return True
-    return bool(parts & OUTSIDE_NAMES)
+    outside = outside or "hidden" in found or found.get("role", "").lower() in OUTSIDE_ROLES or bool(re.search(r"display\s*:\s*none", found.get("style", "")))
+    if tag in INLINE or tag in HEADINGS or tag in ("html", "body", "main", "article"):
+        return outside, 0
+    return outside, _named(f"{found.get('class', '')} {found.get('id', '')}", not inside)
 
 
 def parse(page: str) -> Node:
     """The tree of a page; ends that are missing are implied."""
-    root = Node("html", None, False)
+    root = Node("html", None)
     here, at, n = root, 0, len(page)
+    held: Counter[str] = Counter()  # open elements by tag, so that no end without a start is searched for
+
+    def up_from(node: Node) -> Node:
+        """Close what is open down to and with ``node``."""
+        nonlocal here
+        while here is not node:
+            held[here.tag] -= 1
+            here = here.up
+        held[node.tag] -= 1
+        return node.up
+
     for m in _TOKEN.finditer(page):
         if m.start() < at:  # inside raw text
             continue
@@ -86,13 +121,13 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            node = here
-            while node.up and node.tag != tag:
-                node = node.up
-            if node.up:
-                here = node.up
+            if held[tag]:
+                node = here
+                while node.tag != tag:
+                    node = node.up
+                here = up_from(node)
             elif tag == "p":
-                here.kids.append(Node("br", here, False))
+                here.kids.append(Node("br", here))
             continue
         if tag in RAW:
             if not m[3].rstrip().endswith("/"):
@@ -103,18 +138,20 @@ def parse(page: str) -> Node:
             continue
         if tag not in INLINE and tag not in VOID:
             # A block ends an open paragraph, and the inline elements in it.
-            node = here
-            while node.up and node.tag not in SCOPES:
-                if node.tag == "p" or node.tag in CLOSES.get(tag, ()):
-                    here = node.up
-                    break
-                node = node.up
+            if held["p"] or any(held[x] for x in CLOSES.get(tag, ())):
+                node = here
+                while node.up and node.tag not in SCOPES:
+                    if node.tag == "p" or node.tag in CLOSES.get(tag, ()):
+                        here = up_from(node)
+                        break
+                    node = node.up
             if tag in CLOSES and here.tag in CLOSES[tag] and here.up:
-                here = here.up
-        node = Node(tag, here, tag not in VOID and (tag not in INLINE or bool(m[3])) and _outside(tag, m[3], here))
+                here = up_from(here)
+        node = Node(tag, here, *(_judged(tag, m[3], here) if tag not in VOID and (tag not in INLINE or m[3]) else ()))
         here.kids.append(node)
         if tag not in VOID and not m[3].rstrip().endswith("/"):
             here = node
+            held[tag] += 1
     if at < n:
         rest = page[at:]
         here.kids.append(re.sub(r"<[a-zA-Z/!][^>]*\Z", "", rest))  # a tag cut short
@@ -134,64 +171,73 @@ def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
 
 
 def score(root: Node) -> None:
-    """Points, characters and linked characters of every node."""
+    """Points, characters, links and linked characters of every node."""
     for node, after in _walk(root):
         if not after:
             continue
         text = [k for k in node.kids if isinstance(k, str)]
         node.chars += sum(len(t.strip()) for t in text)
         if node.tag == "a":
-            node.linked = node.chars
+            node.linked, node.links = node.chars, 1
         up = node.up
         if up:
             up.chars += node.chars
             up.linked += node.linked
+            up.links += node.links
         if node.tag in INLINE or node.tag in VOID:
             continue
         own = sum(len(t.strip()) for t in text) + sum(k.chars for k in node.kids if isinstance(k, Node) and k.tag in INLINE and not k.outside)
         if own < 1:
             continue
         commas = sum(t.count(",") for t in text)
-        points = (1 + commas + min(own / 100, 3)) * (1 - node.linked / max(node.chars, 1))
-        target, level = (up if node.tag in PARAGRAPHS else node), 1
+        points = (1 + commas + min(own / 100, 3)) * (1 - node.linked / max(node.chars, 1)) * node.factor
+        node.total += points
+        target, level = (up if node.tag in PARAGRAPHS and up else node), 1
         while target is not None and level < 6:
             target.points += points / level
             target, level = target.up, level + 1 if level == 1 else level * 2
     for node, after in _walk(root):
-        if after:
-            node.points *= 1 - node.linked / max(node.chars, 1)
+        if not after:
+            continue
+        if node.up:
+            node.up.total += node.total
+        if node.tag in ("article", "main"):  # all points, however deep they are
+            node.points = node.total * (1.25 if node.tag == "article" else 1.0)
+        node.points *= 1 - node.linked / max(node.chars, 1)
+
+
+def _beside(node: Node) -> bool:
+    """Whether a part of the best container doesn't belong to the text: it has
+    the name of something else and doesn't read like prose, or is a menu."""
+    if node.outside or node.named == 2:
+        return True
+    density = node.linked / max(node.chars, 1)
+    if node.named:
+        return density > 0.3 or node.chars < 60
+    return node.tag not in INLINE and node.tag not in PARAGRAPHS and node.links > 2 and density > 0.8 and node.linked / node.links < 30
 
 
 def chosen(root: Node) -> list[Node]:
-    """The best container, or the article around it, and its siblings."""
+    """The container with the most points, and the siblings that belong to it."""
     score(root)
     best = root
     for node, after in _walk(root):
-        if not after and node.tag not in INLINE and (node.points, -1) > (best.points, 0):
+        if not after and node.tag not in INLINE and node.points > best.points:
             best = node
-    around = best
-    while around.up and around.tag not in ("article", "main"):
-        around = around.up
-    if around.up:  # an article: nested ones belong to the outermost
-        outer = around
-        while outer.up:
-            outer = outer.up
-            if outer.tag == "article":
-                around = outer
-        best = around
     if not best.up:
         return [best]
-    kept = []
+    headed = any(k.tag in HEADINGS for k, after in _walk(best) if not after)
+    kept, before = [], True
     for k in best.up.kids:
-        if not isinstance(k, Node) or k.outside:
-            continue
-        density = k.linked / max(k.chars, 1)
-        if k is best or k.chars and (
-            (k.tag in PARAGRAPHS and density < 0.3 and best.tag not in ("article", "main"))
-            or (k.tag in HEADINGS and density < 0.5)
-            or (k.tag not in INLINE and k.points >= max(2.0, 0.2 * best.points) and density < 0.3)
-        ):
+        if k is best:
             kept.append(k)
+            before = False
+        elif isinstance(k, Node) and k.chars and not _beside(k):
+            density = k.linked / max(k.chars, 1)
+            paragraph = k.tag in PARAGRAPHS and k.tag not in HEADINGS and density < 0.3 and best.tag not in ("article", "main")
+            heading = k.tag in HEADINGS and density < 0.5 and before and not headed
+            if paragraph or heading or (k.tag not in INLINE and k.tag not in PARAGRAPHS and k.points >= max(2.0, 0.2 * best.points) and density < 0.3):
+                kept.append(k)
     return kept
 
 
@@ -208,7 +254,7 @@ def blocks(nodes: list[Node]) -> Iterator[str]:
                     run = []
             if isinstance(x, str):
                 run.append(x)
-            elif isinstance(x, Node) and not x.outside:
+            elif isinstance(x, Node) and (x is top or not _beside(x)):
                 if x.tag not in INLINE:
                     stack.append(None)
                 stack.extend(reversed(x.kids))
@@ -229,7 +275,8 @@ def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url
     """One row a row: page_id, url, text, n_chars (code points).
 
     A null or empty page, and one without text, has the empty text. Text that
-    isn't HTML is one block. Repeated rows give the same text each; an empty
+    isn't HTML is one block. A page is read whole, however long or deep; of
+    containers with equal points the outer and earlier one is kept. Repeated rows give the same text each; an empty
     table gives no rows; extra columns are ignored.
     """
     rows = pages.select(pages[key].alias("page_id"), pages[url].alias("url"), pages[page].alias("html"))

@@ -3,17 +3,21 @@ ties, repeated rows, empty tables and clashing extra columns."""
 
 import hashlib
 import itertools
+import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
-from gridquarry.llm import chat_repair, decontaminate, language_id, license_scan, main_text, packing, quality, simhash, toxicity
+from gridquarry.llm import chat_repair, decontaminate, language_id, license_scan, main_text, packing, quality, simhash, textbytes, toxicity
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -123,13 +127,43 @@ def test_licenses(spark, documents):
         r = found[i, len(w)]
         assert (r.n_base, r.first_word, r.last_word) == (len(places), min((p for p, _ in places), default=None), max((p for p, _ in places), default=None))
         assert r.base_labels == ",".join(sorted({x for _, x in places}))
-        blocks = [set(w[b * 32 : b * 32 + 64]) for b in range(-(-max(len(w) - 64, 0) // 32) + 1)]
-        more = {label for label, text in license_scan.TEMPLATES.items() for s in [set(words(text))] for b in blocks if 10 * len(s & b) >= 8 * len(s)}
+        more = set()
+        for label, text in license_scan.TEMPLATES.items():
+            s, step, (must, never) = set(words(text)), -(-3 * len(words(text)) // 2), license_scan.KEYS[label]
+            blocks = [set(w[b * step : b * step + 2 * step]) for b in range(-(-max(len(w) - 2 * step, 0) // step) + 1)]
+            more |= {label for b in blocks if 10 * len(s & b) >= 8 * len(s) and b >= set(must) and not b & set(never)}
         assert r.labels == ",".join(sorted({x for _, x in places} | more)), (i, r.labels)
     assert "apache-2.0" in found[8, len(words(TEXTS[8]))].labels
     assert license_scan.scan_licenses(empty(documents)).count() == 0
 
 
+NOTICES = {
+    "Licensed under CC BY 4.0": "cc-by",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by-4.0",
+    "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License.": "cc-by-sa-4.0",
+    "released under the Apache license": "",
+    "the license is released under embargo": "",
+    "Released under the MIT License.": "mit",
+    "This work is licensed under the GNU Lesser General Public License, version 3": "gpl",
+    "This work is licensed under the GNU General Public License, version 3": "gpl,gpl-3.0",
+    "LICENSED UNDER THE apache LICENSE, VERSION 2.0": "apache-2.0",
+    "Licensed under the Apac\u212ae License, wor\u212a 2.0": "",
+}
+
+
+def test_notices_get_their_own_labels(spark):
+    rows = [(i, pad + t + pad, w) for i, (t, w) in enumerate(NOTICES.items()) for pad in ("", " filler" * 200 + " ")]
+    found = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id int, text string, w string"))
+    assert [(r.doc_id, r.labels) for r in found.collect() if r.labels != rows[2 * r.doc_id][2]] == []
+
+
+def test_long_templates_match_wherever_they_stand(spark):
+    own = " ".join(f"t{i}" for i in range(200))
+    rows = [(i, f"{'x ' * i}{own}{' y' * 300}") for i in range(0, 400, 37)] + [(900, own[: len(own) // 2])]
+    found = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id int, text string"), templates={"own": own}, phrases={})
+    assert {r.doc_id for r in found.collect() if r.labels == "own"} == {i for i, _ in rows if i != 900}
+
+
 @pytest.mark.parametrize("bins", [1, 5])
 def test_packing(spark, documents, bins):
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -154,11 +188,36 @@ def test_packing(spark, documents, bins):
 
 
 def test_piece_ids_equal_the_tokenizers():
+    ids = packing.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+    odd = ["a  b", "x\n\ny", "it's we'll can't. don't!!", "a b c", "é.\nÉ a1 b2. c3!", "日本語 テスト。 x", "\n a", "a ", "  ", " a b", "<|endoftext|> a", "it's\nit", "x\x1cy z", "5½ x²", "a|b |c|", ""]
+    parts = ["a", "Ab", " ", "  ", "\n", "\t", "\xa0", "\u3000", "\x85", "\x1c", "'s", "'", "1", "漢", "é", "!", "🙂", "\u200b", " " * 150, "\n" * 120]
+    rng = random.Random(3)
+    odd += ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(2000)] + [" " * 300_000, "\n" * 300_000]
+    expected = [x.ids for x in ids.tokenizer.encode_batch(odd, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u2").tolist() for x in ids.of_column(pa.array(odd))] == expected
+    assert [np.frombuffer(ids.of_column(pa.array([t]))[0], "<u2").tolist() for t in odd[:100]] == expected[:100]
+    assert ids.of_column(pa.array([], pa.string())) == [] and ids.of_column(pa.array([None, "", None], pa.string())) == [b"", b"", b""]
+
+
+def test_packing_of_long_and_repeated_rows(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    ids = packing.Ids(path)
-    odd = ["a  b", "x\n\ny", "it's we'll can't. don't!!", "a b c", "é.\nÉ a1 b2. c3!", "日本語 テスト。 x", "\n a", "a ", "  ", " a b", "<|endoftext|> a", "it's\nit", "x\x1cy z", "5½ x²", "a|b |c|", ""]
-    for t in odd:
-        assert np.frombuffer(ids(t), "<u2").tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids, t
+    rows = [(1, "wird " * 30_000), (1, "wird " * 30_000), (None, "x"), (None, "x"), (2, None)]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id int, text string"), tokenizer_path=path, bins=3).collect()
+    tokenizer = Tokenizer.from_file(path)
+    for i, text in dict(rows).items():
+        n = len(tokenizer.encode(text or "", add_special_tokens=False).ids) + 1
+        own = [r for r in found if r.doc_id == i]
+        assert {r.doc_tokens for r in own} == {n} and sum(r.length for r in own) == n * (1 if i == 2 else 2)
+
+
+def test_bins_are_balanced(spark):
+    placed, many = packing.balanced(np.array([5, 1, 9, 7]), np.array([40, 10, 25, 350]), 100.0)
+    assert placed == [(1, 0, 1), (5, 0, 1), (7, 1, 4), (9, 5, 1)] and many == 6
+    rows = [(i, (7 << 46) + i * 2**22, b"x" * 10) for i in range(1000)] + [(i, (i % 60_000) << 46, b"x" * 10) for i in range(1000, 2000)]
+    table = spark.createDataFrame(rows, "doc_id int, place long, ids binary")
+    dealt, many = packing.with_bins(table, 8)
+    sizes = Counter(r.bin for r in dealt.collect())
+    assert sum(sizes.values()) == 2000 and max(sizes) < many <= 17 and max(sizes.values()) <= 275
 
 
 def test_hilbert_neighbours_touch():
@@ -272,15 +331,60 @@ def test_toxicity(spark):
     toxicity.fit_toxicity(docs, labels.where("toxic = 0"))
 
 
-@pytest.mark.parametrize("part_tokens", [1_000_000, 2])
-def test_rare_toxic_words_beside_many_common_ones(spark, part_tokens):
+def test_log_odds_of_all_words(spark):
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choices(common, k=30) + (["foul"] * rng.randrange(1, 4) if i % 3 == 0 else ["kind"])), int(i % 3 == 0)) for i in range(90)]
+    rows += [(100 + i, rows[0][1], 1) for i in range(5)] + [(200, None, 1), (201, "", 0), (202, "kind", None), (None, "kind", 0)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, toxic int")
+    model = toxicity.fit_toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), folds=1, held=1, deviations=1.0)
+    found = dict(zip(*(x.tolist() for x in model.parts[0].value)))
+    n, held, seen = [Counter(), Counter()], [Counter(), Counter()], set()
+    for i, text, y in rows:
+        if text and y is not None and i is not None and (text, y) not in seen:
+            seen.add((text, y))
+            for w, k in Counter(words(text)).items():
+                n[y][w] += 1 + np.log(k)
+                held[y][w] += 1
+    clean, toxic = (sum(c.values()) for c in n)
+    weight, share = min(clean, toxic), toxic / (clean + toxic)
+    expected = {}
+    for w in n[0] | n[1]:
+        t, c = held[1][w], held[0][w]
+        ratio = 2 * sum(x * np.log(x / ((t + c) * p)) for x, p in ((t, share), (c, 1 - share)) if x)
+        prior = weight / (clean + toxic) * (n[1][w] + n[0][w])
+        odds = np.log((n[1][w] + prior) / (toxic + weight)) - np.log((n[0][w] + prior) / (clean + weight))
+        if ratio > 1:
+            low = np.frombuffer(w.encode(), np.uint8)
+            expected[int(textbytes.word_hashes(low, np.array([0]), np.array([len(low)]))[0])] = odds * (1 - 1 / ratio)
+    assert found.keys() == expected.keys() and all(abs(found[h] - v) < 1e-9 for h, v in expected.items())
+    assert min(found.values()) < -0.2 and max(found.values()) > 1
+
+
+def test_extreme_value_law_is_recovered():
+    rng = np.random.default_rng(2)
+    words = rng.integers(20, 2000, 20_000)
+    # P(best <= s) = exp(-K n exp(-rate s)), cut off at zero.
+    best = np.maximum((np.log(0.002 * words) - np.log(-np.log(rng.random(len(words))))) / 1.7, 0.0)
+    k, rate = toxicity.extreme_values(best, words.astype(float))
+    assert abs(rate - 1.7) < 0.05 and abs(k - 0.002) < 2e-4
+    model = toxicity.ToxicWords(k=k, rate=rate, at=-3.0, by=1.5)
+    n = np.array([1, 10, 5000])
+    least = model.least(n, 0.3)
+    expected = k * n * np.exp(-rate * least)
+    p = 1 / (1 + np.exp(-(model.at + model.by * -np.log(-np.expm1(-expected)))))
+    assert (np.abs(p - 0.3) < 1e-6)[least > 1e-9].all() and (p[least == 1e-9] >= 0.3).all()
+
+
+@pytest.mark.parametrize("part_words", [1_000_000, 2])
+def test_rare_toxic_words_beside_many_common_ones(spark, part_words):
     # 200,500 neutral words in 17 toxic texts and as many others, toxic ones in 16.
     common = spark.createDataFrame([(" ".join(f"{i:06d}" for i in range(200_500)),)], "text string")
     large = spark.range(34).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic")).crossJoin(common).select("doc_id", "text", "toxic")
-    rows = [(100 + i, "vile rotten filth and bile", 1) for i in range(16)] + [(200 + i, "a fine day and more", int(i < 27)) for i in range(70)]
+    rows = [(100 + i, f"vile rotten filth and bile x{i}", 1) for i in range(16)] + [(200 + i, f"a fine day and more y{i}", int(i < 27)) for i in range(70)]
     docs = large.union(spark.createDataFrame([*rows, (999, "a day of vile vile vile vile here", 0)], "doc_id long, text string, toxic int"))
-    model = toxicity.fit_toxicity(docs, docs.where("doc_id < 999"), folds=1, held=1, part_tokens=part_tokens)
-    assert (len(model.parts) > 1) == (part_tokens == 2)
+    model = toxicity.fit_toxicity(docs, docs.where("doc_id < 999"), folds=1, held=1, price=0.05, part_words=part_words)
+    assert (len(model.parts) > 1) == (part_words == 2)
     found = {r.doc_id: r for r in toxicity.score_toxicity(docs.where("doc_id >= 100"), model).collect()}
     assert [(s.first, s.end) for s in found[100].segments] == [(0, 5)] and not found[200].segments
     # A repeated word counts each time.
@@ -318,6 +422,44 @@ def test_main_text(spark):
     assert main_text.extract_main_text(empty(df)).count() == 0
 
 
+PROSE = "The river ran high in spring, and the old bridge, which nobody had mended, gave way."
+LINKS = "".join(f"<li><a href=/{i}>Page {i}</a></li>" for i in range(6))
+#: Pages as (html, texts that belong to the article, texts that don't).
+LABELLED = [
+    (f"<div id=content class='no-sidebar'><p>{PROSE}</p><p>Second, {PROSE}</p></div><div class=sidebar>Old posts</div>", [PROSE, "Second"], ["Old posts"]),
+    (f"<div class='page has-sidebar'><div class=text><p>{PROSE}</p></div></div>", [PROSE], []),
+    (f"<article class='post promoted'><p>{PROSE}</p></article>", [PROSE], []),
+    (f"<article><p>{PROSE}</p><p class='notice-of-death'>Ann, aged 90, died at home on Sunday, her sons beside her, as she wished.</p></article>", [PROSE, "Ann, aged 90"], []),
+    (f"<main><p>{PROSE}</p><section class='related-work'><h2>Earlier</h2><p>{PROSE} Others, too.</p></section></main>", [PROSE, "Earlier", "Others, too."], []),
+    (f"<article><p>{PROSE}</p><section id=search-results-explained><p>{PROSE} What you see, and why.</p></section></article>", ["What you see"], []),
+    (f"<article><p>Fill in the <span class=form>form</span>, and <b class=menu>wait</b>. {PROSE}</p></article>", ["Fill in the form, and wait."], []),
+    (f"<article><p>{PROSE} So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>", ["So x=2 holds."], []),
+    (f"<article><p>{PROSE}</p><div class=related><ul>{LINKS}</ul></div></article>", [PROSE], ["Page 3"]),
+    (f"<div class=wrap><ul>{LINKS}</ul><div class=body><p>{PROSE}</p><p>{PROSE}</p></div></div>", [PROSE], ["Page 3"]),
+    (f"<article><p>{PROSE}</p></article><section id=comments>" + f"<div class=c><p>Fine, {PROSE} I agree, truly.</p></div>" * 3 + "</section>", [PROSE], ["I agree"]),
+    (f"<div id=main><div class=post><p>{PROSE}</p><p>{PROSE} End.</p></div><ol class='comment-list'><li><p>No, {PROSE} Never, ever.</p></li></ol></div>", ["End."], ["Never, ever"]),
+    (f"<div class='cookie-notice'><p>We use cookies, and more cookies, as you know, on this site, always.</p></div><div><p>{PROSE}</p><p>{PROSE}</p></div>", [PROSE], ["cookies"]),
+    (f"<header><h1>Site</h1></header><main><article><header><h1>Title</h1></header><p>{PROSE}</p><footer>Imprint</footer></article></main><footer>Foot</footer>", ["Title", PROSE], ["Site", "Imprint", "Foot"]),
+    (f"<div class=story><div class=part><p>{PROSE} One.</p></div><div class=part><p>{PROSE} Two.</p></div><div class=ad-box><p>Buy, buy, buy now</p></div></div>", ["One.", "Two."], ["Buy"]),
+    (f"<article><p>{PROSE}</p><div class='share-buttons'><a href=x>Share</a></div><form><p>Your name</p></form><p hidden>Unseen</p></article>", [PROSE], ["Share", "Your name", "Unseen"]),
+    (f"<div class='sidebar-left'><div class=col><p>{PROSE} Alone.</p></div></div>", ["Alone."], []),
+]
+
+
+def test_main_text_of_labelled_pages():
+    kept = [(t in main_text.main_text(page)) for page, own, _ in LABELLED for t in own]
+    left = [(t not in main_text.main_text(page)) for page, _, other in LABELLED for t in other]
+    assert all(kept), [page[:60] for page, own, _ in LABELLED if any(t not in main_text.main_text(page) for t in own)]
+    assert all(left), [page[:60] for page, _, other in LABELLED if any(t in main_text.main_text(page) for t in other)]
+
+
+@pytest.mark.parametrize("page", ["<b>" * 30_000 + "x" + "</i>" * 30_000, "<div>" * 30_000 + "x" + "</p></div>" * 30_000, "<p>x " * 60_000, "<article>" + "<div><p>a, b</p>" * 20_000])
+def test_long_and_deep_pages_take_linear_time(page):
+    began = time.perf_counter()
+    assert main_text.main_text(page)
+    assert time.perf_counter() - began < 8
+
+
 def _cheapest(codes, costs):
     """Least cost over all role sequences, merges and insertions."""
     table = chat_repair.steps(costs)
