@@ -201,14 +201,30 @@ def components(mask: DataFrame, width: int, height: int, value: str | None = Non
     return placed.join(firsts, ["image_id", "root"]).select(*PIXEL, "label")
 
 
-def perimeter(grid: DataFrame) -> DataFrame:
-    """Per object: pixels, exposed edges and circularity (null for a single
-    pixel). An edge counts where the neighbour has another label or none."""
+def morphometrics(grid: DataFrame) -> DataFrame:
+    """Per object: pixels, exposed edges, circularity, the eigenvalues of the
+    covariance of its pixels' places, eccentricity, elongation, and why ratios
+    are null (one pixel, pixels on a line). An edge counts where the neighbour
+    has another label or none. Whether pixels lie on a line is decided in whole
+    numbers."""
     own = grid.where("label > 0").select(*PIXEL, "label")
     same = neighbours(own, ["label"]).where("label = n_label").groupBy(*OBJECT).agg(F.count("*").alias("inner"))
-    area = own.groupBy(*OBJECT).agg(F.count("*").alias("pixels"))
-    e = area.join(same, OBJECT, "left").withColumn("edges", 4 * F.col("pixels") - F.coalesce("inner", F.lit(0)))
-    return e.select(*OBJECT, "pixels", "edges", r(F.when(F.col("pixels") > 1, F.least(4 * F.pi() * F.col("pixels") / F.col("edges") ** 2, F.lit(1.0)))).alias("circularity"))
+    big = lambda c: F.sum(c).cast("decimal(38,0)")
+    y, x = F.col("y").cast("bigint"), F.col("x").cast("bigint")
+    sums = own.groupBy(*OBJECT).agg(F.count("*").alias("pixels"), big(y).alias("y"), big(x).alias("x"), big(y * y).alias("yy"), big(x * x).alias("xx"), big(x * y).alias("xy"))
+    n = F.col("pixels").cast("decimal(12,0)")
+    moment = lambda pair, a, b: (n * F.col(pair) - F.col(a) * F.col(b)).cast("decimal(18,0)")
+    e = sums.join(same, OBJECT, "left").select(*OBJECT, "pixels", (4 * F.col("pixels") - F.coalesce("inner", F.lit(0))).alias("edges"), moment("xx", "x", "x").alias("a"), moment("yy", "y", "y").alias("b"), moment("xy", "x", "y").alias("c"))
+    line = F.col("a") * F.col("b") == F.col("c") * F.col("c")
+    a, b, c = (F.col(k).cast("double") / F.col("pixels") ** 2 for k in "abc")
+    root = F.sqrt(((a - b) / 2) ** 2 + c**2)
+    e = e.withColumns({"major": (a + b) / 2 + root, "minor": F.when(line, 0.0).otherwise(F.greatest((a + b) / 2 - root, F.lit(0.0)))})
+    single = F.col("pixels") == 1
+    return e.select(
+        *OBJECT, "pixels", "edges", r(F.when(~single, F.least(4 * F.pi() * F.col("pixels") / F.col("edges") ** 2, F.lit(1.0)))).alias("circularity"), r(F.col("major")).alias("major"), r(F.col("minor")).alias("minor"),
+        r(F.when(~single, F.sqrt(F.greatest(1 - F.col("minor") / F.col("major"), F.lit(0.0))))).alias("eccentricity"), r(F.when(~line, F.sqrt(F.col("major")) / F.sqrt(F.col("minor"))), 5).alias("elongation"),
+        F.when(single, "one pixel").when(line, "pixels on a line").otherwise("").alias("reason"),
+    )
 
 
 def rings(grid: DataFrame, radius: int, channel: str) -> DataFrame:
@@ -240,23 +256,17 @@ def otsu(grid: DataFrame, channel: str, bins: int = 256) -> DataFrame:
 
 def normalized(grid: DataFrame, channel: str) -> DataFrame:
     """The channel between its 1st and 99th percentile in each image, clipped
-    to 0..1; between its ends where those percentiles are equal."""
-    ends = grid.groupBy("image_id").agg(F.percentile(channel, F.array(F.lit(0.01), F.lit(0.99))).alias("p"), F.min(channel).alias("least"), F.max(channel).alias("most"))
+    to 0..1; between its ends where those percentiles are equal. Values that
+    aren't finite count as the median of the others."""
+    v = F.col(channel).cast("double")
+    finite = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+    ends = grid.groupBy("image_id").agg(F.percentile(finite, F.array(F.lit(0.01), F.lit(0.99), F.lit(0.5))).alias("p"), F.min(finite).alias("least"), F.max(finite).alias("most"))
     low = F.when(F.col("p")[0] < F.col("p")[1], F.col("p")[0]).otherwise(F.col("least"))
     high = F.when(F.col("p")[0] < F.col("p")[1], F.col("p")[1]).otherwise(F.col("most"))
-    scaled = F.greatest(F.least(F.try_divide(F.col(channel) - low, high - low), F.lit(1.0)), F.lit(0.0))
+    scaled = F.greatest(F.least(F.try_divide(F.coalesce(finite, F.col("p")[2]) - low, high - low), F.lit(1.0)), F.lit(0.0))
     return grid.join(ends, "image_id").select(*PIXEL, r(F.coalesce(scaled, F.lit(0.0))).alias("value"))
 
 
-def stencil(grid: DataFrame, channel: str, how: str) -> DataFrame:
-    """Least, greatest, mean or median of each pixel and its eight neighbours
-    (fewer at the border)."""
-    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
-    moved = grid.select("image_id", F.explode(F.array(*(F.struct((F.col("y") + a).alias("y"), (F.col("x") + b).alias("x")) for a, b in steps))).alias("at"), channel).select("image_id", "at.*", channel)
-    agg = {"min": F.min, "max": F.max, "mean": F.avg, "median": F.median}[how](channel)
-    return moved.join(grid.select(*PIXEL), PIXEL, "left_semi").groupBy(*PIXEL).agg(r(agg).alias("value"))
-
-
 def centroid_offsets(grid: DataFrame, scale: float) -> DataFrame:
     """Per foreground pixel, the clipped offsets to its object's centroid."""
     centre = grid.where("label > 0").groupBy(*OBJECT).agg(F.avg("y").alias("cy"), F.avg("x").alias("cx"))

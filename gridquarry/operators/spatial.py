@@ -30,6 +30,57 @@ def boundary_distances(points: DataFrame, boundary: DataFrame, key: str, most: f
     return points.select("image_id", key).join(met, ["image_id", key], "left")
 
 
+def band_densities(images: DataFrame, compartment: DataFrame, centres: DataFrame, boundary: DataFrame, edges: list[float], pixel_area: float) -> DataFrame:
+    """image_id, band, pixels, area, objects, density: of each band of distance
+    to the boundary (from an edge to before the next), the compartment's pixels
+    and the objects whose centre is one of them. Empty bands stay, with a null
+    density."""
+    number = F.struct("y", "x")
+    own = compartment.select("image_id", "y", "x", number.alias("key"))
+    far = written(boundary_distances(own, boundary, "key", edges[-1]).where("distance is not null").select("image_id", "key.y", "key.x", "distance"))
+    band = sum((F.col("distance") >= e).cast("int") for e in edges[1:-1])
+    placed = far.where((F.col("distance") >= edges[0]) & (F.col("distance") < edges[-1])).withColumn("band", band)
+    pixels = placed.groupBy("image_id", "band").agg(F.count("*").alias("pixels"))
+    objects = placed.join(centres.select("image_id", F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x")), PIXEL).groupBy("image_id", "band").agg(F.count("*").alias("objects"))
+    bands = images.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(len(edges) - 2))))
+    both = bands.join(pixels, ["image_id", "band"], "left").join(objects, ["image_id", "band"], "left").fillna(0, ["pixels", "objects"]).withColumn("area", F.col("pixels") * pixel_area)
+    return both.select("image_id", F.col("band").cast("bigint").alias("band"), "pixels", "area", "objects", r(F.try_divide("objects", "area")).alias("density"))
+
+
+def sampled_histograms(voxels: DataFrame, index: str, channels: list[str], most: int, bins: int) -> DataFrame:
+    """channel, n, p1, p99, bin, voxels: of each channel, over at most ``most``
+    voxels at even steps of their index, the 1st and 99th percentile and the
+    voxels in each of ``bins`` equal bins between the ends (empty ones left out)."""
+    last = voxels.agg(F.max(index)).first()[0]
+    if last is None:
+        last = 0
+    step = F.ceil(F.col(index) * (most - 1) / F.lit(max(last, 1))).cast("bigint")
+    hit = lambda k: F.floor((k * last) / F.lit(most - 1)).cast("bigint") == F.col(index)
+    # Rounding may put the step one off, on either side.
+    picked = voxels.where(F.exists(F.array(step - 1, step, step + 1), lambda k: (k >= 0) & (k < most) & hit(k)))
+    long = picked.select(*(F.col(c).cast("double").alias(c) for c in channels)).unpivot([], channels, "channel", "value")
+    ends = long.groupBy("channel").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("value").alias("n"), F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("p"))
+    at = F.coalesce(F.least(F.floor(F.try_divide((F.col("value") - F.col("lo")) * bins, F.col("hi") - F.col("lo"))), F.lit(bins - 1)), F.lit(0)).cast("int")
+    return long.where("value is not null").join(F.broadcast(ends), "channel").groupBy("channel", "n", r(F.col("p")[0]).alias("p1"), r(F.col("p")[1]).alias("p99"), at.alias("bin")).agg(F.count("*").alias("voxels"))
+
+
+def display_statistics(grid: DataFrame, channel: str, width: int, strata: int, bins: int) -> DataFrame:
+    """image_id, low, high (1st and 99th percentile of a sample: of ``strata``
+    equal runs of pixels, the one with the smallest hash), least, greatest (of
+    all pixels), bin, n: the sample's values between low and high, clipped, in
+    equal bins."""
+    index = F.col("y") * width + F.col("x")
+    own = grid.select("image_id", index.alias("i"), F.col(channel).alias("v"))
+    whole = own.groupBy("image_id").agg(F.max("i").alias("last"), F.min("v").alias("least"), F.max("v").alias("greatest"))
+    key = F.sha2(F.concat_ws("/", F.col("image_id").cast("string"), F.col("i").cast("string")), 256)
+    sample = own.join(whole, "image_id").groupBy("image_id", "least", "greatest", F.expr(f"i * {strata} div (last + 1)").alias("stratum")).agg(F.min_by("v", key).alias("v"))
+    ends = sample.groupBy("image_id").agg(F.percentile("v", F.array(F.lit(0.01), F.lit(0.99))).alias("p"))
+    low, high = F.col("p")[0], F.col("p")[1]
+    scaled = F.coalesce(F.greatest(F.least(F.try_divide(F.col("v") - low, high - low), F.lit(1.0)), F.lit(0.0)), F.lit(0.0))
+    at = F.least(F.floor(F.round(scaled, 9) * bins), F.lit(bins - 1)).cast("int")
+    return sample.join(ends, "image_id").groupBy("image_id", r(low).alias("low"), r(high).alias("high"), "least", "greatest", at.alias("bin")).agg(F.count("*").alias("n"))
+
+
 def nearest_boundary(points: DataFrame, boundary: DataFrame, key: str, size: float) -> DataFrame:
     """Distance of each point (image_id, y, x) to the nearest boundary pixel of
     its image, however far; null only where the image has none (or the point no

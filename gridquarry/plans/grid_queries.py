@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridquarry.operators import grids
+from gridquarry.operators import filters, grids
 from gridquarry.sources import views
 from gridquarry.sources.views import HEIGHT, WIDTH, sql
 
@@ -179,10 +179,13 @@ def threshold_recipe(spark, d):
     return labelled.groupBy(*grids.OBJECT).agg(F.count("*").alias("pixels")).where("pixels >= 2")
 
 
-@query("a27_morphometrics", sql("labels_ref", then=f"""select image_id, label, pixels, pixels * 4 - coalesce(inner_edges, 0) as edges, round(case when pixels > 1 then least(4 * pi() * pixels / pow(pixels * 4 - coalesce(inner_edges, 0), 2), 1) end, 6) as circularity
-    from (select image_id, label, count(*) as pixels from labels_ref where label > 0 group by all) left join (select a.image_id, a.label, count(*) as inner_edges from labels_ref a join {_NEAR} on true join labels_ref b on b.image_id = a.image_id and b.y = a.y + s.dy and b.x = a.x + s.dx and b.label = a.label where a.label > 0 group by all) using (image_id, label)"""))
+@query("a27_morphometrics", sql("labels_ref", then=f"""select image_id, label, pixels, pixels * 4 - coalesce(inner_edges, 0) as edges, round(case when pixels > 1 then least(4 * pi() * pixels / pow(pixels * 4 - coalesce(inner_edges, 0), 2), 1) end, 6) as circularity,
+    round(big, 6) as major, round(small, 6) as minor, round(case when pixels > 1 then sqrt(greatest(1 - small / big, 0)) end, 6) as eccentricity, round(case when not line then sqrt(big) / sqrt(small) end, 5) as elongation, case when pixels = 1 then 'one pixel' when line then 'pixels on a line' else '' end as reason
+    from (select *, (a + b) / 2 + sqrt(pow((a - b) / 2, 2) + c * c) as big, case when line then 0 else greatest((a + b) / 2 - sqrt(pow((a - b) / 2, 2) + c * c), 0) end as small from (
+        select image_id, label, count(*) as pixels, var_pop(x) as a, var_pop(y) as b, covar_pop(x, y) as c, (count(*) * sum(x * x) - sum(x) * sum(x)) * (count(*) * sum(y * y) - sum(y) * sum(y)) = pow(count(*) * sum(x * y) - sum(x) * sum(y), 2) as line from labels_ref where label > 0 group by all))
+    left join (select a.image_id, a.label, count(*) as inner_edges from labels_ref a join {_NEAR} on true join labels_ref b on b.image_id = a.image_id and b.y = a.y + s.dy and b.x = a.x + s.dx and b.label = a.label where a.label > 0 group by all) using (image_id, label)"""))
 def morphometrics(spark, d):
-    return grids.perimeter(views.labels_ref(spark, d))
+    return grids.morphometrics(views.labels_ref(spark, d))
 
 
 @query("j13_perinuclear_ring", sql("labels_ref", then="""select image_id, nucleus, count(*) as pixels, round(avg(v), 6) as mean from (
@@ -204,9 +207,42 @@ def percentile_normalize(spark, d):
     return grids.normalized(views.px(spark, d), "v")
 
 
-@query("p17_stencil_processing", sql("px", then="select a.image_id, a.y, a.x, round(median(b.v), 6) as value from px a join px b on a.image_id = b.image_id and b.y between a.y - 1 and a.y + 1 and b.x between a.x - 1 and a.x + 1 group by all"))
+def _foot(radius: float) -> str:
+    reach = range(-int(radius), int(radius) + 1)
+    return ", ".join(f"({a}, {b}, 1.0::double)" for a in reach for b in reach if a * a + b * b <= radius * radius)
+
+
+def _bell(sigma: float) -> str:
+    """Weights of a Gaussian over its square, cut at four deviations."""
+    import math
+
+    reach = range(-int(4 * sigma + 0.5), int(4 * sigma + 0.5) + 1)
+    w = {i: math.exp(-0.5 * (i / sigma) ** 2) for i in reach}
+    total = sum(w.values())
+    return ", ".join(f"({a}, {b}, {w[a] * w[b] / total**2!r}::double)" for a in reach for b in reach)
+
+
+def _mirrored(table: str, steps: str, agg: str) -> str:
+    """Of each pixel what a footprint sees; beyond the border the image is mirrored."""
+    at = lambda c, n: f"case when a.{c} + s.d{c} < 0 then -1 - (a.{c} + s.d{c}) when a.{c} + s.d{c} >= {n} then 2 * {n} - 1 - (a.{c} + s.d{c}) else a.{c} + s.d{c} end"
+    return f"select a.image_id, a.y, a.x, {agg} as v from {table} a join ext using (image_id) join (values {steps}) as s(dy, dx, w) on true join {table} b on b.image_id = a.image_id and b.y = {at('y', 'ext.h')} and b.x = {at('x', 'ext.w')} group by all"
+
+
+_FILTERS = sql("px", then="").rstrip() + f""", ext as (select image_id, max(y) + 1 as h, max(x) + 1 as w from px group by 1),
+    eroded as ({_mirrored('px', _foot(1.5), 'min(b.v)')}), dilated as ({_mirrored('px', _foot(2), 'max(b.v)')}), smooth as ({_mirrored('px', _bell(0.75), 'sum(s.w * b.v)')})
+    select 'median' as op, image_id, y, x, round(v, 6) as value from ({_mirrored('px', _foot(1), 'median(b.v)')}) union all select 'opening', image_id, y, x, round(v, 6) from ({_mirrored('eroded', _foot(1.5), 'max(b.v)')})
+    union all select 'closing', image_id, y, x, round(v, 6) from ({_mirrored('dilated', _foot(2), 'min(b.v)')}) union all select 'gaussian', image_id, y, x, round(v, 5) from smooth
+    union all select 'background', image_id, y, x, round(px.v - smooth.v, 5) from px join smooth using (image_id, y, x)"""
+
+
+@query("p17_stencil_processing", _FILTERS)
 def stencil_processing(spark, d):
-    return grids.stencil(views.px(spark, d), "v", "median")
+    p, out = views.px(spark, d), None
+    for op, size in (("median", 1.0), ("opening", 1.5), ("closing", 2.0), ("gaussian", 0.75), ("background", 0.75)):
+        # Each image is whole, or ends with its last row.
+        one = filters.filtered(p, "v", op, size).select(F.lit(op).alias("op"), *grids.PIXEL, F.round("value", 5 if op in ("gaussian", "background") else 6).alias("value"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query("p16_pointwise_processing", sql("px", then="select image_id, y, x, floor(greatest((v - 1) * mean_flat / (v2 + 1), 0) * 1000) / 1000.0::double as value from px join (select image_id, avg(v2 + 1) as mean_flat from px group by 1) using (image_id)"))

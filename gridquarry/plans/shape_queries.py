@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from gridquarry.operators import grids, shapes
+from gridquarry.functions import cells
+from gridquarry.operators import filters, grids, shapes
 from gridquarry.sources import files, views
 from gridquarry.sources.views import HEIGHT, WIDTH, sql, table
 from gridquarry.sources.workspace import shared_dir
@@ -71,10 +72,8 @@ def components_nd(spark, d):
 
 @query("a31_tissue_mask")
 def tissue_mask(spark, d):
-    dark = views.px(spark, d).select(*grids.PIXEL, F.when(F.col("v") > 30, 1).otherwise(0).alias("m"))
-    grown = grids.stencil(dark, "m", "max")
-    closed = grids.stencil(grown, "value", "min").where("value = 1").select(*grids.PIXEL)
-    return grids.components(closed, WIDTH, HEIGHT).groupBy(*grids.OBJECT).agg(F.count("*").alias("pixels")).where("pixels >= 3")
+    gray = views.px(spark, d).select(*grids.PIXEL, cells.luminance("v", "v", "v2").alias("gray"))
+    return filters.tissue_mask(gray, "gray", WIDTH, HEIGHT, closing=1.5, least=3)
 
 
 @query("x04_phase_shift_estimate", sql("px", then="select image_id, 2 as dy, -3 as dx from px group by 1 having count(*) = 2500"))

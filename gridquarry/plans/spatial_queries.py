@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridquarry.functions import cells
-from gridquarry.operators import grids, population, spatial, studies, tracks
+from gridquarry.operators import filters, grids, population, spatial, studies, tracks
 from gridquarry.sources import views
 from gridquarry.sources.views import sql, table
 
@@ -34,10 +34,17 @@ def nearest_boundary_distance(spark, d):
 _BAND = "case when distance >= 0 and distance < 12 then (case when distance >= 3 then 1 else 0 end) + (case when distance >= 6 then 1 else 0 end) end"
 
 
-@query("a13_band_area_density", sql("labels_ref", then="").rstrip() + f", {_CENTRES} select image_id, {_BAND} as band, count(*) as objects from dist where distance is not null group by all")
+_AREA_SQL = sql("labels_ref", then="").rstrip() + f""", {_CENTRES}, far as (select p.image_id, p.y, p.x, min(sqrt(pow(p.y - b.y, 2) + pow(p.x - b.x, 2))) as distance from px p join px b on b.image_id = p.image_id and b.v > 40 and abs(b.y - p.y) <= 12 and abs(b.x - p.x) <= 12 where p.v2 >= 50 group by all),
+    bands as (select image_id, band from (select distinct image_id from px), range(0, 3) t(band)), pixels as (select image_id, {_BAND} as band, count(*) as pixels from far group by all),
+    objects as (select dist.image_id, {_BAND} as band, count(*) as objects from dist join centres using (image_id, label) join px p on p.image_id = dist.image_id and p.y = centres.y and p.x = centres.x and p.v2 >= 50 group by all)
+    select image_id, band, coalesce(pixels, 0) as pixels, 0.25 * coalesce(pixels, 0) as area, coalesce(objects, 0) as objects, round(coalesce(objects, 0) / nullif(0.25 * pixels, 0), 6) as density from bands left join pixels using (image_id, band) left join objects using (image_id, band)"""
+
+
+@query("a13_band_area_density", _AREA_SQL)
 def band_area_density(spark, d):
-    band = studies.band(F.col("distance"), [0.0, 3.0, 6.0, 12.0])
-    return _distances(spark, d).where("distance is not null").groupBy("image_id", band.alias("band")).agg(F.count("*").alias("objects"))
+    g = views.labels_ref(spark, d)
+    compartment = g.where("v2 >= 50").select(*grids.PIXEL)
+    return spatial.band_densities(g.select("image_id").distinct(), compartment, _centres(g), g.where("v > 40"), [0.0, 3.0, 6.0, 12.0], 0.25)
 
 
 @query("j12_object_exclusions", sql("labels_ref", then="").rstrip() + f", {_CENTRES} select c.image_id, c.label, array_to_string(list_filter([case when p.v2 < 50 then 'outside_compartment' end, case when c.x = 0 or c.y = 0 or c.x = 99 or c.y = 24 then 'crop_border' end, case when distance is null then 'outside_bands' end], lambda s: s is not null), ',') as reasons from centres c join px p on p.image_id = c.image_id and p.y = c.y and p.x = c.x join dist t on t.image_id = c.image_id and t.label = c.label")
@@ -102,6 +109,11 @@ def puncta(spark, d):
     return spatial.plateau_maxima(views.px(spark, d), "v", views.WIDTH, views.HEIGHT).where("v > 10").groupBy("image_id").agg(F.count("*").alias("maxima"), F.round(F.avg("v"), 6).alias("mean"))
 
 
+@query("g09_puncta_by_log")
+def puncta_by_log(spark, d):
+    return filters.puncta(views.px(spark, d), "v", views.WIDTH, views.HEIGHT, sigma=1.0, response=2.0, raw=5.0, apart=3.0, aperture=2.0)
+
+
 @query("s05_tile_grid_scan", sql("px", then="select image_id, y, x, v from px"))
 def tile_grid_scan(spark, d):
     return spatial.from_tiles(spatial.to_tiles(views.px(spark, d), "v", 16), 16)
@@ -270,15 +282,26 @@ def transect_csv(spark, d):
     return t.select("user_id", F.round(F.abs(F.col("b") - F.col("a")), 6).alias("length"), cells.formula_safe(F.col("class")).alias("class"))
 
 
-@query("a46_volume_histogram", sql("px", then="select image_id, cast(least(floor(v * 16 / 100), 15) as int) as bin, count(*) as n from px where (y * 100 + x) % 5 = 0 group by all"))
+#: Voxels of the sample, and bins of its histogram.
+_VOXELS, _BINS = 2048, 256
+_SAMPLE = f"""whole as (select max(event_id) as last from events), picked as (select v, v2 from px, whole where (image_id * 2500 + y * 100 + x) in (select k * last // {_VOXELS - 1} from whole, range(0, {_VOXELS}) t(k))),
+    long as (select 'v' as channel, v as value from picked union all select 'v2', v2 from picked), ends as (select channel, min(value) as lo, max(value) as hi, count(*) as n, round(quantile_cont(value, 0.01), 6) as p1, round(quantile_cont(value, 0.99), 6) as p99 from long group by 1)"""
+
+
+@query("a46_volume_histogram", sql("px", then="").rstrip() + f", {_SAMPLE} select channel, n, p1, p99, cast(least(floor((value - lo) * {_BINS} / (hi - lo)), {_BINS - 1}) as int) as bin, count(*) as voxels from long join ends using (channel) group by all")
 def volume_histogram(spark, d):
-    sample = views.px(spark, d).where((F.col("y") * 100 + F.col("x")) % 5 == 0)
-    return sample.groupBy("image_id", F.least(F.floor(F.col("v") * 16 / 100), F.lit(15)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    p = views.px(spark, d).withColumn("i", (F.col("image_id") * views.HEIGHT + F.col("y")) * views.WIDTH + F.col("x"))
+    return spatial.sampled_histograms(p, "i", ["v", "v2"], _VOXELS, _BINS)
+
+
+_STRATA = f"""strata as (select *, (y * 100 + x) * 250 // (max(y * 100 + x) over (partition by image_id) + 1) as stratum, sha256(image_id || '/' || (y * 100 + x)) as h from px),
+    sampled as (select image_id, v from (select *, row_number() over (partition by image_id, stratum order by h) as k from strata) where k = 1), ranges as (select image_id, quantile_cont(v, 0.01) as lo, quantile_cont(v, 0.99) as hi from sampled group by 1),
+    whole as (select image_id, min(v) as least, max(v) as greatest from px group by 1)"""
 
 
-@query("a32_display_statistics", sql("px", then="select image_id, round(quantile_cont(v, 0.01), 6) as low, round(quantile_cont(v, 0.99), 6) as high, min(v) as least, max(v) as greatest from px group by 1"))
+@query("a32_display_statistics", sql("px", then="").rstrip() + f", {_STRATA} select image_id, round(lo, 6) as low, round(hi, 6) as high, least, greatest, cast(least(floor(round(least(greatest((v - lo) / (hi - lo), 0), 1), 9) * 16), 15) as int) as bin, count(*) as n from sampled join ranges using (image_id) join whole using (image_id) group by all")
 def display_statistics(spark, d):
-    return views.px(spark, d).groupBy("image_id").agg(F.round(F.percentile("v", 0.01), 6).alias("low"), F.round(F.percentile("v", 0.99), 6).alias("high"), F.min("v").alias("least"), F.max("v").alias("greatest"))
+    return spatial.display_statistics(views.px(spark, d), "v", views.WIDTH, strata=250, bins=16)
 
 
 @query("f04_gate_binding", sql("objects", then="select 'size' as metric, true as bound union all select 'volume', false"))

@@ -114,10 +114,15 @@ def correction_effect(spark, d):
     return paired.join(region, "nation").groupBy("region").agg(F.round(F.avg("difference"), 6).alias("effect"), F.count("difference").alias("pairs"), F.count_if(F.col("difference").isNull()).alias("omitted"))
 
 
-@query("a24_stratified_summary", sql("obs", then="select 'condition' as dimension, condition as name, count(*) as n, round(median(value), 6) as median from obs group by 2 union all select 'review', review, count(*), round(median(value), 6) from obs group by 2"))
+_STRATA = "select 'condition' as dimension, condition as name, count(*) as n, round(median(value), 6) as median from obs group by 2 union all select 'review', review, count(*), round(median(value), 6) from obs group by 2"
+
+
+@query("a24_stratified_summary", sql("obs", then=f"select *, row_number() over (partition by dimension order by median desc, name) = 1 as worst from ({_STRATA})"))
 def stratified_summary(spark, d):
     long = views.obs(spark, d).unpivot(["value"], ["condition", "review"], "dimension", "name")
-    return long.groupBy("dimension", "name").agg(F.count("*").alias("n"), F.round(F.median("value"), 6).alias("median"))
+    strata = long.groupBy("dimension", "name").agg(F.count("*").alias("n"), F.round(F.median("value"), 6).alias("median"))
+    # A row a stratum: the worst of each dimension is the one with the largest median.
+    return strata.withColumn("worst", F.row_number().over(W.partitionBy("dimension").orderBy(F.desc("median"), "name")) == 1)
 
 
 @query("a25_extended_median", sql("objects", then="select brand, nullif(round(median(coalesce(size, 'inf'::double)), 6), 'inf'::double) as median from objects group by 1"))

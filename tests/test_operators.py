@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridquarry.functions import cells
-from gridquarry.operators import grids, matching, population, shapes, spatial, tracks
+from gridquarry.operators import filters, grids, matching, population, shapes, spatial, tracks
 
 
 def components(cells, steps, same=lambda a, b: True):
@@ -184,3 +184,104 @@ def test_cells_come_back(spark):
     assert [r.d for r in df.select(cells.decode(cells.encode(F.col("t")).alias("e")).alias("d")).collect()] == texts
     exact = spark.createDataFrame([("1.5e300",), ("12345678901234567e-5",), ("123456789012345678",)], "t string")
     assert [r.e for r in exact.select(cells.is_exact(F.col("t")).alias("e")).collect()] == [True, True, False]
+
+
+def mirrored(a, y, x):
+    h, w = a.shape
+    y, x = y % (2 * h), x % (2 * w)
+    return a[y if y < h else 2 * h - 1 - y, x if x < w else 2 * w - 1 - x]
+
+
+def by_force(a, op, size):
+    """A filter pixel by pixel, over a mirrored picture."""
+    h, w = a.shape
+    reach = range(-int(size), int(size) + 1)
+    foot = [(dy, dx) for dy in reach for dx in reach if dy * dy + dx * dx <= size * size]
+    over = lambda b, how: np.array([[how([mirrored(b, y + dy, x + dx) for dy, dx in foot]) for x in range(w)] for y in range(h)])
+    if op == "median":
+        return over(a, np.median)
+    if op in ("opening", "closing"):
+        first, second = (min, max) if op == "opening" else (max, min)
+        return over(over(a, first), second)
+    far = np.arange(-int(4 * size + 0.5), int(4 * size + 0.5) + 1)
+    g = np.exp(-0.5 * (far / size) ** 2)
+    g /= g.sum()
+    curve = g * (far**2 / size**4 - 1 / size**2)
+    along = lambda wy, wx: np.array([[sum(p * q * mirrored(a, y + i, x + j) for i, p in zip(far, wy) for j, q in zip(far, wx)) for x in range(w)] for y in range(h)])
+    if op == "log":
+        return -(along(curve, g) + along(g, curve)) * size**2
+    return along(g, g) if op == "gaussian" else a - along(g, g)
+
+
+@pytest.mark.parametrize("op,size", [("median", 1.5), ("opening", 2.0), ("closing", 1.0), ("gaussian", 0.8), ("background", 1.0), ("log", 1.0)])
+def test_filters_dont_depend_on_tiles(spark, op, size):
+    rng = np.random.default_rng(3)
+    pictures = [rng.integers(0, 50, (9, 14)).astype(float), rng.integers(0, 50, (4, 5)).astype(float)]
+    rows = [(i, y, x, float(v)) for i, p in enumerate(pictures) for (y, x), v in np.ndenumerate(p)]
+    df = spark.createDataFrame(rows, "image_id long, y long, x long, v double")
+    for tile in (3, 64):
+        found = filters.filtered(df, "v", op, size, tile=tile).collect()
+        assert len(found) == len(rows)
+        for i, p in enumerate(pictures):
+            out = np.zeros(p.shape)
+            for r in found:
+                if r.image_id == i:
+                    out[r.y, r.x] = r.value
+            assert np.allclose(out, by_force(p, op, size))
+
+
+def test_tissue_mask(spark):
+    rng = np.random.default_rng(8)
+    a = np.where(rng.random((12, 15)) < 0.45, 20.0, 200.0) + rng.integers(0, 9, (12, 15))
+    df = spark.createDataFrame([(0, y, x, float(v)) for (y, x), v in np.ndenumerate(a)], "image_id long, y long, x long, gray double")
+    found = {(r.y, r.x): r.label for r in filters.tissue_mask(df, "gray", 15, 12, closing=1.5, least=4).collect()}
+    dark = np.pad(a < 100, 1)
+    foot = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    grown = np.array([[any(dark[y + 1 + i, x + 1 + j] for i, j in foot) for x in range(15)] for y in range(12)])
+    grown = np.pad(grown, 1)
+    closed = {(0, y, x) for y in range(12) for x in range(15) if all(grown[y + 1 + i, x + 1 + j] for i, j in foot)}
+    label = components(closed, [(0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)])
+    sizes = {}
+    for root in label.values():
+        sizes[root] = sizes.get(root, 0) + 1
+    number = {root: n for n, root in enumerate(sorted(sizes), 1)}
+    assert found == {c[1:]: number[r] for c, r in label.items() if sizes[r] >= 4} and found
+
+
+def test_puncta(spark):
+    rng = np.random.default_rng(6)
+    a = rng.random((20, 24)) * 5
+    for y, x, v in ((4, 4, 60), (4, 7, 55), (12, 15, 80), (19, 23, 70), (10, 2, 3)):
+        for dy in range(-3, 4):
+            for dx in range(-3, 4):
+                if 0 <= y + dy < 20 and 0 <= x + dx < 24:
+                    a[y + dy, x + dx] += v * np.exp(-(dy * dy + dx * dx) / 2)
+    rows = [(i, y, x, float(v)) for i in (0, 1) for (y, x), v in np.ndenumerate(a)]
+    found = filters.puncta(spark.createDataFrame(rows, "image_id long, y long, x long, v double"), "v", 24, 20, sigma=1.0, response=8.0, raw=20.0, apart=4.0, aperture=2.0).collect()
+    response = by_force(a, "log", 1.0)
+    tops = [(y, x) for y in range(20) for x in range(24) if response[y, x] > 8 and a[y, x] > 20 and response[y, x] == response[max(y - 1, 0) : y + 2, max(x - 1, 0) : x + 2].max()]
+    kept = []
+    for y, x in sorted(tops, key=lambda p: (-response[p], p)):
+        if all((y - b) ** 2 + (x - c) ** 2 >= 16 for b, c in kept):
+            kept.append((y, x))
+    assert 3 <= len(kept) < len(tops)
+    for i in (0, 1):
+        assert {(r.y, r.x) for r in found if r.image_id == i} == set(kept)
+    for r in found:
+        own = [(y, x) for y in range(20) for x in range(24) if (y - r.y) ** 2 + (x - r.x) ** 2 <= 4 and min(kept, key=lambda k: ((k[0] - y) ** 2 + (k[1] - x) ** 2, k)) == (r.y, r.x)]
+        assert r.pixels == len(own) and r["sum"] == pytest.approx(sum(a[p] for p in own), abs=1e-3)
+
+
+def test_morphometrics_of_one_pixel_a_line_and_a_square(spark):
+    cells_ = [(1, 0, 0), *((2, 3, x) for x in range(2, 6)), *((3, y, x) for y in (6, 7) for x in (0, 1)), *((4, 10 + i, i) for i in range(3))]
+    found = {r.label: r for r in grids.morphometrics(spark.createDataFrame([(0, y, x, k) for k, y, x in cells_], "image_id long, y long, x long, label long")).collect()}
+    assert (found[1].reason, found[1].circularity, found[1].eccentricity, found[1].elongation) == ("one pixel", None, None, None)
+    assert (found[2].reason, found[2].eccentricity, found[2].elongation, found[2].edges) == ("pixels on a line", 1.0, None, 10)
+    assert (found[3].reason, found[3].eccentricity, found[3].elongation, found[3].major) == ("", 0.0, 1.0, 0.25)
+    assert found[4].reason == "pixels on a line" and found[4].minor == 0
+
+
+def test_values_that_arent_finite_count_as_the_median(spark):
+    v = [1.0, 2.0, 3.0, 4.0, 5.0, None, float("nan"), float("inf")]
+    found = {r.x: r.value for r in grids.normalized(spark.createDataFrame([(0, 0, i, x) for i, x in enumerate(v)], "image_id long, y long, x long, v double"), "v").collect()}
+    assert found[0] == 0 and found[4] == 1 and found[5] == found[6] == found[7] == found[2] == 0.5
