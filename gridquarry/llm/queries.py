@@ -123,5 +123,35 @@ def _license_sql() -> str:
     """
 
 
+def _contamination_sql() -> str:
+    from .license_scan import WORD
+
+    words = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}')"
+    windows = "list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))"
+    return rf"""
+    with docs as (select row_number() over () as r, doc_id, {words} as w from documents),
+    items as (select item_id, w, least(len(w), 10) as n from (select item_id, {words} as w from benchmark) where len(w) > 0),
+    theirs as (select distinct item_id, n, unnest({windows}) as win from items),
+    sought as (select distinct n from items),
+    ours as (select r, n, unnest({windows}) as win, unnest(range(0, len(w) - n + 1)) as place from docs, sought where len(w) >= n),
+    hits as (select r, n, place, win from ours where (n, win) in (select n, win from theirs)),
+    hit as (select r, count(distinct k) as n_hit from (select r, unnest(range(place, place + n)) as k from hits) group by r),
+    found as (select r, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as digest from (select distinct r, cast(item_id as varchar) as item from hits join theirs using (n, win)) group by r)
+    select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(digest, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from docs left join hit using (r) left join found using (r)
+    """
+
+
+#: All pairs of vectors; the lattice may miss a link in some hundreds of those just at the threshold (none on the tests' tables).
+_EMBEDDING_SQL = """
+    with recursive v as (select row_number() over () as r, vec_id, cast(embedding as double[]) as e from embeddings),
+    sound as (select * from v where e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+    links as (select a.r as a, b.r as b from sound a join sound b on a.r <> b.r and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.95),
+    walk(r, root) as (select r, r from v union select b, root from walk join links on a = r),
+    component as (select walk.r, min(o.vec_id) as component_id from walk join v o on o.r = root group by walk.r)
+    select vec_id, (select count(*) from links where a = v.r) as n_links, component_id, vec_id is not distinct from component_id as kept from v join component using (r)
+    """
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _license_sql()}
+    return {"op1_license_scan": _license_sql(), "op2_embedding_dedup": _EMBEDDING_SQL, "op4_decontaminate": _contamination_sql()}
