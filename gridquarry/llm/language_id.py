@@ -259,8 +259,9 @@ def identify_language(documents: DataFrame, *, key: str = "doc_id", text: str =
     text) mod ``folds`` isn't 0; the others are held out. score is the winning
     language's share of the likelihoods. Null texts and texts without a letter
     are ``und`` with score 0, as is every text when there is nothing to learn
-    from. A null key counts as the empty text. Equal costs go to the language
-    that sorts first. Extra columns are ignored. A model of more than
+    from. A null key counts as the empty text. A long text is scored whole, in
+    one row of a task; repeated rows get the same result each. Equal costs go
+    to the language that sorts first. Extra columns are ignored. A model of more than
     ``part_cells`` code lengths has several parts; a batch meets each in turn.
     """
     others = [c for c in carry or [] if c not in (key, text)]

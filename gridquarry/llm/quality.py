@@ -178,7 +178,8 @@ def score_quality(documents: DataFrame, model: RuleModel, *, key: str = "doc_id"
     the columns named in ``carry``.
 
     Null and empty texts have the statistics of the empty text and are scored
-    like any other; a null key is in the fold of the empty text; repeated rows
+    like any other; a long text is measured whole; a score of exactly a half
+    counts as 1; a null key is in the fold of the empty text; repeated rows
     score alike; an empty table gives no rows; extra columns are ignored.
     """
     others = [c for c in carry or [] if c not in (key, text)]

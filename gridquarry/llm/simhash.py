@@ -24,8 +24,6 @@ from .shared import keyed_rows, written
 #: Segments of the fingerprint: 4 bits each.
 SEGMENTS = 16
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-#: ASCII white space other than these five isn't a separator, nor is any other.
-_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def shingle_hashes(text: str, width: int, seed: int) -> np.ndarray:
@@ -92,9 +90,10 @@ def simhash_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "te
 
     component_id is the smallest doc_id that links reach; rows with equal
     fingerprints are linked, so copies meet as one fingerprint and no pairs of
-    copies are made. Null and empty texts have fingerprint zero. A null doc_id
-    counts as largest: its group's id is null only if all ids are. An empty
-    table gives no rows; extra columns are ignored.
+    copies are made. Null and empty texts have fingerprint zero. A bit that
+    exactly half of the hashes have is 0. A long text is hashed whole. A null
+    doc_id counts as largest: its group's id is null only if all ids are. An
+    empty table gives no rows; extra columns are ignored.
     """
     prints = written(fingerprinted(documents, key=key, text=text, width=width, seed=seed))
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
