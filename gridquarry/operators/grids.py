@@ -281,3 +281,30 @@ def located(grid: DataFrame) -> DataFrame:
     far = r((F.col("y") - F.col("cy")) ** 2 + (F.col("x") - F.col("cx")) ** 2)
     best = grid.where("label > 0").join(centre, OBJECT).groupBy(*OBJECT).agg(F.min(F.struct(far.alias("far"), "y", "x")).alias("b"))
     return best.select(*OBJECT, "b.y", "b.x")
+
+
+def label_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per image: changed pixels, and the ids that were added, removed, or
+    retained with other pixels."""
+    both = before.select(*PIXEL, F.col("label").alias("a")).join(after.select(*PIXEL, F.col("label").alias("b")), PIXEL, "full_outer").fillna(0, ["a", "b"])
+    counts = both.groupBy("image_id").agg(F.count_if(F.col("a") != F.col("b")).alias("changed"))
+    end = lambda label, first: F.struct(F.col(label).alias("label"), F.lit(first).alias("before"), F.lit(not first).alias("after"), (F.col("a") != F.col("b")).alias("touched"))
+    ids = both.select("image_id", F.inline(F.array(end("a", True), end("b", False)))).where("label > 0").groupBy("image_id", "label").agg(F.bool_or("before").alias("before"), F.bool_or("after").alias("after"), F.bool_or("touched").alias("touched"))
+    listed = lambda rule, name: F.array_join(F.sort_array(F.collect_list(F.when(F.expr(rule), F.col("label")))).cast("array<string>"), ",").alias(name)
+    sets = ids.groupBy("image_id").agg(listed("after and not before", "added"), listed("before and not after", "removed"), listed("before and after and touched", "retained"))
+    return counts.join(sets, "image_id", "left").fillna("", ["added", "removed", "retained"])
+
+
+def field_assay(grid: DataFrame, channel: str, *, saturated: float, above: float, background: float | None = None) -> DataFrame:
+    """Per image: the signed integral of a channel over the nuclei less the
+    background (given, or the median outside them), nuclei, the integral a
+    nucleus, the share of nuclei whose mean exceeds the background by more than
+    ``above``, and saturated pixels."""
+    v = F.col(channel)
+    if background is None:
+        grid = grid.join(grid.where("label = 0").groupBy("image_id").agg(F.median(channel).alias("bg")), "image_id")
+    else:
+        grid = grid.withColumn("bg", F.lit(background))
+    nuclei = grid.where("label > 0").groupBy("image_id", "label").agg(F.avg(v).alias("mean"), F.first("bg").alias("bg"), F.sum(v - F.col("bg")).alias("sum")).groupBy("image_id").agg(F.sum("sum").alias("integral"), F.count("*").alias("nuclei"), F.avg((F.col("mean") - F.col("bg") > above).cast("double")).alias("positive"))
+    pixels = grid.groupBy("image_id").agg(F.count_if(v >= saturated).alias("saturated"))
+    return pixels.join(nuclei, "image_id", "left").select("image_id", r(F.col("integral"), 4).alias("integral"), F.coalesce("nuclei", F.lit(0)).alias("nuclei"), r(F.try_divide("integral", "nuclei"), 5).alias("per_nucleus"), r(F.col("positive")).alias("positive_fraction"), "saturated")

@@ -11,6 +11,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def report_verdict(name: str, saved: DataFrame, again: DataFrame) -> DataFrame:
+    """report, verdict, differences: rows that a saved report and the one
+    computed again don't share, from either side."""
+    n = saved.exceptAll(again).union(again.exceptAll(saved)).agg(F.count("*").alias("differences"))
+    return n.select(F.lit(name).alias("report"), F.when(F.col("differences") == 0, "same").otherwise("changed").alias("verdict"), "differences")
+
+
+def extended_medians(groups: DataFrame, values: DataFrame, by: str, value: str) -> DataFrame:
+    """by, kind, median: a missing value counts as infinite; the median is
+    finite, infinite, or none without any row."""
+    m = values.groupBy(by).agg(F.median(F.coalesce(F.col(value), F.lit(float("inf")))).alias("m"))
+    kind = F.when(F.col("m").isNull(), "none").when(F.col("m") == float("inf"), "infinite").otherwise("finite")
+    return groups.join(m, by, "left").select(by, kind.alias("kind"), F.round(F.when(F.col("m") < float("inf"), F.col("m")), 6).alias("median"))
+
+
 def r(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits)
 

@@ -5,11 +5,12 @@ Detections are rows (seq, frame, label, x, y), edges are rows (src, dst).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridquarry.sources.workspace import written
+from gridquarry.sources.workspace import with_index, written
 
 from .matching import sequential_matching
 
@@ -89,6 +90,18 @@ def observations(det: DataFrame, track: list[str], order: list[str]) -> DataFram
     return base.select(*track, *order, r(F.col("step"), 5).alias("step"), r(F.sqrt((F.col("x") - F.col("x0")) ** 2 + (F.col("y") - F.col("y0")) ** 2), 5).alias("displacement"), r(path, 3).alias("path"), "gap")
 
 
+def step_intervals(det: DataFrame, track: list[str], order: list[str], seconds: str, usual: float) -> DataFrame:
+    """Per detection the step to the next one of its track: vector, chord,
+    velocity and speed over the actual time (null for none), and whether that
+    is a gap, longer than ``usual``. Nulls for the last one."""
+    w = W.partitionBy(*track).orderBy(*order)
+    dx, dy, dt = (F.lead(c).over(w) - F.col(c) for c in ("x", "y", seconds))
+    chord = F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2)
+    over = lambda c: r(F.when(F.col("dt") > 0, c / F.col("dt")), 5)
+    steps = det.select(*track, *order, dx.alias("dx"), dy.alias("dy"), dt.alias("dt"))
+    return steps.select(*track, *order, r(F.col("dx")).alias("dx"), r(F.col("dy")).alias("dy"), r(chord, 5).alias("chord"), over(F.col("dx")).alias("vx"), over(F.col("dy")).alias("vy"), over(chord).alias("speed"), F.coalesce(F.col("dt") > usual, F.lit(False)).alias("gap"))
+
+
 def track_measures(det: DataFrame, track: list[str], order: list[str]) -> DataFrame:
     """Per track: detections, frames passed, net displacement, path length,
     directionality (null without a path) and gaps."""
@@ -165,3 +178,38 @@ def suppress(points: DataFrame, most: float) -> DataFrame:
         live = written(live.join(lead, "id", "left_anti").join(gone.distinct(), "id", "left_anti"))
         if live.isEmpty():
             return kept
+
+
+def edited(edges: DataFrame, ledger: DataFrame) -> DataFrame:
+    """src, dst, origin (automatic or manual) after a ledger (seq, op, src,
+    dst) of edits: add and remove change an edge, undo takes the last edit
+    back, redo does it again until there is a new edit.
+
+    A ledger is one person's work on one graph, in order: it is the only thing
+    that a single task goes through."""
+    places = with_index(ledger.where(F.col("op").isin("add", "remove", "undo", "redo")), "seq", name="_i")
+    by_hand = placed_edits(places)
+    last = by_hand.groupBy("src", "dst").agg(F.max_by("op", "_i").alias("op"))
+    kept = edges.select("src", "dst").join(last, ["src", "dst"], "left_anti").withColumn("origin", F.lit("automatic"))
+    return kept.union(last.where("op = 'add'").select("src", "dst", F.lit("manual")))
+
+
+def placed_edits(places: DataFrame) -> DataFrame:
+    """The edits (_i, op, src, dst) of a ledger that stand at its end."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        done: list[int] = []
+        undone: list[int] = []
+        for k, op in enumerate(pdf["op"]):
+            if op == "undo":
+                if done:
+                    undone.append(done.pop())
+            elif op == "redo":
+                if undone:
+                    done.append(undone.pop())
+            else:
+                done.append(k)
+                undone.clear()
+        return pdf.iloc[sorted(done)][["_i", "op", "src", "dst"]]
+
+    return places.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: run(pdf.sort_values("_i", ignore_index=True)), "_i bigint, op string, src bigint, dst bigint")

@@ -130,10 +130,13 @@ def colocalisation(spark, d):
     return grids.colocalisation(views.px(spark, d), "v", "v2", 5.0, 300.0)
 
 
-@query("a15_label_change_sets", sql("labels_ref", "labels_pred", then="select image_id, count(*) filter (r.label <> p.label) as changed from labels_ref r join labels_pred p using (image_id, y, x) group by image_id"))
+@query("a15_label_change_sets", sql("labels_ref", "labels_pred", then="").rstrip() + """, pair as (select image_id, r.label as a, p.label as b from labels_ref r join labels_pred p using (image_id, y, x)),
+    ids as (select image_id, a as label, true as before, false as after, false as touched from pair union all select image_id, b, false, true, false from pair union all select image_id, unnest([a, b]), false, false, true from pair where a <> b),
+    each as (select image_id, label, bool_or(before) as before, bool_or(after) as after, bool_or(touched) as touched from ids where label > 0 group by all)
+    select image_id, changed, coalesce(added, '') as added, coalesce(removed, '') as removed, coalesce(retained, '') as retained from (select image_id, count(*) filter (a <> b) as changed from pair group by 1) left join
+    (select image_id, string_agg(cast(label as varchar), ',' order by label) filter (after and not before) as added, string_agg(cast(label as varchar), ',' order by label) filter (before and not after) as removed, string_agg(cast(label as varchar), ',' order by label) filter (before and after and touched) as retained from each group by 1) using (image_id)""")
 def label_change_sets(spark, d):
-    a, b = views.labels_ref(spark, d), views.labels_pred(spark, d).select(*grids.PIXEL, F.col("label").alias("after"))
-    return a.join(b, grids.PIXEL).groupBy("image_id").agg(F.count_if(F.col("label") != F.col("after")).alias("changed"))
+    return grids.label_changes(views.labels_ref(spark, d), views.labels_pred(spark, d))
 
 
 @query("f08_threshold_mask", sql("px", then="select image_id, y, x from px where v > 20"))
@@ -285,9 +288,15 @@ def size_summary(spark, d):
     return m.groupBy("image_id").agg(F.count("*").alias("n"), F.sum("pixels").alias("total"), F.round(F.avg("pixels"), 6).alias("mean"), F.median("pixels").alias("median"), F.min("pixels").alias("least"), F.max("pixels").alias("greatest"), F.count_if("border").alias("border"))
 
 
-@query("a36_basic_region_props", sql("labels_ref", then="select image_id, label, count(*) as area, round(sqrt(4 * count(*) / pi()), 6) as equivalent_diameter, round(100.0 * count(*) / 2500, 6) as confluence from labels_ref where label > 0 group by all"))
+@query("a36_basic_region_props", sql("labels_ref", then="""select image_id, label, area, cy as centroid_y, cx as centroid_x, round(sqrt(4 * area / pi()), 6) as equivalent_diameter, round(100.0 * area / 2500, 6) as confluence,
+    round(case when area > 1 then sqrt(greatest(1 - greatest((a + b) / 2 - sqrt(pow((a - b) / 2, 2) + c * c), 0) / ((a + b) / 2 + sqrt(pow((a - b) / 2, 2) + c * c)), 0)) end, 6) as eccentricity
+    from (select image_id, label, count(*) as area, round(avg(y), 6) as cy, round(avg(x), 6) as cx, var_pop(x) as a, var_pop(y) as b, covar_pop(x, y) as c from labels_ref where label > 0 group by all)"""))
 def basic_region_props(spark, d):
-    return views.labels_ref(spark, d).where("label > 0").groupBy(*grids.OBJECT).agg(F.count("*").alias("area"), F.round(F.sqrt(4 * F.count("*") / F.pi()), 6).alias("equivalent_diameter"), F.round(100.0 * F.count("*") / (WIDTH * HEIGHT), 6).alias("confluence"))
+    g = views.labels_ref(spark, d)
+    own = grids.object_measures(g, [], WIDTH, HEIGHT).select(*grids.OBJECT, F.col("pixels").alias("area"), "centroid_y", "centroid_x")
+    area = F.col("area")
+    shape = grids.morphometrics(g).select(*grids.OBJECT, "eccentricity")
+    return own.join(shape, grids.OBJECT).select(*grids.OBJECT, "area", "centroid_y", "centroid_x", F.round(F.sqrt(4 * area / F.pi()), 6).alias("equivalent_diameter"), F.round(100.0 * area / (WIDTH * HEIGHT), 6).alias("confluence"), "eccentricity")
 
 
 @query("a41_overlap_blend", sql("px", then="select image_id, y, x, round(sum(w * v) / sum(w), 6) as value from (select image_id, y, x, v, 1.0 as w from px union all select image_id, y, x, v2, 0.5 from px where x % 10 < 3) group by all"))
@@ -324,13 +333,11 @@ def alignment_quality(spark, d):
     return a.join(b, grids.PIXEL).groupBy("image_id").agg(F.count("*").alias("overlap"), F.round(F.count("*") / (WIDTH * HEIGHT), 6).alias("fraction"), F.round(F.corr("v", "w"), 5).alias("correlation"))
 
 
-@query("a18_field_assay", sql("labels_ref", then="select image_id, round(sum(v - bg) filter (label > 0), 4) as integral, count(distinct label) filter (label > 0) as nuclei, round(sum(v - bg) filter (label > 0) / count(distinct label) filter (label > 0), 5) as per_nucleus, count(*) filter (v >= 50) as saturated from labels_ref join (select image_id, median(v) as bg from labels_ref where label = 0 group by 1) using (image_id) group by image_id"))
+@query("a18_field_assay", sql("labels_ref", then="").rstrip() + """, bg as (select image_id, median(v) as bg from labels_ref where label = 0 group by 1), nuclei as (select image_id, label, avg(v) - any_value(bg) > 2 as positive from labels_ref join bg using (image_id) where label > 0 group by all)
+    select image_id, integral, nuclei, round(integral_ / nuclei, 5) as per_nucleus, positive_fraction, saturated from (select image_id, sum(v - bg) filter (label > 0) as integral_, round(sum(v - bg) filter (label > 0), 4) as integral, count(*) filter (v >= 50) as saturated from labels_ref join bg using (image_id) group by 1)
+    join (select image_id, count(*) as nuclei, round(avg(case when positive then 1.0 else 0.0 end), 6) as positive_fraction from nuclei group by 1) using (image_id)""")
 def field_assay(spark, d):
-    g = views.labels_ref(spark, d)
-    bg = g.where("label = 0").groupBy("image_id").agg(F.median("v").alias("bg"))
-    on = F.col("label") > 0
-    total, n = F.sum(F.when(on, F.col("v") - F.col("bg"))), F.count_distinct(F.when(on, F.col("label")))
-    return g.join(bg, "image_id").groupBy("image_id").agg(F.round(total, 4).alias("integral"), n.alias("nuclei"), F.round(F.try_divide(total, n), 5).alias("per_nucleus"), F.count_if(F.col("v") >= 50).alias("saturated"))
+    return grids.field_assay(views.labels_ref(spark, d), "v", saturated=50.0, above=2.0)
 
 
 @query("p10_world_coordinates", sql("px", then="select image_id, y, x, round(0.5::double * x + 0.1::double * y + 3, 6) as wx, round(-0.1::double * x + 0.5::double * y - 2, 6) as wy from px"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridquarry.functions import cells
-from gridquarry.operators import filters, grids, population, spatial, studies, tracks
+from gridquarry.operators import declared, filters, grids, population, spatial, studies, tracks
 from gridquarry.sources import views
 from gridquarry.sources.views import sql, table
 
@@ -185,13 +185,12 @@ def row_major_relabel(spark, d):
     return first.select(*grids.OBJECT, F.row_number().over(W.partitionBy("image_id").orderBy("first_pixel")).cast("bigint").alias("new"))
 
 
-@query("w10_step_speed_intervals", "select user_id, event_id, round(lead(value) over w - value, 6) as vector, round(case when lead(epoch(ts)) over w > epoch(ts) then (lead(value) over w - value) / (lead(epoch(ts)) over w - epoch(ts)) end, 5) as velocity from events window w as (partition by user_id order by ts, event_id)")
+@query("w10_step_speed_intervals", """select user_id, event_id, round(dx, 6) as dx, round(dy, 6) as dy, round(sqrt(dx * dx + dy * dy), 5) as chord, round(case when dt > 0 then dx / dt end, 5) as vx, round(case when dt > 0 then dy / dt end, 5) as vy, round(case when dt > 0 then sqrt(dx * dx + dy * dy) / dt end, 5) as speed, coalesce(dt > 86400, false) as gap
+    from (select user_id, event_id, lead(value) over w - value as dx, cast(lead(event_id) over w % 97 - event_id % 97 as double) as dy, lead(epoch(ts)) over w - epoch(ts) as dt from events window w as (partition by user_id order by ts, event_id))""")
 def step_speed_intervals(spark, d):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
     at = F.unix_date(F.col("ts").cast("date")) * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60 + F.extract(F.lit("SECOND"), "ts").cast("double")
-    e = table(spark, d, "events").select("user_id", "event_id", "ts", "value", at.alias("s"))
-    step, time = F.lead("value").over(w) - F.col("value"), F.lead("s").over(w) - F.col("s")
-    return e.select("user_id", "event_id", F.round(step, 6).alias("vector"), F.round(F.when(time > 0, step / time), 5).alias("velocity"))
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", F.col("value").alias("x"), (F.col("event_id") % 97).cast("double").alias("y"), at.alias("s"))
+    return tracks.step_intervals(e, ["user_id"], ["ts", "event_id"], "s", 86400.0).drop("ts")
 
 
 @query("u07_delete_and_remeasure", sql("labels_ref", then="select image_id, label, count(*) as pixels, round(avg(v), 6) as mean from labels_ref where label > 0 and label <> 5 group by all"))
@@ -318,13 +317,15 @@ def patch_sampling(spark, d):
     return draws.orderBy(key, "doc_id", "pos").limit(100)
 
 
-@query("x06_declared_pipeline", sql("labels_ref", then="select image_id, label, count(*) as pixels, round(avg(v), 6) as mean from labels_ref where label > 0 and v > 6 group by all having count(*) >= 3"))
+_DECLARED = """[{"step": "source", "channel": "v"}, {"step": "process", "filter": "subtract", "value": 5, "clip_negative": true}, {"step": "segment", "at_least": 20, "connect": 4},
+    {"step": "measure", "channels": ["v2"]}, {"step": "population", "ranges": {"v2_mean": [10, null]}}, {"step": "review", "least_pixels": 2}, {"step": "export", "columns": ["image_id", "label", "pixels", "v2_mean", "review"]}]"""
+_SEGMENTED = sql("px", then="").replace("with ", "with recursive ", 1).rstrip() + """, m as (select image_id, y, x, v2, y * 100 + x as p from px where greatest(v - 5, 0) >= 20), walk(image_id, y, x, p, root) as (select image_id, y, x, p, p from m union select b.image_id, b.y, b.x, b.p, w.root from walk w join m b on b.image_id = w.image_id and abs(b.y - w.y) + abs(b.x - w.x) = 1 and w.root < b.p),
+    labelled as (select image_id, v2, dense_rank() over (partition by image_id order by root) as label from m join (select image_id, p, min(root) as root from walk group by all) using (image_id, p))"""
+
+
+@query("x06_declared_pipeline", _SEGMENTED + " select image_id, label, count(*) as pixels, round(avg(v2), 6) as v2_mean, case when count(*) >= 2 then 'accepted' else 'needs-review' end as review from labelled group by all having avg(v2) >= 10")
 def declared_pipeline(spark, d):
-    steps = {"process": lambda g: g.where("v > 6"), "segment": lambda g: g.where("label > 0"), "measure": lambda g: grids.object_measures(g, ["v"], views.WIDTH, views.HEIGHT), "population": lambda o: o.where("pixels >= 3")}
-    out = views.labels_ref(spark, d)
-    for name in ("process", "segment", "measure", "population"):
-        out = out.transform(steps[name])
-    return out.select(*grids.OBJECT, "pixels", F.col("v_mean").alias("mean"))
+    return declared.run(views.px(spark, d), _DECLARED, views.WIDTH, views.HEIGHT)
 
 
 @query("j14_gap_tracking")

@@ -44,11 +44,13 @@ def review_gate(spark, d):
     return studies.image_means(_obs(spark, d)).groupBy("condition").agg((pending == 0).alias("comparable"), pending.alias("pending"))
 
 
-@query("h06_report_recompute", _OBS + "select 'same' as verdict, cast(0 as bigint) as differences")
+@query("h06_report_recompute", _OBS + "select 'saved' as report, 'same' as verdict, cast(0 as bigint) as differences union all select 'altered', 'changed', cast(2 as bigint)")
 def report_recompute(spark, d):
-    saved, again = studies.condition_summary(_obs(spark, d)), studies.condition_summary(_obs(spark, d))
-    diff = saved.exceptAll(again).union(again.exceptAll(saved)).agg(F.count("*").alias("differences"))
-    return diff.select(F.when(F.col("differences") == 0, "same").otherwise("changed").alias("verdict"), "differences")
+    again = studies.condition_summary(_obs(spark, d))
+    saved = written(again)
+    first = saved.agg(F.min("condition").alias("_c"))
+    altered = saved.join(F.broadcast(first)).withColumn("mean", F.when(F.col("condition") == F.col("_c"), F.col("mean") + 0.01).otherwise(F.col("mean"))).drop("_c")
+    return studies.report_verdict("saved", saved, again).union(studies.report_verdict("altered", written(altered), again))
 
 
 _BANDS = [0.0, 10000.0, 30000.0, 60000.0]
@@ -125,10 +127,13 @@ def stratified_summary(spark, d):
     return strata.withColumn("worst", F.row_number().over(W.partitionBy("dimension").orderBy(F.desc("median"), "name")) == 1)
 
 
-@query("a25_extended_median", sql("objects", then="select brand, nullif(round(median(coalesce(size, 'inf'::double)), 6), 'inf'::double) as median from objects group by 1"))
+@query("a25_extended_median", sql("objects", then="""select brand, case when count(*) = 0 then 'none' when median(coalesce(size, 'inf'::double)) = 'inf'::double then 'infinite' else 'finite' end as kind, nullif(round(median(coalesce(size, 'inf'::double)), 6), 'inf'::double) as median from objects group by 1
+    union all select 'Brand#00', 'none', null union all select 'missing', 'infinite', null"""))
 def extended_median(spark, d):
-    m = F.median(F.coalesce("size", F.lit(float("inf"))))
-    return views.objects(spark, d).groupBy("brand").agg(F.round(F.when(m < float("inf"), m), 6).alias("median"))
+    o = views.objects(spark, d).select("brand", "size")
+    lost = o.select(F.lit("missing").alias("brand"), F.lit(None).cast("double").alias("size"))
+    every = o.select("brand").distinct().union(spark.createDataFrame([("Brand#00",), ("missing",)], "brand string"))
+    return studies.extended_medians(every, o.union(lost), "brand", "size")
 
 
 @query("a26_control_z_prime", "select round(1 - 3 * (stddev_samp(c_acctbal) filter (c_mktsegment = 'BUILDING') + stddev_samp(c_acctbal) filter (c_mktsegment = 'MACHINERY')) / abs(avg(c_acctbal) filter (c_mktsegment = 'BUILDING') - avg(c_acctbal) filter (c_mktsegment = 'MACHINERY')), 6) as z_prime from customer")
@@ -404,12 +409,17 @@ def distance_nms(spark, d):
     return tracks.suppress(p, 4.0)
 
 
-@query("u05_track_edge_edits", "select src, dst from (select event_id as src, event_id + 1 as dst from events where event_id % 5 <> 2 union all select event_id, event_id + 2 from events where event_id % 100 = 1)")
+@query("u05_track_edge_edits", """with edits as (select event_id * 4 as seq, case when event_id % 5 = 2 then 'remove' else 'add' end as op, event_id as src, event_id + case when event_id % 5 = 2 then 1 else 2 end as dst, event_id % 20 = 2 and event_id % 40 <> 2 as undone from events where event_id % 5 = 2 or event_id % 100 = 1),
+    last as (select src, dst, arg_max(op, seq) as op from edits where not undone group by all)
+    select src, dst, 'automatic' as origin from (select event_id as src, event_id + 1 as dst from events) where (src, dst) not in (select src, dst from last) union all select src, dst, 'manual' from last where op = 'add'""")
 def track_edge_edits(spark, d):
-    base = table(spark, d, "events").selectExpr("event_id as src", "event_id + 1 as dst")
-    edits = base.where("src % 5 = 2").select("src", "dst", F.lit(1).alias("seq"), F.lit("remove").alias("op")).union(base.where("src % 100 = 1").select("src", F.col("src") + 2, F.lit(2), F.lit("add")))
-    last = edits.groupBy("src", "dst").agg(F.max_by("op", "seq").alias("op"))
-    return base.join(last, ["src", "dst"], "left_anti").union(last.where("op = 'add'").select("src", "dst"))
+    e = table(spark, d, "events")
+    base = e.selectExpr("event_id as src", "event_id + 1 as dst")
+    edits = e.where("event_id % 5 = 2 or event_id % 100 = 1").selectExpr("event_id * 4 as seq", "if(event_id % 5 = 2, 'remove', 'add') as op", "event_id as src", "event_id + if(event_id % 5 = 2, 1, 2) as dst")
+    # Every fourth removal is undone, and of these every second is done again.
+    undo = edits.where("src % 20 = 2").selectExpr("seq + 1 as seq", "'undo' as op", "null as src", "null as dst")
+    redo = edits.where("src % 40 = 2").selectExpr("seq + 2 as seq", "'redo' as op", "null as src", "null as dst")
+    return tracks.edited(base, edits.union(undo).union(redo))
 
 
 @query("p11_polygon_area_centroid", """with v as (select page_id as shape, i, cos(i * 1.2) * (page_id % 7 + 1) as x, sin(i * 1.2) * (page_id % 5 + 1) as y from pages, range(0, 5) t(i)), n as (select *, coalesce(lead(x) over w, first(x) over w2) as nx, coalesce(lead(y) over w, first(y) over w2) as ny from v window w as (partition by shape order by i), w2 as (partition by shape order by i rows between unbounded preceding and unbounded following)), s as (select shape, sum(x * ny - nx * y) as a, sum((x + nx) * (x * ny - nx * y)) as sx, sum((y + ny) * (x * ny - nx * y)) as sy from n group by 1)

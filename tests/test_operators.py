@@ -1,6 +1,7 @@
 """Operators against brute force and hand-written cases."""
 
 import itertools
+import json
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridquarry.functions import cells
-from gridquarry.operators import filters, grids, matching, population, shapes, spatial, tracks
+from gridquarry.operators import declared, filters, grids, matching, population, shapes, spatial, tracks
 
 
 def components(cells, steps, same=lambda a, b: True):
@@ -285,3 +286,22 @@ def test_values_that_arent_finite_count_as_the_median(spark):
     v = [1.0, 2.0, 3.0, 4.0, 5.0, None, float("nan"), float("inf")]
     found = {r.x: r.value for r in grids.normalized(spark.createDataFrame([(0, 0, i, x) for i, x in enumerate(v)], "image_id long, y long, x long, v double"), "v").collect()}
     assert found[0] == 0 and found[4] == 1 and found[5] == found[6] == found[7] == found[2] == 0.5
+
+
+def test_declared_pipelines_are_validated():
+    good = [{"step": "source", "channel": "v"}, {"step": "process", "filter": "median", "size": 1}, {"step": "process", "filter": "subtract", "value": 2}, {"step": "segment", "at_least": 3}, {"step": "measure"}, {"step": "population", "ranges": {}}, {"step": "review", "least_pixels": 1}, {"step": "export", "columns": ["label"]}]
+    assert declared.validated(json.dumps(good)) == good
+    for wrong in (good[::-1], good[:-1], [*good, good[-1]], [{**good[0], "more": 1}, *good[1:]], [{"step": "source"}, *good[1:]], {"steps": good}, [{"step": "flood"}]):
+        with pytest.raises(ValueError):
+            declared.validated(json.dumps(wrong))
+    for text in ('[{"step": "source", "step": "source", "channel": "v"}]', '[{"step": "segment", "at_least": NaN}]'):
+        with pytest.raises(ValueError):
+            declared.validated(text)
+
+
+def test_edits_are_undone_and_done_again(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src long, dst long")
+    entries = [("remove", 1, 2), ("remove", 2, 3), ("undo", None, None), ("undo", None, None), ("redo", None, None), ("add", 7, 8), ("redo", None, None), ("add", 5, 6), ("undo", None, None), ("undo", None, None), ("undo", None, None), ("undo", None, None), ("redo", None, None), ("redo", None, None)]
+    ledger = spark.createDataFrame([(i, *e) for i, e in enumerate(entries)], "seq long, op string, src long, dst long")
+    found = {(r.src, r.dst, r.origin) for r in tracks.edited(edges, ledger).collect()}
+    assert found == {(2, 3, "automatic"), (3, 4, "automatic"), (7, 8, "manual")}
