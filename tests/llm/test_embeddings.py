@@ -1,6 +1,7 @@
 """Lattice hashing against brute force."""
 
 import numpy as np
+import pytest
 
 from gridquarry.llm import embedding_dedup as e
 
@@ -44,3 +45,54 @@ def test_groups(spark):
     assert all(found[i].n_links == 0 and found[i].component_id == i and found[i].kept for i in (200, 201, 202, 203, 204))
     assert found[206].component_id == 205 and not found[206].kept
     assert e.embedding_groups(df.where("false")).count() == 0
+
+
+def groups_by_force(rows, threshold=0.95):
+    """(links, component) of each row (id, vector), by all pairs."""
+    sound = [v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v in rows]
+    root, links = list(range(len(rows))), [0] * len(rows)
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, (_, v) in enumerate(rows):
+        for j in range(i):
+            w = rows[j][1]
+            if sound[i] and sound[j] and len(v) == len(w) and np.dot(v, w) >= threshold * np.linalg.norm(v) * np.linalg.norm(w):
+                links[i] += 1
+                links[j] += 1
+                root[top(i)] = top(j)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[top(i)] = min(least.get(top(i), float("inf")), float("inf") if k is None else k)
+    return [(k, links[i], None if least[top(i)] == float("inf") else least[top(i)]) for i, (k, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_dense_groups_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(e, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    unit = lambda n, d: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.standard_normal((n, d)))
+    centre, other = unit(2, 64)
+    tight = centre + 0.06 * unit(80, 64)
+    loose = other + 0.14 * unit(60, 64)
+    chain = [np.cos(t) * centre - np.sin(t) * (other - (other @ centre) * centre) / np.linalg.norm(other - (other @ centre) * centre) for t in np.arange(1, 12) * 0.25]
+    vectors = [*tight, *loose, *chain, *unit(120, 64), *tight[:5], 2 * loose[0]]
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    rows += [(None, tight[0].tolist()), (None, (tight[1] * 1.5).tolist()), (3, unit(1, 64)[0].tolist()), (3, loose[2].tolist()), (None, unit(1, 64)[0].tolist()), (None, None), (900, [1.0, 0.0]), (901, [1.0, 0.01])]
+    found = [(r.vec_id, r.n_links, r.component_id) for r in e.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    order = lambda x: sorted(x, key=str)
+    assert order(found) == order(groups_by_force(rows))
+
+
+def test_all_links_of_a_table_are_found(spark):
+    """Recall over a whole table of the tests' data, against all pairs."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    near = table.selectExpr("vec_id + 100000 as vec_id", "transform(embedding, (x, i) -> cast(x * (1 + 0.2 * sin(i * 7 + vec_id)) as float)) as embedding")
+    rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in table.select("vec_id", "embedding").union(near).collect()]
+    found = {r.vec_id: r.n_links for r in e.embedding_groups(table.select("vec_id", "embedding").union(near)).collect()}
+    expected = {k: n for k, n, _ in groups_by_force(rows)}
+    assert sum(expected.values()) > 100 and sum(found.values()) >= 0.98 * sum(expected.values())
+    assert all(found[k] <= n for k, n in expected.items())

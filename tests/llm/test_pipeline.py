@@ -66,3 +66,29 @@ def test_stages(spark, corpus, tmp_path):
 def test_run_gives_the_last_stage(spark, corpus):
     path, _ = corpus
     assert {"doc_id", "start", "length", "sequence_id"} <= set(corpus_pipeline.run(spark, path).columns)
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_rows(spark, corpus, tmp_path, name):
+    """Empty tables, nulls, ids that repeat or lack, long texts and columns with clashing names."""
+    path, texts = corpus
+    stage = dict(corpus_pipeline.STAGES)[name]
+    long = texts[3] * 500
+    rows = [(None, texts[0], None, None, None), (None, None, None, None, None), (7, texts[7], "en", "s", 3), (7, texts[8], "en", "s", 3), (7, texts[7], "en", "s", 3), (900, long, "en", "s", 1), (901, "", "en", "s", 0), *((i, t, "en", "s", 1) for i, t in texts.items() if 20 <= i < 60)]
+    docs = spark.createDataFrame([(*r, 0.5, "x", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, mark string, row_id int")
+    docs.write.parquet(f"{tmp_path}/in")
+    found = stage(spark, spark.read.parquet(f"{tmp_path}/in"), path).collect()
+    none = spark.read.parquet(f"{tmp_path}/in").where("false")
+    none.write.parquet(f"{tmp_path}/none")
+    assert stage(spark, spark.read.parquet(f"{tmp_path}/none"), path).count() == 0
+    kept = sorted((str(r.doc_id), r.text or "") for r in found) if name != "packing" else None
+    if name == "packing":
+        total = lambda i: sum(r.length for r in found if r.doc_id == i)
+        assert total(901) == 1 and total(900) == [r for r in found if r.doc_id == 900][0].doc_tokens and {r.doc_id for r in found} == {r[0] for r in rows}
+    elif name in ("language", "quality"):
+        wanted = [(str(i), t) for i, t, *_ in rows if t]
+        assert [x for x in kept if x[1]] == sorted(wanted)
+    elif name == "near_duplicates":
+        assert [x for x in kept if x[1] == texts[7]] == [("7", texts[7])] and len([x for x in kept if not x[1]]) == 1
+    else:
+        assert kept == sorted((str(i), t or "") for i, t, *_ in rows)
