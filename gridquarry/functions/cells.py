@@ -70,6 +70,15 @@ def metadata_reasons(study: Column, condition: Column) -> Column:
     return F.array_compact(F.array(F.when(study.isNull() | (study == ""), "study"), F.when(condition.isNull(), "condition"), F.when(F.length(study) > 256, "too_long")))
 
 
+def label_transform(width: str, height: str, label_width: str, label_height: str) -> Column:
+    """identity for equal sizes, resize where the label has the source's aspect
+    to a pixel, else error."""
+    w, h, lw, lh = (F.col(c) for c in (width, height, label_width, label_height))
+    scale = F.least(lw / w, lh / h)
+    near = lambda a, b: F.abs(F.bround(a * scale) - b) <= 1
+    return F.when((w == lw) & (h == lh), "identity").when(near(w, lw) & near(h, lh), "resize").otherwise("error")
+
+
 def canonical_json(*columns: str) -> Column:
     """Compact JSON with the keys in order."""
     return F.to_json(F.struct(*sorted(columns)))

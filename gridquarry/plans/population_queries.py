@@ -226,11 +226,12 @@ def path_rules(spark, d):
     return table(spark, d, "pages").select("page_id", cells.acquisition_group(F.regexp_replace("url", "^[a-z]+://", "")).alias("acquisition_group"))
 
 
-@query("p23_spatial_compatibility", "select p_partkey, case when p_size = p_size * 2 // 2 and p_size % 3 = 0 then 'identity' when abs(p_size * 2 - round(p_size * 2.05)) <= 1 then 'resize' else 'error' end as transform from part")
+@query("p23_spatial_compatibility", """with s as (select p_partkey, p_size * 10 as w, p_size * 8 as h, case p_partkey % 3 when 0 then p_size * 10 when 1 then p_size * 5 else p_size * 7 end as lw, case p_partkey % 3 when 0 then p_size * 8 when 1 then p_size * 4 + p_partkey % 4 else p_size * 3 end as lh from part)
+    select p_partkey, case when w = lw and h = lh then 'identity' when abs(round_even(w * k, 0) - lw) <= 1 and abs(round_even(h * k, 0) - lh) <= 1 then 'resize' else 'error' end as transform from (select *, least(lw / w, lh / h) as k from s)""")
 def spatial_compatibility(spark, d):
-    same = F.col("p_size") % 3 == 0
-    near = F.abs(F.col("p_size") * 2 - F.round(F.col("p_size") * 2.05)) <= 1
-    return table(spark, d, "part").select("p_partkey", F.when(same, "identity").when(near, "resize").otherwise("error").alias("transform"))
+    s, k = F.col("p_size"), F.col("p_partkey") % 3
+    sized = table(spark, d, "part").select("p_partkey", (s * 10).alias("w"), (s * 8).alias("h"), F.when(k == 0, s * 10).when(k == 1, s * 5).otherwise(s * 7).alias("lw"), F.when(k == 0, s * 8).when(k == 1, s * 4 + F.col("p_partkey") % 4).otherwise(s * 3).alias("lh"))
+    return sized.select("p_partkey", cells.label_transform("w", "h", "lw", "lh").alias("transform"))
 
 
 @query("p24_sample_metadata_check", "select c_custkey, list_filter([case when c_name is null or c_name = '' then 'study' end, case when c_mktsegment is null or c_mktsegment = 'HOUSEHOLD' then 'condition' end, case when length(c_name) > 256 then 'too_long' end], lambda x: x is not null) as reasons from customer")

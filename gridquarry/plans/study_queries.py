@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridquarry.operators import gates, studies, tracks
+from gridquarry.operators import gates, sheets, studies, tracks
 from gridquarry.sources import views
 from gridquarry.sources.views import sql, table
 from gridquarry.sources.workspace import written
@@ -241,7 +241,8 @@ def folder_rollup(spark, d):
 select doc_id, left(id, cast(list_min(list_filter(range(6, 65), lambda k: coalesce(left(a, k) <> left(id, k), true) and coalesce(left(b, k) <> left(id, k), true))) as bigint)) as label from n""")
 def unique_prefix_labels(spark, d):
     h = table(spark, d, "documents").select("doc_id", "source", F.sha2(F.col("doc_id").cast("string"), 256).alias("id"))
-    w = W.partitionBy("source").orderBy("id")
+    # Labels have six characters at least, so only ids that share these can meet.
+    w = W.partitionBy("source", F.left("id", F.lit(6))).orderBy("id")
     n = h.withColumns({"a": F.lag("id").over(w), "b": F.lead("id").over(w)})
     return n.selectExpr("doc_id", "left(id, array_min(filter(sequence(6, 64), k -> coalesce(left(a, k) <> left(id, k), true) and coalesce(left(b, k) <> left(id, k), true)))) as label")
 
@@ -265,54 +266,92 @@ def currentness_check(spark, d):
     return saved.join(now, "o_orderkey", "full_outer").where(~F.col("saved").eqNullSafe(F.col("now"))).select("o_orderkey")
 
 
-@query("h03_row_digest", "select p_brand, sha256(string_agg(h, '' order by h)) as digest from (select p_brand, sha256(p_partkey || '|' || p_name || '|' || p_size) as h from part) group by 1")
+@query("h03_row_digest", "with h as (select p_brand, sha256(p_partkey || '|' || p_name || '|' || p_size) as h from part), r as (select p_brand, left(h, 3) as r, sha256(string_agg(h, '' order by h)) as d from h group by all) select p_brand, sha256(string_agg(d, '' order by r)) as digest from r group by 1")
 def row_digest(spark, d):
     rows = table(spark, d, "part").select("p_brand", F.sha2(F.concat_ws("|", F.col("p_partkey").cast("string"), "p_name", F.col("p_size").cast("string")), 256).alias("h"))
-    return rows.groupBy("p_brand").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("digest"))
+    # Ranges of the hash first, then their digests: no brand's rows are gathered in one place.
+    ranges = rows.groupBy("p_brand", F.left("h", F.lit(3)).alias("r")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("d"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "d"))), lambda s: s["d"]), "")
+    return ranges.groupBy("p_brand").agg(F.sha2(whole, 256).alias("digest"))
 
 
-@query("s08_source_manifest", "select doc_id, strlen(coalesce(text, '')) as size_bytes, sha256(coalesce(text, '')) as sha256 from documents")
-def source_manifest(spark, d):
+_REGISTERED = "select doc_id, strlen(coalesce(text, '')) as size_bytes, sha256(coalesce(text, '')) as sha256, case when doc_id % 40 = 0 then 'changed' when doc_id % 40 = 1 then 'new' else 'known' end as status from documents"
+
+
+def _manifest(spark, d):
     t = F.coalesce("text", F.lit(""))
     return table(spark, d, "documents").select("doc_id", F.octet_length(t).cast("bigint").alias("size_bytes"), F.sha2(t, 256).alias("sha256"))
 
 
-@query("s20_package_verify", "select doc_id, case when doc_id % 50 = 1 then 'missing' when doc_id % 50 = 2 then 'checksum' else 'ok' end as verdict from documents")
+@query("s08_source_manifest", _REGISTERED)
+def source_manifest(spark, d):
+    m = _manifest(spark, d)
+    before = m.where("doc_id % 40 <> 1").select("doc_id", F.when(F.col("doc_id") % 40 == 0, F.lit("x")).otherwise(F.col("sha256")).alias("held"))
+    status = F.when(F.col("held").isNull(), "new").when(F.col("held") != F.col("sha256"), "changed").otherwise("known")
+    return m.join(before, "doc_id", "left").select("doc_id", "size_bytes", "sha256", status.alias("status"))
+
+
+@query("s20_package_verify", "select cast(doc_id as varchar) as name, case when doc_id % 50 = 1 then 'missing' when doc_id % 50 = 2 then 'checksum' when doc_id % 50 = 3 then 'header' when doc_id % 50 = 4 then 'rows' when doc_id % 50 = 5 then 'size' when doc_id % 50 = 6 then 'unexpected' else 'ok' end as verdict from documents")
 def package_verify(spark, d):
-    m = source_manifest(spark, d)
-    declared = m.withColumn("sha256", F.when(F.col("doc_id") % 50 == 2, F.lit("x")).otherwise(F.col("sha256"))).select("doc_id", F.col("size_bytes").alias("size"), F.col("sha256").alias("sum"))
-    found = m.where("doc_id % 50 <> 1")
-    j = declared.join(found, "doc_id", "full_outer")
-    verdict = F.when(F.col("sha256").isNull(), "missing").when(F.col("sum").isNull(), "unexpected").when(F.col("size") != F.col("size_bytes"), "size").when(F.col("sum") != F.col("sha256"), "checksum").otherwise("ok")
-    return j.select("doc_id", verdict.alias("verdict"))
+    k = F.col("doc_id") % 50
+    lines = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\n]", "")).cast("bigint") + 1
+    files = _manifest(spark, d).join(table(spark, d, "documents").select("doc_id", lines.alias("rows")), "doc_id").select("doc_id", F.col("doc_id").cast("string").alias("name"), F.col("size_bytes").alias("size"), "sha256", F.lit("doc_id,text").alias("header"), "rows")
+    declared = files.where(k != 6).select("name", F.when(k == 5, F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.when(k == 2, F.lit("x")).otherwise(F.col("sha256")).alias("sha256"), F.when(k == 3, F.lit("text,doc_id")).otherwise(F.col("header")).alias("header"), F.when(k == 4, F.col("rows") + 1).otherwise(F.col("rows")).alias("rows"))
+    return sheets.verify_package(declared, files.where(k != 1).drop("doc_id"))
 
 
-@query("s21_package_relations_check", "select 'lineitem' as child, count(*) filter (l_orderkey not in (select o_orderkey from orders)) as orphans from lineitem union all select 'orders', count(*) filter (o_custkey not in (select c_custkey from customer where c_nationkey <> 3)) from orders union all select 'customer', count(*) filter (c_nationkey not in (select n_nationkey from nation)) from customer")
+@query("s21_package_relations_check", """select 'lineitem orders' as "check", count(*) filter (l_orderkey not in (select o_orderkey from orders)) as faults from lineitem union all select 'orders customer', count(*) filter (o_custkey not in (select c_custkey from customer where c_nationkey <> 3)) from orders
+    union all select 'customer nation', count(*) filter (c_nationkey not in (select n_nationkey from nation)) from customer union all select 'orders key', count(*) from (select o_orderkey from orders group by 1 having count(*) > 1) union all select 'customer name twice', count(*) from (select c_nationkey from customer group by 1 having count(*) > 1)
+    union all select 'lines as declared', (select count(*) from (select l_orderkey, count(*) as n, max(l_linenumber) as m from lineitem group by 1) where n <> m)""")
 def package_relations_check(spark, d):
     t = lambda n: table(spark, d, n)
-    checks = [("lineitem", t("lineitem").select(F.col("l_orderkey").alias("k")), t("orders").select(F.col("o_orderkey").alias("k"))), ("orders", t("orders").select(F.col("o_custkey").alias("k")), t("customer").where("c_nationkey <> 3").select(F.col("c_custkey").alias("k"))), ("customer", t("customer").select(F.col("c_nationkey").alias("k")), t("nation").select(F.col("n_nationkey").alias("k")))]
-    parts = [child.join(parent, "k", "left_anti").agg(F.count("*").alias("orphans")).select(F.lit(name).alias("child"), "orphans") for name, child, parent in checks]
-    return parts[0].union(parts[1]).union(parts[2])
-
-
-@query("s11_sample_sheet_preview", "select c_custkey, case when c_custkey % 7 = 0 then 'duplicate' when c_mktsegment = 'HOUSEHOLD' then 'condition' else 'ok' end as verdict from customer")
+    counts = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_linenumber").alias("m")).where("n <> m").agg(F.count("*").alias("faults")).select(F.lit("lines as declared").alias("check"), "faults")
+    return sheets.relation_faults({
+        "lineitem orders": (t("lineitem"), "l_orderkey", t("orders"), "o_orderkey"),
+        "orders customer": (t("orders"), "o_custkey", t("customer").where("c_nationkey <> 3"), "c_custkey"),
+        "customer nation": (t("customer"), "c_nationkey", t("nation"), "n_nationkey"),
+        "orders key": (t("orders"), "o_orderkey", None, None),
+        "customer name twice": (t("customer"), "c_nationkey", None, None),
+    }).union(counts)
+
+
+def _sheet(spark, d, wrong: bool):
+    """Lines of a sheet over the customers, with faults by the number if ``wrong``."""
+    k = F.col("c_custkey")
+    when = lambda n, a, b: F.when(k % 20 == n, F.lit(a)).otherwise(b) if wrong else b
+    source = when(1, "x0", F.concat(F.lit("c"), k.cast("string")))
+    line = F.concat_ws(",", source, when(2, "Other", F.lit("Study")), when(3, " ", F.concat(F.lit('"Sample ""'), k.cast("string"), F.lit('"", x"'))), when(4, "", F.col("c_mktsegment")), F.lit("r1"), F.lit(""), when(5, "a,b", F.lit("A1")))
+    line = F.when(k % 20 == 6, F.concat(line, F.lit('"'))).otherwise(line) if wrong else line
+    rows = table(spark, d, "customer").select((k + 1).alias("row"), line.alias("line"))
+    more = rows.where("row % 20 = 8").selectExpr("row + 1000000 as row", "line").union(rows.where("row % 20 = 9").selectExpr("row + 2000000 as row", "line || 'x'"))
+    head = spark.createDataFrame([(1, ",".join(sheets.COLUMNS))], "row long, line string")
+    return head.union(rows).union(more) if wrong else head.union(rows)
+
+
+def _registered(spark, d):
+    return table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("source_id"))
+
+
+@query("s11_sample_sheet_preview", """select row, issues from (select c_custkey + 1 as row, case c_custkey % 20 when 1 then 'unknown source,conflicting' when 2 then 'study' when 3 then 'sample' when 4 then 'condition' when 5 then 'fields' when 6 then 'quoting,unknown source' when 7 then 'duplicate' when 8 then 'conflicting' else '' end as issues from customer where c_custkey > 0
+    union all select c_custkey + 1000001, 'duplicate' from customer where c_custkey % 20 = 7 and c_custkey > 0 union all select c_custkey + 2000001, 'conflicting' from customer where c_custkey % 20 = 8 and c_custkey > 0)""")
 def sample_sheet_preview(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", F.expr("nullif(c_mktsegment, 'HOUSEHOLD')").alias("condition"))
-    sheet = c.union(c.where("c_custkey % 7 = 0"))
-    seen = sheet.groupBy("c_custkey").agg(F.count("*").alias("n"), F.max("condition").alias("condition"))
-    return seen.select("c_custkey", F.when(F.col("n") > 1, "duplicate").when(F.col("condition").isNull(), "condition").otherwise("ok").alias("verdict"))
+    checked = sheets.preview(_sheet(spark, d, True).where("row > 0"), _registered(spark, d), "Study")
+    return checked.where("row <> 1").select("row", F.array_join("issues", ",").alias("issues"))
 
 
-@query("s12_sample_sheet_apply", "select c_custkey, case when c_custkey % 3 = 0 then 'NEW' else c_mktsegment end as condition, case when c_custkey % 3 = 0 then 2 else 1 end as revision from customer")
+@query("s12_sample_sheet_apply", "select 'c' || c_custkey as source_id, 'Study' as study, 'Sample \"' || c_custkey || '\", x' as sample, c_mktsegment as condition, 'r1' as biological_replicate, cast(null as varchar) as plate, 'A1' as well, case when c_custkey % 3 = 0 then 5 else 1 end as revision from customer where c_custkey > 0")
 def sample_sheet_apply(spark, d):
-    now = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("condition"), F.lit(1).alias("revision"))
-    sheet = now.where("c_custkey % 3 = 0").select("c_custkey", F.lit("NEW").alias("condition"), (F.col("revision") + 1).alias("revision"))
-    return studies.latest(now.union(sheet), "c_custkey", F.col("revision").desc())
+    checked = written(sheets.preview(_sheet(spark, d, False).where("row > 0"), _registered(spark, d), "Study").where("row <> 1"))
+    now = _registered(spark, d).where("cast(substring(source_id, 2) as bigint) % 3 = 0").select("source_id", *(F.lit("old").alias(c) for c in sheets.COLUMNS[1:]), F.lit(4).alias("revision"))
+    return sheets.apply(checked, now.where("source_id <> 'c0'"), sheets.digest(checked))
 
 
-@query("s10_sample_sheet_template", "select o_orderkey as source_id, c_mktsegment as condition, c_nationkey as replicate from orders left join customer on o_custkey = c_custkey")
+@query("s10_sample_sheet_template", "select o_orderkey as source_id, coalesce(case when c_custkey is not null then 'Study' end, 'Study') as study, c_name as sample, c_mktsegment as condition, cast(c_nationkey as varchar) as biological_replicate, cast(null as varchar) as plate, 'W' || c_custkey as well from orders left join (select * from customer where c_custkey % 4 <> 0) on o_custkey = c_custkey")
 def sample_sheet_template(spark, d):
-    return table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").select(F.col("o_orderkey").alias("source_id"), F.col("c_mktsegment").alias("condition"), F.col("c_nationkey").alias("replicate"))
+    c = table(spark, d, "customer").where("c_custkey % 4 <> 0")
+    held = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    samples = held.select(F.col("o_orderkey").alias("source_id"), F.lit("Study").alias("study"), F.col("c_name").alias("sample"), F.col("c_mktsegment").alias("condition"), F.col("c_nationkey").cast("string").alias("biological_replicate"), F.lit(None).cast("string").alias("plate"), F.concat(F.lit("W"), F.col("c_custkey").cast("string")).alias("well"))
+    return sheets.template(table(spark, d, "orders").select(F.col("o_orderkey").alias("source_id")), samples, "Study")
 
 
 _BY_TIME = ["ts", "event_id"]
@@ -433,9 +472,12 @@ def polygon_area_centroid(spark, d):
 @query("j20_overlap_selection_check", "select a.p_partkey as a, b.p_partkey as b from part a join part b on a.p_brand = b.p_brand and a.p_type = b.p_type and a.p_partkey < b.p_partkey and abs(a.p_size - b.p_size) < 5 and abs(a.p_retailprice - b.p_retailprice) < 50")
 def overlap_selection_check(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
-    a, b = p.alias("a"), p.alias("b")
+    # Squares as large as the limits: a pair lies in one or in neighbours, so no brand meets itself whole.
+    at = {"cs": F.floor(F.col("p_size") / 5), "cp": F.floor(F.col("p_retailprice") / 50)}
+    around = F.array(*(F.struct((at["cs"] + i).alias("cs"), (at["cp"] + j).alias("cp")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    a, b = p.withColumns(at).alias("a"), p.select("*", F.inline(around)).alias("b")
     near = (F.abs(F.col("a.p_size") - F.col("b.p_size")) < 5) & (F.abs(F.col("a.p_retailprice") - F.col("b.p_retailprice")) < 50)
-    same = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))
+    same = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.cs") == F.col("b.cs")) & (F.col("a.cp") == F.col("b.cp")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))
     return a.join(b, same & near).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridquarry.functions import cells
-from gridquarry.operators import declared, filters, grids, matching, population, shapes, spatial, tracks
+from gridquarry.operators import declared, filters, grids, matching, population, shapes, sheets, spatial, tracks
 
 
 def components(cells, steps, same=lambda a, b: True):
@@ -305,3 +305,21 @@ def test_edits_are_undone_and_done_again(spark):
     ledger = spark.createDataFrame([(i, *e) for i, e in enumerate(entries)], "seq long, op string, src long, dst long")
     found = {(r.src, r.dst, r.origin) for r in tracks.edited(edges, ledger).collect()}
     assert found == {(2, 3, "automatic"), (3, 4, "automatic"), (7, 8, "manual")}
+
+
+def test_sheets_are_applied_whole_or_not_at_all(spark):
+    sources = spark.createDataFrame([("a",), ("b",), ("c",)], "source_id string")
+    now = spark.createDataFrame([("a", "S", "one", "x", None, None, None, 3)], "source_id string, study string, sample string, condition string, biological_replicate string, plate string, well string, revision int")
+    sheet = lambda *lines: spark.createDataFrame(list(enumerate([",".join(sheets.COLUMNS), *lines], 1)), "row long, line string")
+    good = sheets.preview(sheet("a,S,two,y,,P1,", 'b,S,"th""ree, 3",z,r,,'), sources, "S")
+    found = {r.source_id: r for r in sheets.apply(good, now, sheets.digest(good)).collect()}
+    assert (found["a"].sample, found["a"].revision, found["a"].plate, found["a"].well) == ("two", 4, "P1", None)
+    assert (found["b"].sample, found["b"].revision, found["b"].biological_replicate) == ('th"ree, 3', 1, "r") and len(found) == 2
+    bad = sheets.preview(sheet("a,S,two,y,,P1,", "z,S,two,y,,,"), sources, "S")
+    none = sheets.preview(sheet(), sources, "S")
+    for checked, expected in ((good, sheets.digest(bad)), (bad, sheets.digest(bad)), (none, sheets.digest(none))):
+        with pytest.raises(ValueError):
+            sheets.apply(checked, now, expected)
+    wrong = spark.createDataFrame([(1, "source_id,study"), (2, 'a,S,tw"o,y,,,'), (3, "b,S,\ttab,y,,,")], "row long, line string")
+    assert {r.row: list(r.issues) for r in sheets.preview(wrong, sources, "S").collect()} == {2: ["header", "quoting", "unknown source"], 3: ["header", "text"]}
+    assert [r.study for r in sheets.template(sources, now, "T").orderBy("source_id").collect()] == ["S", "T", "T"]
