@@ -81,13 +81,13 @@ def chains(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def observations(det: DataFrame, track: list[str], order: list[str]) -> DataFrame:
-    """Per detection of a track: step, displacement from the start, path so
-    far, gap in frames to the one before."""
+    """Per detection of a track: step, speed (step by frame, null within one),
+    displacement from the start, path so far, gap in frames to the one before."""
     w = W.partitionBy(*track).orderBy(*order)
     step = F.sqrt((F.col("x") - F.lag("x").over(w)) ** 2 + (F.col("y") - F.lag("y").over(w)) ** 2)
     base = det.withColumns({"step": step, "x0": F.first("x").over(w), "y0": F.first("y").over(w), "gap": F.col("frame") - F.lag("frame").over(w)})
     path = F.sum(F.coalesce("step", F.lit(0.0))).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return base.select(*track, *order, r(F.col("step"), 5).alias("step"), r(F.sqrt((F.col("x") - F.col("x0")) ** 2 + (F.col("y") - F.col("y0")) ** 2), 5).alias("displacement"), r(path, 3).alias("path"), "gap")
+    return base.select(*track, *order, r(F.col("step"), 5).alias("step"), r(F.when(F.col("gap") > 0, F.col("step") / F.col("gap")), 5).alias("speed"), r(F.sqrt((F.col("x") - F.col("x0")) ** 2 + (F.col("y") - F.col("y0")) ** 2), 5).alias("displacement"), r(path, 3).alias("path"), "gap")
 
 
 def step_intervals(det: DataFrame, track: list[str], order: list[str], seconds: str, usual: float) -> DataFrame:
@@ -102,17 +102,20 @@ def step_intervals(det: DataFrame, track: list[str], order: list[str], seconds:
     return steps.select(*track, *order, r(F.col("dx")).alias("dx"), r(F.col("dy")).alias("dy"), r(chord, 5).alias("chord"), over(F.col("dx")).alias("vx"), over(F.col("dy")).alias("vy"), over(chord).alias("speed"), F.coalesce(F.col("dt") > usual, F.lit(False)).alias("gap"))
 
 
-def track_measures(det: DataFrame, track: list[str], order: list[str]) -> DataFrame:
+def track_measures(det: DataFrame, track: list[str], order: list[str], sure: float) -> DataFrame:
     """Per track: detections, frames passed, net displacement, path length,
-    directionality (null without a path) and gaps."""
+    mean velocity and speed (null within one frame), directionality (null
+    without a path), gaps, steps longer than ``sure``, and a status: single,
+    stationary or moving."""
     w = W.partitionBy(*track).orderBy(*order)
     base = det.withColumns({"step": F.sqrt((F.col("x") - F.lag("x").over(w)) ** 2 + (F.col("y") - F.lag("y").over(w)) ** 2), "gap": F.col("frame") - F.lag("frame").over(w)})
     key = F.struct(*order)
     s = base.groupBy(*track).agg(
-        F.count("*").alias("n"), (F.max("frame") - F.min("frame")).alias("elapsed"), F.min_by(F.struct("x", "y"), key).alias("a"), F.max_by(F.struct("x", "y"), key).alias("b"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("path"), F.count_if(F.col("gap") > 1).alias("gaps")
+        F.count("*").alias("n"), (F.max("frame") - F.min("frame")).alias("elapsed"), F.min_by(F.struct("x", "y"), key).alias("a"), F.max_by(F.struct("x", "y"), key).alias("b"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("path"), F.count_if(F.col("gap") > 1).alias("gaps"), F.count_if(F.col("step") > sure).alias("uncertain")
     )
+    over = lambda c: r(F.when(F.col("elapsed") > 0, c / F.col("elapsed")), 5)
     net = F.sqrt((F.col("a.x") - F.col("b.x")) ** 2 + (F.col("a.y") - F.col("b.y")) ** 2)
-    return s.select(*track, "n", "elapsed", r(net, 5).alias("net"), r(F.col("path"), 3).alias("path"), r(F.least(F.try_divide(net, F.col("path")), F.lit(1.0)), 5).alias("directionality"), "gaps")
+    return s.select(*track, "n", "elapsed", r(net, 5).alias("net"), r(F.col("path"), 3).alias("path"), r(F.least(F.try_divide(net, F.col("path")), F.lit(1.0)), 5).alias("directionality"), over(F.col("b.x") - F.col("a.x")).alias("vx"), over(F.col("b.y") - F.col("a.y")).alias("vy"), over(F.col("path")).alias("speed"), "gaps", "uncertain", F.when(F.col("n") == 1, "single").when(F.col("path") == 0, "stationary").otherwise("moving").alias("status"))
 
 
 def interval_rates(series: DataFrame, key: list[str], time: str, value: str) -> DataFrame:

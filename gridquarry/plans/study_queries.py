@@ -365,14 +365,14 @@ def _paths(spark, d):
 _PATHS = "with p as (select user_id, ts, event_id, cast(floor(epoch(ts - timestamp '2024-01-01') / 3600) as bigint) as frame, value as x, cast(event_id % 100 as double) as y from events), s as (select *, sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2)) as step_, first(x) over w as x0, first(y) over w as y0, frame - lag(frame) over w as gap from p window w as (partition by user_id order by ts, event_id)) "
 
 
-@query("w04_trajectory_observations", _PATHS + "select user_id, event_id, round(step_, 5) as step, round(sqrt(pow(x - x0, 2) + pow(y - y0, 2)), 5) as displacement, round(sum(coalesce(step_, 0)) over (partition by user_id order by ts, event_id rows unbounded preceding), 3) as path, gap from s")
+@query("w04_trajectory_observations", _PATHS + "select user_id, event_id, round(step_, 5) as step, round(case when gap > 0 then step_ / gap end, 5) as speed, round(sqrt(pow(x - x0, 2) + pow(y - y0, 2)), 5) as displacement, round(sum(coalesce(step_, 0)) over (partition by user_id order by ts, event_id rows unbounded preceding), 3) as path, gap from s")
 def trajectory_observations(spark, d):
     return tracks.observations(_paths(spark, d), ["user_id"], _BY_TIME).drop("ts")
 
 
-@query("g06_track_metrics", _PATHS + "select user_id, count(*) as n, max(frame) - min(frame) as elapsed, round(sqrt(pow(arg_max(x, (ts, event_id)) - arg_min(x, (ts, event_id)), 2) + pow(arg_max(y, (ts, event_id)) - arg_min(y, (ts, event_id)), 2)), 5) as net, round(coalesce(sum(step_), 0), 3) as path, round(least(sqrt(pow(arg_max(x, (ts, event_id)) - arg_min(x, (ts, event_id)), 2) + pow(arg_max(y, (ts, event_id)) - arg_min(y, (ts, event_id)), 2)) / nullif(coalesce(sum(step_), 0), 0), 1), 5) as directionality, count(*) filter (gap > 1) as gaps from s group by 1")
+@query("g06_track_metrics", _PATHS + "select user_id, count(*) as n, max(frame) - min(frame) as elapsed, round(sqrt(pow(arg_max(x, (ts, event_id)) - arg_min(x, (ts, event_id)), 2) + pow(arg_max(y, (ts, event_id)) - arg_min(y, (ts, event_id)), 2)), 5) as net, round(coalesce(sum(step_), 0), 3) as path, round(least(sqrt(pow(arg_max(x, (ts, event_id)) - arg_min(x, (ts, event_id)), 2) + pow(arg_max(y, (ts, event_id)) - arg_min(y, (ts, event_id)), 2)) / nullif(coalesce(sum(step_), 0), 0), 1), 5) as directionality, round(case when max(frame) > min(frame) then (arg_max(x, (ts, event_id)) - arg_min(x, (ts, event_id))) / (max(frame) - min(frame)) end, 5) as vx, round(case when max(frame) > min(frame) then (arg_max(y, (ts, event_id)) - arg_min(y, (ts, event_id))) / (max(frame) - min(frame)) end, 5) as vy, round(case when max(frame) > min(frame) then coalesce(sum(step_), 0) / (max(frame) - min(frame)) end, 5) as speed, count(*) filter (gap > 1) as gaps, count(*) filter (step_ > 60) as uncertain, case when count(*) = 1 then 'single' when coalesce(sum(step_), 0) = 0 then 'stationary' else 'moving' end as status from s group by 1")
 def track_metrics(spark, d):
-    return tracks.track_measures(_paths(spark, d), ["user_id"], _BY_TIME)
+    return tracks.track_measures(_paths(spark, d), ["user_id"], _BY_TIME, 60.0)
 
 
 @query("p12_polyline_metrics", _PATHS + "select user_id, count(*) as points, round(coalesce(sum(step_), 0), 4) as length from s group by 1")
