@@ -66,8 +66,13 @@ def acquisition_group(path: Column) -> Column:
     return F.array_join(F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, 2), "/")
 
 
-def metadata_reasons(study: Column, condition: Column) -> Column:
-    return F.array_compact(F.array(F.when(study.isNull() | (study == ""), "study"), F.when(condition.isNull(), "condition"), F.when(F.length(study) > 256, "too_long")))
+def metadata_reasons(study: Column, sample: Column, condition: Column, *others: Column) -> Column:
+    """What is wrong with a sample's metadata: a required text that lacks or is
+    blank, one of more than 256 characters, one with control characters."""
+    blank = lambda c: c.isNull() | (F.trim(c) == "")
+    every = F.array(study, sample, condition, *others)
+    some = lambda rule: F.coalesce(F.exists(every, lambda v: F.coalesce(rule(v), F.lit(False))), F.lit(False))
+    return F.array_compact(F.array(F.when(blank(study), "study"), F.when(blank(sample), "sample"), F.when(blank(condition), "condition"), F.when(some(lambda v: F.length(v) > 256), "too_long"), F.when(some(lambda v: v.rlike(r"[\x00-\x1f\x7f]")), "control")))
 
 
 def label_transform(width: str, height: str, label_width: str, label_height: str) -> Column:

@@ -308,3 +308,14 @@ def field_assay(grid: DataFrame, channel: str, *, saturated: float, above: float
     nuclei = grid.where("label > 0").groupBy("image_id", "label").agg(F.avg(v).alias("mean"), F.first("bg").alias("bg"), F.sum(v - F.col("bg")).alias("sum")).groupBy("image_id").agg(F.sum("sum").alias("integral"), F.count("*").alias("nuclei"), F.avg((F.col("mean") - F.col("bg") > above).cast("double")).alias("positive"))
     pixels = grid.groupBy("image_id").agg(F.count_if(v >= saturated).alias("saturated"))
     return pixels.join(nuclei, "image_id", "left").select("image_id", r(F.col("integral"), 4).alias("integral"), F.coalesce("nuclei", F.lit(0)).alias("nuclei"), r(F.try_divide("integral", "nuclei"), 5).alias("per_nucleus"), r(F.col("positive")).alias("positive_fraction"), "saturated")
+
+
+def alignment(grid: DataFrame, channel: str, dy: int, dx: int, whole: int, *, least_overlap: float, least_correlation: float) -> DataFrame:
+    """Per image: pixels that overlap after a shift, their share of ``whole``,
+    their correlation (null where a side is constant), and whether both reach
+    what is asked."""
+    a = grid.select(*PIXEL, F.col(channel).alias("v"))
+    b = a.select("image_id", (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.col("v").alias("w"))
+    varied = (F.max("v") > F.min("v")) & (F.max("w") > F.min("w"))
+    q = a.join(b, PIXEL).groupBy("image_id").agg(F.count("*").alias("overlap"), r(F.count("*") / whole).alias("fraction"), r(F.when(varied, F.corr("v", "w")), 5).alias("correlation"))
+    return q.withColumn("accepted", F.coalesce((F.col("fraction") >= least_overlap) & (F.col("correlation") >= least_correlation), F.lit(False)))

@@ -11,6 +11,33 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def single_contract(rows: DataFrame, by: str, fields: dict[str, str]) -> DataFrame:
+    """by, the distinct values of each field, and whether none has several."""
+    n = {name: F.count_distinct(c) for name, c in fields.items()}
+    whole = F.lit(True)
+    for c in n.values():
+        whole = whole & (c <= 1)
+    return rows.groupBy(by).agg(*(c.alias(name) for name, c in n.items()), whole.alias("single"))
+
+
+def stem_pairs(labels: DataFrame, sources: DataFrame) -> DataFrame:
+    """``labels`` (name and others) with verdict: paired with the one source of
+    the same name but for its case and ending, or with none or several."""
+    stem = F.lower(F.regexp_replace("name", r"\.[^.]*$", ""))
+    n = sources.groupBy(stem.alias("_stem")).agg(F.count("*").alias("_n"))
+    verdict = F.when(F.col("_n").isNull(), "none").when(F.col("_n") > 1, "several").otherwise("paired")
+    return labels.withColumn("_stem", stem).join(n, "_stem", "left").withColumn("verdict", verdict).drop("_stem", "_n")
+
+
+def chain_verdicts(events: DataFrame, chain: str, place: str, content: str, previous: str) -> DataFrame:
+    """chain, place, verdict of each place of a chain whose events keep the
+    hash of the content before them: ok, broken, or duplicate."""
+    once = events.groupBy(chain, place).agg(F.count("*").alias("_n"), F.min(content).alias("_c"), F.min(previous).alias("_p"))
+    before = F.sha2(F.coalesce(F.lag("_c").over(W.partitionBy(chain).orderBy(place)), F.lit("")), 256)
+    verdict = F.when(F.col("_n") > 1, "duplicate").when(F.col("_p") != F.col("_b"), "broken").otherwise("ok")
+    return once.withColumn("_b", before).select(chain, place, verdict.alias("verdict"))
+
+
 def report_verdict(name: str, saved: DataFrame, again: DataFrame) -> DataFrame:
     """report, verdict, differences: rows that a saved report and the one
     computed again don't share, from either side."""

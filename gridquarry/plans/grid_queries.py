@@ -139,9 +139,10 @@ def label_change_sets(spark, d):
     return grids.label_changes(views.labels_ref(spark, d), views.labels_pred(spark, d))
 
 
-@query("f08_threshold_mask", sql("px", then="select image_id, y, x from px where v > 20"))
+@query("f08_threshold_mask", sql("px", then="select 'bright' as side, image_id, y, x from px where v > 20 union all select 'dark', image_id, y, x from px where v < 1"))
 def threshold_mask(spark, d):
-    return views.px(spark, d).where("v > 20").select(*grids.PIXEL)
+    sided = F.when(F.col("v") > 20, "bright").when(F.col("v") < 1, "dark")  # equality is background
+    return views.px(spark, d).select(sided.alias("side"), *grids.PIXEL).where("side is not null")
 
 
 @query("f07_size_and_border_filter", sql("labels_ref", then="""select image_id, y, x, coalesce(new, 0) as label from labels_ref left join (select image_id, label, row_number() over (partition by image_id order by label) as new from (select image_id, label, count(*) as n, bool_or(x = 0 or y = 0 or x = 99 or y = 24) as edge from labels_ref where label > 0 group by all) where n >= 12 and not edge) using (image_id, label)"""))
@@ -326,11 +327,9 @@ def object_qc_status(spark, d):
     return g.select(*grids.OBJECT, status.alias("status"))
 
 
-@query("a48_alignment_quality", sql("px", then="select a.image_id, count(*) as overlap, round(count(*) / 2500.0, 6) as fraction, round(corr(a.v, b.v), 5) as correlation from px a join px b on a.image_id = b.image_id and b.x = a.x + 3 and b.y = a.y + 1 group by 1"))
+@query("a48_alignment_quality", sql("px", then="select *, coalesce(fraction >= 0.5 and correlation >= -0.01, false) as accepted from (select a.image_id, count(*) as overlap, round(count(*) / 2500.0, 6) as fraction, case when max(a.v) > min(a.v) and max(b.v) > min(b.v) then round(corr(a.v, b.v), 5) end as correlation from px a join px b on a.image_id = b.image_id and b.x = a.x + 3 and b.y = a.y + 1 group by 1)"))
 def alignment_quality(spark, d):
-    a = views.px(spark, d).select(*grids.PIXEL, "v")
-    b = a.select("image_id", (F.col("y") - 1).alias("y"), (F.col("x") - 3).alias("x"), F.col("v").alias("w"))
-    return a.join(b, grids.PIXEL).groupBy("image_id").agg(F.count("*").alias("overlap"), F.round(F.count("*") / (WIDTH * HEIGHT), 6).alias("fraction"), F.round(F.corr("v", "w"), 5).alias("correlation"))
+    return grids.alignment(views.px(spark, d), "v", 1, 3, WIDTH * HEIGHT, least_overlap=0.5, least_correlation=-0.01)
 
 
 @query("a18_field_assay", sql("labels_ref", then="").rstrip() + """, bg as (select image_id, median(v) as bg from labels_ref where label = 0 group by 1), nuclei as (select image_id, label, avg(v) - any_value(bg) > 2 as positive from labels_ref join bg using (image_id) where label > 0 group by all)

@@ -234,9 +234,12 @@ def spatial_compatibility(spark, d):
     return sized.select("p_partkey", cells.label_transform("w", "h", "lw", "lh").alias("transform"))
 
 
-@query("p24_sample_metadata_check", "select c_custkey, list_filter([case when c_name is null or c_name = '' then 'study' end, case when c_mktsegment is null or c_mktsegment = 'HOUSEHOLD' then 'condition' end, case when length(c_name) > 256 then 'too_long' end], lambda x: x is not null) as reasons from customer")
+@query("p24_sample_metadata_check", "select c_custkey, list_filter([case when study is null or trim(study) = '' then 'study' end, case when sample is null or trim(sample) = '' then 'sample' end, case when condition is null or trim(condition) = '' then 'condition' end, case when length(study) > 256 or length(sample) > 256 then 'too_long' end, case when regexp_matches(sample, '[\x00-\x1f]') then 'control' end], lambda x: x is not null) as reasons from (select c_custkey, case c_custkey % 5 when 1 then ' ' else c_name end as study, case c_custkey % 7 when 1 then repeat('x', 257) when 2 then 'a' || chr(9) when 3 then null else c_name end as sample, nullif(c_mktsegment, 'HOUSEHOLD') as condition from customer)")
 def sample_metadata_check(spark, d):
-    return table(spark, d, "customer").select("c_custkey", cells.metadata_reasons(F.col("c_name"), F.expr("nullif(c_mktsegment, 'HOUSEHOLD')")).alias("reasons"))
+    k = F.col("c_custkey")
+    study = F.when(k % 5 == 1, " ").otherwise(F.col("c_name"))
+    sample = F.when(k % 7 == 1, F.repeat(F.lit("x"), 257)).when(k % 7 == 2, "a\t").when(k % 7 != 3, F.col("c_name"))
+    return table(spark, d, "customer").select("c_custkey", cells.metadata_reasons(study, sample, F.expr("nullif(c_mktsegment, 'HOUSEHOLD')")).alias("reasons"))
 
 
 @query("s15_formula_safe_csv", "select doc_id, case when regexp_matches(text, '^[ \\t\\r\\n]*[=+@-]') then '''' || text else text end as cell from (select doc_id, case when doc_id % 3 = 0 then '=' || text else text end as text from documents)")
@@ -310,7 +313,7 @@ def byte_bounded_page(spark, d):
     return cells.byte_page(docs, "doc_id", "bytes", 65536)
 
 
-@query("a42_rights_eligibility", "select source, count(*) filter (where lang <> 'de') as source_cleared, count(*) filter (where lang <> 'de' and n_chars > 500) as eligible from documents group by source")
+@query("a42_rights_eligibility", "select source, count(*) filter (where lang <> 'de') as source_cleared, count(*) filter (where lang <> 'de' and n_chars > 500) as eligible, count(*) filter (where lang <> 'de' and n_chars > 500 and doc_id % 2 = 0) as weights from documents group by source")
 def rights_eligibility(spark, d):
-    cleared, label_cleared = F.col("lang") != "de", F.col("n_chars") > 500
-    return table(spark, d, "documents").groupBy("source").agg(F.count_if(cleared).alias("source_cleared"), F.count_if(cleared & label_cleared).alias("eligible"))
+    cleared, label_cleared, weights_cleared = F.col("lang") != "de", F.col("n_chars") > 500, F.col("doc_id") % 2 == 0
+    return table(spark, d, "documents").groupBy("source").agg(F.count_if(cleared).alias("source_cleared"), F.count_if(cleared & label_cleared).alias("eligible"), F.count_if(cleared & label_cleared & weights_cleared).alias("weights"))
\ No newline at end of file

@@ -186,10 +186,13 @@ def group_membership_semi(spark, d):
     return table(spark, d, "lineitem").join(group, "l_partkey", "left_semi").select("l_orderkey", "l_linenumber")
 
 
-@query("j21_source_label_pairing", "select doc_id, case when n is null then 'unlabelled' when n > 1 then 'several' else 'paired' end as verdict from documents left join (select doc_id, count(*) as n from labels group by 1) using (doc_id)")
+@query("j21_source_label_pairing", """with labels_ as (select doc_id, lower('DOC' || doc_id) as stem from labels), sources as (select doc_id, lower('Doc' || doc_id) as stem from documents where doc_id % 9 <> 1 union all select doc_id, lower('dOC' || doc_id) from documents where doc_id % 9 = 2)
+    select l.doc_id, case count(s.stem) when 0 then 'none' when 1 then 'paired' else 'several' end as verdict from labels_ l left join sources s using (stem) group by 1""")
 def source_label_pairing(spark, d):
-    n = table(spark, d, "labels").groupBy("doc_id").agg(F.count("*").alias("n"))
-    return table(spark, d, "documents").join(n, "doc_id", "left").select("doc_id", F.when(F.col("n").isNull(), "unlabelled").when(F.col("n") > 1, "several").otherwise("paired").alias("verdict"))
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    name = lambda case: F.concat(F.lit(case), F.col("doc_id").cast("string"), F.lit(".tif")).alias("name")
+    sources = docs.where("doc_id % 9 <> 1").select(name("Doc")).union(docs.where("doc_id % 9 = 2").select(name("dOC")))
+    return studies.stem_pairs(labels.select("doc_id", name("DOC")), sources).select("doc_id", "verdict")
 
 
 @query("j22_prefix_split_assignment", "select doc_id, case when starts_with(source, 'src1') then 'train' when starts_with(source, 'src2') then 'test' else 'unassigned' end as split from documents")
@@ -247,16 +250,18 @@ def unique_prefix_labels(spark, d):
     return n.selectExpr("doc_id", "left(id, array_min(filter(sequence(6, 64), k -> coalesce(left(a, k) <> left(id, k), true) and coalesce(left(b, k) <> left(id, k), true)))) as label")
 
 
-@query("w08_hash_chain_check", "select conv_id, turn, sha256(coalesce(lag(text) over (partition by conv_id order by turn), '')) as previous from conversations")
+@query("w08_hash_chain_check", "select conv_id, turn, case when conv_id % 10 = 4 and turn = 0 then 'duplicate' when conv_id % 10 = 3 and turn = 1 then 'broken' else 'ok' end as verdict from conversations")
 def hash_chain_check(spark, d):
     w = W.partitionBy("conv_id").orderBy("turn")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.sha2(F.coalesce(F.lag("text").over(w), F.lit("")), 256).alias("previous"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    kept = c.withColumn("previous", F.sha2(F.coalesce(F.lag("text").over(w), F.lit("")), 256))
+    stored = kept.withColumn("previous", F.when((F.col("conv_id") % 10 == 3) & (F.col("turn") == 1), F.lit("x")).otherwise(F.col("previous")))
+    return studies.chain_verdicts(stored.union(stored.where("conv_id % 10 = 4 and turn = 0")), "conv_id", "turn", "text", "previous")
 
 
-@query("h05_single_contract_check", sql("obs", then="select condition, count(distinct review) as reviews, count(distinct review) <= 1 as single from obs group by 1"))
+@query("h05_single_contract_check", sql("obs", then="select condition, count(distinct review) as reviews, count(distinct replicate) as replicates, count(distinct nation) as nations, count(distinct review) <= 1 and count(distinct replicate) <= 1 and count(distinct nation) <= 1 as single from obs group by 1"))
 def single_contract_check(spark, d):
-    n = F.count_distinct("review")
-    return views.obs(spark, d).groupBy("condition").agg(n.alias("reviews"), (n <= 1).alias("single"))
+    return studies.single_contract(views.obs(spark, d), "condition", {"reviews": "review", "replicates": "replicate", "nations": "nation"})
 
 
 @query("h07_currentness_check", "select o_orderkey from orders where o_orderkey % 4 = 0 and o_orderstatus <> 'O'")
@@ -503,12 +508,13 @@ def json_cell_csv(spark, d):
     return table(spark, d, "part").select("p_partkey", cell("p_name").alias("name_cell"), cell("p_size").alias("size_cell"))
 
 
-@query("a44_transect_summary", "select event_type, count(distinct user_id % 3) as protocols, case when count(distinct user_id % 3) <= 1 then round(avg(value), 6) end as mean, count(*) as n from events group by 1 union all select 'one', 1, round(avg(value), 6), count(*) from events where user_id % 3 = 1")
+@query("a44_transect_summary", "select event_type, count(distinct user_id % 3) as protocols, case when count(distinct user_id % 3) <= 1 then round(avg(value), 6) end as mean, case when count(distinct user_id % 3) <= 1 then min(value) end as least, case when count(distinct user_id % 3) <= 1 then max(value) end as greatest, count(*) as n from events group by 1 union all select 'one', 1, round(avg(value), 6), min(value), max(value), count(*) from events where user_id % 3 = 1")
 def transect_summary(spark, d):
     e = table(spark, d, "events").withColumn("protocol", F.col("user_id") % 3)
     both = e.union(e.where("protocol = 1").withColumn("event_type", F.lit("one")))
     n = F.count_distinct("protocol")
-    return both.groupBy("event_type").agg(n.alias("protocols"), F.when(n <= 1, F.round(F.avg("value"), 6)).alias("mean"), F.count("*").alias("n"))
+    alone = lambda c: F.when(n <= 1, c)
+    return both.groupBy("event_type").agg(n.alias("protocols"), alone(F.round(F.avg("value"), 6)).alias("mean"), alone(F.min("value")).alias("least"), alone(F.max("value")).alias("greatest"), F.count("*").alias("n"))
 
 
 @query("p22_label_filename_rules", r"select doc_id, regexp_extract(name, '^(.*?)(_segmented(_2|_tuned)?)?\.png$', 1) as stem, case when name like '%_segmented_2.png' then 'second' when name like '%_segmented_tuned.png' then 'tuned' when name like '%_segmented.png' then 'plain' else 'raw' end as variant from (select doc_id, source || '_' || doc_id || case doc_id % 4 when 0 then '' when 1 then '_segmented' when 2 then '_segmented_2' else '_segmented_tuned' end || '.png' as name from documents)")
