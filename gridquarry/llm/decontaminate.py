@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keyed_rows, written
+from .shared import keyed_rows, one_by_one, written
 from .textbytes import LOWER, gram_hashes, text_slices, word_hashes, word_spans
 
 #: Bits of each bitmap: 2 MB, whatever the tables hold.
@@ -67,7 +67,7 @@ def item_runs(rows: DataFrame, span: int, k: int) -> DataFrame:
     ``span`` words, or the item itself)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in one_by_one(batches):
             for lo, hi, data, offsets in text_slices(batch.column("text")):
                 low = LOWER[data]
                 starts, ends, first = word_spans(low, offsets)
@@ -99,7 +99,7 @@ def document_runs(rows: DataFrame, span: int, k: int, lengths: tuple[int, ...],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, whole = (np.frombuffer(b.value, np.uint8) for b in (grams_of_items, runs_of_items))
-        for batch in batches:
+        for batch in one_by_one(batches):
             for lo, hi, data, offsets in text_slices(batch.column("text")):
                 low = LOWER[data]
                 starts, ends, first = word_spans(low, offsets)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import each_part, written
+from .shared import each_part, one_by_one, written
 from .textbytes import text_slices
 
 #: Code lengths (four bytes times languages) of one part of the model: 16 MB.
@@ -52,7 +52,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
+        for batch in one_by_one(batches):
             langs = batch.column("lang")
             for lang in pc.unique(langs).to_pylist():
                 own = _lower(pc.filter(batch.column("text"), pc.equal(langs, lang)))
@@ -275,7 +275,7 @@ def identify_language(documents: DataFrame, *, key: str = "doc_id", text: str =
         parts.append(documents.sparkSession.sparkContext.broadcast(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in one_by_one(batches):
             column = batch.column("text")
             low, costs = _lower(column), np.zeros((batch.num_rows, len(langs)))
             for m in each_part(parts):

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keyed_rows, written
+from .shared import keyed_rows, one_by_one, written
 from .textbytes import LOWER, text_slices, word_hashes, word_spans
 
 #: Dimensions of the projection and bits of each: 30 bits of Hilbert key.
@@ -207,7 +207,7 @@ def tokenized(rows: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_of(tokenizer_path)
         end = np.array([end_id], dtype=ids.code).tobytes()
-        for batch in batches:
+        for batch in one_by_one(batches):
             column = batch.column("text")
             low = np.asarray(batch.column("low"), dtype=np.int64)
             for lo, hi, _, _ in text_slices(column, SLICE):
@@ -317,7 +317,7 @@ def pack(documents: DataFrame, *, tokenizer_path: str, key: str = "doc_id", text
             out.clear()
             return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-        for batch in batches:
+        for batch in one_by_one(batches):
             doc_type = batch.schema.field("doc_id").type
             for doc, bin_no, raw, wide in zip(batch.column("doc_id").to_pylist(), batch.column("bin").to_pylist(), batch.column("ids"), batch.column("wide").to_pylist()):
                 if bin_no != at:

@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridquarry.sources.workspace import broadcast_if_small, shared_dir, written
 
-__all__ = ["broadcast_if_small", "each_part", "keyed_rows", "numbered", "shared_dir", "written"]
+__all__ = ["broadcast_if_small", "each_part", "keyed_rows", "numbered", "one_by_one", "shared_dir", "written"]
+
+
+def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; after each, what Arrow and the C library hold
+    unused goes back, since workers live on beside the next stages' memory."""
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # not this C library
+        trim = lambda _: None
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        trim(0)
 
 
 def keyed_rows(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridquarry.operators.components import connected_components
-from .shared import keyed_rows, written
+from .shared import keyed_rows, one_by_one, written
 
 #: Segments of the fingerprint: 4 bits each.
 SEGMENTS = 16
@@ -55,7 +55,7 @@ def fingerprinted(documents: DataFrame, *, key: str = "doc_id", text: str = "tex
     """doc_id and fp (64 bits as bigint), one row a row; no words: zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in one_by_one(batches):
             found = [majority(shingle_hashes(t.as_py() or "", width, seed)) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 

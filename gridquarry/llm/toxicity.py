@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import fold
-from .shared import broadcast_if_small, each_part, keyed_rows, written
+from .shared import broadcast_if_small, each_part, keyed_rows, one_by_one, written
 from .textbytes import LOWER, text_slices, word_hashes, word_spans
 
 #: Words of one part of a model (a larger one has more parts), and labelled
@@ -120,7 +120,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = [None, None]
-        for batch in batches:
+        for batch in one_by_one(batches):
             labels = np.asarray(batch.column("y"))
             for y in (0, 1):
                 for lo, hi, data, offsets in text_slices(batch.column("text").filter(pa.array(labels == y))):
@@ -188,7 +188,7 @@ def best_segments(rows: DataFrame, model: ToxicWords, threshold: float | None =
     others = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in one_by_one(batches):
             slices = text_slices(batch.column("text"))
             # One part is met slice by slice, several by the whole batch.
             for group in [list(slices)] if len(model.parts) > 1 else ([x] for x in slices):
