@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their SQL."""
+"""The registered queries of the text operators, and their SQL."""
 
 from __future__ import annotations
 
@@ -78,6 +78,26 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import fill_in_middle, restore_text
+
+    made = restore_text(fill_in_middle(_table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    found = substring_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,7 +105,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_license_scan": op1_license_scan, "op2_embedding_dedup": op2_embedding_dedup, "op3_simhash": op3_simhash, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op6_chat_repair": op6_chat_repair, "op7_language": op7_language, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_main_text": op10_main_text, "pipeline": pipeline}
+    return {"op1_license_scan": op1_license_scan, "op2_embedding_dedup": op2_embedding_dedup, "op3_simhash": op3_simhash, "op4_decontaminate": op4_decontaminate, "op5_quality": op5_quality, "op6_chat_repair": op6_chat_repair, "op7_language": op7_language, "op8_packing": op8_packing, "op9_toxicity": op9_toxicity, "op10_main_text": op10_main_text, "op11_collocations": op11_collocations, "op12_fill_in_middle": op12_fill_in_middle, "op13_substring_dedup": op13_substring_dedup, "pipeline": pipeline}
 
 
 def _license_sql() -> str:
@@ -153,5 +173,65 @@ _EMBEDDING_SQL = """
     """
 
 
+_COLLOCATIONS_SQL = r"""
+    with texts as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+    pieces as (select lang, regexp_extract_all(piece, '[^ 	]+') as w from (select lang, unnest(string_split_regex(t, '[.,;:!?
+-
+]')) as piece from texts)),
+    grams as (
+        select lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i : i + k - 1])) as p, k
+        from (select lang, w, unnest([1, 2, 3, 4]) as k from pieces) where len(w) >= k),
+    f as materialized (select lang, p, k, count(*) as a from grams group by lang, p, k),
+    n as (select lang, sum(a) as n from f where k = 1 group by lang),
+    candidates as materialized (select * from f where k > 1 and a >= 30),
+    parted as (select lang, p, k, a, cut, p[1 : cut] as front, p[cut + 1 : k] as rest from (select *, unnest(range(1, k)) as cut from candidates)),
+    cuts as (
+        select c.lang, c.p, c.k, c.a, cut, x.a as l, y.a as r, cast(c.a as hugeint) * 2000000 // (cast(x.a as hugeint) + y.a) as score
+        from parted c join f x on x.lang = c.lang and x.p = front join f y on y.lang = c.lang and y.p = rest),
+    lowest as (select * from cuts qualify row_number() over (partition by lang, p order by score, cut) = 1),
+    inside as (
+        select lang, p[s : s + j - 1] as q, max(a) as longer
+        from (select lang, p, k, a, j, unnest(range(1, k - j + 2)) as s from (select *, unnest(range(2, k)) as j from candidates)) group by lang, q),
+    dropped as (select x.lang, x.p from lowest x join inside i on x.lang = i.lang and x.p = i.q where 100 * longer >= 80 * x.a),
+    ranked as (
+        select lang, array_to_string(p, ' ') as phrase, a, l, r, score,
+               row_number() over (partition by lang order by score desc, a desc, array_to_string(p, ' ')) as rank
+        from lowest anti join dropped using (lang, p))
+    select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from ranked join n using (lang) where rank <= 2000
+    """
+
+_FILL_IN_MIDDLE_SQL = """
+    with cut as (
+        select doc_id, coalesce(text, '') as t,
+               regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as w, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as d
+        from documents),
+    drawn as (
+        select *, len(w) as n, list_transform([1, 9, 17, 25], lambda i: cast('0x' || substr(d, i, 8) as bigint)) as h from cut),
+    formed as (
+        select *, least(h[1] % (n + 1), h[2] % (n + 1)) as a, greatest(h[1] % (n + 1), h[2] % (n + 1)) as b,
+               case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 90 then 'plain'
+                    when h[4] % 100 < 20 then 'spm' else 'psm' end as form
+        from drawn),
+    parts as (
+        select *, array_to_string(w[1 : a], '') as p, array_to_string(w[a + 1 : b], '') as m, array_to_string(w[b + 1 : n], '') as s from formed)
+    select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+           sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+           sha256(t) as restored_sha256
+    from parts
+    """
+
+_SUBSTRING_SQL = r"""
+    with texts as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+    starts as (select r, doc_id, w, unnest(range(1, len(w) - 48)) as i from texts where len(w) >= 50),
+    wins as (select r, doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) as win from starts),
+    least_id as (select win, min(doc_id) as low from wins group by win),
+    gone as (select distinct r, unnest(range(i, i + 50)) as k from wins join least_id using (win) where low < doc_id or (low is not null and doc_id is null)),
+    words as (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as k from texts),
+    kept as (select r, string_agg(word, ' ' order by k) as t from words anti join gone using (r, k) group by r)
+    select doc_id, cast(len(w) as bigint) as n_words, (select count(*) from gone where gone.r = texts.r) as n_removed, sha256(coalesce(kept.t, '')) as kept_sha256
+    from texts left join kept using (r)
+    """
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _license_sql(), "op2_embedding_dedup": _EMBEDDING_SQL, "op4_decontaminate": _contamination_sql()}
+    return {"op11_collocations": _COLLOCATIONS_SQL, "op12_fill_in_middle": _FILL_IN_MIDDLE_SQL, "op13_substring_dedup": _SUBSTRING_SQL, "op1_license_scan": _license_sql(), "op2_embedding_dedup": _EMBEDDING_SQL, "op4_decontaminate": _contamination_sql()}

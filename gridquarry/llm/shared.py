@@ -47,3 +47,23 @@ def each_part(parts: list[Broadcast]) -> Iterator:
     for part in parts:
         path = getattr(part, "_path", None)
         yield part.value if len(parts) == 1 or path is None else part.load_from_path(path)
+
+
+def bitmap(hashes: DataFrame, column: str, bits: int) -> Broadcast:
+    """Broadcast bits (``bits`` of them, a power of two, whatever the table
+    holds) of which those that the low bits of ``column`` name are set."""
+    import numpy as np
+
+    slot = F.col(column).bitwiseAND(F.lit(bits - 1))
+    words = hashes.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("b")).toArrow()
+    found = np.zeros(bits // 64, dtype=np.uint64)
+    found[np.asarray(words.column("w").combine_chunks())] = np.asarray(words.column("b").combine_chunks()).view(np.uint64)
+    return hashes.sparkSession.sparkContext.broadcast(found)
+
+
+def in_bitmap(bits, hashes):
+    """Which of the 64-bit hashes name a set bit."""
+    import numpy as np
+
+    slot = hashes.view(np.uint64) & np.uint64(len(bits) * 64 - 1)
+    return ((bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)

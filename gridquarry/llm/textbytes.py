@@ -45,10 +45,11 @@ def text_slices(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, in
         lo = hi
 
 
-def word_spans(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(low: np.ndarray, offsets: np.ndarray, table: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and per row the index of its first word
-    (one more entry at the end); words don't cross rows."""
-    inside = IS_WORD[low]
+    (one more entry at the end); words don't cross rows. ``table``: which bytes
+    belong to words."""
+    inside = table[low]
     before = np.zeros(len(low), dtype=bool)
     before[1:] = inside[:-1]
     first = offsets[:-1]
