@@ -109,7 +109,7 @@ def _anchored(rows: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in one_by_one(batches):
             ids, ranks = np.asarray(batch.column("row_id")), np.asarray(batch.column("rank"))
-            for lo, hi, data, offsets in text_slices(batch.column("text")):
+            for lo, hi, data, offsets in text_slices(batch.column("text"), 1 << 20):
                 row, *found = blocks_of(data, offsets, window)
                 columns = [ids[lo:hi][row], ranks[lo:hi][row], *found]
                 yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns[:4]] + [pa.array(c.astype(np.int32)) for c in columns[4:]], names=["row_id", "rank", "anchor", "block", "start", "count"])
@@ -160,12 +160,14 @@ def duplicate_windows(rows: DataFrame, window: int = 50) -> DataFrame:
     smallest rank that each of its windows occurs in, or one for all."""
     found = written(_anchored(rows, window))
     anchors = found.groupBy("anchor").agg(F.min("rank").alias("_low"), F.max("rank").alias("_high"), (F.min("block") < F.max("block")).alias("differ"))
-    shared = written(found.join(anchors.where("_low < _high").select("anchor", "differ"), "anchor"))
+    # Written before they are joined, so that Spark can split the partition of an anchor with very many blocks.
+    anchors = written(anchors.where("_low < _high").select("anchor", "differ"))
+    shared = written(found.join(anchors, "anchor"))
     entries = shared.groupBy("anchor", "block").agg(F.min("rank").alias("low"), F.bool_or("differ").alias("differ"), F.min(F.struct("rank", "row_id", "start", "count")).alias("of"))
     entries = written(entries)
     several = entries.where("differ").select("anchor", "block", "of.row_id", "of.start", "of.count")
     wins = written(_windows(rows, several, window).join(entries.select("anchor", "block", "low"), ["anchor", "block"]))
-    least = wins.groupBy("anchor", "win").agg(F.min("low").alias("ref"))
+    least = written(wins.groupBy("anchor", "win").agg(F.min("low").alias("ref")))
     # A block has window - GRAM + 1 windows at most.
     refs = wins.join(least, ["anchor", "win"]).groupBy("anchor", "block").agg(F.array_sort(F.collect_list(F.struct("nth", "ref"))).getField("ref").alias("refs"))
     known = entries.where("not differ").select("anchor", "block", F.array("low").alias("refs")).union(refs)
@@ -194,7 +196,7 @@ def _cut(texts: DataFrame, window: int, id_type: str) -> DataFrame:
         for batch in one_by_one(batches):
             ranks, kind = np.asarray(batch.column("rank")), batch.column("text").type
             pieces = batch.column("pieces")
-            for lo, hi, data, offsets in text_slices(batch.column("text")):
+            for lo, hi, data, offsets in text_slices(batch.column("text"), 1 << 19):
                 starts, ends, first = word_spans(data, offsets, _INSIDE)
                 n, removed, factors = np.diff(first), [], []
                 keep = np.ones(len(starts), dtype=bool)
