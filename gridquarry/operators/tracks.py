@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gridquarry.sources.workspace import with_index, written
 
+from .graphs import cycle_edges
 from .matching import sequential_matching
 
 
@@ -50,13 +51,32 @@ def ambiguity(pairs: DataFrame, links: DataFrame, slack: float) -> DataFrame:
 
 
 def edge_faults(det: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges that break the rules of a track graph, with the reasons: unknown
-    ends, not forward in time, several edges out of or into a detection."""
-    known = det.select("label", "frame")
-    e = edges.join(known.select(F.col("label").alias("src"), F.col("frame").alias("f1")), "src", "left").join(known.select(F.col("label").alias("dst"), F.col("frame").alias("f2")), "dst", "left")
+    """Edges (src, dst, gap, cost, origin) of a track graph that break its
+    rules, with the reasons: unknown ends, not forward in time, several edges
+    out of or into a detection, on a cycle, a gap that isn't the number of
+    frames between, a cost that isn't the distance, an origin that is neither
+    automatic nor manual. ``det``: seq, frame, label, x, y; an edge between
+    sequences has an unknown end.
+
+    Each cycle has an edge that doesn't go forward in time, so cycles are
+    searched only in sequences with such an edge."""
+    frames = det.select("seq", "frame").distinct().withColumn("_i", F.row_number().over(W.partitionBy("seq").orderBy("frame")))
+    known = det.join(frames, ["seq", "frame"]).select("label", "seq", "frame", "_i", "x", "y")
+    end = lambda name, n: known.select(F.col("label").alias(name), *(F.col(c).alias(f"{c}{n}") for c in ("seq", "frame", "_i", "x", "y")))
+    e = written(edges.join(end("src", 1), "src", "left").join(end("dst", 2), "dst", "left"))
+    joined = e.where("seq1 = seq2")
+    turned = joined.where("frame2 <= frame1").select("seq1").distinct()
+    cyclic = cycle_edges(joined.join(turned, "seq1", "left_semi").select("src", "dst")).withColumn("_cycle", F.lit(True))
     outs, ins = F.count("*").over(W.partitionBy("src")), F.count("*").over(W.partitionBy("dst"))
-    reasons = F.array_compact(F.array(F.when(F.col("f1").isNull() | F.col("f2").isNull(), "unknown"), F.when(F.col("f2") <= F.col("f1"), "backward"), F.when(F.col("outs") > 1, "branch"), F.when(F.col("ins") > 1, "merge")))
-    return e.withColumns({"outs": outs, "ins": ins}).withColumn("reasons", reasons).where(F.size("reasons") > 0).select("src", "dst", F.array_join("reasons", ",").alias("reasons"))
+    far = F.sqrt((F.col("x1") - F.col("x2")) ** 2 + (F.col("y1") - F.col("y2")) ** 2)
+    near = F.abs(F.col("cost") - far) <= F.greatest(F.lit(1e-12), 1e-12 * F.greatest(F.abs("cost"), far))
+    unknown = ~F.coalesce(F.col("seq1") == F.col("seq2"), F.lit(False))
+    reasons = F.array_compact(F.array(
+        F.when(unknown, "unknown"), F.when(F.col("frame2") <= F.col("frame1"), "backward"), F.when(F.col("outs") > 1, "branch"), F.when(F.col("ins") > 1, "merge"), F.when(F.col("_cycle"), "cycle"),
+        F.when(~unknown & ~F.col("gap").eqNullSafe(F.col("_i2") - F.col("_i1") - 1), "gap"), F.when(~unknown & ~F.coalesce(near & (F.col("cost") >= 0), F.lit(False)), "cost"), F.when(~F.coalesce(F.col("origin").isin("automatic", "manual"), F.lit(False)), "origin"),
+    ))
+    told = e.withColumns({"outs": outs, "ins": ins}).join(cyclic, ["src", "dst"], "left").withColumn("reasons", reasons)
+    return told.where(F.size("reasons") > 0).select("src", "dst", F.array_join("reasons", ",").alias("reasons"))
 
 
 def chains(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridquarry.operators import filters, grids
+from gridquarry.functions import typed_cells
+from gridquarry.operators import corrections, filters, grids
 from gridquarry.sources import views
 from gridquarry.sources.views import HEIGHT, WIDTH, sql
 
@@ -339,15 +340,19 @@ def field_assay(spark, d):
     return grids.field_assay(views.labels_ref(spark, d), "v", saturated=50.0, above=2.0)
 
 
-@query("p10_world_coordinates", sql("px", then="select image_id, y, x, round(0.5::double * x + 0.1::double * y + 3, 6) as wx, round(-0.1::double * x + 0.5::double * y - 2, 6) as wy from px"))
-def world_coordinates(spark, d):
-    y, x = F.col("y"), F.col("x")
-    return views.px(spark, d).select(*grids.PIXEL, F.round(0.5 * x + 0.1 * y + 3, 6).alias("wx"), F.round(-0.1 * x + 0.5 * y - 2, 6).alias("wy"))
+#: A turned, sheared grid of 0.5 by 0.7 um, cropped at plane 2, row 3, column 7.
+_AFFINE = [[0.4, 0.32, 0.0, 3.0], [-0.3, 0.64, 0.0, -2.0], [0.05, 0.0, 2.0, 1.0], [0.0, 0.0, 0.0, 1.0]]
 
 
-@query("s07_region_read", sql("px", then="select image_id, count(*) as n, round(sum(v), 4) as total from px where y between 5 and 14 and x between 20 and 59 group by 1"))
-def region_read(spark, d):
-    return views.px(spark, d).where("y between 5 and 14 and x between 20 and 59").groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"))
+@query("p10_world_coordinates", sql("px", then="""select image_id, y, x, round(0.4::double * (x + 7) + 0.32::double * (y + 3) + 3, 6) as wx, round(-0.3::double * (x + 7) + 0.64::double * (y + 3) - 2, 6) as wy, round(0.05::double * (x + 7) + 2 * (image_id % 4 + 2) + 1, 6) as wz,
+    cast(image_id % 4 as double) as back_z, cast(y as double) as back_y, cast(x as double) as back_x, 2.0::double as spacing_z, round(sqrt(0.32 * 0.32 + 0.64 * 0.64), 6)::double as spacing_y, round(sqrt(0.4 * 0.4 + 0.3 * 0.3 + 0.05 * 0.05), 6)::double as spacing_x from px"""))
+def world_coordinates(spark, d):
+    geometry = typed_cells.Geometry(_AFFINE, "ZYX").cropped([2, 3, 7])
+    at = views.px(spark, d).withColumn("z", F.col("image_id") % 4)
+    at = at.withColumns({f"w{a}": c for a, c in zip("xyz", geometry.world([F.col(a) for a in "zyx"]))})
+    at = at.withColumns({f"back_{a}": F.round(c, 6) + 0.0 for a, c in zip("zyx", geometry.index([F.col(f"w{a}") for a in "xyz"]))})
+    at = at.withColumns({f"spacing_{a}": F.round(F.lit(s), 6) for a, s in zip("zyx", geometry.spacing())})
+    return at.select(*grids.PIXEL, *(F.round(f"w{a}", 6).alias(f"w{a}") for a in "xyz"), *(f"{k}_{a}" for k in ("back", "spacing") for a in "zyx"))
 
 
 @query("h04_label_grid_hash", sql("labels_ref", then="select image_id, sha256(string_agg(d, ',' order by y)) as digest from (select image_id, y, sha256(string_agg(cast(label as varchar), ',' order by x)) as d from labels_ref group by all) group by 1"))
@@ -374,10 +379,22 @@ def probability_postprocess(spark, d):
     return grids.components(on, WIDTH, HEIGHT).groupBy(*grids.OBJECT).agg(F.count("*").alias("pixels")).where("pixels >= 2")
 
 
-@query("u06_label_corrections", sql("labels_ref", then="select image_id, y, x, case when label in (2, 3) then 2 when label = 7 then 0 else label end as label from labels_ref"))
+#: Corrections of each image; the last one, of every second image, may run over another object.
+_CORRECTIONS = [("merge", 2, [2, 3], None, None), ("delete", 7, None, None, None), ("paint", 45, None, [(21.0, 12.0), (23.0, 12.0)], 1.5), ("erase", 66, None, [(27.0, 17.0)], 1.0), ("delete", 88, None, None, None), ("polygon_add", 900, None, [(35.0, 20.0), (38.0, 20.0), (38.0, 23.0), (35.0, 23.0)], None), ("paint", 1000, None, [(50.0, 10.0)], 2.0)]
+_PATH = "(p.y - 12) * (p.y - 12) + pow(p.x - least(greatest(p.x, 21), 23), 2) <= 2.25"
+
+
+@query("u06_label_corrections", sql("labels_ref", then="").rstrip() + f""", p as (select *, case when label in (2, 3) then 2 when label in (7, 88) then 0 else label end as merged from labels_ref), c as (select image_id, count(distinct label) filter (label in (2, 3)) as two, count(*) filter (label = 7) as seven, count(*) filter (label = 3) as three, count(*) filter (label = 88) as old,
+        count(*) filter ({_PATH} and merged not in (0, 45)) as hit3, count(*) filter ({_PATH} and merged = 0) as new3, count(*) filter ((y - 17) * (y - 17) + (x - 27) * (x - 27) <= 1 and merged not in (0, 66)) as hit4, count(*) filter ((y - 17) * (y - 17) + (x - 27) * (x - 27) <= 1 and merged = 66) as gone4,
+        count(*) filter (y between 20 and 23 and x between 35 and 38 and merged <> 0) as hit6, count(*) filter (y between 20 and 23 and x between 35 and 38) as new6, count(*) filter (image_id % 2 = 0 and (y - 10) * (y - 10) + (x - 50) * (x - 50) <= 4 and merged <> 0) as hit7 from p group by 1),
+    ok as (select image_id, two = 2 and three > 0 and seven > 0 and hit3 = 0 and new3 > 0 and hit4 = 0 and gone4 > 0 and old > 0 and hit6 = 0 and new6 > 0 and hit7 = 0 as fine from c)
+    select image_id, y, x, case when not fine then label when {_PATH} then 45 when (y - 17) * (y - 17) + (x - 27) * (x - 27) <= 1 and merged = 66 then 0 when y between 20 and 23 and x between 35 and 38 then 900 when fine and image_id % 2 = 0 and (y - 10) * (y - 10) + (x - 50) * (x - 50) <= 4 then 1000 else merged end as label from p join ok using (image_id)""")
 def label_corrections(spark, d):
-    moved = F.when(F.col("label").isin(2, 3), 2).when(F.col("label") == 7, 0).otherwise(F.col("label"))
-    return views.labels_ref(spark, d).select(*grids.PIXEL, moved.alias("label"))
+    g = views.labels_ref(spark, d)
+    place = lambda points: [{"x": x, "y": y} for x, y in points] if points else None
+    asked = spark.createDataFrame([(i, op, label, labels, place(points), radius) for i, (op, label, labels, points, radius) in enumerate(_CORRECTIONS, 1)], "seq long, op string, label long, labels array<long>, points array<struct<x:double,y:double>>, radius double")
+    asked = g.select("image_id").distinct().join(F.broadcast(asked)).where("seq < 7 or image_id % 2 = 0")
+    return corrections.correct_labels(g, asked, WIDTH, HEIGHT)[0].select(*grids.PIXEL, "label")
 
 
 @query("a40_centre_votes", sql("px", then="select image_id, least(greatest(y + cast(floor(v) as bigint) % 3 - 1, 0), 24) as cy, least(greatest(x + cast(v2 as bigint) % 3 - 1, 0), 99) as cx, count(*) as votes from px where v > 5 group by all"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridquarry.functions import cells
+from gridquarry.functions import cells, typed_cells
 from gridquarry.operators import gates, population, sets
 from gridquarry.sources import views
 from gridquarry.sources.views import sql, table
@@ -248,21 +248,41 @@ def formula_safe_csv(spark, d):
     return docs.select("doc_id", cells.formula_safe(F.col("text")).alias("cell"))
 
 
-@query("s16_lossless_cell_encode", "select doc_id, case when text is null then '\\N' when regexp_matches(text, '^[ \\t\\r\\n]*[''=+@-]') then '''' || replace(text, '\\', '\\\\') else replace(text, '\\', '\\\\') end as cell from documents")
+_KINDS = {"text": "string", "clean": "boolean", "n_chars": "integer", "share": "number"}
+_TYPED = "typed as (select doc_id, text, case when doc_id % 9 <> 4 then n_chars > 900 end as clean, case when doc_id % 9 <> 5 then n_chars end as n_chars, case doc_id % 9 when 6 then null when 7 then 'inf'::double when 8 then n_chars else n_chars / 7 end as share from documents)"
+_CELLS = r"select doc_id, case when text is null then '\N' when regexp_matches(text, '^[ \t\r\n]*[''=+@-]') then '''' || replace(text, '\', '\\') else replace(text, '\', '\\') end as text, coalesce(cast(clean as varchar), '\N') as clean, coalesce(cast(n_chars as varchar), '\N') as n_chars, case when share is null then '\N' when isinf(share) then null else cast(share as varchar) end as share"
+
+
+def _typed(spark, d):
+    k = F.col("doc_id") % 9
+    share = F.when(k == 6, None).when(k == 7, float("inf")).when(k == 8, F.col("n_chars").cast("double")).otherwise(F.col("n_chars") / 7)
+    return table(spark, d, "documents").select("doc_id", "text", F.when(k != 4, F.col("n_chars") > 900).alias("clean"), F.when(k != 5, F.col("n_chars")).alias("n_chars"), share.alias("share"))
+
+
+@query("s16_lossless_cell_encode", f"with {_TYPED} {_CELLS}, case when isinf(share) then 'share' else '' end as rejects from typed")
 def lossless_cell_encode(spark, d):
-    return table(spark, d, "documents").select("doc_id", cells.encode(F.col("text")).alias("cell"))
+    return typed_cells.encoded(_typed(spark, d), _KINDS).withColumn("rejects", F.array_join("rejects", ","))
 
 
-@query("s17_lossless_cell_decode", "select doc_id, text, sha256(coalesce(text, '')) as digest from documents")
+@query("s17_lossless_cell_decode", f"with {_TYPED} select doc_id, sha256(coalesce(text, '')) as digest, clean, case when doc_id % 5 = 1 then null else n_chars end as n_chars, case when not isinf(share) then share end as share, array_to_string(list_filter([case when doc_id % 5 = 1 and n_chars is not null then 'n_chars' end, case when isinf(share) then 'share' end], lambda x: x is not null), ',') as rejects from typed")
 def lossless_cell_decode(spark, d):
-    coded = table(spark, d, "documents").select("doc_id", cells.encode(F.col("text")).alias("cell"))
-    return coded.select("doc_id", cells.decode(F.col("cell")).alias("text")).withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    coded = typed_cells.encoded(_typed(spark, d), _KINDS).drop("rejects")
+    # Every fifth count is written as no integer is.
+    spoilt = coded.withColumn("n_chars", F.when((F.col("doc_id") % 5 == 1) & (F.col("n_chars") != F.lit("\\N")), F.concat(F.lit("0"), "n_chars")).otherwise(F.col("n_chars")))
+    back = typed_cells.decoded(spoilt, _KINDS)
+    return back.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "clean", "n_chars", "share", F.array_join("rejects", ",").alias("rejects"))
+
+
+_LEXEMES = """lex as (select l_orderkey, l_linenumber, cast(cast(round(l_extendedprice, 2) as decimal(18,2)) as varchar) as p, l_orderkey % 8 as k from lineitem),
+    written as (select *, case k when 0 then p || '000000000000001' when 1 then '9007199254740993' when 2 then '1e400' when 3 then p || '.' when 4 then '-1e-400' when 5 then cast(l_orderkey as varchar) when 6 then '0' || p else p end as text from lex)"""
 
 
-@query("s18_typed_number_parse", "select l_orderkey, l_linenumber, round(l_extendedprice, 2) as value, true as exact from lineitem")
+@query("s18_typed_number_parse", f"with {_LEXEMES} select l_orderkey, l_linenumber, case k when 0 then 'digits' when 1 then 'integer range' when 2 then 'overflow' when 3 then 'lexeme' when 4 then 'underflow' when 6 then 'lexeme' else 'ok' end as reason, case when k in (5, 7) then cast(text as double) end as value, case when k in (0, 1, 5, 7) then cast(cast(text as decimal(38,18)) as varchar) end as exact, case when k = 5 then 'ok' when k = 1 then 'integer range' when k in (3, 6) then 'lexeme' else 'fraction' end as as_integer from written")
 def typed_number_parse(spark, d):
-    text = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", cells.number(text).alias("value"), cells.is_exact(text).alias("exact"))
+    k, p = F.col("l_orderkey") % 8, F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
+    text = F.when(k == 0, F.concat(p, F.lit("000000000000001"))).when(k == 1, "9007199254740993").when(k == 2, "1e400").when(k == 3, F.concat(p, F.lit("."))).when(k == 4, "-1e-400").when(k == 5, F.col("l_orderkey").cast("string")).when(k == 6, F.concat(F.lit("0"), p)).otherwise(p)
+    read = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", typed_cells.parsed_number(text).alias("n"), typed_cells.parsed_number(text, "integer").alias("i"))
+    return read.select("l_orderkey", "l_linenumber", "n.reason", "n.value", F.col("n.exact").cast("string").alias("exact"), F.col("i.reason").alias("as_integer"))
 
 
 @query("p26_canonical_json", """select event_id, '{"event_type":"' || event_type || '","user_id":' || user_id || '}' as record from events""")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridquarry.functions import cells
+from gridquarry.functions import cells, typed_cells
 from gridquarry.operators import declared, filters, grids, population, spatial, studies, tracks
-from gridquarry.sources import views
+from gridquarry.sources import packages, tile_store, views
 from gridquarry.sources.views import sql, table
+from gridquarry.sources.workspace import shared_dir
 
 from .catalog import query
 
@@ -119,9 +122,30 @@ def tile_grid_scan(spark, d):
     return spatial.from_tiles(spatial.to_tiles(views.px(spark, d), "v", 16), 16)
 
 
-@query("s06_tile_grid_sink", sql("px", then="select image_id, y // 16 as ty, x // 16 as tx, max(y) - min(y) + 1 as h, max(x) - min(x) + 1 as w, count(*) as pixels from px group by all"))
+def _store(spark, d):
+    return tile_store.write(views.px(spark, d), "v", f"{shared_dir(spark)}/tiles-{uuid.uuid4().hex}", 16, 4)
+
+
+@query("s06_tile_grid_sink", sql("px", then="select image_id, y // 16 as ty, x // 16 as tx, min(y) as y, min(x) as x, max(y) - min(y) + 1 as h, max(x) - min(x) + 1 as w, count(*) * 8 as bytes, round(sum(v), 4) as total, 'ok' as verdict from px group by all"))
 def tile_grid_sink(spark, d):
-    return spatial.to_tiles(views.px(spark, d), "v", 16).withColumn("pixels", F.size("pixels").cast("bigint"))
+    store = _store(spark, d)
+    tile = ["image_id", "ty", "tx"]
+    read = store.tiles.select(*tile, F.round(F.aggregate("values", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
+    return store.manifest.join(read, tile).join(store.verified(), tile).select(*tile, "y", "x", "h", "w", "bytes", "total", "verdict")
+
+
+_REGIONS = "regions as (select distinct image_id * 2 as region, image_id, cast(image_id % 18 as bigint) as y, image_id * 7 % 65 as x, 10 as h, 38 as w from px union all select distinct image_id * 2 + 1, image_id + 1000000, 0, 0, 1, 1 from px where image_id % 10 = 0)"
+
+
+@query("s07_region_read", sql("px", then="").rstrip() + f", {_REGIONS} select region, case when region % 2 = 1 then 'unknown image' when y + h > 25 or x + w > 100 then 'outside' end as refusal, case when not (y + h > 25 or x + w > 100) then count(v) else 0 end as n, case when not (y + h > 25 or x + w > 100) then round(sum(v), 4) end as total from regions left join (select image_id as i, y as py, x as px, v from px) on i = image_id and py between y and y + h - 1 and px between x and x + w - 1 group by region, image_id, y, x, h, w")
+def region_read(spark, d):
+    store = _store(spark, d)
+    images = store.manifest.select("image_id").distinct()
+    regions = images.selectExpr("image_id * 2 as region", "image_id", "image_id % 18 as y", "image_id * 7 % 65 as x", "10 as h", "38 as w")
+    unknown = images.where("image_id % 10 = 0").selectExpr("image_id * 2 + 1", "image_id + 1000000", "0L", "0L", "1", "1")
+    pixels, verdicts = store.read_regions(regions.union(unknown))
+    sums = pixels.groupBy("region").agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"))
+    return verdicts.join(sums, "region", "left").fillna(0, ["n"])
 
 
 def _spread(pdf):
@@ -224,10 +248,20 @@ def result_inspection(spark, d):
     return views.objects(spark, d).groupBy("result_id").agg(F.count("*").alias("total"), n.alias("selected"), (n * 2).alias("measurement_count"), F.count_distinct("brand").alias("units"))
 
 
-@query("p18_stain_separation", "select l_orderkey, l_linenumber, round(-ln((l_quantity + 1) / 64) * 0.65 + ln(l_discount + 0.5) * 0.2, 6) as haematoxylin, round(ln((l_quantity + 1) / 64) * 0.1 - ln(l_tax + 0.5) * 0.9, 6) as eosin from lineitem")
+_DENSITY = "select l_orderkey, l_linenumber, list_transform([(l_quantity * 5.1)::double, l_discount * 2550, 255 - l_tax * 3000], lambda c: case when c between 0 and 255 then ln(greatest(c / 255, 1e-6)) / ln(1e-6) end) as od from lineitem"
+#: Cramer's rule with the rows of the basis.
+_CRAMER = """select l_orderkey, l_linenumber, case when od[1] is not null and od[2] is not null and od[3] is not null then list_transform([
+    (od[1] * (0.99 * 0.78 - 0.11 * 0.57) - od[2] * (0.07 * 0.78 - 0.11 * 0.27) + od[3] * (0.07 * 0.57 - 0.99 * 0.27)) / det,
+    (0.65 * (od[2] * 0.78 - od[3] * 0.57) - 0.70 * (od[1] * 0.78 - od[3] * 0.27) + 0.29 * (od[1] * 0.57 - od[2] * 0.27)) / det,
+    (0.65 * (0.99 * od[3] - 0.11 * od[2]) - 0.70 * (0.07 * od[3] - 0.11 * od[1]) + 0.29 * (0.07 * od[2] - 0.99 * od[1])) / det], lambda v: round(greatest(v::double, 0), 6)) end as s
+    from o, (select (0.65 * (0.99 * 0.78 - 0.11 * 0.57) - 0.70 * (0.07 * 0.78 - 0.11 * 0.27) + 0.29 * (0.07 * 0.57 - 0.99 * 0.27))::double as det)"""
+
+
+@query("p18_stain_separation", f"with o as ({_DENSITY}), unmixed as ({_CRAMER}) select l_orderkey, l_linenumber, s[1] as haematoxylin, s[2] as eosin, s[3] as third from unmixed")
 def stain_separation(spark, d):
-    od = [-F.log((F.col("l_quantity") + 1) / 64), -F.log(F.col("l_discount") + 0.5), -F.log(F.col("l_tax") + 0.5)]
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(od[0] * 0.65 - od[1] * 0.2, 6).alias("haematoxylin"), F.round(od[0] * -0.1 + od[2] * 0.9, 6).alias("eosin"))
+    rgb = [F.col("l_quantity") * 5.1, F.col("l_discount") * 2550, 255 - F.col("l_tax") * 3000]
+    found = typed_cells.stains(rgb, typed_cells.HAEMATOXYLIN_EOSIN)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *(F.round(c, 6).alias(name) for name, c in zip(("haematoxylin", "eosin", "third"), found)))
 
 
 @query("p19_channel_composite", sql("px", then="select image_id, y, x, cast(round_even(least(greatest(least(greatest((v - 1) / 40, 0), 1) * 200 + least(greatest(v2 / 1000, 0), 1) * 80, 0), 255), 0) as int) as red from px"))
@@ -246,18 +280,66 @@ def ring_enrichment(spark, d):
     return own.join(ring, grids.OBJECT).groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.median(F.try_divide("mean", "around")), 5).alias("median"))
 
 
-@query("s13_normalized_export", sql("objects", then="select 'results' as name, count(distinct result_id) as n from objects union all select 'objects', count(*) from objects union all select 'measurements', 2 * count(*) from objects union all select 'groups', count(distinct brand) from objects"))
-def normalized_export(spark, d):
-    o = views.objects(spark, d)
-    parts = {"results": o.select("result_id").distinct(), "objects": o.select("label"), "measurements": cells.melt(o, ["result_id", "label"], ["measure", "size"]), "groups": o.select("brand").distinct()}
-    counts = [p.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, p in parts.items()]
-    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+#: Seven results of three sources; one source has no replicate. Objects above a price are exported.
+_EXPORTED = "o as (select *, result_id % 3 as source, label % 50 <> 0 and measure > 920 as picked from objects where label > 0)"
+
 
+def _export(spark, d):
+    o = views.objects(spark, d).where("label > 0").selectExpr(
+        "concat('r', result_id) as result_id", "'1' as revision", "concat('s', result_id % 3) as source_id", "label", "measure", "'eur' as unit", "label % 2 = 0 as touches_border", "'reviewed' as review", "'Study' as study",
+        "concat('sample ', result_id % 3) as sample", "'-treated' as condition", "if(result_id % 3 = 2, null, concat('rep', result_id % 3)) as biological_replicate", "measure as price", "size", "brand",
+    )
+    tables, records = packages.from_objects(o, {"price": "float", "size": "integer"}, F.expr("label % 50 <> 0 and measure > 920"), "brand")
+    return packages.write(tables, records, f"{shared_dir(spark)}/package-{uuid.uuid4().hex}", "reviewed")
 
-@query("s14_wide_export", sql("objects", then='select label, measure as "intensity:raw:mean", size as "intensity:raw:size" from objects'))
+
+_SUMS = """select 'result_count' as name, count(distinct result_id) as n from o union all select 'source_count', count(distinct source) from o union all select 'total_count', count(*) from o union all select 'selected_count', count(*) filter (picked) from o
+    union all select 'measurement_count', 2 * count(*) filter (picked) from o union all select 'group_count', count(distinct (result_id, brand)) from o union all select 'membership_count', count(*) filter (picked) from o
+    union all select 'declared_replicate_count', count(distinct source) filter (source < 2) from o union all select 'unassigned_source_count', count(distinct source) filter (source = 2) from o"""
+
+
+@query("s13_normalized_export", sql("objects", then="").rstrip() + f", {_EXPORTED} select name, n, cast(0 as bigint) as faults, true as intact from ({_SUMS}) union all select 'prices ' || result_id, cast(sum(cast(round(measure * 100) as bigint)) filter (picked) as bigint), 0, true from o group by result_id")
+def normalized_export(spark, d):
+    package = _export(spark, d)
+    prices = package.table("measurements").where("metric_id = 'price'").groupBy("result_id").agg(F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("n"))
+    read = packages.sums({name: package.table(name) for name in packages.TABLES}).union(prices.select(F.concat(F.lit("prices "), F.substring("result_id", 2, 9)), "n"))
+    faults = package.audit().agg(F.sum("faults").alias("faults"))
+    intact = package.verified().agg(F.bool_and(F.col("verdict") == "ok").alias("intact"))
+    return read.join(F.broadcast(faults)).join(F.broadcast(intact))
+
+
+_RELATIONS = sql("objects", then="").rstrip() + f""", {_EXPORTED}, g as (select result_id, brand, count(*) filter (picked) as members from o group by all), n as (select count(*) filter (picked and label % 40 = 1) as old, count(*) filter (picked and label % 60 = 2 and size is not null) as unvalued, count(*) filter (picked and label % 70 = 3) as lost, count(distinct result_id) as results from o)
+    select 'exported of groups' as "check", count(*) as faults from g where brand = 'Brand#11' union all select 'total of groups', count(*) from g where brand = 'Brand#12' union all select 'source of groups', count(*) from g where brand = 'Brand#13'
+    union all select 'included of groups', count(*) from g where brand = 'Brand#14' and members > 0 union all select 'revision of memberships', old from n union all select 'memberships without objects', old from n union all select 'status of measurements', unvalued from n
+    union all select 'records of objects', lost from n union all select 'source of samples', 1 union all select 'review of results', results from n union all select 'sums of the manifest', 1 union all select 'key of samples', 1"""
+
+
+@query("s21_package_relations_check", _RELATIONS)
+def package_relations_check(spark, d):
+    package = _export(spark, d)
+    t = {name: package.table(name) for name in packages.TABLES}
+    put = lambda df, column, where, value: df.withColumn(column, F.when(F.expr(where), F.expr(value)).otherwise(F.col(column)))
+    for column, brand, value in (("exported_count", 11, "exported_count + 1"), ("total_count", 12, "total_count + 1"), ("source_id", 13, "'s9'"), ("included_count", 14, "-1 + exported_count")):
+        t["groups"] = put(t["groups"], column, f"name = 'Brand#{brand}' and ('{column}' <> 'included_count' or exported_count > 0)", value)
+    t["memberships"] = put(t["memberships"], "revision", "label % 40 = 1", "'0'")
+    t["measurements"] = put(t["measurements"], "value", "label % 60 = 2 and metric_id = 'size'", "null")
+    t["results"] = put(t["results"], "review", "true", "'pending'")
+    # A sample of no result, twice: it declares a replicate that the manifest doesn't count.
+    alien = t["samples"].where("source_id = 's0'").withColumns({"source_id": F.lit("s7"), "biological_replicate": F.lit("other")})
+    t["samples"] = t["samples"].union(alien).union(alien)
+    found = packages.audit(t, package.records().where("label % 70 <> 3"), package.stated())
+    return found.withColumn("faults", F.when(F.col("check") == "source of samples", F.col("faults") / 2).otherwise(F.col("faults")).cast("bigint")).where("faults > 0")
+
+
+@query("s14_wide_export", sql("objects", then="""select label, measure as "compartments:cell:intensity:raw:mean", size as "compartments:cell:intensity:raw:size", label % 3 as "compartments:cell:pixels", case when label % 4 > 0 then cast(label as double) end as "centroid:0", case when label % 4 > 1 then size end as "centroid:1", case when label % 4 > 2 then 1.0::double end as "centroid:2",
+    case when brand = 'Brand#11' then measure end as "by_brand:Brand#11", case when brand = 'Brand#23' then measure end as "by_brand:Brand#23" from objects"""))
 def wide_export(spark, d):
-    nested = views.objects(spark, d).select("label", F.struct(F.struct(F.col("measure").alias("mean"), "size").alias("raw")).alias("intensity"))
-    return nested.select("label", *(F.col(f"intensity.raw.{c}").alias(f"intensity:raw:{c}") for c in ("mean", "size")))
+    o, k = views.objects(spark, d), F.col("label")
+    raw = F.struct(F.struct(F.col("measure").alias("mean"), "size").alias("raw"))
+    cell = F.struct(F.struct(raw.alias("intensity"), (k % 3).alias("pixels")).alias("cell")).alias("compartments")
+    centroid = F.slice(F.array(k.cast("double"), "size", F.lit(1.0)), F.lit(1), (k % 4).cast("int")).alias("centroid")
+    marked = F.when(F.col("brand").isin("Brand#11", "Brand#23"), F.create_map("brand", "measure")).alias("by_brand")
+    return typed_cells.flattened(o.select("label", cell, centroid, marked))
 
 
 @query("s28_trajectory_flatten", "select event_id, value as position_x, cast(user_id as double) as position_y, 'um' as position_unit from events")

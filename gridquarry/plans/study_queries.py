@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridquarry.operators import gates, sheets, studies, tracks
+from gridquarry.operators import gates, sheets, splits, studies, tracks
 from gridquarry.sources import views
 from gridquarry.sources.views import sql, table
 from gridquarry.sources.workspace import written
@@ -195,20 +195,39 @@ def source_label_pairing(spark, d):
     return studies.stem_pairs(labels.select("doc_id", name("DOC")), sources).select("doc_id", "verdict")
 
 
-@query("j22_prefix_split_assignment", "select doc_id, case when starts_with(source, 'src1') then 'train' when starts_with(source, 'src2') then 'test' else 'unassigned' end as split from documents")
+_PATHS = "paths as (select doc_id, 'Raw//' || source || '/./' || lang || '/B' || doc_id % 40 || '/f' || doc_id || '.tif' as path, lower('raw/' || source || '/' || lang || '/b' || doc_id % 40 || '/f' || doc_id || '.tif') as clean from documents where doc_id % 25 <> 3 union all select doc_id, '../f' || doc_id, null from documents where doc_id % 25 = 3)"
+#: Rules of three depths: a language of a source, one of its folders, single files. Some folders and files contradict what is above them.
+_RULES = "rules as (select distinct 'raw/' || lower(source) || '/' || lang as prefix, case when ascii(substr(lang, 1, 1)) % 3 = 0 then 'train' else 'test' end as split from documents where lang <> 'fr' union select distinct 'raw/' || lower(source) || '/' || lang || '/b' || doc_id % 40, case when doc_id % 40 % 4 = 0 then 'validation' when ascii(substr(lang, 1, 1)) % 3 = 0 then 'train' else 'test' end from documents where doc_id % 40 < 20 union select 'raw/' || lower(source) || '/' || lang || '/b' || doc_id % 40 || '/f' || doc_id || '.tif', 'test' from documents where doc_id % 10 = 7)"
+
+
+@query("j22_prefix_split_assignment", f"with {_PATHS}, {_RULES}, hit as (select doc_id, array_to_string(list_sort(list(distinct split)), ',') as splits, arg_max(prefix, length(prefix)) as rule from paths join rules on clean = prefix or starts_with(clean, prefix || '/') group by 1) select doc_id, case when clean is null then 'refused' when splits is null then 'unassigned' when not contains(splits, ',') then splits end as split, rule, coalesce(splits, '') as splits from paths left join hit using (doc_id)")
 def prefix_split_assignment(spark, d):
-    s = F.col("source")
-    return table(spark, d, "documents").select("doc_id", F.when(s.startswith("src1"), "train").when(s.startswith("src2"), "test").otherwise("unassigned").alias("split"))
+    docs, k = table(spark, d, "documents"), F.col("doc_id")
+    text = lambda *c: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in c))
+    folder, name = (k % 40).cast("string"), text("/f", k.cast("string"), ".tif")
+    path = F.when(k % 25 == 3, text("../f", k.cast("string"))).otherwise(text("Raw//", F.col("source"), "/./", F.col("lang"), "/B", folder, name))
+    first = F.when(F.ascii(F.substring("lang", 1, 1)) % 3 == 0, "train").otherwise("test")
+    top = text("RAW/", F.col("source"), "/", F.col("lang"))
+    rules = docs.where("lang <> 'fr'").select(first.alias("split"), top.alias("prefix")).distinct()
+    rules = rules.union(docs.where(k % 40 < 20).select(F.when(k % 40 % 4 == 0, "validation").otherwise(first), text(top, "/B", folder, "/")).distinct())
+    rules = rules.union(docs.where(k % 10 == 7).select(F.lit("test"), text(top, "/B", folder, name)))
+    return splits.assign_splits(docs.select("doc_id", path.alias("path")), rules, "doc_id").withColumn("splits", F.array_join("splits", ","))
 
 
 _SPLIT = "case when doc_id % 10 < 8 then 'train' else 'test' end"
 
 
-@query("a39_split_leakage_check", f"select sha256(coalesce(text, '')) as digest, count(*) as copies, count(distinct {_SPLIT}) > 1 as leaks from documents group by 1 having count(*) > 1")
+_LINKS = """ids as (select doc_id, case when doc_id % 10 < 8 then 'train' else 'test' end as split, sha256(text) as hash, 'g' || doc_id // 3 as grp, lower(source) || '/' || n_chars as path from documents),
+    long as (select doc_id, 'hash' as link, hash as value from ids where hash is not null union all select doc_id, 'group', grp from ids union all select doc_id, 'path', path from ids where path is not null),
+    ties as (select a.doc_id as a, b.doc_id as b, link from long a join long b using (link, value) where a.doc_id <> b.doc_id)"""
+
+
+@query("a39_split_leakage_check", f"with recursive {_LINKS}, walk(a, root) as (select doc_id, doc_id from ids union select b, root from walk join ties using (a)), roots as (select a as doc_id, min(root) as component from walk group by 1), told as (select component, count(*) as records, array_to_string(list_sort(list(distinct split)), ',') as splits, count(distinct split) as n from ids join roots using (doc_id) group by 1), kinds as (select component, array_to_string(list_sort(list(distinct link)), ',') as repeated from ties join roots on a = doc_id group by 1) select component, records, splits, repeated from told join kinds using (component) where n > 1")
 def split_leakage_check(spark, d):
+    docs = table(spark, d, "documents")
     split = F.when(F.col("doc_id") % 10 < 8, "train").otherwise("test")
-    g = table(spark, d, "documents").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")).agg(F.count("*").alias("copies"), (F.count_distinct(split) > 1).alias("leaks"))
-    return g.where("copies > 1")
+    links = {"hash": F.sha2("text", 256), "group": F.concat(F.lit("g"), F.expr("doc_id div 3").cast("string")), "path": F.concat(F.lower("source"), F.lit("/"), F.col("n_chars").cast("string"))}
+    return splits.leaks(docs.withColumn("split", split), "doc_id", "split", links)
 
 
 @query("a37_manifest_summary", f"select {_SPLIT} as split, count(*) as documents, count(quality) as paired, count(*) - count(quality) as unpaired, count(*) filter (toxic = 1) as flagged from documents left join labels using (doc_id) group by 1")
@@ -305,10 +324,10 @@ def package_verify(spark, d):
     return sheets.verify_package(declared, files.where(k != 1).drop("doc_id"))
 
 
-@query("s21_package_relations_check", """select 'lineitem orders' as "check", count(*) filter (l_orderkey not in (select o_orderkey from orders)) as faults from lineitem union all select 'orders customer', count(*) filter (o_custkey not in (select c_custkey from customer where c_nationkey <> 3)) from orders
+@query("s21_foreign_keys", """select 'lineitem orders' as "check", count(*) filter (l_orderkey not in (select o_orderkey from orders)) as faults from lineitem union all select 'orders customer', count(*) filter (o_custkey not in (select c_custkey from customer where c_nationkey <> 3)) from orders
     union all select 'customer nation', count(*) filter (c_nationkey not in (select n_nationkey from nation)) from customer union all select 'orders key', count(*) from (select o_orderkey from orders group by 1 having count(*) > 1) union all select 'customer name twice', count(*) from (select c_nationkey from customer group by 1 having count(*) > 1)
     union all select 'lines as declared', (select count(*) from (select l_orderkey, count(*) as n, max(l_linenumber) as m from lineitem group by 1) where n <> m)""")
-def package_relations_check(spark, d):
+def foreign_keys(spark, d):
     t = lambda n: table(spark, d, n)
     counts = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_linenumber").alias("m")).where("n <> m").agg(F.count("*").alias("faults")).select(F.lit("lines as declared").alias("check"), "faults")
     return sheets.relation_faults({
@@ -396,12 +415,27 @@ def tracking_ambiguity(spark, d):
     return tracks.ambiguity(c, tracks.links(c), 5.0)
 
 
-@query("g04_track_graph_validation", """with e as (select event_id as src, event_id + 1 + event_id % 3 as dst from events), n as (select event_id as label, event_id // 2 as frame from events), j as (select src, dst, a.frame as f1, b.frame as f2, count(*) over (partition by src) as outs, count(*) over (partition by dst) as ins from e left join n a on a.label = src left join n b on b.label = dst)
-select src, dst, array_to_string(list_filter([case when f1 is null or f2 is null then 'unknown' end, case when f2 <= f1 then 'backward' end, case when outs > 1 then 'branch' end, case when ins > 1 then 'merge' end], lambda x: x is not null), ',') as reasons from j where f1 is null or f2 is null or f2 <= f1 or outs > 1 or ins > 1""")
+#: Edges 1 or 2 on, and one back from every 300th that closes a cycle of five.
+_TRACK_EDGES = """n as (select event_id as label, event_id // 2 as frame, value as x, user_id % 100 as y from events),
+    raw as (select event_id as src, event_id + 1 + event_id % 3 as dst from events union all select event_id, event_id - 6 from events where event_id % 300 = 156),
+    j as (select src, dst, a.frame as f1, b.frame as f2, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as far, count(*) over (partition by src) as outs, count(*) over (partition by dst) as ins from raw left join n a on a.label = src left join n b on b.label = dst)"""
+
+
+@query("g04_track_graph_validation", f"""with {_TRACK_EDGES}, told as (select src, dst, list_filter([case when f1 is null or f2 is null then 'unknown' end, case when f2 <= f1 then 'backward' end, case when outs > 1 then 'branch' end, case when ins > 1 then 'merge' end,
+    case when f2 is not null and ((src % 300, dst - src) in ((150, 1), (151, 2), (153, 1), (154, 2), (156, -6)) and exists (select 1 from events where event_id = src - src % 300 + 156)) then 'cycle' end,
+    case when f2 is not null and src % 11 = 3 then 'gap' end, case when f2 is not null and src % 13 = 4 then 'cost' end, case when src % 17 = 5 then 'origin' end], lambda x: x is not null) as why from j)
+    select src, dst, array_to_string(why, ',') as reasons from told where len(why) > 0""")
 def track_graph_validation(spark, d):
     e = table(spark, d, "events")
-    edges = e.selectExpr("event_id as src", "event_id + 1 + event_id % 3 as dst")
-    return tracks.edge_faults(e.selectExpr("event_id as label", "event_id div 2 as frame"), edges)
+    det = e.selectExpr("'all' as seq", "event_id div 2 as frame", "event_id as label", "value as x", "cast(user_id % 100 as double) as y")
+    raw = e.selectExpr("event_id as src", "event_id + 1 + event_id % 3 as dst").union(e.where("event_id % 300 = 156").selectExpr("event_id", "event_id - 6"))
+    at = lambda name: det.select(F.col("label").alias(name), F.col("frame").alias(f"f_{name}"), F.col("x").alias(f"x_{name}"), F.col("y").alias(f"y_{name}"))
+    cost = F.sqrt((F.col("x_src") - F.col("x_dst")) ** 2 + (F.col("y_src") - F.col("y_dst")) ** 2)
+    edges = raw.join(at("src"), "src", "left").join(at("dst"), "dst", "left").select(
+        "src", "dst", (F.col("f_dst") - F.col("f_src") - 1 + F.when(F.col("src") % 11 == 3, 1).otherwise(0)).alias("gap"),
+        (cost + F.when(F.col("src") % 13 == 4, 0.5).otherwise(0.0)).alias("cost"), F.when(F.col("src") % 17 == 5, "guess").otherwise("manual").alias("origin"),
+    )
+    return tracks.edge_faults(det, edges)
 
 
 @query("g05_track_chaining", """with recursive e as (select event_id as src, event_id + 5 as dst from events where event_id % 50 < 45 and event_id + 5 <= (select max(event_id) from events)), c(node, track, depth) as (select event_id, event_id, cast(0 as bigint) from events where event_id not in (select dst from e) union all select e.dst, c.track, c.depth + 1 from c join e on e.src = c.node) select * from c""")
