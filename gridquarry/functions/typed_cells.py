@@ -22,9 +22,12 @@ NUMBER = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 def shortest(c: Column) -> Column:
     """The shortest decimal of a finite double that reads back as the same."""
     plain = c.cast("string")
-    # 15 digits are always near enough to trim; 16 and 17 only where needed.
-    tries = [F.regexp_replace(F.regexp_replace(F.format_string(f"%.{n}g", c), r"(\.[0-9]*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1") for n in (15, 16)]
-    return F.when(tries[0].cast("double") == c, _as_written(tries[0], plain)).when(tries[1].cast("double") == c, _as_written(tries[1], plain)).otherwise(plain)
+    written = lambda n: F.regexp_replace(F.regexp_replace(F.format_string(f"%.{n - 1}e", c), r"(\.[0-9]*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+    # 15 digits are always near enough to trim, 16 and 17 only where needed; the least numbers of all have fewer.
+    out = F.when(F.abs(c) >= F.lit(2.3e-308), F.when(written(15).cast("double") == c, _as_written(written(15), plain)).when(written(16).cast("double") == c, _as_written(written(16), plain)).when(written(17).cast("double") == c, _as_written(written(17), plain)).otherwise(plain)).when(c == 0, plain)
+    for n in range(1, 17):
+        out = out.when(written(n).cast("double") == c, written(n))
+    return out.otherwise(plain)
 
 
 def _as_written(short: Column, plain: Column) -> Column:

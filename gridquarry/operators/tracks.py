@@ -147,26 +147,39 @@ def interval_rates(series: DataFrame, key: list[str], time: str, value: str) ->
 
 
 def nearest(points: DataFrame, key: str, first_cell: float) -> DataFrame:
-    """Distance of each point (group, x, y) to the nearest other of its group.
+    """Distance of each point (group, x, y) to the nearest other of its group;
+    null for a lone point."""
+    return nearest_neighbours(points, points, key, first_cell).select(key, "nearest")
+
+
+def nearest_neighbours(asked: DataFrame, points: DataFrame, key: str, first_cell: float) -> DataFrame:
+    """key, nearest and neighbour of each of ``asked`` (key, group, x, y): the
+    distance to the nearest other point of its group among ``points``, and the
+    key of that one (of equally near ones the smallest); null for a lone point.
 
     The plane is cut into squares; a point's nearest within the size of a
-    square lies in its own or a neighbouring one. Points without such a
-    neighbour are looked at again with squares twice as large, until all are
-    settled or a group lies in one square. Null for a lone point.
+    square lies in its own or a neighbouring one. What has no such neighbour is
+    looked at again with squares twice as large, until all are settled or a
+    group lies in one square. It is the asked points that look into nine
+    squares, so a round costs what is left of them and one shuffle of the rest.
     """
-    left = written(points.select(key, "group", "x", "y"))
-    spans = left.groupBy("group").agg(F.max(F.greatest("x", "y") - 0).alias("hi"), F.min(F.least("x", "y")).alias("lo"))
+    left, every = written(asked.select(key, "group", "x", "y")), written(points.select(key, "group", "x", "y"))
+    spans = every.groupBy("group").agg(F.max(F.greatest("x", "y")).alias("hi"), F.min(F.least("x", "y")).alias("lo"))
     widest = spans.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 0.0
-    every, done, size = left, None, first_cell
+    reach = left.agg(F.max(F.greatest("x", "y")), F.min(F.least("x", "y"))).first()
+    ends = every.agg(F.max(F.greatest("x", "y")), F.min(F.least("x", "y"))).first()
+    if None not in (*reach, *ends):
+        widest = max(widest, reach[0] - ends[1], ends[0] - reach[1])
+    done, size = None, first_cell
     while True:
         at = lambda c: F.floor(F.col(c) / size).cast("bigint")  # noqa: E731, B023
-        own = left.select(key, "group", F.col("x").alias("x1"), F.col("y").alias("y1"), at("x").alias("cx"), at("y").alias("cy"))
         around = F.array(*(F.struct((at("x") + i).alias("cx"), (at("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-        others = every.select(F.col(key).alias("other"), "group", F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(around).alias("c")).select("other", "group", "x2", "y2", "c.*")
+        own = left.select(key, "group", F.col("x").alias("x1"), F.col("y").alias("y1"), F.explode(around).alias("c")).select(key, "group", "x1", "y1", "c.*")
+        others = every.select(F.col(key).alias("other"), "group", F.col("x").alias("x2"), F.col("y").alias("y2"), at("x").alias("cx"), at("y").alias("cy"))
         far = F.sqrt((F.col("x1") - F.col("x2")) ** 2 + (F.col("y1") - F.col("y2")) ** 2)
-        met = own.join(others, ["group", "cx", "cy"]).where(F.col(key) != F.col("other")).groupBy(key).agg(F.min(far).alias("nearest"))
+        met = own.join(others, ["group", "cx", "cy"]).where(F.col(key) != F.col("other")).groupBy(key).agg(F.min(F.struct(far.alias("nearest"), F.col("other").alias("neighbour"))).alias("m"))
         last = size > widest
-        found = written(left.select(key).join(met, key, "left"))
+        found = written(left.select(key).join(met, key, "left").select(key, "m.nearest", "m.neighbour"))
         settled = found if last else found.where(F.col("nearest") <= size)
         done = settled if done is None else done.union(settled)
         if last:
@@ -177,6 +190,20 @@ def nearest(points: DataFrame, key: str, first_cell: float) -> DataFrame:
         size *= 2
 
 
+def remeasured(points: DataFrame, measured: DataFrame, removed: DataFrame, key: str, first_cell: float) -> DataFrame:
+    """``measured`` (key, nearest, neighbour) after the points of ``removed``
+    (key) are gone: only those whose neighbour went look again; all other rows
+    stay as they are, whatever the size of the table."""
+    gone = written(removed.select(F.col(key).alias("_gone")).distinct())
+    left = measured.join(gone, measured[key] == gone["_gone"], "left_anti")
+    stale = written(left.join(gone, left["neighbour"] == gone["_gone"], "left_semi").select(key))
+    if stale.isEmpty():
+        return left
+    rest = points.join(gone, points[key] == gone["_gone"], "left_anti")
+    again = nearest_neighbours(rest.join(stale, key, "left_semi"), rest, key, first_cell)
+    return left.join(stale, key, "left_anti").select(key, "nearest", "neighbour").union(again.select(key, "nearest", "neighbour"))
+
+
 def suppress(points: DataFrame, most: float) -> DataFrame:
     """Peaks (id, x, y, response) left by greedy suppression: in order of
     response (then id), one is kept if none within ``most`` was kept before.

@@ -82,3 +82,17 @@ def phase_shift_estimate(spark, d):
     whole = p.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") == WIDTH * HEIGHT).select("image_id")
     moved = p.select("image_id", ((F.col("y") - 2 + HEIGHT) % HEIGHT).alias("y"), ((F.col("x") + 3) % WIDTH).alias("x"), F.col("v1").alias("v2"))
     return shapes.shifts(p.join(moved, grids.PIXEL).join(whole, "image_id", "left_semi"))
+
+
+@query("a27_morphometrics_3d", sql("labels_ref", then="").rstrip() + """, vox as (select image_id // 4 as volume_id, image_id % 4 as z, y, x, label from labels_ref where label > 0),
+    faces as (select volume_id, label, sum(case when d = 0 then 0.5 * 0.25 else 2.0 * case when d = 1 then 0.25 else 0.5 end end)::double as surface from (select a.volume_id, a.label, d from vox a, (values (0, -1), (0, 1), (1, -1), (1, 1), (2, -1), (2, 1)) t(d, s)
+        left join vox b on b.volume_id = a.volume_id and b.label = a.label and b.z = a.z + case when d = 0 then s else 0 end and b.y = a.y + case when d = 1 then s else 0 end and b.x = a.x + case when d = 2 then s else 0 end where b.label is null) group by all),
+    m as (select volume_id, label, count(*)::hugeint as n, count(*) * sum(z * z)::hugeint - sum(z)::hugeint * sum(z) as zz, count(*) * sum(y * y)::hugeint - sum(y)::hugeint * sum(y) as yy, count(*) * sum(x * x)::hugeint - sum(x)::hugeint * sum(x) as xx,
+        count(*) * sum(z * y)::hugeint - sum(z)::hugeint * sum(y) as zy, count(*) * sum(z * x)::hugeint - sum(z)::hugeint * sum(x) as zx, count(*) * sum(y * x)::hugeint - sum(y)::hugeint * sum(x) as yx from vox group by all)
+    select volume_id, label, cast(n as bigint) as voxels, round(n * 0.25::double, 6) as volume, round(surface, 6) as surface, case when n > 1 then round(least(pow(pi(), 1 / 3) * pow(6 * n * 0.25::double, 2 / 3) / surface, 1), 6) end as sphericity, round((zz * 4::double + yy * 0.25::double + xx * 0.0625::double) / n / n, 4) as spread,
+        case when n = 1 then 'one voxel' when zz * yy = zy * zy and zz * xx = zx * zx and yy * xx = yx * yx then 'voxels on a line' when zz * (yy * xx - yx * yx) - zy * (zy * xx - yx * zx) + zx * (zy * yx - yy * zx) = 0 then 'voxels in a plane' else '' end as reason
+    from m join faces using (volume_id, label)""")
+def volume_morphometrics(spark, d):
+    voxels = views.labels_ref(spark, d).selectExpr("image_id div 4 as volume_id", "image_id % 4 as z", "y", "x", "label")
+    told = shapes.volume_morphometrics(voxels, (2.0, 0.5, 0.25))
+    return told.select("volume_id", "label", "voxels", "volume", "surface", "sphericity", F.round(F.col("major") + F.col("middle") + F.col("minor"), 4).alias("spread"), "reason")

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridquarry.functions import cells, typed_cells
-from gridquarry.operators import declared, filters, grids, population, spatial, studies, tracks
+from gridquarry.operators import declared, filters, grids, population, sampling, spatial, studies, tracks
 from gridquarry.sources import packages, tile_store, views
 from gridquarry.sources.views import sql, table
 from gridquarry.sources.workspace import shared_dir
@@ -217,10 +217,16 @@ def step_speed_intervals(spark, d):
     return tracks.step_intervals(e, ["user_id"], ["ts", "event_id"], "s", 86400.0).drop("ts")
 
 
-@query("u07_delete_and_remeasure", sql("labels_ref", then="select image_id, label, count(*) as pixels, round(avg(v), 6) as mean from labels_ref where label > 0 and label <> 5 group by all"))
+@query("u07_delete_and_remeasure", sql("labels_ref", then="").rstrip() + ", o as (select image_id, label, count(*) as pixels, round(avg(v), 6) as mean, avg(y) as cy, avg(x) as cx from labels_ref where label > 0 and label % 9 <> 5 and not (label between 30 and 60 and image_id % 2 = 0) group by all) select a.image_id, a.label, any_value(a.pixels) as pixels, any_value(a.mean) as mean, round(min(sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2))), 6) as nearest from o a left join o b on a.image_id = b.image_id and a.label <> b.label group by all")
 def delete_and_remeasure(spark, d):
-    left = views.labels_ref(spark, d).where("label <> 5")
-    return grids.object_measures(left, ["v"], views.WIDTH, views.HEIGHT).select(*grids.OBJECT, "pixels", F.col("v_mean").alias("mean"))
+    g = views.labels_ref(spark, d)
+    key = (F.col("image_id") * 100_000 + F.col("label")).alias("key")
+    objects = grids.object_measures(g, ["v"], views.WIDTH, views.HEIGHT).select(*grids.OBJECT, key, "pixels", F.col("v_mean").alias("mean"))
+    centres = g.where("label > 0").groupBy(*grids.OBJECT).agg(F.avg("y").alias("y"), F.avg("x").alias("x")).select(key, F.col("image_id").alias("group"), "y", "x")
+    measured = tracks.nearest_neighbours(centres, centres, "key", 6.0)
+    gone = objects.where("label % 9 = 5 or (label between 30 and 60 and image_id % 2 = 0)").select("key")
+    left = tracks.remeasured(centres, measured, gone, "key", 6.0)
+    return objects.join(left, "key").select(*grids.OBJECT, "pixels", "mean", F.round("nearest", 6).alias("nearest"))
 
 
 @query("p01_metric_descriptors", sql("objects", then="select metric, kind, count(*) as objects from (select 'measure' as metric, 'price' as kind from objects where measure is not null union all select 'size', 'count' from objects where size is not null) group by all"))
@@ -392,11 +398,31 @@ def gate_binding(spark, d):
     return wanted.join(known, "metric", "left").select("metric", F.col("n").isNotNull().alias("bound"))
 
 
-@query("x07_patch_sampling", "select doc_id, pos from (select doc_id, pos, row_number() over (order by sha256(doc_id || '/' || pos), doc_id, pos) as k from documents, range(0, 4) t(pos)) where k <= 100")
+_WEIGHTS = "weights as (select image_id, count(*) filter (label > 0) as weight from labels_ref group by 1), centres as (select image_id, label, avg(y) as cy, avg(x) as cx, row_number() over (partition by image_id order by label) - 1 as nth, count(*) over (partition by image_id) as n from labels_ref where label > 0 group by image_id, label)"
+_DRAWN = """ranges as (select image_id, sum(weight) over (order by image_id) - weight as low, sum(weight) over (order by image_id) as high, sum(weight) over () as total from weights where weight > 0),
+    draws as (select draw, (('0x' || substr(sha256('7/' || draw || '/image'), 1, 13))::bigint + 0.5::double) / 4503599627370496 as u, (('0x' || substr(sha256('7/' || draw || '/object'), 1, 13))::bigint + 0.5::double) / 4503599627370496 as v, (('0x' || substr(sha256('7/' || draw || '/nth'), 1, 13))::bigint + 0.5::double) / 4503599627370496 as k,
+        (('0x' || substr(sha256('7/' || draw || '/y'), 1, 13))::bigint + 0.5::double) / 4503599627370496 as fy, (('0x' || substr(sha256('7/' || draw || '/x'), 1, 13))::bigint + 0.5::double) / 4503599627370496 as fx from (select unnest(range(0, (select count(*) * 50 from weights))) as draw)),
+    met as (select draw, r.image_id, label, cy, cx, fy, fx from draws join ranges r on u * total >= low and u * total < high left join centres c on c.image_id = r.image_id and v < 0.6 and nth = cast(floor(k * n) as bigint))"""
+
+
+@query("x07_patch_sampling", sql("labels_ref", then="").rstrip() + f", {_WEIGHTS}, {_DRAWN} select draw, image_id, cast(case when label is not null then least(greatest(floor(cy) - 6, 0), 13) else floor(fy * 14) end as bigint) as y, cast(case when label is not null then least(greatest(floor(cx) - 6, 0), 88) else floor(fx * 89) end as bigint) as x, label from met")
 def patch_sampling(spark, d):
-    draws = table(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")).alias("pos"))
-    key = F.sha2(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("pos").cast("string")), 256)
-    return draws.orderBy(key, "doc_id", "pos").limit(100)
+    g = views.labels_ref(spark, d)
+    images = g.groupBy("image_id").agg(F.count_if(F.col("label") > 0).alias("weight")).selectExpr("image_id", f"{views.HEIGHT} as height", f"{views.WIDTH} as width", "weight")
+    objects = g.where("label > 0").groupBy(*grids.OBJECT).agg(F.avg("y").alias("y"), F.avg("x").alias("x"))
+    return sampling.drawn_patches(images, objects, images.count() * 50, 12, 0.6, seed=7)
+
+
+@query("x07_patch_coverage", sql("px", then="select image_id, y, x from (select distinct image_id from px), (values (0), (12), (13)) t(y), (values (0), (12), (24), (36), (48), (60), (72), (84), (88)) s(x)"))
+def patch_coverage(spark, d):
+    images = views.px(spark, d).select("image_id").distinct().selectExpr("image_id", f"{views.HEIGHT} as height", f"{views.WIDTH} as width")
+    return sampling.coverage(images, 12)
+
+
+@query("x07_weighted_sample", "select doc_id, n_chars from documents where n_chars > 0 order by -ln((('0x' || substr(sha256('3/' || doc_id), 1, 13))::bigint + 0.5::double) / 4503599627370496) / n_chars, doc_id limit (select count(*) // 10 from documents)")
+def weighted_sample(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    return sampling.weighted_sample(docs, "doc_id", "n_chars", docs.count() // 10, seed=3)
 
 
 _DECLARED = """[{"step": "source", "channel": "v"}, {"step": "process", "filter": "subtract", "value": 5, "clip_negative": true}, {"step": "segment", "at_least": 20, "connect": 4},

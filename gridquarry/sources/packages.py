@@ -33,7 +33,7 @@ RECORDS = {"result_id": "string", "revision": "string", "label": "integer", "rec
 #: Rows of a file at most, so that its digest is taken in bounded memory.
 MOST_ROWS = 500_000
 
-_CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "emptyValue": "", "encoding": "UTF-8", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+_CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "encoding": "UTF-8", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -72,7 +72,8 @@ def write(tables: dict[str, DataFrame], records: DataFrame, path: str, purpose:
         if wrong := coded.where(F.size("rejects") > 0).select(F.explode("rejects").alias("c")).distinct().limit(5).collect():
             raise ValueError(f"{name} has values without a cell in " + ", ".join(sorted(w.c for w in wrong)))
         ordered = coded.drop("rejects").sort(*KEYS[name])
-        ordered.write.options(**_CSV).option("maxRecordsPerFile", MOST_ROWS).csv(f"{beside}/{name}")
+        # All cells are quoted, so that an empty one is no null.
+        ordered.write.options(**_CSV).option("quoteAll", True).option("maxRecordsPerFile", MOST_ROWS).csv(f"{beside}/{name}")
     lines = records.select(F.to_json(F.struct(*RECORDS)).alias("value"), *_OBJECT).sort(*_OBJECT)
     lines.select("value").write.option("maxRecordsPerFile", MOST_ROWS).text(f"{beside}/records")
     _files(spark, beside).write.parquet(f"{beside}/manifest/files")
@@ -141,12 +142,14 @@ def _same(a: str, b: str, keys: list[str]) -> Column:
     return out
 
 
-def audit(tables: dict[str, DataFrame], records: DataFrame, stated: DataFrame) -> DataFrame:
-    """check, faults: rows that break one of the package's relations."""
+def audit(tables: dict[str, DataFrame], records: DataFrame, stated: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """check, faults: rows that break one of the package's relations (of all,
+    or of those named)."""
     out: list[DataFrame] = []
 
     def fault(check: str, bad: DataFrame) -> None:
-        out.append(bad.agg(F.count("*").alias("faults")).select(F.lit(check).alias("check"), "faults"))
+        if only is None or check in only:
+            out.append(bad.agg(F.count("*").alias("faults")).select(F.lit(check).alias("check"), "faults"))
 
     for name, key in KEYS.items():
         lacking = F.lit(False)
