@@ -16,7 +16,7 @@ def _mark(edges: DataFrame) -> tuple:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node that each node of ``edges`` (src, dst)
-    reaches. Nodes without an edge to another node don't occur.
+    reaches. Nodes that reach no smaller one, roots among them, don't occur.
 
     Each round hangs every node's larger neighbours on its smallest one, then
     every node's smaller neighbours too, until all edges lead to a root. Only

@@ -1,21 +1,31 @@
 """One-to-one matching: most pairs first, then the least total cost.
 
-Candidate pairs are dealt by group (an image, a pair of frames); inside a
-group, pairs whose ends have no other candidate are taken as they are, and the
-rest is solved component by component.
+Pairs whose ends have no other candidate are taken as they are, by windows.
+The rest, the contested ones, are solved component by component, many
+components in one call: dealt by group (an image, a pair of frames), or by
+component where a group has very many.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .components import least_labels
+from gridquarry.sources.workspace import written
+
+from .components import connected_components, least_labels
 
-#: Rows times columns of one component's cost table, at most.
-MOST_CELLS = 25_000_000
+#: Rows times columns of a cost table; larger components are solved on lists.
+MOST_CELLS = 4_000_000
+#: Contested pairs of a group that one task holds; larger groups are dealt by component.
+TOGETHER = 200_000
 
 
 def assignment(cost: np.ndarray) -> np.ndarray:
@@ -50,6 +60,65 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def sparse_assignment(rows: np.ndarray, columns: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Indices of the pairs of a matching with most pairs and then the least
+    total cost, by shortest augmenting paths over the pairs there are: memory
+    in proportion to them. A row may stay alone at a cost above all others."""
+    n, m = int(rows.max()) + 1, int(columns.max()) + 1
+    alone = (n + 1) * (float(cost.max()) + 1.0)
+    order = np.argsort(rows, kind="stable")
+    begins = np.searchsorted(rows[order], np.arange(n + 1)).tolist()
+    pairs, ends, costs = order.tolist(), columns[order].tolist(), cost[order].astype(float).tolist()
+    u, v = [0.0] * n, [0.0] * m
+    held, owner = [-1] * n, [-1] * m  # a row's place in the lists, a column's row
+    for start in range(n):
+        near: dict[int, float] = {}
+        via: dict[int, tuple[int, int]] = {}
+        done: dict[int, None] = {}
+        heap: list[tuple[float, int]] = []
+        row, base, last_alone, left_alone, free = start, 0.0, np.inf, -1, -1
+        while True:
+            for k in range(begins[row], begins[row + 1]):
+                j = ends[k]
+                if j in done:  # settled; rounding must not open it again
+                    continue
+                d = base + costs[k] - u[row] - v[j]
+                if d < near.get(j, np.inf):
+                    near[j], via[j] = d, (row, k)
+                    heapq.heappush(heap, (d, j))
+            if base + alone - u[row] < last_alone:
+                last_alone, left_alone = base + alone - u[row], row
+            while heap and heap[0][0] > near[heap[0][1]]:
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= last_alone:
+                total = last_alone
+                break
+            base, j = heapq.heappop(heap)
+            if owner[j] < 0:
+                total, free = base, j
+                break
+            done[j] = None
+            near[j] = base
+            row = owner[j]
+        u[start] += total
+        for j in done:
+            u[owner[j]] += total - near[j]
+            v[j] -= total - near[j]
+        if free < 0:
+            if left_alone == start:
+                continue
+            free = ends[held[left_alone]]
+            held[left_alone] = -1
+        while True:
+            row, k = via[free]
+            before = held[row]
+            held[row], owner[free] = k, row
+            if row == start:
+                break
+            free = ends[before]
+    return np.array(sorted(pairs[k] for k in held if k >= 0), dtype=np.int64)
+
+
 def matched(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Which of the pairs a - b (costs from 0) make the matching with most
     pairs and, among those, the least total cost."""
@@ -70,7 +139,8 @@ def matched(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> np.ndarray:
         if len(rows) > len(columns):
             rows, r, columns, c = columns, c, rows, r
         if len(rows) * len(columns) > MOST_CELLS:
-            raise ValueError("the candidates of one group are too many to be matched: lower the limit")
+            keep[pairs[sparse_assignment(r, c, cost[pairs])]] = True
+            continue
         table = np.full((len(rows), len(columns)), (len(rows) + 1) * (float(cost[pairs].max()) + 1.0))
         which = np.full(table.shape, -1)
         which[r, c] = pairs
@@ -80,19 +150,54 @@ def matched(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> np.ndarray:
     return keep
 
 
-def best_matching(pairs: DataFrame, group: list[str], first: str, second: str, cost: str) -> DataFrame:
-    """The rows of ``pairs`` (one a pair of ``first`` and ``second``) that make
-    the matching with most pairs and then the least total ``cost`` in each
-    group. A group's candidates are what a task holds. Equal totals are decided
-    by the order of the ends."""
-    rows = pairs.withColumn("_cost", F.col(cost).cast("double"))
+def _solved(pairs: DataFrame, deal: list[str], group: list[str], first: str, second: str) -> DataFrame:
+    """The matching of contested pairs, many groups a call. ``deal``: columns
+    that hold whole components together."""
+    names = [f.name for f in pairs.schema.fields]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([first, second], ignore_index=True)
-        return pdf[matched(pdf[first].to_numpy(), pdf[second].to_numpy(), pdf["_cost"].to_numpy())].drop(columns="_cost")
+    def solve(pdf: pd.DataFrame) -> np.ndarray:
+        ends = [pdf.groupby([*group, end], sort=False, dropna=False).ngroup().to_numpy() for end in (first, second)]
+        return matched(*ends, pdf["_cost"].to_numpy())
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return rows.groupBy(*group).applyInPandas(run, kinds)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            here = pa.Table.from_batches([batch])
+            rest = here if rest is None else pa.concat_tables([rest, here])
+            codes = rest.select(deal).to_pandas().groupby(deal, sort=False, dropna=False).ngroup().to_numpy()
+            whole = int(np.searchsorted(codes, codes[-1]))  # the last group may go on
+            if whole:
+                part = rest.slice(0, whole).combine_chunks()
+                yield from part.filter(pa.array(solve(part.to_pandas()))).to_batches()
+                rest = rest.slice(whole)
+        if rest is not None and len(rest):
+            rest = rest.combine_chunks()
+            yield from rest.filter(pa.array(solve(rest.to_pandas()))).to_batches()
+
+    dealt = pairs.repartition(*deal).sortWithinPartitions(*deal, *(c for c in [*group, first, second] if c not in deal))
+    return dealt.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)).select(*names)
+
+
+def best_matching(pairs: DataFrame, group: list[str], first: str, second: str, cost: str, together: int = TOGETHER) -> DataFrame:
+    """The rows of ``pairs`` (one a pair of ``first`` and ``second``) that make
+    the matching with most pairs and then the least total ``cost`` in each
+    group. Equal totals are decided by the order of the ends. A task holds the
+    contested pairs of some groups, or, where a group has more than
+    ``together``, of some components of the graph that the pairs make."""
+    alone = lambda end: F.count("*").over(W.partitionBy(*group, end)) == 1
+    rows = pairs.withColumn("_cost", F.col(cost).cast("double")).withColumn("_lone", alone(first) & alone(second))
+    rows = written(rows)
+    contested = rows.where("not _lone").drop("_lone")
+    largest = contested.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if largest <= together:
+        solved = _solved(contested, group, group, first, second)
+    else:
+        node = lambda side, end: F.struct(*group, F.lit(side).alias("_side"), F.col(end).alias("_end"))
+        roots = connected_components(contested.select(node(0, first).alias("src"), node(1, second).alias("dst")))
+        # Roots themselves aren't among the nodes.
+        placed = contested.join(roots.withColumnRenamed("root", "_root"), node(0, first) == F.col("node"), "left").withColumn("_root", F.coalesce("_root", node(0, first))).drop("node")
+        solved = _solved(placed.withColumn("_root", F.to_json("_root")), ["_root"], group, first, second).drop("_root")
+    return rows.where("_lone").drop("_lone", "_cost").unionByName(solved.drop("_cost"))
 
 
 def sequential_matching(pairs: DataFrame, sequence: str, gap: int) -> DataFrame:
@@ -100,7 +205,8 @@ def sequential_matching(pairs: DataFrame, sequence: str, gap: int) -> DataFrame:
     frame after it, then those left with the next one, up to ``gap`` frames
     further, each time with the targets that are still free. ``pairs``:
     sequence, frame, step, src, dst, distance. Frames depend on those before,
-    so a sequence's candidates are what a task holds."""
+    so with a gap a sequence's candidates
+    are what a task holds; without one, frames are matched each by itself."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         used_a: set = set()
@@ -114,5 +220,7 @@ def sequential_matching(pairs: DataFrame, sequence: str, gap: int) -> DataFrame:
             kept.append(part)
         return pd.concat(kept)
 
+    if not gap:
+        return best_matching(pairs, [sequence, "frame"], "src", "dst", "distance")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return (pairs.groupBy(sequence) if gap else pairs.groupBy(sequence, "frame")).applyInPandas(run, kinds)
+    return pairs.groupBy(sequence).applyInPandas(run, kinds)

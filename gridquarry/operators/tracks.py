@@ -231,23 +231,25 @@ def suppress(points: DataFrame, most: float) -> DataFrame:
 
 
 def edited(edges: DataFrame, ledger: DataFrame) -> DataFrame:
-    """src, dst, origin (automatic or manual) after a ledger (seq, op, src,
-    dst) of edits: add and remove change an edge, undo takes the last edit
-    back, redo does it again until there is a new edit.
+    """graph, src, dst, origin (automatic or manual) of the edges (graph, src,
+    dst) after a ledger (graph, seq, op, src, dst) of edits: add and remove
+    change an edge, undo takes the graph's last edit back, redo does it again
+    until there is a new edit.
 
-    A ledger is one person's work on one graph, in order: it is the only thing
-    that a single task goes through."""
-    places = with_index(ledger.where(F.col("op").isin("add", "remove", "undo", "redo")), "seq", name="_i")
-    by_hand = placed_edits(places)
-    last = by_hand.groupBy("src", "dst").agg(F.max_by("op", "_i").alias("op"))
-    kept = edges.select("src", "dst").join(last, ["src", "dst"], "left_anti").withColumn("origin", F.lit("automatic"))
-    return kept.union(last.where("op = 'add'").select("src", "dst", F.lit("manual")))
+    Each graph has a stack of its own; graphs are gone through side by side,
+    one graph's edits (a person's work on it) in a task."""
+    by_hand = placed_edits(ledger.where(F.col("op").isin("add", "remove", "undo", "redo")))
+    last = by_hand.groupBy("graph", "src", "dst").agg(F.max_by("op", "seq").alias("op"))
+    kept = edges.select("graph", "src", "dst").join(last, ["graph", "src", "dst"], "left_anti").withColumn("origin", F.lit("automatic"))
+    return kept.union(last.where("op = 'add'").select("graph", "src", "dst", F.lit("manual")))
 
 
-def placed_edits(places: DataFrame) -> DataFrame:
-    """The edits (_i, op, src, dst) of a ledger that stand at its end."""
+def placed_edits(ledger: DataFrame) -> DataFrame:
+    """The edits (graph, seq, op, src, dst) of each graph that stand at the
+    ledger's end."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq", ignore_index=True)
         done: list[int] = []
         undone: list[int] = []
         for k, op in enumerate(pdf["op"]):
@@ -260,6 +262,7 @@ def placed_edits(places: DataFrame) -> DataFrame:
             else:
                 done.append(k)
                 undone.clear()
-        return pdf.iloc[sorted(done)][["_i", "op", "src", "dst"]]
+        return pdf.iloc[sorted(done)]
 
-    return places.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: run(pdf.sort_values("_i", ignore_index=True)), "_i bigint, op string, src bigint, dst bigint")
+    own = ledger.select("graph", "seq", "op", "src", "dst")
+    return own.groupBy("graph").applyInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields))

@@ -286,8 +286,8 @@ def ring_enrichment(spark, d):
     return own.join(ring, grids.OBJECT).groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.median(F.try_divide("mean", "around")), 5).alias("median"))
 
 
-#: Seven results of three sources; one source has no replicate. Objects above a price are exported.
-_EXPORTED = "o as (select *, result_id % 3 as source, label % 50 <> 0 and measure > 920 as picked from objects where label > 0)"
+#: Seven results of three sources; one source has no replicate. Two of three objects are exported.
+_EXPORTED = "o as (select *, result_id % 3 as source, label % 50 <> 0 and label % 3 > 0 as picked from objects where label > 0)"
 
 
 def _export(spark, d):
@@ -295,7 +295,7 @@ def _export(spark, d):
         "concat('r', result_id) as result_id", "'1' as revision", "concat('s', result_id % 3) as source_id", "label", "measure", "'eur' as unit", "label % 2 = 0 as touches_border", "'reviewed' as review", "'Study' as study",
         "concat('sample ', result_id % 3) as sample", "'-treated' as condition", "if(result_id % 3 = 2, null, concat('rep', result_id % 3)) as biological_replicate", "measure as price", "size", "brand",
     )
-    tables, records = packages.from_objects(o, {"price": "float", "size": "integer"}, F.expr("label % 50 <> 0 and measure > 920"), "brand")
+    tables, records = packages.from_objects(o, {"price": "float", "size": "integer"}, F.expr("label % 50 <> 0 and label % 3 > 0"), "brand")
     return packages.write(tables, records, f"{shared_dir(spark)}/package-{uuid.uuid4().hex}", "reviewed")
 
 
@@ -315,9 +315,9 @@ def normalized_export(spark, d):
 
 
 _RELATIONS = sql("objects", then="").rstrip() + f""", {_EXPORTED}, g as (select result_id, brand, count(*) filter (picked) as members from o group by all), n as (select count(*) filter (picked and label % 40 = 1) as old, count(*) filter (picked and label % 60 = 2 and size is not null) as unvalued, count(*) filter (picked and label % 70 = 3) as lost, count(distinct result_id) as results from o)
-    select 'exported of groups' as "check", count(*) as faults from g where brand = 'Brand#11' union all select 'total of groups', count(*) from g where brand = 'Brand#12' union all select 'source of groups', count(*) from g where brand = 'Brand#13'
+    select * from (select 'exported of groups' as "check", count(*) as faults from g where brand = 'Brand#11' union all select 'total of groups', count(*) from g where brand = 'Brand#12' union all select 'source of groups', count(*) from g where brand = 'Brand#13'
     union all select 'included of groups', count(*) from g where brand = 'Brand#14' and members > 0 union all select 'revision of memberships', old from n union all select 'memberships without objects', old from n union all select 'status of measurements', unvalued from n
-    union all select 'records of objects', lost from n union all select 'source of samples', 1 union all select 'review of results', results from n union all select 'sums of the manifest', 1 union all select 'key of samples', 1"""
+    union all select 'records of objects', lost from n union all select 'source of samples', 1 union all select 'review of results', results from n union all select 'sums of the manifest', 1 union all select 'key of samples', 1) where faults > 0"""
 
 
 @query("s21_package_relations_check", _RELATIONS)

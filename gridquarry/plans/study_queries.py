@@ -404,12 +404,21 @@ def polyline_metrics(spark, d):
     return gates.polyline_lengths(_paths(spark, d), "user_id", _BY_TIME)
 
 
-@query("j14_gated_tracking")
+#: All matchings of each pair of frames, one link after the other; the one with most links, then the least total, is taken.
+_LINKED = """p as (select a.seq, a.frame, a.label as src, b.label as dst, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as distance from det a join det b on a.seq = b.seq and b.frame = a.frame + 1 and sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 25),
+    k as (select *, row_number() over (partition by seq, frame order by src, dst) as nth from p),
+    m(seq, frame, nth, srcs, dsts, n, cost) as (select distinct seq, frame, 0::bigint, []::bigint[], []::bigint[], 0, 0::double from p union all select k.seq, k.frame, k.nth, list_append(srcs, src), list_append(dsts, dst), n + 1, cost + distance from m join k on k.seq = m.seq and k.frame = m.frame and k.nth > m.nth where not list_contains(srcs, src) and not list_contains(dsts, dst)),
+    best as (select * from m qualify row_number() over (partition by seq, frame order by n desc, cost) = 1), linked as (select seq, frame, unnest(srcs) as src, unnest(dsts) as dst from best), own as (select * from linked join p using (seq, frame, src, dst))"""
+_TRACKED = sql("det", then="").replace("with ", "with recursive ", 1).rstrip() + ", " + _LINKED
+
+
+@query("j14_gated_tracking", _TRACKED + " select seq, frame, src, dst, 1 as step, round(distance, 6) as distance from own")
 def gated_tracking(spark, d):
     return tracks.links(tracks.candidates(views.det(spark, d), 25.0)).withColumn("distance", F.round("distance", 6))
 
 
-@query("j15_tracking_ambiguity")
+@query("j15_tracking_ambiguity", _TRACKED + """, told as (select seq, src, dst, (select count(*) from p where p.seq = own.seq and p.frame = own.frame and p.src = own.src and p.dst <> own.dst and p.distance <= own.distance + 5) as by_source, (select count(*) from p where p.seq = own.seq and p.frame = own.frame and p.dst = own.dst and p.src <> own.src and p.distance <= own.distance + 5) as by_target from own)
+    select *, by_source > 0 or by_target > 0 as ambiguous, by_source > 0 as split, by_target > 0 as "merge" from told""")
 def tracking_ambiguity(spark, d):
     c = written(tracks.candidates(views.det(spark, d), 25.0))
     return tracks.ambiguity(c, tracks.links(c), 5.0)
@@ -487,16 +496,16 @@ def distance_nms(spark, d):
     return tracks.suppress(p, 4.0)
 
 
-@query("u05_track_edge_edits", """with edits as (select event_id * 4 as seq, case when event_id % 5 = 2 then 'remove' else 'add' end as op, event_id as src, event_id + case when event_id % 5 = 2 then 1 else 2 end as dst, event_id % 20 = 2 and event_id % 40 <> 2 as undone from events where event_id % 5 = 2 or event_id % 100 = 1),
-    last as (select src, dst, arg_max(op, seq) as op from edits where not undone group by all)
-    select src, dst, 'automatic' as origin from (select event_id as src, event_id + 1 as dst from events) where (src, dst) not in (select src, dst from last) union all select src, dst, 'manual' from last where op = 'add'""")
+@query("u05_track_edge_edits", """with edits as (select event_id // 500 as graph, event_id * 4 as seq, case when event_id % 5 = 2 then 'remove' else 'add' end as op, event_id as src, event_id + case when event_id % 5 = 2 then 1 else 2 end as dst, event_id % 20 = 2 and event_id % 40 <> 2 as undone from events where event_id % 5 = 2 or event_id % 100 = 1),
+    last as (select graph, src, dst, arg_max(op, seq) as op from edits where not undone group by all)
+    select graph, src, dst, 'automatic' as origin from (select event_id // 500 as graph, event_id as src, event_id + 1 as dst from events) where (graph, src, dst) not in (select graph, src, dst from last) union all select graph, src, dst, 'manual' from last where op = 'add'""")
 def track_edge_edits(spark, d):
-    e = table(spark, d, "events")
-    base = e.selectExpr("event_id as src", "event_id + 1 as dst")
-    edits = e.where("event_id % 5 = 2 or event_id % 100 = 1").selectExpr("event_id * 4 as seq", "if(event_id % 5 = 2, 'remove', 'add') as op", "event_id as src", "event_id + if(event_id % 5 = 2, 1, 2) as dst")
+    e = table(spark, d, "events").withColumn("graph", F.expr("event_id div 500"))
+    base = e.selectExpr("graph", "event_id as src", "event_id + 1 as dst")
+    edits = e.where("event_id % 5 = 2 or event_id % 100 = 1").selectExpr("graph", "event_id * 4 as seq", "if(event_id % 5 = 2, 'remove', 'add') as op", "event_id as src", "event_id + if(event_id % 5 = 2, 1, 2) as dst")
     # Every fourth removal is undone, and of these every second is done again.
-    undo = edits.where("src % 20 = 2").selectExpr("seq + 1 as seq", "'undo' as op", "null as src", "null as dst")
-    redo = edits.where("src % 40 = 2").selectExpr("seq + 2 as seq", "'redo' as op", "null as src", "null as dst")
+    undo = edits.where("src % 20 = 2").selectExpr("graph", "seq + 1 as seq", "'undo' as op", "null as src", "null as dst")
+    redo = edits.where("src % 40 = 2").selectExpr("graph", "seq + 2 as seq", "'redo' as op", "null as src", "null as dst")
     return tracks.edited(base, edits.union(undo).union(redo))
 
 

@@ -300,11 +300,13 @@ def test_declared_pipelines_are_validated():
 
 
 def test_edits_are_undone_and_done_again(spark):
-    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "src long, dst long")
+    edges = spark.createDataFrame([("g", 1, 2), ("g", 2, 3), ("g", 3, 4), ("h", 1, 2)], "graph string, src long, dst long")
     entries = [("remove", 1, 2), ("remove", 2, 3), ("undo", None, None), ("undo", None, None), ("redo", None, None), ("add", 7, 8), ("redo", None, None), ("add", 5, 6), ("undo", None, None), ("undo", None, None), ("undo", None, None), ("undo", None, None), ("redo", None, None), ("redo", None, None)]
-    ledger = spark.createDataFrame([(i, *e) for i, e in enumerate(entries)], "seq long, op string, src long, dst long")
-    found = {(r.src, r.dst, r.origin) for r in tracks.edited(edges, ledger).collect()}
-    assert found == {(2, 3, "automatic"), (3, 4, "automatic"), (7, 8, "manual")}
+    # Another graph's undo, in between, takes back nothing of the first one.
+    other = [("h", 2.5, "undo", None, None), ("h", 3.5, "add", 8, 9)]
+    ledger = spark.createDataFrame([("g", float(i), *e) for i, e in enumerate(entries)] + other, "graph string, seq double, op string, src long, dst long")
+    found = {(r.graph, r.src, r.dst, r.origin) for r in tracks.edited(edges, ledger).collect()}
+    assert found == {("g", 2, 3, "automatic"), ("g", 3, 4, "automatic"), ("g", 7, 8, "manual"), ("h", 1, 2, "automatic"), ("h", 8, 9, "manual")}
 
 
 def test_sheets_are_applied_whole_or_not_at_all(spark):
