@@ -39,7 +39,10 @@ FILTER_BITS = 1 << 26
 SCALE = 2_000_000
 #: A score above all.
 _TOP = SCALE + 1
-_SLICE = 6 << 20
+#: Bytes of text that are counted at once, one text at least.
+_SLICE = 3 << 20
+#: Groups that phrases are ranked in before the best of all groups are.
+_GROUPS = 64
 
 # What ends a piece, and what parts its words.
 _ENDS = np.zeros(256, dtype=bool)
@@ -184,9 +187,18 @@ def _with(df: DataFrame, counts: DataFrame, at: list[str], name: str, how: str =
     return df.join(side, on, how).drop(*(f"_{i}" for i in range(len(own))))
 
 
+def _best(df: DataFrame, places: int, order: list[Column], key: str) -> DataFrame:
+    """The first ``places`` rows of each language with their rank; those of
+    each group (by ``key``) are found first, so that no task sorts all rows of
+    a language."""
+    group = F.pmod(F.xxhash64(key), F.lit(_GROUPS))
+    near = df.withColumn("_n", F.row_number().over(W.partitionBy("lang", group).orderBy(*order))).where(F.col("_n") <= places).drop("_n")
+    return near.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= places)
+
+
 def _level_at(phrases: DataFrame, places: int) -> DataFrame:
     """lang and level: the ``places``-th best score, 0 if there are fewer."""
-    top = phrases.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score")))).where(F.col("_n") <= places)
+    top = _best(phrases, places, [F.desc("score")], "w1")
     return top.groupBy("lang").agg(F.when(F.count("*") == places, F.min("score")).otherwise(0).cast("bigint").alias("level"))
 
 
@@ -246,7 +258,7 @@ def collocations(documents: DataFrame, *, text: str = "text", lang: str = "lang"
         kept = _survivors(two, three, overlap_percent, 2).unionByName(_survivors(scored, four, overlap_percent, 3)).unionByName(_survivors(longest.where("whole"), None, overlap_percent, 4))
         kept = written(kept.join(F.broadcast(levels.select("lang", "level")), "lang").where("score >= level"))
         places *= 4
-        deeper = _level_at(two.select("lang", "score").union(scored.select("lang", "score")).union(longest.where("whole").select("lang", "score")), places).withColumnRenamed("level", "deeper")
+        deeper = _level_at(two.select("lang", "w1", "score").union(scored.select("lang", "w1", "score")).union(longest.where("whole").select("lang", "w1", "score")), places).withColumnRenamed("level", "deeper")
         settled = levels.join(kept.groupBy("lang").agg(F.count("*").alias("kept")), "lang", "left").join(deeper, "lang")
         done = (F.coalesce("kept", F.lit(0)) >= top) | (F.col("level") == 0)
         if not settled.where(~done).limit(1).count():
@@ -256,8 +268,7 @@ def collocations(documents: DataFrame, *, text: str = "text", lang: str = "lang"
     for i in range(1, 5):
         named = named.join(words.select(F.col("w1").alias(f"w{i}"), F.col("word").alias(f"_{i}")), f"w{i}", "left")
     named = named.withColumn("phrase", F.concat_ws(" ", "_1", "_2", "_3", "_4"))
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    ranked = _best(named, top, [F.desc("score"), F.desc("a"), F.col("phrase")], "phrase")
     return ranked.join(F.broadcast(totals), "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "best.l", "best.r", "n", "score")
 
 
