@@ -5,8 +5,12 @@ fewer the further up (all of them to an article or main element around it);
 a container's points are discounted by the share of its text that stands in
 links, and by names that tell of something beside the article. The container
 with the most points is kept, with the siblings that belong to it, and its
-blocks make the text. Inside it, parts with such names are left out: those
-with no other name at all, and those whose text doesn't read like prose.
+blocks make the text. Inside it, parts that are named as comments, adverts,
+notices, menus, sidebars, headers, footers or forms and nothing else are left
+out; other names only where the text doesn't read like prose.
+
+A form isn't part of the text, unless the page stands in it: then it is a
+container like others.
 """
 
 from __future__ import annotations
@@ -25,17 +29,26 @@ RAW = frozenset("script style noscript template textarea select option title can
 INLINE = frozenset("svg g text tspan math mrow mi mo mn ms mtext msup msub msubsup mfrac msqrt mroot mover munder semantics a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 PARAGRAPHS = frozenset("p pre blockquote li dd dt td th h1 h2 h3 h4 h5 h6 figcaption caption summary".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-OUTSIDE = frozenset("head nav footer aside form button fieldset menu dialog".split())
+OUTSIDE = frozenset("head nav footer aside button fieldset menu dialog".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar status".split())
 OUTSIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promoted banner banners nav navbar navigation menu menus menubar breadcrumb breadcrumbs masthead footer sidebar sidebars aside widget widgets notice notices cookie cookies consent gdpr alert alerts popup popups modal overlay newsletter subscribe subscription signup login register form search comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations pagination pager toolbar disclaimer skip".split()
 )
+#: Those of them that name what never is the article, whatever it reads like.
+NEVER_NAMES = OUTSIDE_NAMES - frozenset("search share sharing social related recommended recommendations subscribe subscription respond reply widget widgets promotion skip register alert alerts disclaimer".split())
+#: Names that also count inside a line.
+ADVERT_NAMES = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense sponsored".split())
+#: Void elements that end a line; the others stand inside words.
+BREAKS = frozenset("br hr".split())
 #: Words that say nothing of their own beside one of those names, and words
 #: that turn a name into something about the layout of another part.
-NEUTRAL_NAMES = frozenset("area bar block blog body bottom box btn button card col column container content div entry field fixed float global group head header holder icon id in inline inner is item items js large left link links list main mini module my news outer page pane panel post primary reader readers right row secondary section site small sticky strip text thread tile title top unit user users wide wrap wrapper zone article".split())
+NEUTRAL_NAMES = frozenset("area bar block blog body bottom box btn button card col column container content div entry field fixed float global group head header holder icon id in inline inner is item items js large left link links list main mini module my news outer page pane panel post primary reader readers right row secondary section site small posts articles stories sticky strip text thread tile title top unit user users wide wrap wrapper zone article".split())
 MODIFIERS = frozenset("no not non has have with without".split())
 #: What is left of an element's points by its name: no other name, some other.
 NAMED, PARTLY_NAMED = 0.1, 0.5
+#: Characters from which on a block counts as prose, for what a form holds,
+#: and for a part named as something that may be the article's too.
+PROSE_CHARS, PROSE_PART = 80, 200
 CLOSES = {
     "li": frozenset(["li"]),
     "dt": frozenset(["dt", "dd"]),
@@ -48,37 +61,47 @@ CLOSES = {
 #: An element that an implied end doesn't reach beyond.
 SCOPES = frozenset("html body div section article main table ul ol dl nav header footer aside form td th blockquote".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: A value without quotes ends at white space or at the end of the tag.
+_ONE = r"%s(?:\s*+=\s*+(?:\"%s\"|'%s'|%s))?"
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|" + _ONE % (r"[^\s/>][^\s/>=]*+", r"[^\"]*+", r"[^']*+", r"[^\s>]*+") + r")*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(_ONE % (r"([^\s/>][^\s/>=]*+)", r"([^\"]*+)", r"([^']*+)", r"([^\s>]*+)"))
+#: A slash that belongs to such a value doesn't close the element.
+_SLASH_OF_VALUE = re.compile(r"=\s*[^\s>\"']+/\s*\Z")
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
 class Node:
     """An element, with the texts and elements inside it in page order.
 
-    ``named``: 2 if its class or id names something beside the article, 1 if
-    in part; ``factor``: what is left of points inside it."""
+    ``named``: 3 if its class or id names what never is the article, 2 if it
+    names something else beside it, 1 if in part; ``factor``: what is left of
+    points inside it; ``prose``: unlinked characters of its longer blocks."""
 
-    __slots__ = ("chars", "factor", "inside", "kids", "linked", "links", "named", "outside", "points", "tag", "total", "up")
+    __slots__ = ("chars", "factor", "inside", "kids", "linked", "links", "named", "outside", "points", "prose", "tag", "total", "up")
 
     def __init__(self, tag: str, up: Node | None, outside: bool = False, named: int = 0):
         self.tag, self.up, self.outside, self.named = tag, up, outside, named
         self.kids: list[Node | str] = []
         self.inside = bool(up and (up.inside or up.tag in ("article", "main")))
-        self.factor = (up.factor if up else 1.0) * (1.0, PARTLY_NAMED, NAMED)[named]
-        self.points = self.total = self.chars = self.linked = 0.0
+        self.factor = (up.factor if up else 1.0) * (1.0, PARTLY_NAMED, NAMED, NAMED)[named]
+        self.cleared()
+
+    def cleared(self) -> None:
+        self.points = self.total = self.chars = self.linked = self.prose = 0.0
         self.links = 0
 
 
 def _named(names: str, header: bool) -> int:
     """Whether a class or id is one of a part beside the article: 2 if all its
-    words are such names or neutral, 1 if some are names."""
+    words are such names or neutral (3 if one is never the article's), 1 if
+    some are names."""
     most = 0
     for name in names.split():
         parts = {x.lower() for x in _NAME_PART.findall(name)}
         own = parts & OUTSIDE_NAMES | ({"header"} & parts if header else set())
         if own and not parts & MODIFIERS:
-            most = max(most, 2 if all(x in own or x in NEUTRAL_NAMES or x.isdigit() for x in parts) else 1)
+            whole = all(x in own or x in NEUTRAL_NAMES or x.isdigit() for x in parts)
+            most = max(most, (3 if own & NEVER_NAMES or "header" in own else 2) if whole else 1)
     return most
 
 
@@ -91,9 +114,17 @@ def _judged(tag: str, attributes: str, up: Node) -> tuple[bool, int]:
         return outside, 0
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     outside = outside or "hidden" in found or found.get("role", "").lower() in OUTSIDE_ROLES or bool(re.search(r"display\s*:\s*none", found.get("style", "")))
-    if tag in INLINE or tag in HEADINGS or tag in ("html", "body", "main", "article"):
+    if tag in HEADINGS or tag in ("html", "body", "main", "article"):
         return outside, 0
-    return outside, _named(f"{found.get('class', '')} {found.get('id', '')}", not inside)
+    names = f"{found.get('class', '')} {found.get('id', '')}"
+    if tag in INLINE:
+        return outside, 3 if ADVERT_NAMES & set(names.lower().split()) else 0
+    return outside, _named(names, not inside)
+
+
+def _closed(attributes: str) -> bool:
+    """Whether a start tag is its element's end too."""
+    return attributes.rstrip().endswith("/") and not _SLASH_OF_VALUE.search(attributes)
 
 
 def parse(page: str) -> Node:
@@ -117,7 +148,7 @@ def parse(page: str) -> Node:
         if m.start() > at:
             here.kids.append(page[at : m.start()])
         at = m.end()
-        if not m[2]:
+        if not m[2] or page[at - 1] != ">":  # no tag, or one cut short by the page's end
             continue
         tag = m[2].lower()
         if m[1]:
@@ -130,7 +161,7 @@ def parse(page: str) -> Node:
                 here.kids.append(Node("br", here))
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
+            if not _closed(m[3]):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else n
             continue
@@ -149,7 +180,7 @@ def parse(page: str) -> Node:
                 here = up_from(here)
         node = Node(tag, here, *(_judged(tag, m[3], here) if tag not in VOID and (tag not in INLINE or m[3]) else ()))
         here.kids.append(node)
-        if tag not in VOID and not m[3].rstrip().endswith("/"):
+        if tag not in VOID and not _closed(m[3]):
             here = node
             held[tag] += 1
     if at < n:
@@ -174,6 +205,7 @@ def score(root: Node) -> None:
     """Points, characters, links and linked characters of every node."""
     for node, after in _walk(root):
         if not after:
+            node.cleared()
             continue
         text = [k for k in node.kids if isinstance(k, str)]
         node.chars += sum(len(t.strip()) for t in text)
@@ -192,6 +224,8 @@ def score(root: Node) -> None:
         commas = sum(t.count(",") for t in text)
         points = (1 + commas + min(own / 100, 3)) * (1 - node.linked / max(node.chars, 1)) * node.factor
         node.total += points
+        if own >= PROSE_CHARS and node.named < 2:
+            node.prose += own * (1 - node.linked / max(node.chars, 1))
         target, level = (up if node.tag in PARAGRAPHS and up else node), 1
         while target is not None and level < 6:
             target.points += points / level
@@ -201,6 +235,7 @@ def score(root: Node) -> None:
             continue
         if node.up:
             node.up.total += node.total
+            node.up.prose += node.prose
         if node.tag in ("article", "main"):  # all points, however deep they are
             node.points = node.total * (1.25 if node.tag == "article" else 1.0)
         node.points *= 1 - node.linked / max(node.chars, 1)
@@ -209,9 +244,11 @@ def score(root: Node) -> None:
 def _beside(node: Node) -> bool:
     """Whether a part of the best container doesn't belong to the text: it has
     the name of something else and doesn't read like prose, or is a menu."""
-    if node.outside or node.named == 2:
+    if node.outside or node.named == 3:
         return True
     density = node.linked / max(node.chars, 1)
+    if node.named == 2:
+        return density > 0.1 or node.chars < PROSE_PART
     if node.named:
         return density > 0.3 or node.chars < 60
     return node.tag not in INLINE and node.tag not in PARAGRAPHS and node.links > 2 and density > 0.8 and node.linked / node.links < 30
@@ -220,6 +257,11 @@ def _beside(node: Node) -> bool:
 def chosen(root: Node) -> list[Node]:
     """The container with the most points, and the siblings that belong to it."""
     score(root)
+    forms = [node for node, after in _walk(root) if not after and node.tag == "form"]
+    if forms:
+        for form in forms:
+            form.outside = not form.prose or 2 * form.prose < root.prose
+        score(root)
     best = root
     for node, after in _walk(root):
         if not after and node.tag not in INLINE and node.points > best.points:
@@ -248,14 +290,14 @@ def blocks(nodes: list[Node]) -> Iterator[str]:
         stack: list[Node | str | None] = [top]
         while stack:
             x = stack.pop()
-            if x is None or isinstance(x, Node) and (x.tag not in INLINE):
+            if x is None or isinstance(x, Node) and x.tag not in INLINE and (x.tag not in VOID or x.tag in BREAKS):
                 if run:
                     yield "".join(run)
                     run = []
             if isinstance(x, str):
                 run.append(x)
             elif isinstance(x, Node) and (x is top or not _beside(x)):
-                if x.tag not in INLINE:
+                if x.tag not in INLINE and x.tag not in VOID:
                     stack.append(None)
                 stack.extend(reversed(x.kids))
         if run:
