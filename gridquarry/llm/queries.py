@@ -109,9 +109,11 @@ def queries() -> dict:
 
 
 def _license_sql() -> str:
-    from .license_scan import KEYS, PHRASES, TEMPLATES, THRESHOLD, WORD, templates_of
+    from .license_notices import notices
+    from .license_scan import PHRASES, WORD, templates_of
 
-    sets = ", ".join(f"('{t.label}', {t.words!r}, {t.step}, {t.must!r}, {t.never!r}::varchar[])" for t in templates_of(TEMPLATES, KEYS))
+    templates = templates_of(notices())
+    sets = ", ".join(f"({t.number}, '{t.label}', {t.words!r}, {t.need}, {t.length}, {t.width})" for t in templates)
     phrases = ", ".join(f"('{label}', {phrase.split(' ')!r})" for phrase, label in PHRASES.items())
     return rf"""
     with texts as (
@@ -119,22 +121,41 @@ def _license_sql() -> str:
                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as w
         from documents),
     phrases(label, p) as (values {phrases}),
-    templates(label, t, step, must, never) as (values {sets}),
+    templates(number, label, t, need, length, width) as (values {sets}),
     places as (
         select r, label, unnest(list_filter(range(0, len(w) - len(p) + 1), lambda i: w[i + 1 : i + len(p)] = p)) as place
         from texts, phrases),
     base as (
         select r, count(*) as n_base, min(place) as first_word, max(place) as last_word, list_sort(list_distinct(list(label))) as found
         from places group by r),
+    words as (select r, unnest(w) as word, unnest(range(0, len(w))) as place from texts),
+    tokens as (select number, width, need, unnest(t) as word from templates),
+    held as (
+        select r, number from (select distinct r, word from words) join tokens using (word)
+        group by r, number, need having count(*) >= need),
+    hits as (select r, number, width, word, place, place // width as part from held join tokens using (number) join words using (r, word)),
+    starts as (select r, number, width, place as first_place, unnest([part, part + 1]) as part from hits),
     blocks as (
-        select r, label, t, must, never, w[b * step + 1 : b * step + 2 * step] as held
-        from (select r, w, label, t, step, must, never, unnest(range(0, cast(ceil(greatest(len(w) - 2 * step, 0) / step) as bigint) + 1)) as b
-              from texts, templates where list_has_all(w, must) and len(list_intersect(t, w)) * 10 >= {THRESHOLD} * len(t))),
-    shares as (
-        select r, label, len(list_intersect(t, held)) / len(t) as share,
-               len(list_intersect(t, held)) * 10 >= {THRESHOLD} * len(t) and list_has_all(held, must) and not list_has_any(held, never) as enough
-        from blocks),
-    more as (select r, max(share) as share, list(distinct label) as labels from shares where enough group by r)
+        select s.r, s.number, first_place, word, place, place - first_place + 1 as span,
+               row_number() over (partition by s.r, s.number, first_place order by place) as met,
+               row_number() over (partition by s.r, s.number, first_place, word order by place) as nth
+        from starts s join hits h on s.r = h.r and s.number = h.number and s.part = h.part
+         and h.place between first_place and first_place + s.width - 1),
+    ends as (select *, row_number() over (partition by r, number, first_place order by place) as k from blocks where nth = 1),
+    weighed as (select e.*, label, width, need, len(t) as n, k - greatest(span - met, span - length) as weight from ends e join templates using (number)),
+    matches as (
+        select r, number, width, label, first_place, place as last_place, k as shared, n, span, weight
+        from weighed where k >= need
+        qualify row_number() over (partition by r, number, first_place order by weight desc, place) = 1),
+    best as (
+        select r, label, shared / n as share from matches m
+        where not exists (
+            select 1 from matches o
+            where o.r = m.r and (
+                (o.number = m.number and abs(o.first_place - m.first_place) < m.width and o.weight > m.weight)
+                or (o.number <> m.number and 4 * (least(m.last_place, o.last_place) - greatest(m.first_place, o.first_place) + 1) >= 3 * m.span
+                    and (-o.weight, o.span, o.n, o.number) < (-m.weight, m.span, m.n, m.number))))),
+    more as (select r, max(share) as share, list(distinct label) as labels from best group by r)
     select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, cast(first_word as bigint) as first_word,
            cast(last_word as bigint) as last_word, coalesce(array_to_string(found, ','), '') as base_labels,
            coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(found, []), coalesce(labels, [])))), ','), '') as labels,

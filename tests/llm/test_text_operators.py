@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
-from gridquarry.llm import chat_repair, decontaminate, language_id, license_scan, main_text, packing, quality, simhash, textbytes, toxicity
+from gridquarry.llm import chat_repair, decontaminate, language_id, license_notices, license_scan, main_text, packing, quality, simhash, textbytes, toxicity
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -119,6 +119,32 @@ def test_winnowing_keeps_one_of_every_window():
     assert all(kept & set(range(i, i + 6)) for i in range(len(h) - 5))
 
 
+def best_labels(w):
+    """Labels of the best matches among all runs of words of a text."""
+    found = []
+    for number, (label, text) in enumerate((label, t) for label, texts in license_notices.notices().items() for t in texts):
+        known, wide = set(words(text)), len(words(text)) + len(words(text)) // 4
+        need = len(known) if len(known) < 10 else -(-8 * len(known) // 10)
+        for i, start in enumerate(w):
+            met, ends, foreign = set(), [], 0
+            for j in range(i, min(i + wide, len(w))):
+                foreign += w[j] not in known
+                if w[j] in known - met:
+                    met.add(w[j])
+                    if len(met) >= need:
+                        ends.append((max(j - i + 1 - len(words(text)), foreign) - len(met), j))
+            if start in known and ends:
+                order, j = min(ends)
+                found.append((number, label, wide, i, j, (order, j - i + 1, len(known), number)))
+    out = set()
+    for number, label, wide, i, j, order in found:
+        same = any(o[0] == number and abs(o[3] - i) < wide and o[5][0] < order[0] for o in found)
+        other = any(o[0] != number and 4 * (min(o[4], j) - max(o[3], i) + 1) >= 3 * (j - i + 1) and o[5] < order for o in found)
+        if not same and not other:
+            out.add(label)
+    return out
+
+
 def test_licenses(spark, documents):
     found = {(r.doc_id, r.n_words): r for r in license_scan.scan_licenses(documents).collect()}
     for i, t in enumerate(TEXTS):
@@ -127,26 +153,49 @@ def test_licenses(spark, documents):
         r = found[i, len(w)]
         assert (r.n_base, r.first_word, r.last_word) == (len(places), min((p for p, _ in places), default=None), max((p for p, _ in places), default=None))
         assert r.base_labels == ",".join(sorted({x for _, x in places}))
-        more = set()
-        for label, text in license_scan.TEMPLATES.items():
-            s, step, (must, never) = set(words(text)), -(-3 * len(words(text)) // 2), license_scan.KEYS[label]
-            blocks = [set(w[b * step : b * step + 2 * step]) for b in range(-(-max(len(w) - 2 * step, 0) // step) + 1)]
-            more |= {label for b in blocks if 10 * len(s & b) >= 8 * len(s) and b >= set(must) and not b & set(never)}
+        more = best_labels(w)
         assert r.labels == ",".join(sorted({x for _, x in places} | more)), (i, r.labels)
     assert "apache-2.0" in found[8, len(words(TEXTS[8]))].labels
     assert license_scan.scan_licenses(empty(documents)).count() == 0
 
 
+GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+BY = "This work is licensed under a Creative Commons Attribution 4.0 International License."
+BY_SA = "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."
+# Labels written by hand.
 NOTICES = {
-    "Licensed under CC BY 4.0": "cc-by",
-    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by-4.0",
-    "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License.": "cc-by-sa-4.0",
+    "Licensed under CC BY 4.0": "cc-by,cc-by-4.0",
+    "CC BY-SA 4.0": "cc-by,cc-by-sa-4.0",
+    "Creative Commons CC-BY-NC-SA 3.0": "cc-by,cc-by-nc-sa-3.0",
+    BY: "cc-by-4.0",
+    BY_SA: "cc-by-sa-4.0",
+    f"{BY} {BY_SA}": "cc-by-4.0,cc-by-sa-4.0",
+    f"{BY_SA} {BY}": "cc-by-4.0,cc-by-sa-4.0",
+    f"{BY} {BY}": "cc-by-4.0",
+    f"{BY_SA} {BY_SA} {BY_SA}": "cc-by-sa-4.0",
+    f"Text: {BY} Images: ShareAlike.": "cc-by-4.0",
+    "This work is licensed under a Creative Commons Attribution 3.0 Germany License.": "cc-by-3.0",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 2.5 Generic License.": "cc-by-nc-sa-2.5",
+    "This work is licensed under a Creative Commons Zero 1.0 Universal License.": "cc0-1.0",
     "released under the Apache license": "",
     "the license is released under embargo": "",
+    "He was released from MIT under the old license of 1990": "",
     "Released under the MIT License.": "mit",
-    "This work is licensed under the GNU Lesser General Public License, version 3": "gpl",
+    "SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3.0",
+    "SPDX-License-Identifier: MIT": "mit",
+    "SPDX-License-Identifier: Apache-2.0": "apache-2.0",
+    "SPDX-License-Identifier: LGPL-2.1-only OR MPL-2.0": "lgpl-2.1,mpl-2.0",
+    "This work is licensed under the GNU Lesser General Public License, version 3": "gpl,lgpl-3.0",
     "This work is licensed under the GNU General Public License, version 3": "gpl,gpl-3.0",
+    "This work is licensed under the GNU General Public License, version 3. It links a lesser library.": "gpl,gpl-3.0",
+    GNU.format("General Public License", "3"): "gpl,gpl-3.0",
+    GNU.format("General Public License", "2"): "gpl,gpl-2.0",
+    GNU.format("Lesser General Public License", "3"): "gpl,lgpl-3.0",
+    GNU.format("Affero General Public License", "3"): "agpl-3.0,gpl",
+    f"{GNU.format('General Public License', '2')} {GNU.format('Lesser General Public License', '3')}": "gpl,gpl-2.0,lgpl-3.0",
+    f"{GNU.format('Lesser General Public License', '3')} {GNU.format('General Public License', '3')}": "gpl,gpl-3.0,lgpl-3.0",
     "LICENSED UNDER THE apache LICENSE, VERSION 2.0": "apache-2.0",
+    "Licensed under the Eclipse Public License, Version 2.0": "",
     "Licensed under the Apac\u212ae License, wor\u212a 2.0": "",
 }
 
@@ -160,10 +209,24 @@ def test_notices_get_their_own_labels(spark):
 def test_long_templates_match_wherever_they_stand(spark):
     own = " ".join(f"t{i}" for i in range(200))
     rows = [(i, f"{'x ' * i}{own}{' y' * 300}") for i in range(0, 400, 37)] + [(900, own[: len(own) // 2])]
-    found = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id int, text string"), templates={"own": own}, phrases={})
+    found = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id int, text string"), templates={"own": [own]}, phrases={})
     assert {r.doc_id for r in found.collect() if r.labels == "own"} == {i for i, _ in rows if i != 900}
 
 
+def test_a_long_legal_text_goes_on_in_segments(spark):
+    """Places of template words in plenty: what a row carries stays bounded."""
+    gap = " of the license and this software" * 1000
+    rows = [(0, f"{gap} {BY}{gap} {BY_SA}{gap}"), (1, f"{gap} {GNU.format('Lesser General Public License', '3')}"), (2, gap)]
+    documents = spark.createDataFrame(rows, "doc_id int, text string")
+    found = {r.doc_id: r.labels for r in license_scan.scan_licenses(documents).collect()}
+    assert found == {0: "cc-by-4.0,cc-by-sa-4.0", 1: "gpl,lgpl-3.0", 2: ""}
+    hits = spark.range(2).selectExpr("id as doc_id", "id as mark", "transform(sequence(0, 4999 - cast(id as int)), i -> named_struct('at', 2 * i, 'word', 'of')) as hits")
+    cut = license_scan.segments(hits, 50)
+    assert cut.count() == hits.selectExpr("sum(size(hits)) as n").head().n
+    assert cut.selectExpr("max(size(hits)) as n").head().n <= license_scan.SEGMENT + 2 * 50
+    assert license_scan.scan_licenses(documents, templates={}).where("labels not in ('', 'gpl')").count() == 0
+
+
 @pytest.mark.parametrize("bins", [1, 5])
 def test_packing(spark, documents, bins):
     path = public_tokenizers.path("byte_bpe_50k.json")
