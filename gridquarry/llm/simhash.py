@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridquarry.operators.components import connected_components
-from .shared import keyed_rows, one_by_one, written
+from .shared import keyed_rows, one_by_one, shuffled, written
 
 #: Segments of the fingerprint: 4 bits each.
 SEGMENTS = 16
@@ -82,7 +82,7 @@ def close_fingerprints(fps: DataFrame, bits: int = 2) -> DataFrame:
     left = _grid_points(fps, (bits + 1) // 2).withColumnRenamed("fp", "a")
     right = _grid_points(fps, bits // 2).withColumnRenamed("fp", "b")
     close = (F.col("a") > F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
-    return left.join(right, (left.cell == right.cell) & close).select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    return left.join(shuffled(right), (left.cell == right.cell) & close).select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
 def simhash_groups(documents: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42, bits: int = 2) -> DataFrame:
