@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridquarry.sources.workspace import shuffled
+
 from .components import grid_components
 
 
@@ -24,7 +26,9 @@ def validity(vertices: DataFrame, most: int = 64) -> DataFrame:
     """shape, vertices, valid: 3 to ``most`` distinct vertices, an area, no two
     edges that meet, and neighbouring edges that share their vertex alone."""
     e = edges(vertices)
-    a, b = e.alias("a"), e.alias("b")
+    # What has too many vertices isn't valid anyway. All joins are on the shape, by which the edges lie together.
+    few = e.where(F.col("n") <= most)
+    a, b = few.alias("a"), shuffled(few).alias("b")
     c = lambda s, k: F.col(f"{s}.{k}")
     meet = c("a", "shape") == c("b", "shape")
     apart = (c("b", "i") > c("a", "i") + 1) & ~((c("a", "i") == 0) & (c("b", "i") == c("a", "n") - 1))
@@ -33,23 +37,23 @@ def validity(vertices: DataFrame, most: int = 64) -> DataFrame:
     s3 = _side(c("b", "ax"), c("b", "ay"), c("b", "bx"), c("b", "by"), c("a", "ax"), c("a", "ay"))
     s4 = _side(c("b", "ax"), c("b", "ay"), c("b", "bx"), c("b", "by"), c("a", "bx"), c("a", "by"))
     box = (F.greatest(c("a", "ax"), c("a", "bx")) >= F.least(c("b", "ax"), c("b", "bx"))) & (F.greatest(c("b", "ax"), c("b", "bx")) >= F.least(c("a", "ax"), c("a", "bx"))) & (F.greatest(c("a", "ay"), c("a", "by")) >= F.least(c("b", "ay"), c("b", "by"))) & (F.greatest(c("b", "ay"), c("b", "by")) >= F.least(c("a", "ay"), c("a", "by")))
-    crossed = a.join(b, meet & apart).where(box & (s1 * s2 <= 0) & (s3 * s4 <= 0)).select(c("a", "shape").alias("shape"))
+    crossed = apart & box & (s1 * s2 <= 0) & (s3 * s4 <= 0)
     # The edge after a goes back over it where it doesn't turn but points the other way.
     after = c("b", "i") == F.pmod(c("a", "i") + 1, c("a", "n"))
     ahead = (c("a", "bx") - c("a", "ax")) * (c("b", "bx") - c("b", "ax")) + (c("a", "by") - c("a", "ay")) * (c("b", "by") - c("b", "ay"))
-    folded = a.join(b, meet & after).where((s2 == 0) & (ahead < 0)).select(c("a", "shape").alias("shape"))
-    faults = crossed.union(folded).distinct().withColumn("fault", F.lit(True))
+    folded = after & (s2 == 0) & (ahead < 0)
+    faults = a.join(b, meet & (crossed | folded)).select(c("a", "shape").alias("shape")).distinct().withColumn("fault", F.lit(True))
     area = e.groupBy("shape").agg(F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")).alias("area"))
     counted = vertices.groupBy("shape").agg(F.count_distinct(F.struct("x", "y")).alias("distinct"), F.count("*").alias("vertices"))
     sound = (F.col("distinct") == F.col("vertices")) & F.col("vertices").between(3, most) & (F.col("area") != 0) & F.col("fault").isNull()
-    return counted.join(area, "shape").join(faults, "shape", "left").select("shape", "vertices", F.coalesce(sound, F.lit(False)).alias("valid"))
+    return counted.join(shuffled(area), "shape").join(shuffled(faults), "shape", "left").select("shape", "vertices", F.coalesce(sound, F.lit(False)).alias("valid"))
 
 
 def inside_crop(vertices: DataFrame, crop: tuple[float, float, float, float]) -> DataFrame:
     """Valid shapes that lie wholly inside a crop (x0, x1, y0, y1)."""
     x0, x1, y0, y1 = crop
     held = vertices.groupBy("shape").agg(F.bool_and(F.col("x").between(x0, x1) & F.col("y").between(y0, y1)).alias("held"))
-    return held.where("held").join(validity(vertices).where("valid"), "shape").select("shape", "vertices")
+    return held.where("held").join(shuffled(validity(vertices).where("valid")), "shape").select("shape", "vertices")
 
 
 def volume_components(mask: DataFrame, width: int, height: int, block: int = 32) -> DataFrame:
@@ -82,7 +86,7 @@ def volume_morphometrics(voxels: DataFrame, spacing: tuple[float, float, float])
     key, size = ["volume_id", "label"], dict(zip("zyx", map(float, spacing)))
     ahead = F.array(*(F.struct(*((F.col(b) + int(a == b)).cast("bigint").alias(b) for b in "zyx"), F.lit(a).alias("axis")) for a in "zyx"))
     steps = own.select(*key, F.explode(ahead).alias("n")).select(*key, "n.*")
-    inner = steps.join(own, ["volume_id", "z", "y", "x", "label"]).groupBy(*key).agg(*(F.count_if(F.col("axis") == a).alias(f"_{a}") for a in "zyx"))
+    inner = shuffled(steps).join(own, ["volume_id", "z", "y", "x", "label"]).groupBy(*key).agg(*(F.count_if(F.col("axis") == a).alias(f"_{a}") for a in "zyx"))
     exact = lambda c: F.sum(c).cast("decimal(38,0)")
     pairs = [(a, b) for i, a in enumerate("zyx") for b in "zyx"[i:]]
     sums = own.groupBy(*key).agg(F.count("*").alias("voxels"), *(exact(F.col(a)).alias(f"s{a}") for a in "zyx"), *(exact(F.col(a) * F.col(b)).alias(f"s{a}{b}") for a, b in pairs))

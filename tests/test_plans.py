@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from gridquarry.llm import simhash
+from gridquarry.operators import shapes, tracks
+from gridquarry.plans import QUERIES
 
 
 def plan(df):
@@ -12,3 +14,20 @@ def plan(df):
 def test_grid_points_of_fingerprints_are_not_broadcast(spark):
     fps = spark.range(100).select(F.xxhash64("id").alias("fp"))
     assert "Broadcast" not in plan(simhash.close_fingerprints(fps))
+
+
+def test_edges_of_polygons_are_not_broadcast(spark):
+    i = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")
+    square = spark.range(9).select(F.col("id").alias("shape"), i).selectExpr("shape", "i", "double(i in (1, 2)) as x", "double(i in (2, 3)) as y")
+    assert "Broadcast" not in plan(shapes.validity(square))
+    assert "Broadcast" not in plan(shapes.inside_crop(square, (0.0, 1.0, 0.0, 1.0)))
+    assert shapes.inside_crop(square, (0.0, 1.0, 0.0, 1.0)).count() == 9
+
+
+def test_squares_around_parts_are_not_broadcast(spark):
+    assert "Broadcast" not in plan(QUERIES["j20_overlap_selection_check"](spark, "/root/testdata/sf0.001"))
+
+
+def test_squares_around_detections_are_not_broadcast(spark):
+    det = spark.range(9).selectExpr("'a' as seq", "id as frame", "id as label", "double(id) as x", "0.0d as y")
+    assert "Broadcast" not in plan(tracks.candidates(det, 2.0, gap=1))
