@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridquarry.operators import gates, sheets, splits, studies, tracks
 from gridquarry.sources import views
 from gridquarry.sources.views import sql, table
-from gridquarry.sources.workspace import written
+from gridquarry.sources.workspace import shuffled, written
 
 from .catalog import query
 
@@ -526,7 +526,7 @@ def overlap_selection_check(spark, d):
     a, b = p.withColumns(at).alias("a"), p.select("*", F.inline(around)).alias("b")
     near = (F.abs(F.col("a.p_size") - F.col("b.p_size")) < 5) & (F.abs(F.col("a.p_retailprice") - F.col("b.p_retailprice")) < 50)
     same = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.cs") == F.col("b.cs")) & (F.col("a.cp") == F.col("b.cp")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))
-    return a.join(b, same & near).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
+    return a.join(shuffled(b), same & near).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
 
 
 @query("s26_geojson_roi_sink", """with v as (select p_partkey as id, p_size from part) select id, '{"type":"Feature","id":' || id || ',"geometry":{"type":"Polygon","coordinates":[[[0,0],[' || p_size || ',0],[' || p_size || ',' || p_size || '],[0,0]]]}}' as feature from v""")
