@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridquarry.sources.workspace import written
+from gridquarry.sources.workspace import shuffled, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -94,7 +94,7 @@ def grid_components(cells: DataFrame, axes: list[str], steps: list[tuple[int, ..
     rim = local.where(border)
     moves = F.array(*(F.struct(*((F.col(a) + s).alias(a) for a, s in zip(axes, step))) for step in steps))
     ahead = rim.select(*group, F.explode(moves).alias("_at"), F.col("root").alias("src"), *(F.col(c).alias(f"_{c}") for c in extra)).select(*group, "_at.*", "src", *(f"_{c}" for c in extra))
-    met = ahead.join(rim, [*group, *axes])
+    met = shuffled(ahead).join(rim, [*group, *axes])
     if value:
         met = met.where(F.col(value) == F.col(f"_{value}"))
     roots = connected_components(met.select("src", F.col("root").alias("dst")).where("src <> dst"))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridquarry.sources.workspace import broadcast_if_small, written
+from gridquarry.sources.workspace import broadcast_if_small, shuffled, written
 
 from .grids import PIXEL, components, otsu
 from .spatial import plateau_maxima
@@ -136,5 +136,5 @@ def puncta(grid: DataFrame, channel: str, width: int, height: int, *, sigma: flo
     steps = F.array(*(F.struct((F.col("y") + a).alias("y"), (F.col("x") + b).alias("x"), F.lit(a * a + b * b).alias("far")) for a, b in around))
     claims = spots.select("image_id", "id", F.explode(steps).alias("at")).select("image_id", "id", "at.*")
     owned = claims.groupBy(*PIXEL).agg(F.min(F.struct("far", "id")).alias("best")).select(*PIXEL, F.col("best.id").alias("id"))
-    measured = owned.join(grid.select(*PIXEL, channel), PIXEL).groupBy("id").agg(F.count("*").alias("pixels"), F.round(F.sum(channel), 4).alias("sum"))
+    measured = shuffled(owned).join(grid.select(*PIXEL, channel), PIXEL).groupBy("id").agg(F.count("*").alias("pixels"), F.round(F.sum(channel), 4).alias("sum"))
     return spots.join(measured, "id").select(*PIXEL, F.round("value", 6).alias("response"), "pixels", "sum")

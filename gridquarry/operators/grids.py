@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridquarry.sources.workspace import shuffled
+
 from .components import grid_components
 from .matching import best_matching
 
@@ -185,7 +187,7 @@ def neighbours(grid: DataFrame, columns: list[str], diagonal: bool = False, ahea
     if not ahead:
         steps += [(-a, -b) for a, b in steps]
     moved = grid.select("image_id", F.explode(F.array(*(F.struct((F.col("y") + a).alias("y"), (F.col("x") + b).alias("x"), F.lit(-a).alias("dy"), F.lit(-b).alias("dx")) for a, b in steps))).alias("at"), *(F.col(c).alias(f"n_{c}") for c in columns))
-    return grid.join(moved.select("image_id", "at.*", *(f"n_{c}" for c in columns)), PIXEL)
+    return grid.join(shuffled(moved.select("image_id", "at.*", *(f"n_{c}" for c in columns))), PIXEL)
 
 
 def components(mask: DataFrame, width: int, height: int, value: str | None = None, diagonal: bool = False, tile: int = 64) -> DataFrame:
@@ -234,7 +236,7 @@ def rings(grid: DataFrame, radius: int, channel: str) -> DataFrame:
     border = neighbours(grid.select(*PIXEL, "label"), ["label"]).where("label > 0 and label <> n_label").select(*PIXEL, "label").distinct()
     around = border.select("image_id", "label", F.explode(F.array(*(F.struct((F.col("y") + a).alias("y"), (F.col("x") + b).alias("x")) for a, b in steps))).alias("at")).select("image_id", "at.*", F.col("label").alias("nucleus"))
     claims = around.groupBy(*PIXEL).agg(F.min("nucleus").alias("nucleus"), F.max("nucleus").alias("other")).where("nucleus = other").drop("other")
-    ring = grid.where("label = 0").join(claims, PIXEL)
+    ring = grid.where("label = 0").join(shuffled(claims), PIXEL)
     return ring.groupBy("image_id", "nucleus").agg(F.count("*").alias("pixels"), r(F.avg(channel)).alias("mean"))
 
 

@@ -204,23 +204,49 @@ def sequential_matching(pairs: DataFrame, sequence: str, gap: int) -> DataFrame:
     """Links over gaps: the sources of each frame in turn are matched with the
     frame after it, then those left with the next one, up to ``gap`` frames
     further, each time with the targets that are still free. ``pairs``:
-    sequence, frame, step, src, dst, distance. Frames depend on those before,
-    so with a gap a sequence's candidates
-    are what a task holds; without one, frames are matched each by itself."""
+    sequence, frame, step, src, dst, distance. Frames depend on those before, so with a gap a sequence is gone through in
+    one task, which holds the candidates of a frame and the targets that were
+    taken in the frames it reaches; without one, frames are matched each by
+    itself."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple = (None, None)
         used_a: set = set()
-        used_b: set = set()
-        kept = []
-        for _, part in pdf.sort_values(["frame", "step", "src", "dst"]).groupby(["frame", "step"], sort=True):
-            part = part[~part["src"].isin(used_a) & ~part["dst"].isin(used_b)]
-            part = part[matched(part["src"].to_numpy(), part["dst"].to_numpy(), part["distance"].to_numpy())]
-            used_a.update(part["src"])
-            used_b.update(part["dst"])
-            kept.append(part)
-        return pd.concat(kept)
+        used_b: dict = {}  # the labels that were taken in each frame
+
+        def solve(part: pa.Table) -> list[pa.RecordBatch]:
+            nonlocal now, used_a
+            at, frame, step = (part[c][0].as_py() for c in (sequence, "frame", "step"))
+            if (at, frame) != now:
+                used_a = set()
+                for k in [k for k in used_b if at != now[0] or k <= frame]:
+                    del used_b[k]
+                now = at, frame
+            taken = used_b.setdefault(frame + step, set())
+            pdf = part.select(["src", "dst", "distance"]).to_pandas()
+            free = np.flatnonzero(~(pdf["src"].isin(used_a) | pdf["dst"].isin(taken)).to_numpy())
+            pdf = pdf.iloc[free]
+            keep = matched(pdf["src"].to_numpy(), pdf["dst"].to_numpy(), pdf["distance"].to_numpy())
+            used_a.update(pdf["src"][keep])
+            taken.update(pdf["dst"][keep])
+            return part.take(pa.array(free[keep])).to_batches()
+
+        key = [sequence, "frame", "step"]
+        rest: list[pa.Table] = []
+        for batch in batches:
+            here = pa.Table.from_batches([batch])
+            codes = here.select(key).to_pandas().groupby(key, sort=False, dropna=False).ngroup().to_numpy()
+            ends = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+            for a, b in zip(ends, ends[1:]):
+                part = here.slice(a, b - a)
+                if rest and any(rest[0][c][0].as_py() != part[c][0].as_py() for c in key):
+                    yield from solve(pa.concat_tables(rest).combine_chunks())
+                    rest = []
+                rest.append(part)
+        if rest:
+            yield from solve(pa.concat_tables(rest).combine_chunks())
 
     if not gap:
         return best_matching(pairs, [sequence, "frame"], "src", "dst", "distance")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return pairs.groupBy(sequence).applyInPandas(run, kinds)
+    return pairs.repartition(sequence).sortWithinPartitions(sequence, "frame", "step", "src", "dst").mapInArrow(run, kinds)

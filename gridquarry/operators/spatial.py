@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridquarry.sources.workspace import written
+from gridquarry.sources.workspace import shuffled, written
 
 from .gates import in_polygon
 from .grids import PIXEL, components, neighbours
@@ -26,7 +26,7 @@ def boundary_distances(points: DataFrame, boundary: DataFrame, key: str, most: f
     around = F.array(*(F.struct((at("y") + i).alias("cy"), (at("x") + j).alias("cx")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     b = boundary.select("image_id", F.col("y").alias("y2"), F.col("x").alias("x2"), F.explode(around).alias("c")).select("image_id", "y2", "x2", "c.*")
     far = F.sqrt((F.col("y1") - F.col("y2")) ** 2 + (F.col("x1") - F.col("x2")) ** 2)
-    met = a.join(b, ["image_id", "cy", "cx"]).withColumn("far", far).where(F.col("far") <= most).groupBy("image_id", key).agg(F.min("far").alias("distance"))
+    met = a.join(shuffled(b), ["image_id", "cy", "cx"]).withColumn("far", far).where(F.col("far") <= most).groupBy("image_id", key).agg(F.min("far").alias("distance"))
     return points.select("image_id", key).join(met, ["image_id", key], "left")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridquarry.sources.workspace import with_index, written
+from gridquarry.sources.workspace import shuffled, with_index, written
 
 from .graphs import cycle_edges
 from .matching import sequential_matching
@@ -29,7 +29,7 @@ def candidates(det: DataFrame, most: float, gap: int = 0) -> DataFrame:
     around = F.array(*(F.struct((at("x") + i).alias("cx"), (at("y") + j).alias("cy"), (F.col("frame") - k).alias("f1"), F.lit(k).alias("step")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in range(1, gap + 2)))
     b = det.select("seq", F.col("label").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(around).alias("k")).select("seq", "dst", "x2", "y2", "k.*")
     far = F.sqrt((F.col("x1") - F.col("x2")) ** 2 + (F.col("y1") - F.col("y2")) ** 2)
-    return a.join(b, ["seq", "f1", "cx", "cy"]).withColumn("distance", far).where(F.col("distance") <= most).select("seq", F.col("f1").alias("frame"), "src", "dst", "step", "distance")
+    return a.join(shuffled(b), ["seq", "f1", "cx", "cy"]).withColumn("distance", far).where(F.col("distance") <= most).select("seq", F.col("f1").alias("frame"), "src", "dst", "step", "distance")
 
 
 def links(pairs: DataFrame, gap: int = 0) -> DataFrame:
@@ -177,7 +177,7 @@ def nearest_neighbours(asked: DataFrame, points: DataFrame, key: str, first_cell
         own = left.select(key, "group", F.col("x").alias("x1"), F.col("y").alias("y1"), F.explode(around).alias("c")).select(key, "group", "x1", "y1", "c.*")
         others = every.select(F.col(key).alias("other"), "group", F.col("x").alias("x2"), F.col("y").alias("y2"), at("x").alias("cx"), at("y").alias("cy"))
         far = F.sqrt((F.col("x1") - F.col("x2")) ** 2 + (F.col("y1") - F.col("y2")) ** 2)
-        met = own.join(others, ["group", "cx", "cy"]).where(F.col(key) != F.col("other")).groupBy(key).agg(F.min(F.struct(far.alias("nearest"), F.col("other").alias("neighbour"))).alias("m"))
+        met = shuffled(own).join(others, ["group", "cx", "cy"]).where(F.col(key) != F.col("other")).groupBy(key).agg(F.min(F.struct(far.alias("nearest"), F.col("other").alias("neighbour"))).alias("m"))
         last = size > widest
         found = written(left.select(key).join(met, key, "left").select(key, "m.nearest", "m.neighbour"))
         settled = found if last else found.where(F.col("nearest") <= size)

@@ -1,9 +1,11 @@
 """Exploded rows aren't broadcast, and loops don't carry pairs along."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from gridquarry.llm import simhash
-from gridquarry.operators import shapes, tracks
+from gridquarry.operators import matching, shapes, tracks
 from gridquarry.plans import QUERIES
 
 
@@ -31,3 +33,23 @@ def test_squares_around_parts_are_not_broadcast(spark):
 def test_squares_around_detections_are_not_broadcast(spark):
     det = spark.range(9).selectExpr("'a' as seq", "id as frame", "id as label", "double(id) as x", "0.0d as y")
     assert "Broadcast" not in plan(tracks.candidates(det, 2.0, gap=1))
+
+
+def test_frames_with_gaps_are_taken_as_they_come(spark):
+    rng = random.Random(8)
+    det = [(rng.choice("ab"), rng.randrange(12), k, rng.random() * 6, rng.random() * 6) for k in range(150)]
+    pairs = tracks.candidates(spark.createDataFrame(det, "seq string, frame long, label long, x double, y double"), 2.0, gap=2)
+    assert "FlatMapGroupsInPandas" not in plan(tracks.links(pairs, 2))
+    expected, used = set(), {"src": set(), "dst": set()}
+    whole = pairs.toPandas().sort_values(["seq", "frame", "step", "src", "dst"])
+    for _, part in whole.groupby(["seq", "frame", "step"]):
+        part = part[~part["src"].isin(used["src"]) & ~part["dst"].isin(used["dst"])]
+        part = part[matching.matched(part["src"].to_numpy(), part["dst"].to_numpy(), part["distance"].to_numpy())]
+        for end in used:
+            used[end].update(part[end])
+        expected |= set(zip(part["src"], part["dst"]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert {(r.src, r.dst) for r in tracks.links(pairs, 2).collect()} == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
