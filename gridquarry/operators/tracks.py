@@ -204,30 +204,61 @@ def remeasured(points: DataFrame, measured: DataFrame, removed: DataFrame, key:
     return left.join(stale, key, "left_anti").select(key, "nearest", "neighbour").union(again.select(key, "nearest", "neighbour"))
 
 
-def suppress(points: DataFrame, most: float) -> DataFrame:
+def _settled(pdf: pd.DataFrame, most: float) -> pd.DataFrame:
+    """Of a block's rows (id, x, y, response, state, own) those of its own that
+    were open (state 0) and aren't suppressed, as kept (1) or still open: an
+    open point depends on what lies beyond the block."""
+    import numpy as np
+
+    pdf = pdf.assign(_nan=pdf["response"].isna()).sort_values(["_nan", "response", "id"], ascending=[False, False, True], ignore_index=True)
+    xs, ys, states, owns = (pdf[c].tolist() for c in ("x", "y", "state", "own"))
+    kept: dict[tuple, list] = {}  # points of each square
+    still: dict[tuple, list] = {}
+    out = np.full(len(pdf), -1)
+    for k, (x, y, state, own) in enumerate(zip(xs, ys, states, owns)):
+        cx, cy = x // most, y // most
+        around = [(i, j) for i in (cx - 1, cx, cx + 1) for j in (cy - 1, cy, cy + 1)]
+        near = lambda held: any((x - u) ** 2 + (y - v) ** 2 < most * most for at in around for u, v in held.get(at, ()))  # noqa: E731, B023
+        if state == 0:
+            if near(kept):
+                continue
+            state = 1 if own and not (still and near(still)) else 0
+            if own:
+                out[k] = state
+        (kept if state else still).setdefault((cx, cy), []).append((x, y))
+    left = out >= 0
+    return pdf.loc[left, ["id", "x", "y", "response"]].assign(state=out[left].astype("int32"))
+
+
+def suppress(points: DataFrame, most: float, squares: int = 64) -> DataFrame:
     """Peaks (id, x, y, response) left by greedy suppression: in order of
     response (then id), one is kept if none within ``most`` was kept before.
 
-    Each round keeps the points that lead all their remaining neighbours and
-    drops those neighbours, which comes to the same.
+    A task goes through the points of a block of ``squares`` times ``most`` a
+    side and those around it. It settles its own unless they depend on an open
+    one beyond the block; these go on to the next round, with the kept ones
+    that other blocks see. Points without a place or response are kept.
     """
-    at = lambda c: F.floor(F.col(c) / most).cast("bigint")
-    around = F.array(*(F.struct((at("x") + i).alias("cx"), (at("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    a = points.select("id", F.col("response").alias("r1"), F.col("x").alias("x1"), F.col("y").alias("y1"), at("x").alias("cx"), at("y").alias("cy"))
-    b = points.select(F.col("id").alias("other"), F.col("response").alias("r2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(around).alias("c")).select("other", "r2", "x2", "y2", "c.*")
-    close = (F.col("x1") - F.col("x2")) ** 2 + (F.col("y1") - F.col("y2")) ** 2 < most * most
-    # other is ahead of id.
-    ahead = (F.col("r2") > F.col("r1")) | ((F.col("r2") == F.col("r1")) & (F.col("other") < F.col("id")))
-    links = written(a.join(b, ["cx", "cy"]).where(close & ahead).select("id", "other"))
-    live, kept = written(points.select("id")), None
+    # A block sees a little more than ``most`` around it, whatever the rounding.
+    side, reach = squares * most, 2 * most
+    at = lambda c, by: F.floor((F.col(c) + by) / side).cast("bigint")
+    seen = F.array_distinct(F.array(*(F.struct(at("x", i).alias("bx"), at("y", j).alias("by")) for i in (-reach, 0.0, reach) for j in (-reach, 0.0, reach))))
+    home = F.struct(at("x", 0.0).alias("bx"), at("y", 0.0).alias("by"))
+    rows = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("response").cast("double").alias("response"), F.lit(0).alias("state"))
+    placed = F.coalesce((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")) & F.col("response").isNotNull(), F.lit(False))
+    kept, left, border = rows.where(~placed).select("id"), rows.where(placed), None
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     while True:
-        held = links.join(live, "id", "left_semi").join(live.select(F.col("id").alias("other")), "other", "left_semi")
-        lead = written(live.join(held.select("id"), "id", "left_anti"))
-        kept = lead if kept is None else kept.union(lead)
-        gone = held.join(lead.select(F.col("id").alias("other")), "other", "left_semi").select("id")
-        live = written(live.join(lead, "id", "left_anti").join(gone.distinct(), "id", "left_anti"))
-        if live.isEmpty():
+        dealt = (left if border is None else left.union(border)).select("*", F.explode(seen).alias("b")).select(*rows.columns, (F.col("b") == home).alias("own"), "b.*")
+        # Only blocks with open points of their own are gone through.
+        dealt = dealt.join(left.select(home.alias("b")).distinct().select("b.*"), ["bx", "by"], "left_semi")
+        told = written(dealt.groupBy("bx", "by").applyInPandas(lambda pdf: _settled(pdf, most), kinds))
+        kept = kept.union(told.where("state = 1").select("id"))
+        left = told.where("state = 0")
+        if left.isEmpty():
             return kept
+        fixed = told.where("state = 1").where(F.size(seen) > 1)
+        border = fixed if border is None else border.union(fixed)
 
 
 def edited(edges: DataFrame, ledger: DataFrame) -> DataFrame:

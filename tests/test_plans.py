@@ -53,3 +53,20 @@ def test_frames_with_gaps_are_taken_as_they_come(spark):
         assert {(r.src, r.dst) for r in tracks.links(pairs, 2).collect()} == expected
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_suppression_goes_by_points_not_by_pairs(spark, monkeypatch):
+    rng, rows, made = random.Random(9), [], []
+    written = tracks.written
+    monkeypatch.setattr(tracks, "written", lambda df: made.append(written(df)) or made[-1])
+    for k in range(600):  # half of them in one spot at the corner of four blocks, the others over blocks
+        rows.append((k, rng.gauss(64, 0.3), rng.gauss(64, 0.3), float(rng.randrange(9))) if k % 2 else (k, rng.uniform(0, 80), rng.uniform(50, 70), float(rng.randrange(9))))
+    rows += [(600, None, 1.0, 3.0), (601, 64.0, 64.0, float("nan")), (602, 64.0, 64.0, None)]
+    kept = []
+    for i, x, y, _ in sorted(rows[:600] + [rows[601]], key=lambda q: (q[3] == q[3], -q[3] if q[3] == q[3] else 0, q[0])):
+        if all((x - a) ** 2 + (y - b) ** 2 >= 4 for _, a, b in kept):
+            kept.append((i, x, y))
+    points = spark.createDataFrame(rows, "id long, x double, y double, response double")
+    for blocks in ({}, {"squares": 2}):
+        assert sorted(r.id for r in tracks.suppress(points, 2.0, **blocks).collect()) == sorted([600, 602] + [k[0] for k in kept])
+    assert sum(df.count() for df in made) < 5 * len(rows)
