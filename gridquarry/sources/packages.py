@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from gridquarry.functions import typed_cells
 
+from .workspace import written
+
 # The tables, their columns (text unless said otherwise), keys and parents.
 TABLES = {
     "results": {"result_id": "string", "revision": "string", "source_id": "string", "total_count": "integer", "selected_count": "integer", "measurement_count": "integer", "review": "string"},
@@ -68,7 +70,8 @@ def write(tables: dict[str, DataFrame], records: DataFrame, path: str, purpose:
     spark = records.sparkSession
     beside = f"{path}.staging-{uuid.uuid4().hex}"
     for name, kinds in TABLES.items():
-        coded = typed_cells.encoded(tables[name].select(*kinds), kinds)
+        # Written once: it is looked through, sampled and sorted.
+        coded = written(typed_cells.encoded(tables[name].select(*kinds), kinds))
         if wrong := coded.where(F.size("rejects") > 0).select(F.explode("rejects").alias("c")).distinct().limit(5).collect():
             raise ValueError(f"{name} has values without a cell in " + ", ".join(sorted(w.c for w in wrong)))
         ordered = coded.drop("rejects").sort(*KEYS[name])
@@ -78,7 +81,7 @@ def write(tables: dict[str, DataFrame], records: DataFrame, path: str, purpose:
     lines.select("value").write.option("maxRecordsPerFile", MOST_ROWS).text(f"{beside}/records")
     _files(spark, beside).write.parquet(f"{beside}/manifest/files")
     staged = Package(spark, beside)
-    back = {name: staged.table(name) for name in TABLES}
+    back = staged.tables()
     rows = None
     for name in TABLES:
         one = back[name].agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows", F.lit(",".join(TABLES[name])).alias("header"))
@@ -109,6 +112,10 @@ class Package:
     def table(self, name: str) -> DataFrame:
         return typed_cells.decoded(self.cells(name), TABLES[name]).drop("rejects")
 
+    def tables(self) -> dict[str, DataFrame]:
+        """All tables, their files read and decoded once, for several uses."""
+        return {name: written(self.table(name)) for name in TABLES}
+
     def records(self) -> DataFrame:
         schema = ", ".join(f"{c} {typed_cells.SPARK[k]}" for c, k in RECORDS.items())
         return self.spark.read.text(f"{self.path}/records").select(F.from_json("value", schema).alias("r")).select("r.*")
@@ -132,7 +139,7 @@ class Package:
         return files.union(tables.select("name", F.when(F.col("bad") > 0, "rejects").when(~F.col("n").eqNullSafe(F.col("rows")), "rows").otherwise("ok").alias("verdict")))
 
     def audit(self) -> DataFrame:
-        return audit({name: self.table(name) for name in TABLES}, self.records(), self.stated())
+        return audit(self.tables(), written(self.records()), self.stated())
 
 
 def _same(a: str, b: str, keys: list[str]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridquarry.llm import simhash
 from gridquarry.operators import matching, shapes, tracks
-from gridquarry.plans import QUERIES
+from gridquarry.plans import QUERIES, spatial_queries
 
 
 def plan(df):
@@ -70,3 +70,8 @@ def test_suppression_goes_by_points_not_by_pairs(spark, monkeypatch):
     for blocks in ({}, {"squares": 2}):
         assert sorted(r.id for r in tracks.suppress(points, 2.0, **blocks).collect()) == sorted([600, 602] + [k[0] for k in kept])
     assert sum(df.count() for df in made) < 5 * len(rows)
+
+
+def test_an_audit_reads_the_files_once(spark):
+    package = spatial_queries._export(spark, "/root/testdata/sf0.001")
+    assert "FileScan csv" not in plan(package.audit())
