@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridquarry.sources.workspace import written
 
@@ -144,3 +145,37 @@ def cycle_edges(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
     for step in reversed(merged):
         found = written(found.union(step.join(found.withColumnRenamed("id", "kept"), "kept", "left_semi").select(F.col("gone").alias("id"))))
     return whole.join(found.distinct(), "id", "left_semi").select("src", "dst")
+
+
+def cycle_edges_in_parts(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
+    """src, dst of the edges (src, dst, part) that lie on a directed cycle,
+    where no cycle leaves its part.
+
+    Parts of ``small`` edges at most are sorted into tasks, which search a batch
+    of whole parts at a time; edges of larger parts go through ``cycle_edges``."""
+    whole = written(edges.select("src", "dst", "part").distinct())
+    # A row for each ``small`` edges at most, hence a broadcast.
+    large = written(whole.groupBy("part").count().where(F.col("count") > small).select("part"))
+    ends = StructType(whole.schema.fields[:2])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # rows of one part, which may go on
+        for batch in batches:
+            if batch.empty:
+                continue
+            part = batch["part"]
+            if held and held[0]["part"].iloc[0] == part.iloc[-1]:
+                held.append(batch)
+                continue
+            ready = pd.concat([*held, batch[part != part.iloc[-1]]], ignore_index=True)
+            held = [batch[part == part.iloc[-1]]]
+            if len(ready):
+                yield ready.loc[_strong_edges(ready), ["src", "dst"]]
+        if held:
+            ready = pd.concat(held, ignore_index=True)
+            yield ready.loc[_strong_edges(ready), ["src", "dst"]]
+
+    found = whole.join(F.broadcast(large), "part", "left_anti").repartition("part").sortWithinPartitions("part").select("src", "dst", "part").mapInPandas(run, ends)
+    if not large.isEmpty():
+        found = found.union(cycle_edges(whole.join(F.broadcast(large), "part", "left_semi"), small))
+    return written(found.distinct())

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridquarry.sources.workspace import shuffled, with_index, written
+from gridquarry.sources.workspace import broadcast_if_small, shuffled, with_index, written
 
-from .graphs import cycle_edges
+from . import graphs
 from .matching import sequential_matching
 
 
@@ -50,7 +50,32 @@ def ambiguity(pairs: DataFrame, links: DataFrame, slack: float) -> DataFrame:
     return out.select("seq", "src", "dst", F.col("by_src").alias("by_source"), F.col("by_dst").alias("by_target"), (split | merge).alias("ambiguous"), split.alias("split"), merge.alias("merge"))
 
 
-def edge_faults(det: DataFrame, edges: DataFrame) -> DataFrame:
+#: Frames in a row that one task goes through.
+FRAME_BLOCK = 65_536
+
+
+def _running_sum(df: DataFrame, place: str, value: str, block: int) -> DataFrame:
+    """``df`` with _sum, the sum of ``value`` over rows up to a row's place:
+    within blocks of places, whose own sums are a row a block."""
+    df = written(df.withColumn("_block", F.expr(f"{place} div {block}")))
+    sums = df.groupBy("_block").agg(F.sum(value).alias("_own"))
+    before = sums.select("_block", (F.sum("_own").over(W.orderBy("_block")) - F.col("_own")).alias("_before"))
+    within = F.sum(value).over(W.partitionBy("_block").orderBy(place))
+    return df.withColumn("_sum", within).join(before, "_block").withColumn("_sum", F.col("_sum") + F.col("_before")).drop("_block", "_before")
+
+
+def stretches(back: DataFrame, block: int = FRAME_BLOCK) -> DataFrame:
+    """_i, part of the frames from ``early`` to ``late`` of any row of ``back``
+    (places of frames). Rows that share a frame make one part, and so on."""
+    turns = back.select(F.col("early").alias("_i"), F.lit(1).alias("turn")).union(back.select("late", F.lit(-1))).groupBy("_i").agg(F.sum("turn").alias("turn"))
+    # Where the sum is 0, no row goes on to the next frame.
+    closed = _running_sum(turns, "_i", "turn", block).select("_i", (F.col("_sum") == 0).cast("int").alias("closed"))
+    parts = _running_sum(closed, "_i", "closed", block).groupBy((F.col("_sum") - F.col("closed")).alias("part")).agg(F.min("_i").alias("a"), F.max("_i").alias("b"))
+    blocks = parts.select("part", "a", "b", F.explode(F.expr(f"sequence(a div {block}, b div {block})")).alias("k")).repartition("part", "k")
+    return blocks.select(F.explode(F.expr(f"sequence(greatest(a, k * {block}), least(b, k * {block} + {block - 1}))")).alias("_i"), "part")
+
+
+def edge_faults(det: DataFrame, edges: DataFrame, small: int = graphs.SMALL_EDGES) -> DataFrame:
     """Edges (src, dst, gap, cost, origin) of a track graph that break its
     rules, with the reasons: unknown ends, not forward in time, several edges
     out of or into a detection, on a cycle, a gap that isn't the number of
@@ -58,15 +83,20 @@ def edge_faults(det: DataFrame, edges: DataFrame) -> DataFrame:
     automatic nor manual. ``det``: seq, frame, label, x, y; an edge between
     sequences has an unknown end.
 
-    Each cycle has an edge that doesn't go forward in time, so cycles are
-    searched only in sequences with such an edge."""
-    frames = det.select("seq", "frame").distinct().withColumn("_i", F.row_number().over(W.partitionBy("seq").orderBy("frame")))
+    Whatever a cycle passes on its way forward in time it passes on its way
+    back, so cycles are searched only among frames that edges not going
+    forward span, in each stretch of such frames by itself (in a task up to
+    ``small`` edges)."""
+    # Places go on from one sequence to the next; only differences within one count.
+    frames = with_index(det.select("seq", "frame").distinct(), "seq", "frame", name="_i")
     known = det.join(frames, ["seq", "frame"]).select("label", "seq", "frame", "_i", "x", "y")
     end = lambda name, n: known.select(F.col("label").alias(name), *(F.col(c).alias(f"{c}{n}") for c in ("seq", "frame", "_i", "x", "y")))
     e = written(edges.join(end("src", 1), "src", "left").join(end("dst", 2), "dst", "left"))
     joined = e.where("seq1 = seq2")
-    turned = joined.where("frame2 <= frame1").select("seq1").distinct()
-    cyclic = cycle_edges(joined.join(turned, "seq1", "left_semi").select("src", "dst")).withColumn("_cycle", F.lit(True))
+    spanned = broadcast_if_small(written(stretches(joined.where("frame2 <= frame1").select(F.col("_i2").alias("early"), F.col("_i1").alias("late")))))
+    at = lambda n: spanned.select(F.col("_i").alias(f"_i{n}"), F.col("part").alias(f"part{n}"))
+    turned = joined.select("src", "dst", "_i1", "_i2").join(at(1), "_i1").join(at(2), "_i2").where("part1 = part2")
+    cyclic = graphs.cycle_edges_in_parts(turned.select("src", "dst", F.col("part1").alias("part")), small).withColumn("_cycle", F.lit(True))
     outs, ins = F.count("*").over(W.partitionBy("src")), F.count("*").over(W.partitionBy("dst"))
     far = F.sqrt((F.col("x1") - F.col("x2")) ** 2 + (F.col("y1") - F.col("y2")) ** 2)
     near = F.abs(F.col("cost") - far) <= F.greatest(F.lit(1e-12), 1e-12 * F.greatest(F.abs("cost"), far))

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from gridquarry.llm import simhash
-from gridquarry.operators import matching, shapes, tracks
+from gridquarry.operators import graphs, matching, shapes, tracks
 from gridquarry.plans import QUERIES, spatial_queries
 
 
@@ -75,3 +75,16 @@ def test_suppression_goes_by_points_not_by_pairs(spark, monkeypatch):
 def test_an_audit_reads_the_files_once(spark):
     package = spatial_queries._export(spark, "/root/testdata/sf0.001")
     assert "FileScan csv" not in plan(package.audit())
+
+
+def test_cycles_are_searched_only_under_edges_back(spark, monkeypatch):
+    searched, plans = [], []
+    written = tracks.written
+    monkeypatch.setattr(tracks, "written", lambda df: plans.append(plan(df)) or written(df))
+    for module in (graphs, tracks):  # rounds over a whole sequence
+        monkeypatch.setattr(module, "cycle_edges", lambda edges, *_: searched.append(edges.count()) or edges.select("src", "dst"), raising=False)
+    det = spark.range(3000).selectExpr("'a' as seq", "id as frame", "id as label", "0.0d as x", "0.0d as y")
+    edges = spark.range(2999).selectExpr("id as src", "id + 1 as dst", "0L as gap", "0.0d as cost", "'manual' as origin").union(spark.sql("select 1004L, 1000L, -5L, 0.0d, 'manual'"))
+    found = {(r.src, r.dst) for r in tracks.edge_faults(det, edges).collect() if "cycle" in r.reasons.split(",")}
+    assert found == {(1000, 1001), (1001, 1002), (1002, 1003), (1003, 1004), (1004, 1000)}
+    assert not searched and not any("row_number" in p for p in plans)

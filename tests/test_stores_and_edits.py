@@ -220,6 +220,49 @@ def test_edges_of_cycles(spark, small):
     assert {(r.src, r.dst) for r in found.collect()} == brute_cycles(edges)
 
 
+def test_stretches_under_edges_back(spark):
+    rng = random.Random(4)
+    spans = [(3, 3), (5, 8), (8, 9), (10, 10), (10, 14), (40, 61), (62, 63)] + [(a, a + rng.randrange(5)) for a in rng.sample(range(70, 160), 30)]
+    covered = {i for a, b in spans for i in range(a, b + 1)}
+    expected, part = {}, 0
+    for i in sorted(covered):
+        part += not any(a < i <= b for a, b in spans)
+        expected.setdefault(part, set()).add(i)
+    for block in (1, 4, 1000):
+        found = {}
+        rows = tracks.stretches(spark.createDataFrame(spans, "early long, late long"), block).collect()
+        for r in rows:
+            found.setdefault(r.part, set()).add(r._i)
+        assert len(rows) == len(covered) and sorted(map(sorted, found.values())) == sorted(map(sorted, expected.values()))
+
+
+@pytest.mark.parametrize("small", [15, 10**6])
+def test_cycles_and_gaps_of_track_edges(spark, small):
+    rng = random.Random(11)
+    det = [(rng.choice("ab"), rng.randrange(300) * 3, k, 0.0, 0.0) for k in range(900)]
+    frame, seq = {k: f for _, f, k, _, _ in det}, {k: s for s, _, k, _, _ in det}
+    order = {s: sorted({f for z, f, *_ in det if z == s}) for s in "ab"}
+    inside = {s: sorted((k for k in seq if seq[k] == s), key=lambda k: (frame[k], k)) for s in "ab"}
+    edges = {(4, 4), (5, 900), tuple(inside["a"][:1] + inside["b"][:1])}
+    for nodes in inside.values():
+        for i in range(len(nodes) - 8):
+            edges |= {(nodes[i], nodes[i + rng.randrange(1, 4)]) for _ in "12"}
+            if rng.random() < 0.06:
+                edges.add((nodes[i + rng.randrange(1, 9)], nodes[i]))
+    rows = [(a, b, rng.randrange(3), 0.0, "manual") for a, b in sorted(edges)]
+    same = {(a, b) for a, b in edges if seq.get(a) == seq.get(b)}
+    cyclic = brute_cycles(same)
+    assert 50 < len(cyclic) < len(edges) / 2
+    wrong = {(a, b) for a, b, gap, *_ in rows if (a, b) in same and gap != order[seq[a]].index(frame[b]) - order[seq[a]].index(frame[a]) - 1}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = tracks.edge_faults(spark.createDataFrame(det, "seq string, frame long, label long, x double, y double"), spark.createDataFrame(rows, "src long, dst long, gap long, cost double, origin string"), small).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    told = {name: {(r.src, r.dst) for r in found if name in r.reasons.split(",")} for name in ("cycle", "gap", "unknown")}
+    assert told == {"cycle": cyclic, "gap": wrong, "unknown": edges - same}
+
+
 # -- corrections -----------------------------------------------------------------
 
 
